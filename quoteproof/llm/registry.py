@@ -6,6 +6,7 @@ from .op10_quality import op10_ordinal_quality
 from .op1_fingerprints import op1_weighted_samples
 from .op2_mixing import ORACLE as OP2
 from .op2_mixing import op2_curriculum_mix
+from .op3_pii import op3_disclosure_spans
 from .op4_token_counts import op4_prefix_token_counts
 from .op5_chat import ORACLE as OP5
 from .op5_chat import op5_chat_round_trip
@@ -17,6 +18,7 @@ from .op9_exact_dedup import op9_exact_dedup
 QUERIES = {
     "op1_weighted_samples": op1_weighted_samples,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op3_disclosure_spans": op3_disclosure_spans,
     "op4_prefix_token_counts": op4_prefix_token_counts,
     "op5_chat_round_trip": op5_chat_round_trip,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
