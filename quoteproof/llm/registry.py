@@ -10,6 +10,7 @@ from .op3_pii import op3_disclosure_spans
 from .op4_token_counts import op4_prefix_token_counts
 from .op5_chat import ORACLE as OP5
 from .op5_chat import op5_chat_round_trip
+from .op6_jaccard_join import op6_partenum_join
 from .op7_packing import op7_minimum_bin_slack
 from .op8_token_records import op8_framed_records
 from .op9_exact_dedup import ORACLE as OP9
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_disclosure_spans": op3_disclosure_spans,
     "op4_prefix_token_counts": op4_prefix_token_counts,
     "op5_chat_round_trip": op5_chat_round_trip,
+    "op6_partenum_join": op6_partenum_join,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
     "op8_framed_records": op8_framed_records,
     "op9_exact_dedup": op9_exact_dedup,
