@@ -1,0 +1,61 @@
+"""JVM-side text and value expressions: whole-stage code, no Python."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quoteproof.functions.values import NUMBER, UNITS
+
+_NUMBER_IN_TEXT = rf"(?<![\d.,])(?:(?<![^\s(])-)?(?:{NUMBER})(?![\d]|[.,]\d)"
+
+
+def collapsed(text: Column) -> Column:
+    """White space runs to one blank, ends trimmed (Unicode white space)."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+
+
+def folded(text: Column) -> Column:
+    """Case folding for text in NFKC: lower case and sharp s; equal to the exact one where no other letter folds."""
+    return F.replace(F.lower(collapsed(text)), F.lit("ß"), F.lit("ss"))
+
+
+def number(raw: Column) -> Column:
+    """A whole German or plain number as DECIMAL(38,18); null where it is none."""
+    bare = F.regexp_replace(F.trim(raw), "[   ]", "")
+    grouped = bare.rlike(r"^-?\d{1,3}(\.\d{3})+(,\d+)?$")
+    plain = F.replace(F.when(grouped, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare), F.lit(","), F.lit("."))
+    return F.when(F.trim(raw).rlike(rf"^-?(?:{NUMBER})$"), plain).try_cast("decimal(38,18)")
+
+
+def numbers_in(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_NUMBER_IN_TEXT), F.lit(0)), number)
+
+
+def dates_in(text: Column) -> Column:
+    """German and ISO dates; impossible ones are dropped."""
+    german = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.\-])\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})(?![\d]|-\d)"), F.lit(0)), _german)
+    iso = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.\-])\d{4}-\d{2}-\d{2}(?![\d]|-\d)"), F.lit(0)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
+    return F.filter(F.concat(german, iso), lambda d: d.isNotNull())
+
+
+def _german(d: Column) -> Column:
+    parts = F.split(d, r"\.")
+    year = F.when(F.length(parts[2]) == 2, F.concat(F.lit("20"), parts[2])).otherwise(parts[2])
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd")
+
+
+def week_in(text: Column) -> Column:
+    """The first calendar week as struct(week, year)."""
+    pattern = r"(?i)(?<!\w)(?:kw|kalenderwoche|cw)\.?\s*(\d{1,2})(?:\s*/\s*(\d{4}|\d{2}))?(?!\d)"
+    week = F.regexp_extract(text, pattern, 1).try_cast("int")
+    year = F.regexp_extract(text, pattern, 2)
+    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year).try_cast("int")
+    return F.when(week.between(1, 53), F.struct(week.alias("week"), full.alias("year")))
+
+
+def unit(raw: Column) -> Column:
+    """Canonical unit of a spelling, or null."""
+    spellings = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    name = F.lower(collapsed(raw))
+    return F.try_element_at(spellings, F.regexp_replace(name, r"\.$", ""))

@@ -1,6 +1,440 @@
-"""All registered queries with their oracle SQL."""
+"""Registered queries on the supplied tables, each with the SQL that says the same.
+
+The tables are not those of a quote-intake application, so each query keeps an operator and changes the columns.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quoteproof.functions import native
+from quoteproof.functions.values import UNITS
+from quoteproof.operators import grounding, intake
+from quoteproof.sources.readers import html_to_text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Event types of the supplied stream, as the fixed key list of review summaries and the steps of the status fold.
+EVENT_TYPES = ("click", "login", "logout", "purchase", "view")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """Non-empty lines with their 1-based number, empty ones counted."""
+    exploded = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("p", "raw"))
+    return exploded.select("doc_id", "lang", (F.col("p") + 1).cast("long").alias("line"), native.collapsed(F.col("raw")).alias("text")).where("text != ''")
+
+
+@query(r"""SELECT doc_id, CAST(i AS BIGINT) AS line, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''""")
+def line_segments(spark, d):
+    return lines(t(spark, d, "documents")).select("doc_id", "line", "text")
+
+
+def quotes_in_documents(spark, d) -> DataFrame:
+    """Which benchmark quotes stand in which document.
+
+    A quote's inner words are whole words of any text that holds it, so the longest of them is an equi-join key, and
+    only documents with that word are searched for the quote. Quotes of one or two words have none; those few are
+    searched for in each document.
+    """
+    docs = t(spark, d, "documents").select("doc_id", "lang", native.folded(F.col("text")).alias("text"))
+    items = t(spark, d, "benchmark").select("item_id", native.folded(F.col("text")).alias("quote")).where("quote != ''")
+    words = F.split("quote", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    items = items.withColumn("key", F.array_max(inner)["w"])
+    own = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
+    met = own.join(items.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id")
+    met = met.join(docs, "doc_id").join(items.select("item_id", "quote"), "item_id").where(F.contains("text", "quote"))
+    short = docs.join(items.where("key is null"), F.contains("text", "quote"))
+    return met.select("doc_id", "lang", "item_id").union(short.select("doc_id", "lang", "item_id")).distinct()
+
+
+_FOLDED = r"replace(lower(trim(regexp_replace({0}, '\s+', ' ', 'g'))), 'ß', 'ss')"
+_GROUNDED = f"""SELECT doc_id, lang, item_id FROM documents JOIN benchmark ON contains({_FOLDED.format('documents.text')}, {_FOLDED.format('benchmark.text')})"""
+
+
+@query(f"SELECT doc_id, item_id FROM ({_GROUNDED})")
+def quote_in_segment(spark, d):
+    return quotes_in_documents(spark, d).select("doc_id", "item_id")
+
+
+@query(f"SELECT lang, count(*) AS n_quotes, count(DISTINCT doc_id) AS n_documents FROM ({_GROUNDED}) GROUP BY lang")
+def grounded_by_language(spark, d):
+    return quotes_in_documents(spark, d).groupBy("lang").agg(F.count("*").alias("n_quotes"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'X') AS n_unknown FROM orders")
+def status_summary(spark, d):
+    s = F.col("o_orderstatus")
+    return t(spark, d, "orders").agg(F.count("*").alias("total"), F.count_if(s == "O").alias("n_open"), F.count_if(s == "X").alias("n_unknown"))
+
+
+def _orders_of_nation(spark, d, nation):
+    customers = t(spark, d, "customer").where(F.col("c_nationkey") == nation).select("c_custkey")
+    return t(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_orderdate")
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51""")
+def keyset_page_first(spark, d):
+    return intake.keyset_page(_orders_of_nation(spark, d, 7), "o_orderdate", "o_orderkey")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7),
+c AS (SELECT o_orderdate AS a, o_orderkey AS k FROM o ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 49)
+SELECT o_orderkey, o_orderdate FROM o, c WHERE (o_orderdate, o_orderkey) < (a, k) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51""")
+def keyset_page_next(spark, d):
+    rows = _orders_of_nation(spark, d, 7)
+    page = intake.keyset_page(rows, "o_orderdate", "o_orderkey").collect()  # one page
+    last = page[49] if len(page) > 50 else None
+    return intake.keyset_page(rows, "o_orderdate", "o_orderkey", (last["o_orderdate"], last["o_orderkey"])) if last else rows.limit(0)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def filtered_list(spark, d):
+    return intake.filtered(t(spark, d, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT", o_custkey=None).select("o_orderkey")
+
+
+def _latest_orders(spark, d):
+    return grounding.latest(t(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+
+
+_LATEST = "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
+
+
+@query(f"SELECT o_custkey, o_orderkey, o_orderdate FROM ({_LATEST})")
+def latest_per_entity(spark, d):
+    return _latest_orders(spark, d).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query(f"""SELECT o_custkey, o_orderkey, count(l_orderkey) AS n_items, coalesce(sum(CAST(l_quantity AS BIGINT)), 0)::BIGINT AS quantity
+FROM ({_LATEST}) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+def latest_with_items(spark, d):
+    joined = _latest_orders(spark, d).join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return joined.groupBy("o_custkey", "o_orderkey").agg(F.count("l_orderkey").alias("n_items"), F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("quantity"))
+
+
+@query("""WITH b AS (SELECT user_id, event_type, arg_min(value, event_id) AS base, min(event_id) AS first_id FROM events GROUP BY 1, 2),
+c AS (SELECT user_id, event_type, arg_max(value, event_id) AS corr, max(event_id) AS last_id FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, CASE WHEN last_id > first_id THEN corr ELSE base END AS reviewed_value, last_id > first_id AS corrected FROM b JOIN c USING (user_id, event_type)""")
+def corrections_overlay(spark, d):
+    ev = t(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("field_key"), F.lit(None).cast("int").alias("item_index"), "event_id", "value")
+    first = ev.groupBy("request_id", "field_key").agg(F.min(F.struct("event_id", "value")).alias("f"))
+    fields = first.select("request_id", "field_key", F.lit(None).cast("int").alias("item_index"), F.col("f.value").alias("value"), F.col("f.event_id").alias("run_created_at"))
+    later = ev.join(first.select("request_id", "field_key", F.col("f.event_id").alias("_f")), ["request_id", "field_key"]).where("event_id > _f")
+    corrections = later.select("request_id", "field_key", "item_index", F.col("value").alias("new_value"), F.col("event_id").alias("created_at"), F.col("event_id").alias("id"))
+    return grounding.overlay(fields, corrections).select(F.col("request_id").alias("user_id"), F.col("field_key").alias("event_type"), "reviewed_value", "corrected")
+
+
+@query(f"""SELECT user_id, {len(EVENT_TYPES)} - count(DISTINCT event_type) FILTER (event_type IN {EVENT_TYPES}) AS missing,
+count(*) FILTER (event_type = 'purchase') AS attention, max(CASE WHEN event_type = 'login' THEN ts END) AS last_login FROM events GROUP BY 1""")
+def review_summary(spark, d):
+    e = F.col("event_type")
+    return t(spark, d, "events").groupBy("user_id").agg(
+        (F.lit(len(EVENT_TYPES)).cast("long") - F.countDistinct(F.when(e.isin(*EVENT_TYPES), e))).alias("missing"),
+        F.count_if(e == "purchase").alias("attention"), F.max(F.when(e == "login", F.col("ts"))).alias("last_login"),
+    )
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey
+ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 WHEN 'P' THEN 1 ELSE 0 END DESC, o_orderkey) = 1""")
+def rank_merge(spark, d):
+    s = F.col("o_orderstatus")
+    rank = F.when(s == "F", 3).when(s == "O", 2).when(s == "P", 1).otherwise(0)
+    return grounding.rank_merge(t(spark, d, "orders"), ["o_custkey"], rank, [F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""WITH i AS (SELECT DISTINCT o_custkey, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT o_custkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) - 1 AS item_index FROM i""")
+def renumber_items(spark, d):
+    items = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber").distinct()
+    return grounding.renumber(items, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber")]).withColumn("item_index", F.col("item_index").cast("long"))
+
+
+@query("""WITH k AS (SELECT doc_id, 'a' AS s, sha256(text) AS k FROM documents UNION ALL SELECT doc_id, 'b', source || ':' || n_chars FROM documents WHERE source IS NOT NULL),
+f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s, k ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first FROM k)
+SELECT doc_id, min(first) AS duplicate_of FROM f GROUP BY 1""")
+def duplicate_flags(spark, d):
+    docs = t(spark, d, "documents")
+    keys = [F.sha2(F.col("text").cast("binary"), 256), F.concat_ws(":", F.when(F.col("source").isNotNull(), F.col("source")), F.col("n_chars"))]
+    return intake.first_earlier(docs, "doc_id", ["doc_id"], keys)
+
+
+@query("""SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT DISTINCT conv_id, sha256(text) AS h FROM conversations) GROUP BY 1""")
+def fingerprint_sets(spark, d):
+    hashes = F.array_join(F.array_sort(F.collect_set(F.sha2(F.col("text").cast("binary"), 256))), "\n")
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(hashes.cast("binary"), 256).alias("fingerprint"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS before FROM events""")
+def rate_limit(spark, d):
+    w = "(PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)"
+    return t(spark, d, "events").select("event_id", F.expr(f"count(*) OVER {w} - 1").alias("before"))
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_name, c_custkey")
+def members_users(spark, d):
+    joined = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("c_custkey", "c_name", "n_name").orderBy("c_name", "c_custkey")
+
+
+def _ledger(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("attempts"), F.count_if(F.col("l_returnflag") == "R").alias("errors"))
+
+
+_LEDGER = "SELECT l_orderkey, count(*) AS attempts, count(*) FILTER (l_returnflag = 'R') AS errors FROM lineitem GROUP BY 1"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN coalesce(attempts, 1) WHEN o_orderstatus = 'O' AND errors > 0 THEN attempts ELSE 0 END AS attempts,
+CASE WHEN o_orderstatus = 'P' THEN 'export' WHEN o_orderstatus = 'O' AND errors > 0 THEN 'processing' END AS stage FROM orders LEFT JOIN ({_LEDGER}) ON l_orderkey = o_orderkey""")
+def row_view(spark, d):
+    s, retrying = F.col("o_orderstatus"), (F.col("o_orderstatus") == "O") & (F.col("errors") > 0)
+    joined = t(spark, d, "orders").join(_ledger(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return joined.select("o_orderkey", F.when(s == "P", F.coalesce("attempts", F.lit(1))).when(retrying, F.col("attempts")).otherwise(0).alias("attempts"),
+                         F.when(s == "P", "export").when(retrying, "processing").alias("stage"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'decide duplicate' WHEN o_orderstatus = 'P' THEN 'review'
+WHEN o_orderstatus = 'O' AND errors > 0 THEN 'waiting for retry' WHEN o_orderstatus = 'O' THEN 'running' END AS action FROM orders LEFT JOIN ({_LEDGER}) ON l_orderkey = o_orderkey""")
+def next_action(spark, d):
+    s = F.col("o_orderstatus")
+    joined = t(spark, d, "orders").join(_ledger(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    action = F.when((s == "P") & (F.col("o_orderpriority") == "1-URGENT"), "decide duplicate").when(s == "P", "review")
+    return joined.select("o_orderkey", action.when((s == "O") & (F.col("errors") > 0), "waiting for retry").when(s == "O", "running").alias("action"))
+
+
+_STEPS = (("login", "NEW", "OPEN"), ("view", "OPEN", "OPEN"), ("click", "OPEN", "ACTIVE"), ("view", "ACTIVE", "ACTIVE"), ("click", "ACTIVE", "ACTIVE"),
+          ("purchase", "ACTIVE", "DONE"), ("logout", "OPEN", "NEW"), ("logout", "ACTIVE", "NEW"), ("login", "DONE", "OPEN"))
+_SQL_STEPS = " ".join(f"WHEN split_part(x, '|', 1) || '|' || e = '{a}|{k}' THEN '{b}'" for k, a, b in _STEPS)
+
+
+@query(f"""WITH l AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS es FROM events GROUP BY 1),
+f AS (SELECT user_id, list_reduce(es, lambda x, e: CASE {_SQL_STEPS.replace("THEN '", "THEN '").replace("' WHEN", "' || '|' || split_part(x, '|', 2) WHEN")} || '|' || split_part(x, '|', 2)
+ ELSE split_part(x, '|', 1) || '|' || (CAST(split_part(x, '|', 2) AS INT) + 1) END, 'NEW|0') AS r FROM l)
+SELECT user_id, split_part(r, '|', 1) AS status, CAST(split_part(r, '|', 2) AS BIGINT) AS illegal_steps FROM f""")
+def status_fold(spark, d):
+    return intake.fold(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "NEW", _STEPS)
+
+
+@query("""WITH o AS (SELECT user_id, count(*) AS a, bool_or(event_type = 'purchase') AS s FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+b AS (SELECT user_id, count(*) AS a, bool_or(event_type = 'purchase') AS s FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT coalesce(o.user_id, b.user_id) AS user_id, CAST(coalesce(o.a, 0) + CASE WHEN coalesce(o.s, false) THEN 0 ELSE coalesce(b.a, 0) END AS BIGINT) AS attempts,
+CASE WHEN coalesce(o.s, false) OR coalesce(b.s, false) THEN 'succeeded' ELSE 'pending' END AS status FROM o FULL JOIN b ON o.user_id = b.user_id""")
+def ledger_upsert(spark, d):
+    """The stream's even and odd events stand for the ledger's history and the batch."""
+    ev = t(spark, d, "events").withColumn("succeeded", F.col("event_type") == "purchase")
+    old = ev.where("event_id % 2 = 0").groupBy("user_id").agg(F.count("*").alias("attempts"), F.when(F.bool_or("succeeded"), "succeeded").otherwise("pending").alias("status"))
+    return intake.upsert_ledger(old, ev.where("event_id % 2 = 1"), "user_id")
+
+
+@query("""WITH k AS (SELECT conv_id, arg_min(sha256(text), turn) AS h FROM conversations GROUP BY 1)
+SELECT c.conv_id, any_value(h) AS first_hash, bool_or(sha256(text) <> h) AS conflict FROM conversations c JOIN k ON c.conv_id = k.conv_id GROUP BY 1""")
+def idempotent_sink(spark, d):
+    rows = t(spark, d, "conversations").withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    return rows.groupBy("conv_id").agg(F.min_by("h", "turn").alias("first_hash"), (F.min("h") != F.max("h")).alias("conflict"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem")
+def number_roundtrip(spark, d):
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    whole = F.regexp_replace(F.floor(cents / 100).cast("long").cast("string"), r"(?<=\d)(?=(\d{3})+$)", ".")
+    shown = F.concat(whole, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Preis "), shown, F.lit(" EUR")).alias("s"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(native.numbers_in(F.col("s"))[0] * 100).cast("long").alias("cents"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS found FROM orders")
+def date_roundtrip(spark, d):
+    s = F.concat(F.lit("Lieferung bis "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" erbeten."))
+    return t(spark, d, "orders").select("o_orderkey", native.dates_in(s)[0].alias("found"))
+
+
+@query("SELECT o_orderkey, CAST(week(o_orderdate) AS INT) AS week, CAST(year(o_orderdate) AS INT) AS year FROM orders")
+def week_roundtrip(spark, d):
+    s = F.concat(F.lit("Termin KW "), F.weekofyear("o_orderdate"), F.lit("/"), F.year("o_orderdate"))
+    return t(spark, d, "orders").select("o_orderkey", native.week_in(s).alias("w")).select("o_orderkey", "w.week", "w.year")
+
+
+_SPELLED = list(UNITS.items())
+
+
+@query("SELECT p_partkey, (CASE p_partkey % %d %s END) AS unit FROM part".replace("%d", str(len(_SPELLED))).replace("%s", " ".join(f"WHEN {k} THEN '{u}'" for k, (_, u) in enumerate(_SPELLED))))
+def unit_canonical(spark, d):
+    spelling = F.element_at(F.array(*(F.lit(s) for s, _ in _SPELLED)), (F.col("p_partkey") % len(_SPELLED) + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", native.unit(F.concat(F.lit(" "), F.upper(spelling), F.lit(". "))).alias("unit"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^\s@<>]+@[^\s@<>]+\.[^\s@<>]+')) AS n_mails FROM documents""")
+def mail_shapes(spark, d):
+    n = F.size(F.regexp_extract_all("text", F.lit(r"(?U)[^\s@<>]+@[^\s@<>]+\.[^\s@<>]+"), F.lit(0)))
+    return t(spark, d, "documents").select("doc_id", n.cast("long").alias("n_mails"))
+
+
+@query()
+def html_text(spark, d):
+    """Visible text of pages, by an exact HTML parser; no SQL form."""
+    shown = F.pandas_udf(lambda s: s.map(lambda h: None if h is None else html_to_text(h)), T.StringType())
+    return t(spark, d, "pages").select("page_id", shown("html").alias("text"))
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS n_items, count(l_orderkey) > 5 AS too_many, length(any_value(o_orderpriority)) > 10 AS too_long
+FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1""")
+def payload_json(spark, d):
+    items = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    grouped = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("position"), F.lit(None).cast("string").alias("unit")))).alias("items"))
+    rows = t(spark, d, "orders").join(grouped, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    keep = {"ignoreNullFields": "false"}
+    body = F.when(F.col("items").isNull(), F.to_json(F.struct("o_orderkey", "o_orderpriority"), keep)).otherwise(F.to_json(F.struct("o_orderkey", "o_orderpriority", F.col("items").alias("lineItems")), keep))
+    n = F.coalesce(F.json_array_length(F.get_json_object("body", "$.lineItems")), F.lit(0)).cast("long")
+    return rows.withColumn("body", body).select("o_orderkey", n.alias("n_items"), (n > 5).alias("too_many"), (F.length(F.get_json_object("body", "$.o_orderpriority")) > 10).alias("too_long"))
+
+
+def _observed(spark, d):
+    """Labels as the expectation, a fixed rule on the text as the prediction."""
+    labels, docs = t(spark, d, "labels"), t(spark, d, "documents")
+    expected = F.when(F.col("quality") == 1, "found").otherwise("missing")
+    got = F.when(F.contains("text", F.lit("!!")), "missing").otherwise("found")
+    return docs.join(labels, "doc_id").select(
+        F.col("source").alias("field"), expected.alias("expected_status"), got.alias("status"), F.col("lang").alias("expected_value"), F.col("lang").alias("value"), (F.col("n_chars") > 500).alias("grounded")
+    )
+
+
+_OBSERVED = """SELECT source AS field, quality = 1 AS ef, text NOT LIKE '%!!%' AS gf, n_chars > 500 AS gr FROM documents JOIN labels USING (doc_id)"""
+_METRICS = f"""SELECT field, round(100.0 * count(*) FILTER (ef AND gf) / nullif(count(*) FILTER (ef), 0), 2) AS found_accuracy,
+round(100.0 * count(*) FILTER (NOT ef AND NOT gf) / nullif(count(*) FILTER (NOT gf), 0), 2) AS missing_precision,
+round(100.0 * count(*) FILTER (NOT ef AND NOT gf) / nullif(count(*) FILTER (NOT ef), 0), 2) AS missing_recall,
+round(100.0 * count(*) FILTER (gr) / nullif(count(*) FILTER (gf), 0), 2) AS grounding_pass_rate,
+round(100.0 * count(*) FILTER (false) / nullif(count(*) FILTER (gf), 0), 2) AS false_found_rate, count(*) AS n, count(*) FILTER (gf) AS n_found
+FROM ({_OBSERVED}) GROUP BY 1"""
+
+
+@query(_METRICS)
+def eval_metrics(spark, d):
+    return intake.field_metrics(_observed(spark, d), "field")
+
+
+def _long(df):
+    return df.unpivot(["field"], ["found_accuracy", "missing_recall"], "metric", "value")
+
+
+@query(f"""WITH a AS ({_METRICS}), w AS (SELECT round(100.0 * count(*) FILTER (ef AND gf) / nullif(count(*) FILTER (ef), 0), 2) AS fa,
+round(100.0 * count(*) FILTER (NOT ef AND NOT gf) / nullif(count(*) FILTER (NOT ef), 0), 2) AS mr FROM ({_OBSERVED})),
+m AS (SELECT field, 'found_accuracy' AS metric, fa AS before, found_accuracy AS now FROM a, w UNION ALL SELECT field, 'missing_recall', mr, missing_recall FROM a, w)
+SELECT *, CASE WHEN now IS NULL THEN 'lost' ELSE 'worse' END AS reason FROM m WHERE before IS NOT NULL AND now IS NULL OR before - now > 5.0""")
+def eval_gate(spark, d):
+    """Each source against the whole corpus as the baseline."""
+    now = _long(intake.field_metrics(_observed(spark, d), "field"))
+    whole = _long(intake.field_metrics(_observed(spark, d).withColumn("field", F.lit("all")), "field")).drop("field")
+    return intake.gate(now.select("field", "metric").join(whole, "metric"), now)
+
+
+@query(f"SELECT DISTINCT doc_id FROM ({_GROUNDED})")
+def injection_semi(spark, d):
+    return quotes_in_documents(spark, d).select("doc_id").distinct()
+
+
+@query("""SELECT 'status vocabulary' AS rule, count(*) AS violations FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT 'found implies quote', count(*) FROM documents WHERE n_chars > 0 AND text IS NULL
+UNION ALL SELECT 'quantity not negative', count(*) FROM lineitem WHERE l_quantity < 0
+UNION ALL SELECT 'line unique', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'order has customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'append only', count(*) FROM (SELECT event_id FROM events WHERE event_id % 2 = 0 EXCEPT SELECT event_id FROM events)""")
+def constraint_report(spark, d):
+    orders, items, ev = t(spark, d, "orders"), t(spark, d, "lineitem"), t(spark, d, "events").select("event_id")
+    return intake.violations([
+        ("status vocabulary", orders.where(~F.col("o_orderstatus").isin("F", "O"))),
+        ("found implies quote", t(spark, d, "documents").where("n_chars > 0 and text is null")),
+        ("quantity not negative", items.where("l_quantity < 0")),
+        ("line unique", items.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")),
+        ("order has customer", orders.join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")),
+        ("append only", ev.where("event_id % 2 = 0").exceptAll(ev)),
+    ])
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_nationkey IN (3, 7) GROUP BY 1")
+def tenant_scope(spark, d):
+    from quoteproof.session import TenantSession
+
+    scopes = [TenantSession(lambda name: t(spark, d, name), tenant, "c_nationkey", r"^\d+$").table("customer") for tenant in (3, 7, None, "x' or 1=1")]
+    rows = scopes[0]
+    for s in scopes[1:]:
+        rows = rows.union(s)
+    return rows.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT o_custkey, k, k - row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS g FROM (SELECT DISTINCT o_custkey, o_orderkey // 1000 AS k FROM orders))
+SELECT o_custkey, min(k) AS first, max(k) AS last, count(*) AS length FROM g GROUP BY o_custkey, g""")
+def page_runs(spark, d):
+    return intake.islands(t(spark, d, "orders").select("o_custkey", F.expr("o_orderkey div 1000").alias("k")), "o_custkey", "k")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def audit_last(spark, d):
+    rows = t(spark, d, "events").where("event_type = 'purchase'")
+    return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
+
+
+@query("""SELECT conv_id, string_agg('[' || turn || '] ' || regexp_replace(text, '(?i)<\\s*/?\\s*document\\b[^>]*>', '[delimiter removed]', 'g'), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1""")
+def rendered_prompt(spark, d):
+    safe = F.regexp_replace("text", r"(?i)<\s*/?\s*document\b[^>]*>", "[delimiter removed]")
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.col("turn"), F.lit("] "), safe).alias("s"))))
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["s"]), "\n").alias("prompt"))
+
+
+@query("""SELECT role, action, CASE WHEN role = 'user' THEN action = 'requests.process' WHEN role = 'assistant' THEN action IN ('requests.process', 'requests.ingest')
+WHEN role = 'system' THEN true ELSE false END AS allowed FROM (SELECT DISTINCT role FROM conversations), (VALUES ('requests.process'), ('requests.ingest'), ('users.invite')) v(action)""")
+def permissions(spark, d):
+    """Speakers stand for the application's roles."""
+    names = F.when(F.col("role") == "user", "guest").when(F.col("role") == "assistant", "clerk").when(F.col("role") == "system", "admin")
+    rows = t(spark, d, "conversations").select("role").distinct().withColumn("actor", names)
+    rows = rows.withColumn("action", F.explode(F.array(F.lit("requests.process"), F.lit("requests.ingest"), F.lit("users.invite"))))
+    return rows.select("role", "action", intake.permitted(rows, "actor", "action").alias("allowed"))
+
+
+@query("""SELECT doc_id, length(text) > 500 AS over_field, substr(trim(text), 1, 500) AS corrected FROM documents""")
+def correction_input(spark, d):
+    cut = F.nullif(F.substring(F.trim("text"), 1, 500), F.lit(""))
+    return t(spark, d, "documents").select("doc_id", (F.char_length("text") > 500).alias("over_field"), cut.alias("corrected"))
+
+
+@query("SELECT l_linenumber AS attempt, least(2 * CAST(pow(2, l_linenumber - 1) AS BIGINT), 60) AS delay_s, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def retry_delay(spark, d):
+    delay = F.least(F.lit(2) * F.pow(F.lit(2), F.col("l_linenumber") - 1).cast("long"), F.lit(60))
+    return t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("attempt"), delay.cast("long").alias("delay_s")).agg(F.count("*").alias("n"))
+
+
+@query()
+def verified_claims(spark, d):
+    """The rule chain on claims made from the documents' own lines: right, cut and misplaced quotes; tested against a plain Python chain."""
+    segments = lines(t(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("l"), "line").alias("segment_id"), "text", (F.col("line") % 5 == 0).alias("ocr"))
+    words = F.split("text", " ")
+    value = F.element_at(words, F.least(F.lit(2), F.size(words)))
+    claims = segments.select(
+        "document_id", F.lit("company").alias("field_key"), F.lit(None).cast("int").alias("item_index"), value.alias("value"),
+        F.when(F.crc32(F.col("text").cast("binary")) % 7 == 0, "uncertain").otherwise("found").alias("status"), F.when(F.crc32(F.col("text").cast("binary")) % 11 == 0, "l0").otherwise(F.col("segment_id")).alias("segment_id"),
+        F.when(F.crc32(F.col("text").cast("binary")) % 13 == 0, F.reverse("text")).otherwise(F.col("text")).alias("quote"),
+    )
+    return grounding.verify(claims, segments)
