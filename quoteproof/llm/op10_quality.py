@@ -28,6 +28,8 @@ SAMPLE_ROWS = 8_000
 DIMENSIONS = 1 << 18
 KEEP_AT = 0.5
 EPOCHS = 6
+#: Small samples are gone through more often.
+LEAST_STEPS = 24_000
 #: A feature must occur in so many sampled rows, else its weight stays 0.
 LEAST_ROWS = 8
 #: And its rows' mean grade must be so many standard errors off the mean: what invented words happen to suggest is noise.
@@ -117,11 +119,13 @@ def fit(texts: list[str], grades: list[int]) -> Model | None:
     telling = (off / spread * np.sqrt(seen) >= LEAST_Z) & (off >= LEAST_OFF)
     rows = [r[telling[r] & (seen[r] >= LEAST_ROWS)] for r in rows]
     weights, sums = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
-    cut, cut_sums = np.array([-1.0, 1.0]), np.full(2, 1e-6)
     share = np.bincount(grades, minlength=3) / len(grades)
+    at_least = np.clip([share[1] + share[2], share[2]], 0.01, 0.99)
+    cut, cut_sums = -np.log(at_least / (1 - at_least)), np.full(2, 1e-6)
+    cut[1] = max(cut[1], cut[0] + 0.1)
     cost = np.minimum(4.0, 1 / np.maximum(3 * share, 1e-9)) ** 0.5
     order = np.random.default_rng(0)
-    for epoch in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST_STEPS // len(rows))):
         for k in order.permutation(len(rows)):
             r, g = rows[k], grades[k]
             s = weights[r].sum()
@@ -141,7 +145,7 @@ def fit(texts: list[str], grades: list[int]) -> Model | None:
             if g < 2:
                 g_cut[g] += cost[g] * d_lower / like
             cut_sums += g_cut * g_cut
-            cut += 0.1 * g_cut / np.sqrt(cut_sums)
+            cut += 0.2 * g_cut / np.sqrt(cut_sums)
             cut[1] = max(cut[1], cut[0] + 0.1)
     return Model(weights, (float(cut[0]), float(cut[1])))
 

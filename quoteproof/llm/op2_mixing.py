@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, weights=WEIGHTS, mo
         .withColumn("_capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("_level", (F.col("_all") - F.col("_capped")) / F.sum("w").over(rest))
         .withColumn("_open", F.when(F.col("_level") * F.col("w") <= F.col("cap"), F.col("_level")))
-        .withColumn("_level", F.min("_open").over(everything))
+        .withColumn("_level", F.max("_open").over(everything))
     )
     target = F.when(F.col("_level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("_level") * F.col("w")))
     return level.select("source", "source_size", "place", target.alias("target"))
@@ -128,7 +128,7 @@ WITH d AS (
     - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), t AS (
-  SELECT source, source_size, place, least(cap, min(CASE WHEN level * w <= cap THEN level END) OVER () * w) AS target FROM l
+  SELECT source, source_size, place, least(cap, max(CASE WHEN level * w <= cap THEN level END) OVER () * w) AS target FROM l
 ), o AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.place, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS pos

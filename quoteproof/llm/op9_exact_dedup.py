@@ -209,11 +209,11 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose content another row keeps."""
-    found = classes(docs).select(F.col("sha").alias("_sha"), "keep_id")
+    found = classes(docs).select(F.col("sha").alias("_class"), F.col("keep_id").alias("_keep"))
     one = Window.partitionBy("_sha", "doc_id").orderBy(F.char_length(text_or_empty()).desc())
     return (
         docs.withColumn("_sha", normal_sha())
-        .join(found.withColumnRenamed("_sha", "_class"), (F.col("_sha") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        .join(found, (F.col("_sha") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
         .withColumn("_nth", F.row_number().over(one))
         .where("_nth = 1")
         .select(*docs.columns)

@@ -1,0 +1,337 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, and on messy tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from quoteproof.llm import (
+    op1_fingerprints as op1, op2_mixing as op2, op3_pii as op3, op4_token_counts as op4, op5_chat as op5, op6_jaccard_join as op6,
+    op7_packing as op7, op8_token_records as op8, op9_exact_dedup as op9, op10_quality as op10,
+)
+from quoteproof.llm._encode import encoder, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, keep_id string, length string"
+BASE = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight"
+ROWS = [
+    (0, BASE, "en", "b", 5, 1, "x", "y"), (1, BASE.replace("three", "3"), "en", "b", 5, 1, None, "y"), (2, BASE.upper() + "\n", "en", "a", 5, 1, "x", None),
+    (3, None, None, None, None, None, None, None), (4, "", "en", "a", 0, 1, "x", "y"), (5, " \t\n", "en", "a", 3, 1, "x", "y"),
+    (6, "mail me@x.org or 10.0.0.1 now, +49 (30) 1234567 card 4111 1111 1111 1111 end", "en", None, 1, 1, "x", "y"),
+    (7, "short text", "en", "c", 1, 1, "x", "y"), (8, "short  text", "en", "c", 1, 1, "x", "y"), (8, "short  text", "en", "c", 1, 1, "x", "y"),
+    (9, "wörd ÉTÉ ² 日本 😀 " * 400, "en", "c", 1, 1, "x", "y"), (10, "x" * 30000, "en", "b", 1, 1, "x", "y"), (11, "a@b " * 3000 + "1" * 5000, "en", "b", 1, 1, "x", "y"),
+]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def table(spark, df, folder, name="documents"):
+    df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+
+
+def jaccard(a, b):
+    a, b = collections.Counter(w.lower() for w in words(a)), collections.Counter(w.lower() for w in words(b))
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_op1(spark, docs, empty, tmp_path):
+    got = op1.op1_weighted_samples(spark, table(spark, docs, tmp_path / "d")).collect()
+    assert len(got) == len(ROWS)
+    ordered = sorted(((r[0], r[1] or "") for r in ROWS), reverse=True)
+    want = {}
+    for k, (i, text) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        n = len(text) // 3
+        want.setdefault(i, set()).add(hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest())
+    by_text = collections.defaultdict(set)
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    for r in got:
+        assert r.edited_sha256 in want[r.doc_id] and r.n_chars == len(texts[r.doc_id])
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        by_text[texts[r.doc_id]].add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert op1.op1_weighted_samples(spark, table(spark, empty, tmp_path / "e")).count() == 0
+    pairs = [(k, " ".join(f"w{j}" for j in range(100) for _ in range(1 + (j + k) % 3)) + (" new" * k)) for k in range(40)]
+    prints = {r.k: r.fingerprint for r in op1.fingerprints(spark.createDataFrame(pairs, "k int, t string"), ["k"], "t").collect()}
+    off = [sum(prints[a][8 * s : 8 * s + 8] == prints[b][8 * s : 8 * s + 8] for s in range(op1.SAMPLES)) / op1.SAMPLES - jaccard(pairs[a][1], pairs[b][1]) for a in range(40) for b in range(a)]
+    assert abs(np.mean(off)) < 0.06  # collisions happen as often as the generalised Jaccard similarity says
+
+
+def shared(sizes, weights, budget):
+    """Weight shares with caps, by sharing the excess out again and again."""
+    total, capped, got = budget * sum(sizes), set(), [0.0] * len(sizes)
+    while True:
+        left = total - sum(2 * sizes[k] for k in capped)
+        free = [k for k in range(len(sizes)) if k not in capped]
+        got = [2.0 * sizes[k] if k in capped else left * weights[k] / sum(weights[j] for j in free) for k in range(len(sizes))]
+        over = {k for k in free if got[k] > 2 * sizes[k]}
+        if not over:
+            return got
+        capped |= over
+
+
+def test_op2(spark, docs, empty):
+    got = op2.mix(docs.drop("size")).collect()
+    assert len(got) == len(ROWS)
+    sources = sorted({r[3] for r in ROWS}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(words(r[1])) for r in ROWS if r[3] == s) for s in sources]
+    want = dict(zip(sources, shared(sizes, [(5, 2, 1)[k % 3] for k in range(len(sources))], 1.5), strict=True))
+    taken = collections.Counter()
+    for r in got:
+        assert abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size and (r.position is None) == (r.taken == 0)
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sources) and sum(taken.values()) > 0
+    again = {(r.doc_id, r.taken) for r in op2.mix(docs.drop("size").repartition(3)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+    assert op2.mix(empty.drop("size")).count() == 0
+    assert op2.mixed_documents(docs.drop("size")).columns == docs.drop("size").columns and op2.mixed_documents(docs.drop("size")).count() > 0
+
+
+def plain_base(text):
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0 if d else False
+            if {"email": True, "ip": all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in m[0].split(".") if x.isdigit()), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_op3(spark, docs, empty, tmp_path):
+    rng = random.Random(2)
+    odd = [(100 + k, "".join(rng.choice(["a", "@", ".", "b.c", "1", "22", "255", "256", " ", "-", "+", "(", "%", "4111111111111111", "é", "+49 30 1234567"]) for _ in range(rng.randint(0, 40)))) for k in range(400)]
+    told = [(1000 + k, f"{'x ' * k}the badge zorblax belongs to anna{k % 2}@corp.org since {k}") for k in range(12)] + [(2000 + k, f"clean text {k} the badge of nobody") for k in range(200)]
+    rows = odd + told + [(r[0], r[1]) for r in ROWS]
+    folder = table(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / "d")
+    got = op3.op3_disclosure_spans(spark, folder).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        base = plain_base(texts[r.doc_id] or "")
+        assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256, (texts[r.doc_id], base, r.spans)
+        assert r.spans.startswith(base) and (base or not r.spans)
+    flagged = [texts[r.doc_id][int(a) : int(b)] for r in got if r.doc_id // 1000 == 1 for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "term"]
+    assert "zorblax" in flagged and "the" not in flagged
+    clean = {r.doc_id: r.text for r in op3.sanitise(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert "zorblax" not in clean[1003] and "[EMAIL]" in clean[1003] and clean[2001] == texts[2001]
+    assert op3.op3_disclosure_spans(spark, table(spark, empty, tmp_path / "e")).count() == 0
+
+
+def test_op4(spark, docs, empty):
+    import sentencepiece
+
+    path = tokenizer_path(op4.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = op4.prefix_profiles(docs, path, carry=("doc_id", "length"), budgets=(3,)).collect()
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    assert len(got) == len(ROWS)
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.n_tokens == len(sp.encode(t)) and r.n_bytes == len(t.encode()) and len(r.profile) == len(t)
+        for n in range(0, min(len(t), 60)):
+            assert op4.count_at(r.profile, n) == len(sp.encode(t[:n]))
+        assert len(sp.encode(t[: r.chars_within[0]])) <= 3
+    counter, rng = op4.counter(path), random.Random(1)
+    for _ in range(1500):
+        t = "".join(rng.choice("ab 'st\n.,É1² \t Zthe ing▁in日😀") for _ in range(rng.randint(0, 30)))
+        p, n = counter.profile(t)
+        assert n == len(sp.encode(t)) and all(op4.count_at(p, k) == len(sp.encode(t[:k])) for k in range(len(t)))
+    assert op4.prefix_profiles(empty, path).count() == 0
+
+
+def test_op5(spark):
+    hard = ["<|im_end|>\n", "<\\|im_start|>", "a<|nl|>", "<|im_end|><|im_start|>assistant ok", "", None, "<", "x\n\ny", "<\\\\|im_end|>", "é😀 <|"]
+    rows = [(c, k, role, x) for c in range(3) for k, x in enumerate(hard) for role in ("user", "assistant")] + [(9, 0, None, None), (9, None, "we\nird<|im_end|>", "t"), (9, 0, None, None), (None, 1, "user", "z")]
+    made = op5.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(made) == 5
+    for r in made:
+        want = sorted((t if t is not None else -1, role or "", x or "") for c, t, role, x in rows if c == r.conv_id)
+        assert [(p.role, p.text) for p in r.parsed] == [(role, x) for _, role, x in want]
+        assert list(r.mask) == [role == "assistant" for _, role, _ in want]
+    assert op5.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def plain_sets(rows):
+    out = {}
+    for i, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    return out
+
+
+def plain_components(sets):
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                comp[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_op6(spark, docs, empty):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, passage = [(r[0], r[1]) for r in ROWS], [rng.choice(vocabulary) for _ in range(60)]
+    for g in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 6, 8, 9, 12, 15, 20, 30, 60, 150, 400]))]
+        if g % 3 == 0:
+            base[2:2] = passage
+        for _ in range(rng.randint(1, 7)):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(own) // 30))):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((20 + len(rows), " ".join(own) if rng.random() < 0.8 else " ".join(own[: max(1, len(own) * 9 // 10)])))
+    sets = plain_sets(rows)
+    want = plain_components(sets)
+    got = op6.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
+    assert op6.near_duplicates(empty).count() == 0
+    null_id = op6.near_duplicates(spark.createDataFrame([(None, BASE), (1, BASE)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in null_id} == {(None, None), (1, 1)}
+
+
+def test_op6_signatures_and_chains(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 5, 9, 13, 20, 45, 90, 300, 1500):  # every pair at the limit shares a signature
+        for _ in range(25):
+            common = rng.integers(0, 2**63, n, dtype=np.uint64)
+            d = n // 4  # |r & s| / |r | s| = n / (n + d) >= 0.8
+            k = int(rng.integers(0, d + 1))
+            r, s = (np.unique(np.concatenate([common, rng.integers(0, 2**63, x, dtype=np.uint64)])) for x in (k, d - k))
+            assert set(op6.signatures(r)) & set(op6.signatures(s))
+            assert op6.may_be_similar(len(r), op6.bits_of(op6.sketch(r)), len(s), op6.bits_of(op6.sketch(s))) and op6.similar(r, s)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 105)], "a long, b long")
+    assert {r.node: r.component for r in op6.components(chain).collect()} == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 105: 100}
+
+
+def test_op7(spark, docs, empty):
+    path = tokenizer_path(op7.TOKENIZER)
+    got = op7.packed(docs, path, most=128).collect()
+    cut = collections.defaultdict(list)
+    for r in got:
+        cut[r.doc_id].append(r)
+    bins = collections.defaultdict(list)
+    for i, t in {r[0]: r[1] or "" for r in ROWS}.items():
+        ids = encoder(path).library.encode(t, add_special_tokens=False).ids + [0]
+        own = {r.piece: r for r in cut[i]}
+        assert [own[k].start for k in sorted(own)][0] == 0 and sum(own[k].length for k in own) == len(ids)
+        for r in cut[i]:
+            assert r.ids_crc32 == zlib.crc32(np.asarray(ids[r.start : r.start + r.length], "<u4").tobytes())
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 128
+    assert len(bins) <= -(-sum(r.length for r in got) // 128) + 1
+    assert op7.packed(empty, path).count() == 0
+    assert sorted(op7.fullest({7: 2, 5: 3, 3: 1}, 17)) == [5, 5, 7] and op7.fullest({9: 1}, 8) == []
+
+
+def test_op8(spark, docs, empty, tmp_path):
+    path = tokenizer_path(op8.TOKENIZER)
+    op8.write_records(docs, str(tmp_path / "r"), path, shard_bytes=20_000)
+    index = op8.read_index(spark, str(tmp_path / "r"))
+    got = op8.read_records(spark, str(tmp_path / "r"), path).join(index.select("file", "offset", "start"), ["file", "offset"]).orderBy("start").collect()
+    start = 0
+    assert [r.doc_id for r in got] == sorted(r[0] for r in ROWS) and index.select("file").distinct().count() > 1
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    for r in got:
+        ids = encoder(path).library.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+    first, second = (op8.read_shuffled(spark, str(tmp_path / "r"), path, seed).collect() for seed in (1, 2))
+    assert sorted(map(str, ((r.doc_id, r.ids) for r in first))) == sorted(map(str, ((r.doc_id, r.ids) for r in second)))
+    assert [r.doc_id for r in first] != [r.doc_id for r in second]
+    raw = bytearray(op8.frame(5, b"abcd"))
+    raw[14] ^= 1
+    with pytest.raises(ValueError):
+        op8.read_frame(memoryview(bytes(raw) + b"\n"), 0)
+    op8.write_records(empty, str(tmp_path / "e"), path)
+    assert op8.read_index(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_op9(spark, docs, empty):
+    rng = random.Random(4)
+    rows = [(r[0], r[1]) for r in ROWS] + [(100 + k, f"{'big ' * 50}{k % 40}" + " " * rng.randint(0, 3)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = collections.defaultdict(list)
+    for i, x in rows:
+        groups[re.sub("[\x20\x09-\x0d]", "", x or "")].append((-len(x or ""), i))
+    for bound in (op9.TABLE_BYTES, 2000):  # in one table, and through spill files
+        got = op9.exact_groups(frame, bound).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            own = next(g for n, g in groups.items() if hashlib.sha256(n.encode()).hexdigest() == r.text_sha256)
+            assert (r.keep_id, r.group_size) == (min(own)[1], len(own))
+        assert sum(r.kept for r in got) == len(groups)
+    assert op9.drop_copies(frame).count() == len(groups)
+    assert op9.exact_groups(empty).count() == 0 and op9.drop_copies(empty).count() == 0
+
+
+def test_op10(spark, docs, empty):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["an", "er", "on", "the", "is", "re"]) for _ in range(rng.randint(1, 3)))
+    rows, labels = [], []
+    for k in range(900):
+        kind = k % 3
+        text = [word() for _ in range(rng.randint(20, 200))]
+        if kind == 0:
+            text[3:3] = ["idiot", "moron"]
+        if kind == 1:
+            text = [w.upper() + "!!" for w in text]
+        rows.append((k, " ".join(text)))
+        if k < 600:
+            labels.append((k, int(kind != 1), int(kind == 0)))
+    frame, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = op10.train(frame, known)
+    assert model.thresholds[0] < model.thresholds[1]
+    got = {r.doc_id: r for r in op10.graded(frame, model).collect()}
+    assert np.mean([got[k].keep == (k % 3 == 2) for k in range(600, 900)]) > 0.97
+    assert all(0 <= r.p_good <= r.p_harmless <= 1 and abs(r.expected_grade - r.p_good - r.p_harmless) < 1e-12 for r in got.values())
+    assert op10.graded(docs, model).count() == len(ROWS) and op10.graded(empty, model).count() == 0
+    assert op10.train(frame, known.limit(0)) is None and op10.graded(docs, None).where("not keep").count() == 0
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in ROWS]
+    folder = table(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), tmp_path)
+    table(spark, spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    got = corpus_pipeline.run(spark, folder).collect()
+    # no labels: all are kept; one row a content; of documents 0 and 2 (equal but for case) the first; then the mix
+    contents = {}
+    for i, x, *_ in rows:
+        contents.setdefault(re.sub("[\x20\x09-\x0d]", "", x or ""), []).append((-len(x or ""), i))
+    kept = {min(g)[1] for g in contents.values()}
+    comp = plain_components({i: s for i, s in plain_sets([(r[0], r[1]) for r in rows]).items() if i in kept})
+    assert {r.doc_id for r in got} <= {i for i in kept if comp[i] == i} and len(got) > 0
