@@ -32,10 +32,10 @@ EPOCHS = 6
 LEAST_STEPS = 24_000
 #: A feature must occur in so many sampled rows, else its weight stays 0.
 LEAST_ROWS = 8
-#: And its rows' mean grade must be so many standard errors off the mean: what invented words happen to suggest is noise.
+#: And the share of its rows above some grade must be so many standard errors off: what rare words happen to suggest is noise.
 LEAST_Z = 4.5
-#: And so many grades off: many weak hints add up with a text's length, and long clean documents would go.
-LEAST_OFF = 0.5
+#: And lower by such a part: only what tells against a text has a weight, since many weak hints add up with its length.
+LEAST_OFF = 0.45
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 SHARE_STEPS = 20
@@ -110,13 +110,15 @@ def fit(texts: list[str], grades: list[int]) -> Model | None:
     if len(set(grades)) < 2:
         return None
     rows = [features(t) for t in texts]
-    seen, total = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    seen, above = np.zeros(DIMENSIONS), np.zeros((2, DIMENSIONS))
     for r, g in zip(rows, grades, strict=True):
         seen[r] += 1
-        total[r] += g
-    mean, spread = np.mean(grades), max(np.std(grades), 1e-9)
-    off = np.abs(total - seen * mean) / np.maximum(seen, 1)
-    telling = (off / spread * np.sqrt(seen) >= LEAST_Z) & (off >= LEAST_OFF)
+        above[:g, r] += 1
+    telling = np.zeros(DIMENSIONS, dtype=bool)
+    for k in (0, 1):  # rows graded above k: among those with the feature, against all
+        base = min(max(np.mean([g > k for g in grades]), 1e-9), 1 - 1e-9)
+        off = base - above[k] / np.maximum(seen, 1)
+        telling |= (off * np.sqrt(seen / (base * (1 - base))) >= LEAST_Z) & (off >= LEAST_OFF * base)
     rows = [r[telling[r] & (seen[r] >= LEAST_ROWS)] for r in rows]
     weights, sums = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
     share = np.bincount(grades, minlength=3) / len(grades)
