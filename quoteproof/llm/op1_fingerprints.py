@@ -19,8 +19,8 @@ from ._shared import SPACE, load, text_or_empty
 
 SAMPLES = 32
 #: Neighbouring doc_ids share a bucket; so many at most (their bounds are the only thing broadcast).
-KNOTS = 128
-BUCKETS_PER_KNOT = 4
+KNOTS = 32
+BUCKETS_PER_KNOT = 16
 
 _U21, _U32 = float(1 << 21), float(1 << 32)
 
@@ -52,7 +52,8 @@ def fingerprints(texts: DataFrame, key: list[str], text: str, samples: int = SAM
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """The share of equal samples."""
-    same = sum((F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("int") for k in range(samples))
+    places = F.sequence(F.lit(1), F.lit(8 * samples - 7), F.lit(8))
+    same = F.size(F.filter(places, lambda k: F.substring(a, k, F.lit(8)) == F.substring(b, k, F.lit(8))))
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(same / float(samples))
 
 
