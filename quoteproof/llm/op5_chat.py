@@ -85,8 +85,9 @@ def _same(parsed: Column, turns: Column) -> Column:
 
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    own = [(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)]
-    made = format_conversations(rows.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string")))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text"))
+    made = format_conversations(rows.union(own))
     said = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.zip_with("parsed", "mask", lambda t, m: F.when(m, t["text"]).otherwise(F.lit("")))
     read = made.withColumn("_loss", F.array_join(masked, ""))
