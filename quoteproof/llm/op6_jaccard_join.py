@@ -38,6 +38,8 @@ N = 5
 PERCENT = 80
 MEMO_ENTRIES = 500_000
 MEMO_BYTES = 64
+#: Every 16th bucket is looked through for links between components before all of them are.
+FIRST_SHARES = (16, 1)
 
 _U64 = np.uint64
 
@@ -132,6 +134,7 @@ def _signatures_in(found: np.ndarray, band: int, largest: int) -> np.ndarray:
     totals, filled = sums @ subsets.T, (counts @ subsets.T) > 0
     label = np.arange(totals.size, dtype=np.uint64) + _U64((band + 1) << 40)
     out = _mixed(_mixed(totals.ravel()) + label * _U64(0x9E3779B97F4A7C15))
+    out &= _U64((1 << 56) - 1)  # a byte less to shuffle; two signatures that coincide by chance only cost a comparison
     poor = int((~filled.all(axis=1)).sum()) > slack
     return out if poor else out[filled.ravel()]
 
@@ -151,20 +154,27 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _folded(raw: bytes, words: int) -> np.ndarray:
-    x = np.frombuffer(raw, dtype=np.uint64)
-    while len(x) > words:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+def bits_of(raw: bytes) -> tuple[int, int]:
+    """A sketch as a number, and its length in bits."""
+    return int.from_bytes(raw, "little"), 8 * len(raw)
 
 
-def may_be_similar(n_r: int, sketch_r: bytes, n_s: int, sketch_s: bytes) -> bool:
+def _folded(bits: int, length: int, to: int) -> int:
+    while length > to:
+        length //= 2
+        bits = (bits >> length) ^ (bits & ((1 << length) - 1))
+    return bits
+
+
+def may_be_similar(n_r: int, sketch_r: tuple[int, int], n_s: int, sketch_s: tuple[int, int]) -> bool:
     """False only for pairs that certainly are not."""
     if 100 * min(n_r, n_s) < PERCENT * max(n_r, n_s):
         return False
-    words = min(len(sketch_r), len(sketch_s)) // 8
-    apart = int(np.bitwise_count(_folded(sketch_r, words) ^ _folded(sketch_s, words)).sum())
-    return apart <= most_differences(n_r, n_s)
+    (r, len_r), (s, len_s) = sketch_r, sketch_s
+    if len_r != len_s:
+        to = min(len_r, len_s)
+        r, s = _folded(r, len_r, to), _folded(s, len_s, to)
+    return (r ^ s).bit_count() <= most_differences(n_r, n_s)
 
 
 def similar(r: np.ndarray, s: np.ndarray) -> bool:
@@ -217,7 +227,7 @@ def _contents(batches):
 def _unsketched(batches):
     for batch in batches:
         cols = [c.to_pylist() for c in batch.columns]
-        keep = [may_be_similar(nr, sr, ns, ss) for _, _, nr, sr, ns, ss in zip(*cols, strict=True)]
+        keep = [may_be_similar(nr, bits_of(sr), ns, bits_of(ss)) for _, _, nr, sr, ns, ss in zip(*cols, strict=True)]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -231,28 +241,32 @@ def _verified(batches):
 def _across(batches):
     """Pairs of different components within a bucket (rows sorted by sig) that the sketches do not rule out."""
 
-    def pairs(rows):
+    def pairs(rows, out):
         rows.sort()
-        out = set()
-        for k, (comp, doc, n, sk) in enumerate(rows):
-            for comp2, doc2, n2, sk2 in rows[k + 1 :]:
+        for k, (n, comp, doc, sk) in enumerate(rows):
+            for j in range(k + 1, len(rows)):
+                n2, comp2, doc2, sk2 = rows[j]
+                if 100 * n < PERCENT * n2:
+                    break
                 if comp2 != comp and may_be_similar(n, sk, n2, sk2):
-                    out.add((min(doc, doc2), max(doc, doc2)))
-        return out
+                    out.add((doc, doc2) if doc < doc2 else (doc2, doc))
 
     def batch_of(found):
+        found = sorted(found)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    last, rows = None, []
+    last, rows, found = None, [], set()
     for batch in batches:
-        found = set()
         for sig, comp, doc, n, sk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if sig != last:
-                found |= pairs(rows)
+                pairs(rows, found)
                 last, rows = sig, []
-            rows.append((comp, doc, n, sk))
-        yield batch_of(sorted(found))
-    yield batch_of(sorted(pairs(rows)))
+                if len(found) > 100_000:
+                    yield batch_of(found)
+                    found = set()
+            rows.append((n, comp, doc, bits_of(sk)))
+    pairs(rows, found)
+    yield batch_of(found)
 
 
 def _release(spark: SparkSession) -> None:
@@ -329,17 +343,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     labels = components(links)
     _release(spark)
 
-    # buckets in which several components met: their documents are compared across these
-    place = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    members = buckets.join(place, "doc_id").select("sig", "rep", "component").distinct()
-    mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
-    few = members.join(mixed.select("sig"), "sig", "left_semi").join(profiles.select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep")
-    dealt = few.select("sig", "component", "rep", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
-    across = dealt.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    across = materialise(across, "across")
-    if not across.isEmpty():
-        more = _links(across, profiles, docs, sketched=True)
-        labels = components(links.union(more))
+    # Buckets in which several components met: their documents are compared across these. A share of the buckets goes
+    # first; what it links leaves few buckets for the pass over all of them, which makes the result exact.
+    side = profiles.select(F.col("doc_id").alias("rep"), "n", "sketch")
+    for share in FIRST_SHARES:
+        place = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+        part = buckets.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "doc_id")
+        members = part.join(place, "doc_id").select("sig", "rep", "component").distinct()
+        mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
+        few = members.join(mixed.select("sig"), "sig", "left_semi").join(side, "rep")
+        dealt = few.select("sig", "component", "rep", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+        across = dealt.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        across = materialise(across, "across")
+        if not across.isEmpty():
+            links = links.union(_links(across, profiles, docs, sketched=True))
+            labels = components(links)
+            pairs = pairs.union(across)
+        _release(spark)
     out = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("doc_id").alias("_d"), F.coalesce("component", "rep").alias("_c"))
     return rows.join(out, F.col("doc_id") == F.col("_d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
 
