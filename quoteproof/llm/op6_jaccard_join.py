@@ -31,13 +31,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import blocks
-from ._shared import load, materialise, text_or_empty
+from ._shared import discard, load, materialise, text_or_empty
 
 N = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 MEMO_ENTRIES = 500_000
 MEMO_BYTES = 64
+#: Largest to smallest size of a band, in per cent. Wider ones send fewer signatures, but of fewer elements each.
+BAND = 125
+#: Signatures are 56 bits wide, seven bytes each where they are stored.
+SIG_BYTES = 7
+#: They are dealt out in so many shares, one after the other, so that only one share's shuffle is on disk at a time.
+DEALS = 2
+DEAL_BYTES = 4 << 20
 #: Every 16th bucket is looked through for links between components before all of them are.
 FIRST_SHARES = (16, 1)
 
@@ -96,10 +103,9 @@ def _bands(size: int) -> tuple[int, int, int]:
     """band, its largest size, the next band's largest size; similar sets are in one band or in neighbours."""
     low, band = 1, 0
     while True:
-        high = max(low, low * 100 // PERCENT)
+        high = low * BAND // 100
         if size <= high:
-            after = high + 1
-            return band, high, max(after, after * 100 // PERCENT)
+            return band, high, (high + 1) * BAND // 100
         low, band = high + 1, band + 1
 
 
@@ -134,17 +140,30 @@ def _signatures_in(found: np.ndarray, band: int, largest: int) -> np.ndarray:
     totals, filled = sums @ subsets.T, (counts @ subsets.T) > 0
     label = np.arange(totals.size, dtype=np.uint64) + _U64((band + 1) << 40)
     out = _mixed(_mixed(totals.ravel()) + label * _U64(0x9E3779B97F4A7C15))
-    out &= _U64((1 << 56) - 1)  # a byte less to shuffle; two signatures that coincide by chance only cost a comparison
+    out &= _U64((1 << 8 * SIG_BYTES) - 1)  # a byte less to shuffle; two signatures that coincide by chance only cost a comparison
     poor = int((~filled.all(axis=1)).sum()) > slack
     return out if poor else out[filled.ravel()]
 
 
 def signatures(found: np.ndarray) -> np.ndarray:
-    """A set's signatures: in its own band, and as the smaller partner in the next."""
+    """A set's signatures: in its own band and, if a set of the next band can be similar, as the smaller partner there."""
     if not len(found):
         return np.zeros(0, dtype=np.uint64)
     band, largest, after = _bands(len(found))
-    return np.concatenate([_signatures_in(found, band, largest), _signatures_in(found, band + 1, after)])
+    own = _signatures_in(found, band, largest)
+    if 100 * len(found) < PERCENT * (largest + 1):
+        return own
+    return np.concatenate([own, _signatures_in(found, band + 1, after)])
+
+
+def packed_signatures(found: np.ndarray) -> bytes:
+    return signatures(found).view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()
+
+
+def unpacked_signatures(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SIG_BYTES, 8), dtype=np.uint8)
+    out[:, :SIG_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, SIG_BYTES)
+    return out.view(np.int64).ravel()
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -195,8 +214,9 @@ def _profiles(batches):
             [
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_key(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
+                pa.array([packed_signatures(s) for s in sets], pa.binary()),
             ],
-            names=["doc_id", "n", "key", "sketch"],
+            names=["doc_id", "n", "key", "sketch", "sigs"],
         )
 
 
@@ -206,17 +226,29 @@ def _key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _sent(batches):
-    for ids, sets in _texts(batches):
-        own = [signatures(s) for s in sets]
-        kept = [k for k, i in enumerate(ids) if i is not None]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([own[k] for k in kept] or [np.zeros(0, np.uint64)]).view(np.int64)),
-                pa.array(np.repeat(np.array([ids[k] for k in kept], dtype=np.int64), [len(own[k]) for k in kept])),
-            ],
-            names=["sig", "doc_id"],
-        )
+def _sent(share: int):
+    """One row for each signature of one share of them."""
+
+    def dealt(ids, raws):
+        sigs = unpacked_signatures(b"".join(raws))
+        docs = np.repeat(np.array(ids, dtype=np.int64), [len(r) // SIG_BYTES for r in raws])
+        mine = sigs % DEALS == share
+        return pa.RecordBatch.from_arrays([pa.array(sigs[mine]), pa.array(docs[mine])], names=["sig", "doc_id"])
+
+    def run(batches):
+        for batch in batches:
+            ids, raws, size = [], [], 0
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("sigs").to_pylist(), strict=True):
+                ids.append(doc)
+                raws.append(raw)
+                size += len(raw)
+                if size >= DEAL_BYTES:
+                    yield dealt(ids, raws)
+                    ids, raws, size = [], [], 0
+            if ids:
+                yield dealt(ids, raws)
+
+    return run
 
 
 def _contents(batches):
@@ -324,17 +356,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``documents``."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    rows = materialise(docs.mapInArrow(_profiles, "doc_id long, n long, key binary, sketch binary"), "profiles")
+    wide = materialise(docs.mapInArrow(_profiles, "doc_id long, n long, key binary, sketch binary, sigs binary"), "signed")
+    rows = materialise(wide.drop("sigs"), "profiles")
     profiles = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "key", "sketch")).alias("p")).select("doc_id", "p.*")
     classes = profiles.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = materialise(profiles.select("doc_id", "key").join(classes, "key").select("doc_id", "rep"), "reps")
 
-    own = Window.partitionBy("sig")
-    sent = docs.mapInArrow(_sent, "sig long, doc_id long")
-    shared = sent.withColumn("hub", F.min("doc_id").over(own)).withColumn("top", F.max("doc_id").over(own)).where("hub != top").drop("top")
-    buckets = materialise(shared, "buckets")
-    del sent, shared
-    _release(spark)
+    own, buckets = Window.partitionBy("sig"), None
+    for share in range(DEALS):
+        sent = wide.where("doc_id is not null").select("doc_id", "sigs").mapInArrow(_sent(share), "sig long, doc_id long")
+        shared = sent.withColumn("hub", F.min("doc_id").over(own)).withColumn("top", F.max("doc_id").over(own)).where("hub != top").drop("top")
+        found = materialise(shared, "buckets")
+        buckets = found if buckets is None else buckets.union(found)
+        del sent, shared, found
+        _release(spark)
+    discard(wide)
 
     pairs = buckets.where("doc_id != hub").select("hub", "doc_id").distinct()
     pairs = pairs.join(reps.withColumnRenamed("rep", "y"), "doc_id").join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("x")), "hub")
@@ -349,9 +385,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     for share in FIRST_SHARES:
         place = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
         part = buckets.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "doc_id")
-        members = part.join(place, "doc_id").select("sig", "rep", "component").distinct()
-        mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
-        few = members.join(mixed.select("sig"), "sig", "left_semi").join(side, "rep")
+        members = part.join(place, "doc_id").select("sig", "rep", "component", F.min("component").over(own).alias("lo"), F.max("component").over(own).alias("hi"), F.count("*").over(own).alias("k"))
+        few = members.where("lo != hi and k > 2").select("sig", "rep", "component").distinct().join(side, "rep")
         dealt = few.select("sig", "component", "rep", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
         across = dealt.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         across = materialise(across, "across")
