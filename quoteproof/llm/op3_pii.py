@@ -3,9 +3,10 @@
 Base spans are the leftmost non-overlapping matches of four patterns, minus those that fail their rule. The values
 they hold are the protected entities. A word near an entity (``NEAR_CHARS`` code points to either side) discloses it
 as far as it lets a reader infer it: PMI(entity; word) / IC(entity), with document frequencies from the whole corpus;
-1 means the word never occurs without the entity. Words seen in at least ``LEAST_CONTEXTS`` different surroundings of
-an entity whose disclosure reaches ``GENERALISE_AT`` become spans of kind ``term``: generalised to a class, or
-removed from ``REMOVE_AT`` on. Documents without base spans are left alone.
+1 means the word never occurs without the entity, however rare both are. For words that also occur without it, P(entity
+| word) is smoothed by ``PRIOR`` documents at the entity's own rate (Laplace's rule). Words whose disclosure reaches
+``GENERALISE_AT`` become spans of kind ``term``: generalised to a class, or removed from ``REMOVE_AT`` on. Documents
+without base spans are left alone.
 
 The patterns are the contract's, written so that Java neither recurses nor starts anew within a run of characters:
 possessive groups, and a start only where a run starts or the last match ended; both leave the matches the same.
@@ -30,7 +31,7 @@ PATTERNS = {
 }
 WORD = f"[^{SPACE}]+"
 NEAR_CHARS = 60
-LEAST_CONTEXTS = 3
+PRIOR = 2.0
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 #: Prefix sums go block by block, so that appending stays linear for texts with very many matches.
@@ -116,7 +117,7 @@ def _near(text: Column, base: Column) -> Column:
             inner = F.filter(found, lambda w: (w["start"] > 0) & (w["end"] < F.char_length(side)))
             return F.transform(inner, lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["value"]).alias("word")))
 
-        return F.struct(_entity(span).alias("entity"), F.xxhash64(before, after).alias("context"), F.concat(at(before, left), at(after, span["end"])).alias("words"))
+        return F.struct(_entity(span).alias("entity"), F.concat(at(before, left), at(after, span["end"])).alias("words"))
 
     return F.transform(base, words)
 
@@ -125,17 +126,24 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def disclosure(both: Column, with_word: Column, with_entity: Column, n_docs: int) -> Column:
+    """PMI / IC of an entity and a word that are together in ``both`` documents."""
+    n = F.lit(float(max(n_docs, 2)))
+    rate = F.least(with_entity, n - 1) / n
+    given = F.when(both >= with_word, F.lit(1.0)).otherwise((both + PRIOR * rate) / (with_word + PRIOR))
+    return F.least(F.ln(given / rate) / -F.ln(rate), F.lit(1.0))
+
+
 def disclosing(near: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
     """entity, term, disclosure for the pairs at or above ``GENERALISE_AT``; frequencies are over all documents."""
-    met = near.select("_row", F.explode("_near").alias("_n")).select("_row", "_n.entity", "_n.context", F.explode(F.array_distinct(F.transform("_n.words", lambda w: w["word"]))).alias("word"))
-    pairs = met.groupBy("entity", "word").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_row").alias("both")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    met = near.select("_row", F.explode("_near").alias("_n")).select("_row", "_n.entity", F.explode(F.transform("_n.words", lambda w: w["word"])).alias("word"))
+    pairs = met.groupBy("entity", "word").agg(F.countDistinct("_row").alias("both"))
     entities = near.select("_row", F.explode(F.array_distinct(F.transform("_near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     wanted = pairs.select("word").distinct()
     every = docs.select(F.explode(F.array_distinct(F.split(F.lower("_text"), f"[{SPACE}]+"))).alias("word"))
     # counted before the join: a frequent word sends one row a task
     terms = every.groupBy("word").agg(F.count("*").alias("with_word")).join(wanted, "word")
-    n = F.lit(float(max(n_docs, 2)))
-    share = F.ln(F.col("both") * n / (F.col("with_word") * F.col("with_entity"))) / F.ln(n / F.least(F.col("with_entity"), n - 1))
+    share = disclosure(F.col("both"), F.col("with_word"), F.col("with_entity"), n_docs)
     return (
         pairs.join(entities, "entity").join(terms, "word").withColumn("disclosure", share)
         .where(F.col("disclosure") >= GENERALISE_AT).select("entity", "word", "disclosure")

@@ -133,6 +133,18 @@ def test_op3(spark, docs, empty, tmp_path):
     assert op3.op3_disclosure_spans(spark, table(spark, empty, tmp_path / "e")).count() == 0
 
 
+def spans_of(spark, rows, folder):
+    """doc_id to its term spans' words, of a table of (doc_id, text)."""
+    got = op3.op3_disclosure_spans(spark, table(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)).collect()
+    texts = dict(rows)
+    return {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in got}
+
+
+def test_op3_entity_that_occurs_once(spark, tmp_path):
+    rows = [(1, "the badge quibble of one@corp.org is here")] + [(10 + k, f"the badge of nobody is here {k}") for k in range(60)]
+    assert spans_of(spark, rows, tmp_path) == {1: ["quibble"], **{10 + k: [] for k in range(60)}}
+
+
 def test_op4(spark, docs, empty):
     import sentencepiece
 
