@@ -1,12 +1,12 @@
 """Personal data: patterns, and information-theoretic sanitisation of what surrounds them; DataFrame functions only.
 
 Base spans are the leftmost non-overlapping matches of four patterns, minus those that fail their rule. The values
-they hold are the protected entities. A word near an entity (``NEAR_CHARS`` code points to either side) discloses it
-as far as it lets a reader infer it: PMI(entity; word) / IC(entity), with document frequencies from the whole corpus;
-1 means the word never occurs without the entity, however rare both are. For words that also occur without it, P(entity
-| word) is smoothed by ``PRIOR`` documents at the entity's own rate (Laplace's rule). Words whose disclosure reaches
-``GENERALISE_AT`` become spans of kind ``term``: generalised to a class, or removed from ``REMOVE_AT`` on. Documents
-without base spans are left alone.
+they hold are the protected entities. A word of a document that holds an entity discloses it as far as it lets a reader
+infer it: PMI(entity; word) / IC(entity), with document frequencies over the whole texts of the whole corpus; 1 means
+the word never occurs without the entity, however rare both are. For words that also occur without it, P(entity | word)
+is smoothed by ``PRIOR`` documents at the entity's own rate (Laplace's rule). Every occurrence, in every document and
+outside base spans, of a word whose disclosure of some entity reaches ``GENERALISE_AT`` is a span of kind ``term``:
+generalised to a class, or removed from ``REMOVE_AT`` on.
 
 The patterns are the contract's, written so that Java neither recurses nor starts anew within a run of characters:
 possessive groups, and a start only where a run starts or the last match ended; both leave the matches the same.
@@ -29,13 +29,17 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = f"[^{SPACE}]+"
-NEAR_CHARS = 60
 PRIOR = 2.0
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 #: Prefix sums go block by block, so that appending stays linear for texts with very many matches.
 BLOCK = 256
+#: So many of the words that are too frequent to disclose anything are set aside before words are dealt out.
+FREQUENT = 1 << 15
+#: Texts are cut, behind a word, into chunks of about so many code points, so that placing a word reads one chunk.
+CHUNK = 1000
+#: Least and most 64-bit masks by which words that are surely not flagged are left out before the rest is dealt out.
+MASKS = (1 << 14, 1 << 20)
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
@@ -103,23 +107,9 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
 
 
-def _near(text: Column, base: Column) -> Column:
-    """For each base span the words before and after it, whole ones only, with their places."""
-
-    def words(span: Column) -> Column:
-        left = F.greatest(span["start"] - NEAR_CHARS, F.lit(0)).cast("bigint")
-        before = F.substring(text, (left + 1).cast("int"), (span["start"] - left).cast("int"))
-        after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(NEAR_CHARS))
-
-        def at(side: Column, offset: Column) -> Column:
-            found = spans(side, "term", WORD)
-            # a word at the window's edge may be cut, and one that touches the span is part of it
-            inner = F.filter(found, lambda w: (w["start"] > 0) & (w["end"] < F.char_length(side)))
-            return F.transform(inner, lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["value"]).alias("word")))
-
-        return F.struct(_entity(span).alias("entity"), F.concat(at(before, left), at(after, span["end"])).alias("words"))
-
-    return F.transform(base, words)
+def _words(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), f"[{SPACE}]+")), lambda w: w != "")
 
 
 def _joined(found: Column) -> Column:
@@ -134,36 +124,62 @@ def disclosure(both: Column, with_word: Column, with_entity: Column, n_docs: int
     return F.least(F.ln(given / rate) / -F.ln(rate), F.lit(1.0))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
-    """entity, term, disclosure for the pairs at or above ``GENERALISE_AT``; frequencies are over all documents."""
-    met = near.select("_row", F.explode("_near").alias("_n")).select("_row", "_n.entity", F.explode(F.transform("_n.words", lambda w: w["word"])).alias("word"))
-    pairs = met.groupBy("entity", "word").agg(F.countDistinct("_row").alias("both"))
-    entities = near.select("_row", F.explode(F.array_distinct(F.transform("_near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    wanted = pairs.select("word").distinct()
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower("_text"), f"[{SPACE}]+"))).alias("word"))
-    # counted before the join: a frequent word sends one row a task
-    terms = every.groupBy("word").agg(F.count("*").alias("with_word")).join(wanted, "word")
-    share = disclosure(F.col("both"), F.col("with_word"), F.col("with_entity"), n_docs)
-    return (
-        pairs.join(entities, "entity").join(terms, "word").withColumn("disclosure", share)
-        .where(F.col("disclosure") >= GENERALISE_AT).select("entity", "word", "disclosure")
-    )
+def _most(with_entity: Column, n_docs: int) -> Column:
+    """No word of more documents than this discloses an entity of ``with_entity`` documents (``disclosure`` solved for with_word)."""
+    n = F.lit(float(max(n_docs, 2)))
+    rate = F.least(with_entity, n - 1) / n
+    return F.greatest(with_entity, (with_entity + PRIOR * rate) / F.pow(rate, 1 - GENERALISE_AT) - PRIOR) + 1e-3
+
+
+def disclosing(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """word, disclosure (the most of any entity) for words at or above ``GENERALISE_AT``."""
+    n_docs = kept.count()
+    based = kept.where(F.size("base") > 0)
+    held = based.select("_row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = materialise(held.groupBy("entity").agg(F.count("*").alias("with_entity")).withColumn("_most", _most(F.col("with_entity"), n_docs)), "entities")
+    most = entities.agg(F.max("_most")).first()[0] or 0.0
+    # counted before any join: a frequent word sends one row a task
+    every = materialise(rows.select(F.explode(_words(F.col("_text"))).alias("word")).groupBy("word").agg(F.count("*").alias("with_word")), "words")
+    frequent = every.where(F.col("with_word") > most).orderBy(F.col("with_word").desc(), "word").limit(FREQUENT).select("word")
+    own = based.groupBy("_row").agg(F.count("*").alias("times"), F.first("_words").alias("_words"))  # repeated rows
+    own = own.select("_row", "times", F.explode("_words").alias("word")).join(F.broadcast(frequent), "word", "left_anti")
+    rare = own.join(every.where(F.col("with_word") <= most), "word")
+    holders = held.distinct().join(entities, "entity")
+    pairs = rare.join(holders, "_row").where(F.col("with_word") <= F.col("_most"))
+    pairs = pairs.groupBy("entity", "word", "with_word", "with_entity").agg(F.sum("times").alias("both"))
+    told = pairs.withColumn("disclosure", disclosure(F.col("both"), F.col("with_word"), F.col("with_entity"), n_docs)).where(F.col("disclosure") >= GENERALISE_AT)
+    return materialise(told.groupBy("word").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+
+
+def _places(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """_row, start, end, disclosure of every occurrence of a flagged word."""
+    chunks = F.regexp_extract_all("_text", F.lit(rf"(?s).{{1,{CHUNK}}}+[^{SPACE}]*+"), F.lit(0))
+    ends = _ends(F.transform(chunks, lambda c: F.char_length(c).cast("bigint")))
+    cut = rows.select("_row", F.explode(F.arrays_zip(chunks.alias("chunk"), ends.alias("end"))).alias("_c")).select("_row", "_c.chunk", "_c.end")
+    pieces = cut.select("_row", "chunk", "end", F.posexplode(F.split("chunk", f"[{SPACE}]", -1)).alias("_k", "_piece")).withColumn("word", F.lower("_piece"))
+    slots = min(max(MASKS[0], flagged.count() // 4), MASKS[1])
+    hashed = F.xxhash64("word")
+    slot = F.pmod(hashed, F.lit(slots))
+    bits = [F.shiftrightunsigned(hashed, n).bitwiseAND(63).cast("int") for n in (40, 50)]
+    mask = F.bit_or(F.expr("shiftleft(1L, _one)").bitwiseOR(F.expr("shiftleft(1L, _two)")))
+    masks = flagged.select(slot.alias("_slot"), bits[0].alias("_one"), bits[1].alias("_two")).groupBy("_slot").agg(mask.alias("_mask"))
+    likely = pieces.where("_piece != ''").withColumn("_slot", slot).join(F.broadcast(masks), "_slot")
+    likely = likely.where((F.getbit("_mask", bits[0]) == 1) & (F.getbit("_mask", bits[1]) == 1))
+    spaced = F.translate("chunk", "\t\n\x0b\x0c\r", " " * 5)
+    end = F.col("end") - F.char_length("chunk") + F.char_length(F.call_function("substring_index", spaced, F.lit(" "), F.col("_k") + 1))
+    found = likely.select("_row", "word", (end - F.char_length("_piece")).alias("start"), end.alias("end"))
+    return found.join(flagged, "word").select("_row", "start", "end", "disclosure")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, _row (hash of id and text), base and terms: arrays of spans; terms with their disclosure."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
     based = rows.withColumn("base", base_spans(F.col("_text")))
-    near = F.when(F.size("base") > 0, _near(F.col("_text"), F.col("base")))
-    kept = materialise(based.select("doc_id", "_row", "base", near.alias("_near")), "pii")
-    with_base = kept.where(F.size("base") > 0)
-    flagged = disclosing(with_base, rows, kept.count())
-    words = with_base.select("_row", F.explode("_near").alias("_n")).select("_row", "_n.entity", F.explode("_n.words").alias("_w")).select("_row", "entity", "_w.*").distinct()
-    found = words.join(flagged, ["entity", "word"]).groupBy("_row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    terms = terms.join(with_base.select("_row", "base").dropDuplicates(["_row"]), "_row")
+    kept = materialise(based.select("doc_id", "_row", "base", F.when(F.size("base") > 0, _words(F.col("_text"))).alias("_words")), "pii")
+    found = _places(rows, disclosing(kept, rows))
+    terms = found.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return kept.drop("_near").join(terms.select("_row", apart.alias("terms")), "_row", "left")
+    return kept.drop("_words").join(terms, "_row", "left").withColumn("terms", apart)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

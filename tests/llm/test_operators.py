@@ -145,6 +145,15 @@ def test_op3_entity_that_occurs_once(spark, tmp_path):
     assert spans_of(spark, rows, tmp_path) == {1: ["quibble"], **{10 + k: [] for k in range(60)}}
 
 
+def test_op3_whole_texts(spark, tmp_path):
+    far = "so it goes on and on " * 20
+    told = [(k, f"Quibble {far}the badge of one@corp.org {far}quibble") for k in range(4)]
+    rows = [*told, (5, "  the\tbadge 😀 QUIBBLE of nobody quibble\n"), *((10 + k, f"the badge of nobody 😀 quibbles {far}") for k in range(300))]
+    got = spans_of(spark, rows, tmp_path)
+    # far from the entity, each occurrence, and in a document without the entity
+    assert got == {**{k: ["Quibble", "quibble"] for k in range(4)}, 5: ["QUIBBLE", "quibble"], **{10 + k: [] for k in range(300)}}
+
+
 def test_op4(spark, docs, empty):
     import sentencepiece
 
