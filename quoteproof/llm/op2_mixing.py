@@ -3,7 +3,8 @@
 Training time runs from 0 to 1. Each source has a linear weight schedule; its integral is the source's cumulative
 token demand, scaled so that it ends at the source's target. A source's documents stand in a fixed pseudo-random
 order (MD5 of doc_id) and fill that demand one after the other, the list twice if need be; inverting the demand at
-the middle of a document's tokens gives its training position, and the mix is range-sorted by position.
+the middle of what a pass takes of a document gives its training position in that pass, and the mix is range-sorted by
+position, a row for each pass. The query has a row for each document, with the position of its first pass.
 
 Targets: weight shares of a budget, a source capped at ``most_repeats`` times its size, the excess shared out again
 by weight until none is above its cap (solved in one pass over the sources ordered by cap/weight).
@@ -11,7 +12,7 @@ by weight until none is above its cap (solved in one pass over the sources order
 Null texts have size 0; a null source is a source of its own, ordered last; documents of size 0 are taken 0 times;
 repeated rows are rows of their own, ordered by (hash, doc_id, text hash); empty tables give empty results; other
 columns pass through and may have any name but those added here (_-prefixed, size, source_size, target, taken,
-position). At most one document a source is taken in part, which makes taken words equal the rounded target.
+position, passes, pass). At most one document a source is taken in part, which makes taken words equal the rounded target.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def _inverse(share: Column, start: Column, end: Column) -> Column:
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` with size, source_size, target, taken and position (null where nothing is taken)."""
+    """``docs`` with size, source_size, target, taken, position (of the first pass; null where nothing is taken) and
+    passes, an array of (pass, taken, position) for each pass that takes some of the document."""
     rows = docs.withColumn("size", word_count()).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_range", F.substring("_hash", 1, RANGES_HEX)).withColumn("_tie", F.xxhash64(text_or_empty()))
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
@@ -91,16 +93,27 @@ def mix(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats:
     taken = of_pass(0)
     for k in range(1, most_repeats):
         taken = taken + of_pass(k)
-    share = F.least((at + of_pass(0) / 2.0) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
     start, end = (_by_place([s[k] for s in schedules], F.col("place")) for k in (0, 1))
-    position = F.when(F.col("taken") > 0, _inverse(share, start, end))
-    out = rows.withColumn("taken", taken).withColumn("position", position)
-    return out.select(*docs.columns, "size", "source_size", "target", "taken", "position")
+
+    def at_pass(k: int) -> Column:
+        share = F.least((at + k * F.col("source_size") + of_pass(k) / 2.0) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
+        return F.struct(F.lit(k).alias("pass"), of_pass(k).alias("taken"), _inverse(share, start, end).alias("position"))
+
+    passes = F.filter(F.array(*(at_pass(k) for k in range(most_repeats))), lambda p: p["taken"] > 0)
+    out = rows.withColumn("taken", taken).withColumn("passes", passes).withColumn("position", F.get("passes", F.lit(0))["position"])
+    return out.select(*docs.columns, "size", "source_size", "target", "taken", "position", "passes")
+
+
+def _sorted(mixed: DataFrame) -> DataFrame:
+    return mixed.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """The mix range-sorted by training position; what is not taken stands at the end."""
-    return mix(docs, **how).repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    """The mix range-sorted by training position: a row for each pass, with what that pass takes; documents that are not
+    taken stand once at the end, with null pass and position."""
+    mixed = mix(docs, **how).withColumn("_p", F.explode_outer("passes"))
+    taken = F.coalesce(F.col("_p.taken"), F.lit(0).cast("long"))
+    return _sorted(mixed.select(*docs.columns, "size", "source_size", "target", F.col("_p.pass").alias("pass"), taken.alias("taken"), F.col("_p.position").alias("position")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return _sorted(mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
 ORACLE = """

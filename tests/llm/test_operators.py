@@ -102,6 +102,32 @@ def test_op2(spark, docs, empty):
     assert op2.mixed_documents(docs.drop("size")).columns == docs.drop("size").columns and op2.mixed_documents(docs.drop("size")).count() > 0
 
 
+def test_op2_second_passes(spark):
+    rows = [(k, "w " * (1 + k % 7), "abc"[k % 3]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs_mixed, got = {r.doc_id: r for r in op2.mix(frame).collect()}, op2.curriculum(frame).collect()
+    sizes = {s: sum(1 + k % 7 for k, _, t in rows if t == s) for s in "abc"}
+    want = dict(zip("abc", shared(list(sizes.values()), [5, 2, 1], 1.5), strict=True))
+    places = collections.defaultdict(list)
+    for place, s in enumerate("abc"):
+        (first, last), at = op2.SCHEDULES[place], 0
+        ordered = sorted((k for k, _, t in rows if t == s), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+        for nth in (0, 1):
+            for k in ordered:
+                n = max(0, min(1 + k % 7, round(want[s]) - at))
+                if n:
+                    share, slope = (at + n / 2) / want[s], last - first
+                    places[k].append((nth, n, share if not slope else ((first**2 + 2 * slope * share) ** 0.5 - first) / slope))
+                at += 1 + k % 7
+    have = collections.defaultdict(list)
+    for r in got:
+        have[r.doc_id] += [] if r.position is None else [(r["pass"], r.taken, pytest.approx(r.position))]
+    assert set(have) == set(docs_mixed) and all(sorted(places[k], key=lambda x: x[0]) == sorted(have[k], key=lambda x: x[0]) for k in have)
+    assert any(len(x) == 2 for x in have.values()) and all(sum(n for _, n, _ in have[k]) == r.taken for k, r in docs_mixed.items())
+    order = [r.position for r in got if r.position is not None]
+    assert order == sorted(order) and all(r.position is None for r in got[len(order) :])
+
+
 def plain_base(text):
     out = []
     for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
