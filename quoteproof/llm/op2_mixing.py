@@ -117,10 +117,12 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, one row for each time one is taken (rounded to whole documents), as ``docs`` has them."""
+    """The documents of the mix, one row for each time one is taken (rounded to whole documents), as ``docs`` has them and
+    range-sorted by training position, repeats at their own."""
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
     times = F.when(F.col("taken") == 0, 0).otherwise(F.greatest(whole, F.lit(0)))
-    return mix(docs).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(F.col("_copy") <= times).select(*docs.columns)
+    copies = mix(docs).withColumn("_p", F.explode(F.slice("passes", F.lit(1), times)))
+    return _sorted(copies.withColumn("position", F.col("_p.position"))).select(*docs.columns)
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,13 @@ def test_op2_second_passes(spark):
     assert order == sorted(order) and all(r.position is None for r in got[len(order) :])
 
 
+def test_op2_mixed_documents_in_order(spark):
+    frame = spark.createDataFrame([(k, "w " * (1 + k % 7), "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
+    placed = {(r.doc_id, p["pass"]): p.position for r in op2.mix(frame).collect() for p in r.passes[: int(r.taken / r.size + 0.5)]}
+    got = [r.doc_id for r in op2.mixed_documents(frame).collect()]
+    assert got == [k for k, _ in sorted(placed, key=lambda x: (placed[x], x[0]))] and len(set(got)) < len(got)
+
+
 def plain_base(text):
     out = []
     for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
