@@ -57,6 +57,11 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(same / float(samples))
 
 
+def standard_error(similarity: float, samples: int = SAMPLES) -> float:
+    """Of the likeness of a single pair: samples are independent, so agreements are binomial."""
+    return (similarity * (1 - similarity) / samples) ** 0.5
+
+
 def _bucket(docs: DataFrame) -> Column:
     """Buckets of neighbouring doc_ids, by the quantiles of the ids and evenly between two of them."""
     knots = sorted(set(docs.approxQuantile("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 1 / (4 * KNOTS))))

@@ -72,6 +72,19 @@ def test_op1(spark, docs, empty, tmp_path):
     assert abs(np.mean(off)) < 0.06  # collisions happen as often as the generalised Jaccard similarity says
 
 
+def test_op1_error_of_single_pairs(spark):
+    pairs = [(k, " ".join(f"w{(131 * k + j) if j < k % 60 else j}" for j in range(100))) for k in range(180)]
+    for samples in (op1.SAMPLES, 128):
+        prints = {r.k: r.fingerprint for r in op1.fingerprints(spark.createDataFrame(pairs, "k int, t string"), ["k"], "t", samples).collect()}
+        z = []
+        for k in range(1, 180):
+            true = jaccard(pairs[0][1], pairs[k][1])
+            if 0.1 < true < 0.95:
+                same = sum(prints[0][8 * s : 8 * s + 8] == prints[k][8 * s : 8 * s + 8] for s in range(samples)) / samples
+                z.append((same - true) / op1.standard_error(true, samples))
+        assert len(z) > 100 and max(map(abs, z)) < 5 and 0.6 < np.mean(np.square(z)) ** 0.5 < 1.5
+
+
 def shared(sizes, weights, budget):
     """Weight shares with caps, by sharing the excess out again and again."""
     total, capped, got = budget * sum(sizes), set(), [0.0] * len(sizes)
