@@ -352,8 +352,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``documents``."""
+def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
+    """The texts, their rows' profiles, those of doc_ids, each doc_id's representative, and the buckets of several."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
     wide = materialise(docs.mapInArrow(_profiles, "doc_id long, n long, key binary, sketch binary, sigs binary"), "signed")
@@ -371,7 +371,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         del sent, shared, found
         _release(spark)
     discard(wide)
+    return docs, rows, profiles, reps, buckets
+
+
+def similar_pairs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join: all similar pairs (a, b), verified, of representatives of equal sets; and each doc_id's representative.
+
+    Unlike ``near_duplicates``, pairs within a component are compared too, so the result can grow with the square of a group.
+    """
+    docs, _, profiles, reps, buckets = _dealt(documents)
+    members = buckets.select("sig", "doc_id").join(reps, "doc_id").select("sig", "rep").distinct()
+    members = members.join(profiles.select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep")
+    dealt = members.select("sig", F.col("rep").alias("component"), "rep", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+    met = materialise(dealt.mapInArrow(_across, "a long, b long").distinct(), "met")
+    return _links(met, profiles, docs, sketched=True), reps
+
 
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``documents``."""
+    spark = documents.sparkSession
+    docs, rows, profiles, reps, buckets = _dealt(documents)
+    own = Window.partitionBy("sig")
     pairs = buckets.where("doc_id != hub").select("hub", "doc_id").distinct()
     pairs = pairs.join(reps.withColumnRenamed("rep", "y"), "doc_id").join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("x")), "hub")
     pairs = materialise(pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")

@@ -283,6 +283,26 @@ def test_op6(spark, docs, empty):
     assert {(r.doc_id, r.component_id) for r in null_id} == {(None, None), (1, 1)}
 
 
+def test_op6_similar_pairs(spark, empty):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):  # groups whose members are linked among each other, with equal ones among them
+        base = [f"g{g}w{j}" for j in range(120)]
+        for _ in range(6):
+            own = list(base)
+            own[rng.randrange(120)] = "new"
+            rows += [(len(rows), " ".join(own if rng.random() < 0.7 else base))]
+    sets = plain_sets(rows)
+    links, reps = op6.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    rep = {r.doc_id: r.rep for r in reps.collect()}
+    assert rep == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    heads = sorted(set(rep.values()))
+    want = {(a, b) for a in heads for b in heads if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = [(r.a, r.b) for r in links.collect()]
+    assert set(found) == want and len(found) == len(want) > len(heads)  # more than a spanning forest
+    assert op6.similar_pairs(empty)[0].count() == 0
+
+
 def test_op6_signatures_and_chains(spark):
     rng = np.random.default_rng(3)
     for n in (1, 4, 5, 9, 13, 20, 45, 90, 300, 1500):  # every pair at the limit shares a signature
