@@ -34,12 +34,36 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and that nothing reads any more, to free the shared folder."""
-    jvm, spark = table.sparkSession._jvm, table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more, to free the shared folder."""
+    for table in tables:
+        if table is None:
+            continue
+        jvm, spark = table.sparkSession._jvm, table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Least and most 64-bit masks of ``likely``; the most bound what is broadcast, whatever the corpus.
+MASKS = (1 << 10, 1 << 20)
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without those whose key is surely not in ``wanted`` (a written table), by a broadcast bitmap of bounded size.
+
+    It only spares a shuffle; a join must follow. Rows with a null key go.
+    """
+    slots = min(max(MASKS[0], wanted.count() // 8), MASKS[1])
+
+    def place(frame: DataFrame) -> tuple[Column, Column]:
+        h = F.xxhash64(frame[key])
+        return F.pmod(h, F.lit(slots)), F.shiftrightunsigned(h, 40).bitwiseAND(63).cast("int")
+
+    slot, bit = place(wanted)
+    masks = wanted.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+    slot, bit = place(rows)
+    return rows.join(F.broadcast(masks), slot == masks["_slot"]).where(F.getbit("_mask", bit) == 1).select(*rows.columns)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,15 +7,17 @@ Each set sends one signature for each subset; sets that share none cannot be sim
 the bound, so that the agreeing subset may be taken to be non-empty; sets with too many empty subsets send those too,
 which keeps the join exact.
 
-A signature's documents are not paired off. Each is compared with the first of its bucket (one row a document), links
-make components, and only buckets that still hold several components compare documents of different ones. Before the
-exact comparison, parity sketches (one bit for each element's hash, flipped by every difference) discard pairs whose
-sketches already differ too much, which is again exact.
+Equal sets are one class, which its smallest doc_id stands for. A signature's documents (its bucket) are not paired
+off. Each is compared with the first of its bucket (one row a document), links make components, and only buckets that
+still hold several components compare documents of different ones, of any two components the nearest first. Before
+the exact comparison, parity sketches (bits that every difference flips) discard pairs whose sketches already differ
+too much, which is again exact. Where a bucket is large, its members of the commonest component and the others are
+dealt out in blocks, and each task compares two blocks.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null, empty and blank texts have no shingles and no links.
-doc_id names a document: repeated rows are the same document (of differing texts under one id the largest set counts);
-rows without doc_id are returned with a null component and linked with nothing. Other columns are ignored; an empty
-table gives an empty result.
+doc_id names a document: repeated rows are the same document, and one with differing texts has the links of all of
+them (n_shingles is each row's own). Rows without doc_id are returned with a null component and linked with nothing.
+Other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import blocks
-from ._shared import discard, load, materialise, text_or_empty
+from ._shared import discard, likely, load, materialise, text_or_empty
 
 N = 5
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -43,10 +45,21 @@ BAND = 125
 #: Signatures are 56 bits wide, seven bytes each where they are stored.
 SIG_BYTES = 7
 #: They are dealt out in so many shares, one after the other, so that only one share's shuffle is on disk at a time.
-DEALS = 2
+DEALS = 4
+#: So many bytes of them are sorted at a time, so that documents that meet within a task send a signature once.
 DEAL_BYTES = 4 << 20
-#: Every 16th bucket is looked through for links between components before all of them are.
-FIRST_SHARES = (16, 1)
+#: Keys of classes that a task remembers in order to send the signatures of a class once; more of them start it anew.
+SEEN_KEYS = 500_000
+#: Sketches have so many bits for each element, up to the next power of two.
+SKETCH_BITS = 4
+#: Every 16th bucket is looked through for links between components first: one pair for each two of its components.
+FIRST_SHARE = 16
+#: Then all are, for so many pairs of any two components; more, in a further pass, only where these left both unlinked.
+MOST_PAIRS = 64
+#: Members of a bucket that one task holds of either of the two sides that it compares.
+BLOCK = 4096
+#: Rows of a bucket from which on pairs are compared by arrays.
+BY_ARRAYS = 24
 
 _U64 = np.uint64
 
@@ -167,8 +180,8 @@ def unpacked_signatures(raw: bytes) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Parities of the elements by hash; as many bits as the next power of two (64 at least)."""
-    bits = 1 << max(6, math.ceil(math.log2(max(1, len(found)))))
+    """Parities of the elements by hash; as many bits as the next power of two to SKETCH_BITS an element (64 at least)."""
+    bits = 1 << max(6, math.ceil(math.log2(max(1, SKETCH_BITS * len(found)))))
     parity = np.bincount((_mixed(found + _U64(7)) & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -209,12 +222,23 @@ def _texts(batches):
 
 
 def _profiles(batches):
+    """A row for each document. Of a class's documents in a task only the first has signatures; those without doc_id have none."""
+    seen: set[bytes] = set()
     for ids, sets in _texts(batches):
+        keys = [_key(s) for s in sets]
+        sigs: list[bytes | None] = []
+        for doc, s, key in zip(ids, sets, keys, strict=True):
+            if doc is None or not len(s) or key in seen:
+                sigs.append(None)
+                continue
+            seen.add(key)
+            sigs.append(packed_signatures(s))
+        if len(seen) > SEEN_KEYS:
+            seen.clear()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_key(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
-                pa.array([packed_signatures(s) for s in sets], pa.binary()),
+                pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sigs, pa.binary()),
             ],
             names=["doc_id", "n", "key", "sketch", "sigs"],
         )
@@ -226,34 +250,58 @@ def _key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _sent(share: int):
-    """One row for each signature of one share of them."""
+def _runs(batches, share: int | None):
+    """(signatures, documents, is first of its signature) of one share or all, in sorted runs of bounded size."""
 
-    def dealt(ids, raws):
+    def run(ids, raws):
         sigs = unpacked_signatures(b"".join(raws))
         docs = np.repeat(np.array(ids, dtype=np.int64), [len(r) // SIG_BYTES for r in raws])
-        mine = sigs % DEALS == share
-        return pa.RecordBatch.from_arrays([pa.array(sigs[mine]), pa.array(docs[mine])], names=["sig", "doc_id"])
+        if share is not None:
+            mine = sigs % DEALS == share
+            sigs, docs = sigs[mine], docs[mine]
+        order = np.lexsort((docs, sigs))
+        sigs, docs = sigs[order], docs[order]
+        first = np.ones(len(sigs), dtype=bool)
+        first[1:] = sigs[1:] != sigs[:-1]
+        return sigs, docs, first
+
+    for batch in batches:
+        ids, raws, size = [], [], 0
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("sigs").to_pylist(), strict=True):
+            ids.append(doc)
+            raws.append(raw)
+            size += len(raw)
+            if size >= DEAL_BYTES:
+                yield run(ids, raws)
+                ids, raws, size = [], [], 0
+        if ids:
+            yield run(ids, raws)
+
+
+def _firsts(share: int):
+    """sig, doc_id: the first document of each signature of one share, by runs."""
 
     def run(batches):
-        for batch in batches:
-            ids, raws, size = [], [], 0
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("sigs").to_pylist(), strict=True):
-                ids.append(doc)
-                raws.append(raw)
-                size += len(raw)
-                if size >= DEAL_BYTES:
-                    yield dealt(ids, raws)
-                    ids, raws, size = [], [], 0
-            if ids:
-                yield dealt(ids, raws)
+        for sigs, docs, first in _runs(batches, share):
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[first]), pa.array(docs[first])], names=["sig", "doc_id"])
 
     return run
 
 
+def _met(batches):
+    """sig, doc_id, hub: the documents that met another one within their run, beside the first of them."""
+    for sigs, docs, first in _runs(batches, None):
+        at = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        several = (np.diff(np.append(at, len(sigs))) > 1)[group] if len(sigs) else first
+        hubs = docs[at][group] if len(sigs) else docs
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sigs, docs, hubs)], names=["sig", "doc_id", "hub"])
+
+
 def _contents(batches):
     for ids, sets in _texts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "content"])
+        cols = [pa.array(ids, pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "content"])
 
 
 def _unsketched(batches):
@@ -270,35 +318,99 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def _across(batches):
-    """Pairs of different components within a bucket (rows sorted by sig) that the sketches do not rule out."""
-
-    def pairs(rows, out):
-        rows.sort()
-        for k, (n, comp, doc, sk) in enumerate(rows):
-            for j in range(k + 1, len(rows)):
-                n2, comp2, doc2, sk2 = rows[j]
+def _near(rows: list[tuple]) -> list[tuple[int, int, int]]:
+    """(bits that differ, i, j) of the rows (n, component, doc, sketch), sorted by n, of different components that the sketches do not rule out."""
+    out = []
+    if len(rows) < BY_ARRAYS:
+        held = [(n, comp, bits_of(sk)) for n, comp, _, sk in rows]
+        for i, (n, comp, (bits, length)) in enumerate(held):
+            for j in range(i + 1, len(held)):
+                n2, comp2, (bits2, length2) = held[j]
                 if 100 * n < PERCENT * n2:
                     break
-                if comp2 != comp and may_be_similar(n, sk, n2, sk2):
-                    out.add((doc, doc2) if doc < doc2 else (doc2, doc))
+                if comp2 != comp:
+                    off = (bits ^ _folded(bits2, length2, length)).bit_count()
+                    if off <= most_differences(n, n2):
+                        out.append((off, i, j))
+        return out
+    sizes, comps = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    lengths = np.array([len(r[3]) for r in rows])  # grow with the size, so those of one length are neighbours
+    starts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(rows)]
+    tables = [np.frombuffer(b"".join(r[3] for r in rows[a:b]), dtype=_U64).reshape(b - a, -1) for a, b in zip(starts, starts[1:], strict=False)]
+    for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+        own, longer = tables[k], None
+        if b < len(rows) and lengths[b] == 2 * lengths[a]:
+            half = own.shape[1]
+            longer = tables[k + 1][:, :half] ^ tables[k + 1][:, half:]
+        for i in range(a, b):
+            end = int(np.searchsorted(sizes, sizes[i] * 100 // PERCENT, side="right"))
+            for table, low, high in ((own, i + 1, min(end, b)), (longer, b, min(end, starts[k + 2]) if longer is not None else b)):
+                if low >= high:
+                    continue
+                base = a if table is own else b
+                others = low + np.flatnonzero(comps[low:high] != comps[i])
+                if not len(others):
+                    continue
+                off = np.bitwise_count(table[others - base] ^ own[i - a]).sum(axis=1, dtype=np.int64)
+                near = off <= (sizes[i] + sizes[others]) * (100 - PERCENT) // (100 + PERCENT)
+                out += [(o, i, j) for o, j in zip(off[near].tolist(), others[near].tolist(), strict=True)]
+    return out
+
+
+def _across(most: int | None):
+    """Pairs (a, b) of different components within a bucket's cell (rows sorted by sig, i, j) that the sketches do not rule out.
+
+    ``most`` 1: as few as would link all components; else the nearest ``most`` of any two components (None: all), and
+    ``cut`` where there are more.
+    """
+
+    def pairs(rows, out):
+        rows.sort(key=lambda r: (r[0], len(r[3])))
+        near = sorted(_near(rows))
+        up: dict = {}
+
+        def root(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        seen: dict = {}
+        for _, i, j in near:
+            (_, c, doc, _), (_, c2, doc2, _) = rows[i], rows[j]
+            pair = (doc, doc2) if doc < doc2 else (doc2, doc)
+            if most == 1:
+                c, c2 = root(c), root(c2)
+                if c != c2:
+                    up[c] = c2
+                    out.setdefault(pair, False)
+                continue
+            two = (c, c2) if c < c2 else (c2, c)
+            seen[two] = seen.get(two, 0) + 1
+            if most is None or seen[two] <= most:
+                out.setdefault(pair, False)
+            elif seen[two] == most + 1:
+                out[pair] = True
 
     def batch_of(found):
-        found = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        keys = sorted(found)
+        cols = [pa.array([x[k] for x in keys], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([found[x] for x in keys], pa.bool_())], names=["a", "b", "cut"])
 
-    last, rows, found = None, [], set()
-    for batch in batches:
-        for sig, comp, doc, n, sk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if sig != last:
-                pairs(rows, found)
-                last, rows = sig, []
-                if len(found) > 100_000:
-                    yield batch_of(found)
-                    found = set()
-            rows.append((n, comp, doc, bits_of(sk)))
-    pairs(rows, found)
-    yield batch_of(found)
+    def run(batches):
+        last, rows, found = None, [], {}
+        for batch in batches:
+            for sig, i, j, comp, doc, n, sk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (sig, i, j) != last:
+                    pairs(rows, found)
+                    last, rows = (sig, i, j), []
+                    if len(found) > 100_000:
+                        yield batch_of(found)
+                        found = {}
+                rows.append((n, comp, doc, sk))
+        pairs(rows, found)
+        yield batch_of(found)
+
+    return run
 
 
 def _release(spark: SparkSession) -> None:
@@ -307,19 +419,24 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _links(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, sketched: bool) -> DataFrame:
+def _links(pairs: DataFrame, sides: DataFrame, docs: DataFrame, sketched: bool) -> DataFrame:
     """The pairs (a, b) of representatives that are similar."""
+    candidates = None
     if not sketched:
-        side = profiles.select("doc_id", "n", "sketch")
-        met = pairs.join(side.select(F.col("doc_id").alias("a"), F.col("n").alias("nr"), F.col("sketch").alias("sr")), "a")
-        met = met.join(side.select(F.col("doc_id").alias("b"), F.col("n").alias("ns"), F.col("sketch").alias("ss")), "b")
-        pairs = materialise(met.select("a", "b", "nr", "sr", "ns", "ss").mapInArrow(_unsketched, "a long, b long"), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    contents = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_contents, "doc_id long, content binary")
-    contents = materialise(contents.groupBy("doc_id").agg(F.max_by("content", F.octet_length("content")).alias("content")), "contents")
+        side = sides.select("rep", "n", "sketch")
+        met = pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("nr"), F.col("sketch").alias("sr")), "a")
+        met = met.join(side.select(F.col("rep").alias("b"), F.col("n").alias("ns"), F.col("sketch").alias("ss")), "b")
+        pairs = candidates = materialise(met.select("a", "b", "nr", "sr", "ns", "ss").mapInArrow(_unsketched, "a long, b long").distinct(), "candidates")
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = likely(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+    contents = texts.mapInArrow(_contents, "doc_id long, key binary, content binary").groupBy("doc_id", "key").agg(F.first("content").alias("content"))  # repeated rows
+    contents = materialise(contents.drop("key"), "contents")
     met = pairs.join(contents.withColumnRenamed("doc_id", "b").withColumnRenamed("content", "s"), "b")
     met = met.join(contents.withColumnRenamed("doc_id", "a").withColumnRenamed("content", "r"), "a")
-    return materialise(met.select("a", "b", "r", "s").mapInArrow(_verified, "a long, b long"), "links")
+    links = materialise(met.select("a", "b", "r", "s").mapInArrow(_verified, "a long, b long"), "links")
+    discard(contents, wanted, candidates)
+    _release(docs.sparkSession)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,69 +470,125 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
-    """The texts, their rows' profiles, those of doc_ids, each doc_id's representative, and the buckets of several."""
+    """The texts; each row's size; doc_ids with their classes' representatives; each class's profile; links of doc_ids with
+    several classes; and the buckets of several documents."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
     wide = materialise(docs.mapInArrow(_profiles, "doc_id long, n long, key binary, sketch binary, sigs binary"), "signed")
-    rows = materialise(wide.drop("sigs"), "profiles")
-    profiles = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "key", "sketch")).alias("p")).select("doc_id", "p.*")
-    classes = profiles.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(profiles.select("doc_id", "key").join(classes, "key").select("doc_id", "rep"), "reps")
-
-    own, buckets = Window.partitionBy("sig"), None
+    rows = materialise(wide.select("doc_id", "n", "key"), "profiles")
+    named = rows.where("doc_id is not null and n > 0").select("doc_id", "key")
+    classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a class's rows may be split in the joins
+    reps = materialise(named.join(classes, "key").groupBy("doc_id", "rep").agg(F.count("*").alias("_n")).drop("_n"), "reps")
+    sides = wide.where("n > 0").select(F.col("doc_id").alias("rep"), "key", "n", "sketch").join(classes, ["rep", "key"])
+    sides = materialise(sides.groupBy("rep", "key", "n").agg(F.first("sketch").alias("sketch")), "sides")
+    several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("doc_id", "a")
+    own = materialise(reps.join(several, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "own")
+
+    signed = wide.where("sigs is not null").select("doc_id", "sigs")
+    buckets = materialise(signed.mapInArrow(_met, "sig long, doc_id long, hub long"), "buckets")
+    tables, of_sig = [buckets], Window.partitionBy("sig")
     for share in range(DEALS):
-        sent = wide.where("doc_id is not null").select("doc_id", "sigs").mapInArrow(_sent(share), "sig long, doc_id long")
-        shared = sent.withColumn("hub", F.min("doc_id").over(own)).withColumn("top", F.max("doc_id").over(own)).where("hub != top").drop("top")
-        found = materialise(shared, "buckets")
-        buckets = found if buckets is None else buckets.union(found)
-        del sent, shared, found
+        firsts = signed.mapInArrow(_firsts(share), "sig long, doc_id long")
+        shared = firsts.withColumn("hub", F.min("doc_id").over(of_sig)).withColumn("top", F.max("doc_id").over(of_sig)).where("hub != top").drop("top")
+        tables.append(found := materialise(shared, "buckets"))
+        buckets = buckets.union(found)
+        del firsts, shared, found
         _release(spark)
-    discard(wide)
-    return docs, rows, profiles, reps, buckets
+    discard(wide, classes)
+    return docs, rows, reps, sides, own, buckets, tables
+
+
+def _hub_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives: each with the first of each of its buckets."""
+    pairs = buckets.where("doc_id != hub").select("hub", "doc_id").distinct()
+    pairs = pairs.join(reps.withColumnRenamed("rep", "y"), "doc_id").join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("x")), "hub")
+    return materialise(pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
 
 
-def similar_pairs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The join: all similar pairs (a, b), verified, of representatives of equal sets; and each doc_id's representative.
+def _cells(members: DataFrame, block: int) -> DataFrame:
+    """sig, i, j, rep, component: the rows (sig, rep, component) of buckets of several components.
+
+    A bucket of at most ``block`` rows is one cell. In a larger one the rows of its commonest component are dealt out in
+    blocks, and so are the others; a cell for each two blocks of others, and for each block of others and one of the former.
+    """
+    stats = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
+    mixed = materialise(stats.where("lo != hi and k > 2").select("sig", "k"), "mixed")  # of two rows, each other's first, nothing is left to compare
+    rows = materialise(members.join(mixed.select("sig"), "sig", "left_semi"), "members")
+    large = mixed.where(F.col("k") > block).select("sig")
+    zero = F.lit(0).alias("i"), F.lit(0).alias("j")
+    if large.isEmpty():
+        return rows.select("sig", *zero, "rep", "component")
+    in_large = rows.join(large, "sig", "left_semi")
+    sizes = in_large.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("k"))
+    most = materialise(most.select("sig", F.col("m.component").alias("_most"), F.ceil((F.col("k") - F.col("m.n")) / block).cast("int").alias("_s"), F.ceil(F.col("m.n") / block).cast("int").alias("_t")), "most")
+    here = F.pmod(F.xxhash64("rep"), F.when(F.col("component") == F.col("_most"), F.col("_t")).otherwise(F.col("_s"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("_s") - 1)
+    of_most = F.transform(others, lambda i: F.struct(i.alias("i"), (F.col("_s") + F.col("_own")).alias("j")))
+    of_rest = F.concat(
+        F.transform(others, lambda i: F.struct(F.least(i, F.col("_own")).alias("i"), F.greatest(i, F.col("_own")).alias("j"))),
+        F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda j: F.struct(F.col("_own").alias("i"), (F.col("_s") + j).alias("j"))),
+    )
+    dealt = in_large.join(most, "sig").withColumn("_own", here).withColumn("_c", F.explode(F.when(F.col("component") == F.col("_most"), of_most).otherwise(of_rest)))
+    return rows.join(large, "sig", "left_anti").select("sig", *zero, "rep", "component").union(dealt.select("sig", "_c.i", "_c.j", "rep", "component"))
+
+
+def _compared(members: DataFrame, sides: DataFrame, most: int | None, block: int) -> DataFrame:
+    """a, b, cut: what ``_across`` finds among the rows (sig, rep, component)."""
+    cells = _cells(members, block).join(sides.select("rep", "n", "sketch"), "rep").select("sig", "i", "j", "component", "rep", "n", "sketch")
+    dealt = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(_across(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+
+
+def similar_pairs(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The join: all similar pairs (a, b), verified, of representatives of equal sets; and doc_id, rep: each doc_id's representatives.
 
     Unlike ``near_duplicates``, pairs within a component are compared too, so the result can grow with the square of a group.
     """
-    docs, _, profiles, reps, buckets = _dealt(documents)
-    members = buckets.select("sig", "doc_id").join(reps, "doc_id").select("sig", "rep").distinct()
-    members = members.join(profiles.select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep")
-    dealt = members.select("sig", F.col("rep").alias("component"), "rep", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
-    met = materialise(dealt.mapInArrow(_across, "a long, b long").distinct(), "met")
-    return _links(met, profiles, docs, sketched=True), reps
+    docs, _, reps, sides, _, buckets, _ = _dealt(documents)
+    pairs = _hub_pairs(buckets, reps)
+    members = buckets.select("sig", "doc_id").join(reps, "doc_id").select("sig", "rep", F.col("rep").alias("component")).distinct()
+    met = _compared(members, sides, None, block).select("a", "b").union(pairs).distinct()
+    return _links(materialise(met, "met"), sides, docs, sketched=False), reps
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, block: int = BLOCK, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``documents``."""
     spark = documents.sparkSession
-    docs, rows, profiles, reps, buckets = _dealt(documents)
-    own = Window.partitionBy("sig")
-    pairs = buckets.where("doc_id != hub").select("hub", "doc_id").distinct()
-    pairs = pairs.join(reps.withColumnRenamed("rep", "y"), "doc_id").join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("x")), "hub")
-    pairs = materialise(pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    links = _links(pairs, profiles, docs, sketched=False)
+    docs, rows, reps, sides, own, buckets, tables = _dealt(documents)
+    pairs = _hub_pairs(buckets, reps)
+    links = own.union(_links(pairs, sides, docs, sketched=False))
     labels = components(links)
     _release(spark)
 
     # Buckets in which several components met: their documents are compared across these. A share of the buckets goes
-    # first; what it links leaves few buckets for the pass over all of them, which makes the result exact.
-    side = profiles.select(F.col("doc_id").alias("rep"), "n", "sketch")
-    for share in FIRST_SHARES:
+    # first; what it links leaves few buckets for the passes over all of them, which make the result exact.
+    share, most = FIRST_SHARE, 1
+    while True:
         place = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
         part = buckets.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "doc_id")
-        members = part.join(place, "doc_id").select("sig", "rep", "component", F.min("component").over(own).alias("lo"), F.max("component").over(own).alias("hi"), F.count("*").over(own).alias("k"))
-        few = members.where("lo != hi and k > 2").select("sig", "rep", "component").distinct().join(side, "rep")
-        dealt = few.select("sig", "component", "rep", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
-        across = dealt.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        members = materialise(part.join(place, "doc_id").select("sig", "rep", "component").distinct(), "places")
+        across = _compared(members, sides, most, block).join(pairs, ["a", "b"], "left_anti")
         across = materialise(across, "across")
+        discard(members)
+        _release(spark)
         if not across.isEmpty():
-            links = links.union(_links(across, profiles, docs, sketched=True))
+            links = links.union(_links(across.select("a", "b"), sides, docs, sketched=True))
             labels = components(links)
-            pairs = pairs.union(across)
-        _release(spark)
-    out = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("doc_id").alias("_d"), F.coalesce("component", "rep").alias("_c"))
+            pairs = pairs.union(across.select("a", "b"))
+            _release(spark)
+        if share == FIRST_SHARE:
+            share, most = 1, most_pairs
+            continue
+        open_a = across.where("cut").join(labels.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left")
+        open_ab = open_a.join(labels.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
+        if open_ab.where("coalesce(_a, a) != coalesce(_b, b)").isEmpty():
+            break
+        most *= most_pairs
+    discard(*tables)
+    # equal for all classes of a doc_id, since ``own`` links them
+    place = reps.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    out = place.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("_d"), F.coalesce("component", "rep").alias("_c"))
     return rows.join(out, F.col("doc_id") == F.col("_d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
 
 

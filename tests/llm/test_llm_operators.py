@@ -283,6 +283,41 @@ def test_op6(spark, docs, empty):
     assert {(r.doc_id, r.component_id) for r in null_id} == {(None, None), (1, 1)}
 
 
+def loose_groups(rng, groups, members, length=100):
+    """Texts of groups whose members are linked by some pairs only."""
+    for g in range(groups):
+        base = [f"g{g}w{j}" for j in range(length)]
+        for _ in range(members):
+            own = list(base)
+            for at in rng.sample(range(length), rng.randint(1, 5)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            yield " ".join(own)
+
+
+def test_op6_blocks_and_rounds(spark):
+    rows = list(enumerate(loose_groups(random.Random(11), 3, 45)))
+    sets = plain_sets(rows)
+    want = plain_components(sets)
+    assert 4 < len(set(want.values())) < len(rows) - 10
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"block": 7, "most_pairs": 2}):
+        assert {r.doc_id: r.component_id for r in op6.near_duplicates(frame, **how).collect()} == want
+
+
+def test_op6_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"t{t}w{j}" for j in range(60)) for t in range(6)]
+    # 1 holds texts 0 and 1, so it links 5 (text 0) with 7 (like text 1); 3 repeats a row; 9 holds 2 twice and 3
+    rows = [(1, texts[0]), (1, texts[1]), (5, texts[0]), (7, texts[1] + " more"), (3, texts[4]), (3, texts[4]), (9, texts[2]), (9, texts[2]), (9, texts[3]), (2, texts[3] + " tail"), (8, texts[5]), (8, None)]
+    rng.shuffle(rows)
+    got = op6.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (7, 1), (3, 3), (9, 2), (2, 2), (8, 8)}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 8) == [0, 56]
+    clash = spark.createDataFrame([(i, x, 1, "k", 2.0, "r") for i, x in rows], "doc_id long, text string, component_id int, key string, n double, rep string")
+    left = op6.one_of_each(clash)
+    assert left.columns == clash.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 8}
+
+
 def test_op6_similar_pairs(spark, empty):
     rng = random.Random(8)
     rows = []
