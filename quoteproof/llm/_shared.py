@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all machines share.
 
-    Only where that setting is missing (tests, notebooks) a temporary folder is made and set.
+    Only where that setting is missing and all runs on one machine (tests, notebooks) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="quoteproof-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -72,3 +75,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, each with underscores at its end until no column has it (whatever the case of its letters)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

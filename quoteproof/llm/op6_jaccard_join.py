@@ -33,13 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import blocks
-from ._shared import discard, likely, load, materialise, text_or_empty
+from ._shared import SPACE_BYTES, discard, likely, load, materialise, text_or_empty
 
 N = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-MEMO_ENTRIES = 500_000
-MEMO_BYTES = 64
 #: Largest to smallest size of a band, in per cent. Wider ones send fewer signatures, but of fewer elements each.
 BAND = 125
 #: Signatures are 56 bits wide, seven bytes each where they are stored.
@@ -48,6 +46,7 @@ SIG_BYTES = 7
 DEALS = 4
 #: So many bytes of them are sorted at a time, so that documents that meet within a task send a signature once.
 DEAL_BYTES = 4 << 20
+SHARES = [f"sigs{k}" for k in range(DEALS)]
 #: Keys of classes that a task remembers in order to send the signatures of a class once; more of them start it anew.
 SEEN_KEYS = 500_000
 #: Sketches have so many bits for each element, up to the next power of two.
@@ -72,38 +71,58 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = _mixed(np.arange(1, N + 1, dtype=np.uint64) * _U64(0x9E3779B97F4A7C15)) | _U64(1)
-_WORDS: dict[bytes, int] = {}
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[list(SPACE_BYTES)] = True
+#: Bytes of words that are hashed by arrays, eight at a time; longer words are hashed one by one.
+LONG_WORD = 64
 
 
-def shingles(text: str) -> np.ndarray:
-    """The distinct shingles' hashes, sorted; one for a text of fewer than N words."""
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-cased bytes start, and their hashes."""
     import xxhash
 
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    memo = _WORDS
-    if len(memo) > MEMO_ENTRIES:
-        memo.clear()
-    try:
-        numbers = list(map(memo.__getitem__, words))
-    except KeyError:
-        numbers = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= MEMO_BYTES:
-                    memo[w] = h
-            numbers.append(h)
-    h = np.array(numbers, dtype=np.uint64)
-    if len(h) < N:
-        return _mixed(np.array([(h * _ODD[: len(h)]).sum(dtype=np.uint64) + _U64(len(h))], dtype=np.uint64))
-    m = len(h) - N + 1
+    held = np.frombuffer(b" " + data + b" " * 8, dtype=np.uint8)
+    space = _IS_SPACE[held]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    out = _mixed(sizes.astype(np.uint64))
+    eights = np.lib.stride_tricks.sliding_window_view(held, 8)
+    for lane in range(0, LONG_WORD, 8):
+        mine = np.flatnonzero(sizes > lane)
+        if not len(mine):
+            break
+        part = eights[starts[mine] + lane].view("<u8").ravel()
+        left = np.minimum(sizes[mine] - lane, 8).astype(np.uint64)
+        part = part & (_U64(0xFFFFFFFFFFFFFFFF) >> (_U64(64) - _U64(8) * left))
+        out[mine] = _mixed((out[mine] * _ODD[0]) ^ part)
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(held[starts[k] : starts[k] + sizes[k]].tobytes())
+    return starts - 1, out
+
+
+def block_shingles(texts: list[str]) -> list[np.ndarray]:
+    """For each text the distinct shingles' hashes, sorted; one for a text of fewer than N words."""
+    raws = [t.encode() for t in texts]
+    starts, h = _word_hashes(b" ".join(raws).lower())
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    cuts = [0, *np.searchsorted(starts, ends).tolist()]
+    m = max(0, len(h) - N + 1)
     total = np.zeros(m, dtype=np.uint64)
     for j in range(N):
         total += h[j : j + m] * _ODD[j]
-    return np.unique(_mixed(total))
+    total = _mixed(total)
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b - a >= N:
+            out.append(np.unique(total[a : b - N + 1]))
+        else:
+            few = (h[a:b] * _ODD[: b - a]).sum(dtype=np.uint64) + _U64(b - a)
+            out.append(_mixed(np.array([few] if b > a else [], dtype=np.uint64)))
+    return out
+
+
+def shingles(text: str) -> np.ndarray:
+    return block_shingles([text])[0]
 
 
 def most_differences(n_r: int, n_s: int) -> int:
@@ -137,40 +156,61 @@ def _layout(largest: int) -> tuple[int, int, int, int, np.ndarray]:
     return n1, n2, k2, slack, np.array(rows, dtype=np.uint64)
 
 
-def _signatures_in(found: np.ndarray, band: int, largest: int) -> np.ndarray:
-    n1, n2, _, slack, subsets = _layout(largest)
-    part = ((found >> _U64(33)) % _U64(n1)).astype(np.int64) * n2 + ((found & _U64(0xFFFFFFF)) % _U64(n2)).astype(np.int64)
-    mixed = _mixed(found + _U64(0x632BE59BD9B4E019))
-    cells = n1 * n2
-    low = np.bincount(part, weights=(mixed & _U64(0xFFFFFFFF)).astype(np.float64), minlength=cells)
-    high = np.bincount(part, weights=(mixed >> _U64(32)).astype(np.float64), minlength=cells)
-    sums = ((high.astype(np.uint64) << _U64(32)) + low.astype(np.uint64)).reshape(n1, n2)  # exact below 2 M elements
-    if len(found) > 1 << 20:
-        sums = np.zeros(cells, dtype=np.uint64)
-        np.add.at(sums, part, mixed)
-        sums = sums.reshape(n1, n2)
-    counts = np.bincount(part, minlength=cells).reshape(n1, n2).astype(np.uint64)
-    totals, filled = sums @ subsets.T, (counts @ subsets.T) > 0
-    label = np.arange(totals.size, dtype=np.uint64) + _U64((band + 1) << 40)
-    out = _mixed(_mixed(totals.ravel()) + label * _U64(0x9E3779B97F4A7C15))
+def _signed(jobs: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
+    """Signatures of sets in bands, from (set, band, the band's largest size) of one n2 and k2, all at once."""
+    _, n2, _, _, subsets = _layout(jobs[0][2])
+    layouts = [_layout(largest) for _, _, largest in jobs]
+    n1s, slacks = np.array([x[0] for x in layouts]), np.array([x[3] for x in layouts])
+    found, sizes = np.concatenate([x for x, _, _ in jobs]), [len(x) for x, _, _ in jobs]
+    first = np.concatenate([[0], np.cumsum(n1s)])  # of each job's parts among all
+    part = (found >> _U64(33)) % np.repeat(n1s.astype(np.uint64), sizes) + np.repeat(first[:-1].astype(np.uint64), sizes)
+    cell = part.astype(np.int64) * n2 + ((found & _U64(0xFFFFFFF)) % _U64(n2)).astype(np.int64)
+    sums = np.zeros(int(first[-1]) * n2, dtype=np.uint64)
+    np.add.at(sums, cell, _mixed(found + _U64(0x632BE59BD9B4E019)))
+    counts = np.bincount(cell, minlength=len(sums))
+    sums, counts = sums.reshape(-1, n2), counts.reshape(-1, n2)
+    totals = np.zeros((len(sums), len(subsets)), dtype=np.uint64)
+    filled = np.zeros(totals.shape, dtype=bool)
+    for k, row in enumerate(subsets):
+        for j in np.flatnonzero(row):
+            totals[:, k] += sums[:, j]
+            filled[:, k] |= counts[:, j] > 0
+    place = np.arange(len(sums)) - np.repeat(first[:-1], n1s)  # of a part within its job
+    label = (place[:, None] * len(subsets) + np.arange(len(subsets))).astype(np.uint64)
+    label += np.repeat(np.array([(band + 1) << 40 for _, band, _ in jobs], dtype=np.uint64), n1s)[:, None]
+    out = _mixed(_mixed(totals) + label * _U64(0x9E3779B97F4A7C15))
     out &= _U64((1 << 8 * SIG_BYTES) - 1)  # a byte less to shuffle; two signatures that coincide by chance only cost a comparison
-    poor = int((~filled.all(axis=1)).sum()) > slack
-    return out if poor else out[filled.ravel()]
+    poor = np.add.reduceat((~filled.all(axis=1)).astype(np.int64), first[:-1]) > slacks
+    filled |= np.repeat(poor, n1s)[:, None]
+    return [out[a:b][filled[a:b]] for a, b in zip(first, first[1:], strict=False)]
+
+
+def block_signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Each set's signatures: in its own band and, if a set of the next band can be similar, as the smaller partner there."""
+    by_shape: dict = {}
+    for k, found in enumerate(sets):
+        if not len(found):
+            continue
+        band, largest, after = _bands(len(found))
+        jobs = [(found, band, largest)]
+        if 100 * len(found) >= PERCENT * (largest + 1):
+            jobs.append((found, band + 1, after))
+        for job in jobs:
+            by_shape.setdefault(_layout(job[2])[1:3], []).append((k, job))
+    out: list[list[np.ndarray]] = [[] for _ in sets]
+    for jobs in by_shape.values():
+        for (k, _), signed in zip(jobs, _signed([job for _, job in jobs]), strict=True):
+            out[k].append(signed)
+    none = np.zeros(0, dtype=np.uint64)
+    return [np.concatenate(x) if x else none for x in out]
 
 
 def signatures(found: np.ndarray) -> np.ndarray:
-    """A set's signatures: in its own band and, if a set of the next band can be similar, as the smaller partner there."""
-    if not len(found):
-        return np.zeros(0, dtype=np.uint64)
-    band, largest, after = _bands(len(found))
-    own = _signatures_in(found, band, largest)
-    if 100 * len(found) < PERCENT * (largest + 1):
-        return own
-    return np.concatenate([own, _signatures_in(found, band + 1, after)])
+    return block_signatures([found])[0]
 
 
-def packed_signatures(found: np.ndarray) -> bytes:
-    return signatures(found).view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()
+def packed_signatures(signed: np.ndarray) -> bytes:
+    return signed.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()
 
 
 def unpacked_signatures(raw: bytes) -> np.ndarray:
@@ -179,11 +219,30 @@ def unpacked_signatures(raw: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-def sketch(found: np.ndarray) -> bytes:
+def _bits(n: int, each: int) -> int:
+    return 1 << max(6, math.ceil(math.log2(max(1, each * n))))
+
+
+def block_sketches(sets: list[np.ndarray]) -> list[bytes]:
     """Parities of the elements by hash; as many bits as the next power of two to SKETCH_BITS an element (64 at least)."""
-    bits = 1 << max(6, math.ceil(math.log2(max(1, SKETCH_BITS * len(found)))))
-    parity = np.bincount((_mixed(found + _U64(7)) & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+    sizes, bits = [len(x) for x in sets], np.array([_bits(len(x), SKETCH_BITS) for x in sets])
+    first = np.concatenate([[0], np.cumsum(bits)])
+    found = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    at = (_mixed(found + _U64(7)) & np.repeat((bits - 1).astype(np.uint64), sizes)).astype(np.int64) + np.repeat(first[:-1], sizes)
+    parity = (np.bincount(at, minlength=int(first[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(parity, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+
+
+def sketch(found: np.ndarray) -> bytes:
+    return block_sketches([found])[0]
+
+
+def short(n: int, sketched: bytes) -> bytes:
+    """A sketch folded to one bit an element (up to the next power of two)."""
+    bits, length = bits_of(sketched)
+    to = _bits(n, 1)
+    return _folded(bits, length, to).to_bytes(to // 8, "little")
 
 
 def bits_of(raw: bytes) -> tuple[int, int]:
@@ -218,29 +277,30 @@ def _texts(batches):
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()
         for a, b in blocks(texts):
-            yield ids[a:b], [shingles(t) for t in texts[a:b]]
+            yield ids[a:b], block_shingles(texts[a:b])
 
 
 def _profiles(batches):
     """A row for each document. Of a class's documents in a task only the first has signatures; those without doc_id have none."""
     seen: set[bytes] = set()
     for ids, sets in _texts(batches):
-        keys = [_key(s) for s in sets]
-        sigs: list[bytes | None] = []
+        keys, sender = [_key(s) for s in sets], []
         for doc, s, key in zip(ids, sets, keys, strict=True):
-            if doc is None or not len(s) or key in seen:
-                sigs.append(None)
-                continue
-            seen.add(key)
-            sigs.append(packed_signatures(s))
+            sender.append(doc is not None and len(s) > 0 and key not in seen)
+            if sender[-1]:
+                seen.add(key)
+        signed = iter(block_signatures([s for s, mine in zip(sets, sender, strict=True) if mine]))
+        sigs = [next(signed) if mine else None for mine in sender]
+        shares = [[None if x is None else packed_signatures(x[x % _U64(DEALS) == _U64(k)]) for x in sigs] for k in range(DEALS)]
         if len(seen) > SEEN_KEYS:
             seen.clear()
+        sketches = block_sketches(sets)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sigs, pa.binary()),
+                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()),
+                pa.array([short(len(s), x) for s, x in zip(sets, sketches, strict=True)], pa.binary()), *(pa.array(x, pa.binary()) for x in shares),
             ],
-            names=["doc_id", "n", "key", "sketch", "sigs"],
+            names=["doc_id", "n", "key", "sketch", "short", *SHARES],
         )
 
 
@@ -250,16 +310,13 @@ def _key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _runs(batches, share: int | None):
-    """(signatures, documents, is first of its signature) of one share or all, in sorted runs of bounded size."""
+def _runs(batches):
+    """(signatures, documents, is first of its signature), in sorted runs of bounded size, from rows (doc_id, packed signatures...)."""
 
     def run(ids, raws):
         sigs = unpacked_signatures(b"".join(raws))
         docs = np.repeat(np.array(ids, dtype=np.int64), [len(r) // SIG_BYTES for r in raws])
-        if share is not None:
-            mine = sigs % DEALS == share
-            sigs, docs = sigs[mine], docs[mine]
-        order = np.lexsort((docs, sigs))
+        order = np.argsort(sigs)
         sigs, docs = sigs[order], docs[order]
         first = np.ones(len(sigs), dtype=bool)
         first[1:] = sigs[1:] != sigs[:-1]
@@ -267,10 +324,11 @@ def _runs(batches, share: int | None):
 
     for batch in batches:
         ids, raws, size = [], [], 0
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("sigs").to_pylist(), strict=True):
-            ids.append(doc)
-            raws.append(raw)
-            size += len(raw)
+        for doc, *own in zip(*batch.columns, strict=True):
+            for raw in own:
+                ids.append(doc.as_py())
+                raws.append(raw.as_py())
+                size += len(raws[-1])
             if size >= DEAL_BYTES:
                 yield run(ids, raws)
                 ids, raws, size = [], [], 0
@@ -278,24 +336,20 @@ def _runs(batches, share: int | None):
             yield run(ids, raws)
 
 
-def _firsts(share: int):
-    """sig, doc_id: the first document of each signature of one share, by runs."""
-
-    def run(batches):
-        for sigs, docs, first in _runs(batches, share):
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[first]), pa.array(docs[first])], names=["sig", "doc_id"])
-
-    return run
+def _firsts(batches):
+    """sig, doc_id: one document of each signature, by runs."""
+    for sigs, docs, first in _runs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(sigs[first]), pa.array(docs[first])], names=["sig", "doc_id"])
 
 
 def _met(batches):
-    """sig, doc_id, hub: the documents that met another one within their run, beside the first of them."""
-    for sigs, docs, first in _runs(batches, None):
-        at = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        several = (np.diff(np.append(at, len(sigs))) > 1)[group] if len(sigs) else first
-        hubs = docs[at][group] if len(sigs) else docs
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sigs, docs, hubs)], names=["sig", "doc_id", "hub"])
+    """sig, doc_id, hub: the documents that met another one within their run, beside the one that ``_firsts`` sends."""
+    for sigs, docs, first in _runs(batches):
+        if not len(sigs):
+            continue
+        at, group = np.flatnonzero(first), np.cumsum(first) - 1
+        several = (np.diff(np.append(at, len(sigs))) > 1)[group]
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sigs, docs, docs[at][group])], names=["sig", "doc_id", "hub"])
 
 
 def _contents(batches):
@@ -423,9 +477,8 @@ def _links(pairs: DataFrame, sides: DataFrame, docs: DataFrame, sketched: bool)
     """The pairs (a, b) of representatives that are similar."""
     candidates = None
     if not sketched:
-        side = sides.select("rep", "n", "sketch")
-        met = pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("nr"), F.col("sketch").alias("sr")), "a")
-        met = met.join(side.select(F.col("rep").alias("b"), F.col("n").alias("ns"), F.col("sketch").alias("ss")), "b")
+        met = pairs.join(sides.select(F.col("rep").alias("a"), F.col("n").alias("nr"), F.col("short").alias("sr")), "a")
+        met = met.join(sides.select(F.col("rep").alias("b"), F.col("n").alias("ns"), F.col("short").alias("ss")), "b")
         pairs = candidates = materialise(met.select("a", "b", "nr", "sr", "ns", "ss").mapInArrow(_unsketched, "a long, b long").distinct(), "candidates")
     wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     texts = likely(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
@@ -474,21 +527,21 @@ def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
     several classes; and the buckets of several documents."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    wide = materialise(docs.mapInArrow(_profiles, "doc_id long, n long, key binary, sketch binary, sigs binary"), "signed")
+    wide = materialise(docs.mapInArrow(_profiles, ", ".join(["doc_id long, n long, key binary, sketch binary, short binary", *(f"{x} binary" for x in SHARES)])), "signed")
     rows = materialise(wide.select("doc_id", "n", "key"), "profiles")
     named = rows.where("doc_id is not null and n > 0").select("doc_id", "key")
     classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a class's rows may be split in the joins
     reps = materialise(named.join(classes, "key").groupBy("doc_id", "rep").agg(F.count("*").alias("_n")).drop("_n"), "reps")
-    sides = wide.where("n > 0").select(F.col("doc_id").alias("rep"), "key", "n", "sketch").join(classes, ["rep", "key"])
-    sides = materialise(sides.groupBy("rep", "key", "n").agg(F.first("sketch").alias("sketch")), "sides")
+    sides = wide.where("n > 0").select(F.col("doc_id").alias("rep"), "key", "n", "sketch", "short").join(classes, ["rep", "key"])
+    sides = materialise(sides.groupBy("rep", "key", "n").agg(F.first("sketch").alias("sketch"), F.first("short").alias("short")), "sides")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("doc_id", "a")
     own = materialise(reps.join(several, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "own")
 
-    signed = wide.where("sigs is not null").select("doc_id", "sigs")
-    buckets = materialise(signed.mapInArrow(_met, "sig long, doc_id long, hub long"), "buckets")
+    signed = wide.where("sigs0 is not null")
+    buckets = materialise(signed.select("doc_id", *SHARES).mapInArrow(_met, "sig long, doc_id long, hub long"), "buckets")
     tables, of_sig = [buckets], Window.partitionBy("sig")
-    for share in range(DEALS):
-        firsts = signed.mapInArrow(_firsts(share), "sig long, doc_id long")
+    for share in SHARES:
+        firsts = signed.select("doc_id", share).mapInArrow(_firsts, "sig long, doc_id long")
         shared = firsts.withColumn("hub", F.min("doc_id").over(of_sig)).withColumn("top", F.max("doc_id").over(of_sig)).where("hub != top").drop("top")
         tables.append(found := materialise(shared, "buckets"))
         buckets = buckets.union(found)
@@ -505,37 +558,40 @@ def _hub_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     return materialise(pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
 
 
-def _cells(members: DataFrame, block: int) -> DataFrame:
-    """sig, i, j, rep, component: the rows (sig, rep, component) of buckets of several components.
+def _cells(buckets: DataFrame, place: DataFrame, block: int) -> DataFrame:
+    """sig, i, j, large, rep, component: the rows (sig, doc_id) of buckets of several components, by (doc_id, rep, component).
 
     A bucket of at most ``block`` rows is one cell. In a larger one the rows of its commonest component are dealt out in
     blocks, and so are the others; a cell for each two blocks of others, and for each block of others and one of the former.
     """
-    stats = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
+    stats = buckets.join(place, "doc_id").groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
     mixed = materialise(stats.where("lo != hi and k > 2").select("sig", "k"), "mixed")  # of two rows, each other's first, nothing is left to compare
-    rows = materialise(members.join(mixed.select("sig"), "sig", "left_semi"), "members")
-    large = mixed.where(F.col("k") > block).select("sig")
+    rows = likely(buckets, "sig", mixed).join(mixed, "sig").join(place, "doc_id").groupBy("sig", "k", "rep", "component").agg(F.count("*").alias("_n"))
+    rows = materialise(rows.select("sig", (F.col("k") >= BY_ARRAYS).alias("large"), "rep", "component"), "members")
+    huge = mixed.where(F.col("k") > block).select("sig")
     zero = F.lit(0).alias("i"), F.lit(0).alias("j")
-    if large.isEmpty():
-        return rows.select("sig", *zero, "rep", "component")
-    in_large = rows.join(large, "sig", "left_semi")
-    sizes = in_large.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    if huge.isEmpty():
+        return rows.select("sig", *zero, "large", "rep", "component")
+    inside = rows.join(huge, "sig", "left_semi")
+    sizes = inside.groupBy("sig", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("k"))
     most = materialise(most.select("sig", F.col("m.component").alias("_most"), F.ceil((F.col("k") - F.col("m.n")) / block).cast("int").alias("_s"), F.ceil(F.col("m.n") / block).cast("int").alias("_t")), "most")
-    here = F.pmod(F.xxhash64("rep"), F.when(F.col("component") == F.col("_most"), F.col("_t")).otherwise(F.col("_s"))).cast("int")
+    common = F.col("component") == F.col("_most")
+    here = F.pmod(F.xxhash64("rep"), F.when(common, F.col("_t")).otherwise(F.col("_s"))).cast("int")
     others = F.sequence(F.lit(0), F.col("_s") - 1)
     of_most = F.transform(others, lambda i: F.struct(i.alias("i"), (F.col("_s") + F.col("_own")).alias("j")))
     of_rest = F.concat(
         F.transform(others, lambda i: F.struct(F.least(i, F.col("_own")).alias("i"), F.greatest(i, F.col("_own")).alias("j"))),
         F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda j: F.struct(F.col("_own").alias("i"), (F.col("_s") + j).alias("j"))),
     )
-    dealt = in_large.join(most, "sig").withColumn("_own", here).withColumn("_c", F.explode(F.when(F.col("component") == F.col("_most"), of_most).otherwise(of_rest)))
-    return rows.join(large, "sig", "left_anti").select("sig", *zero, "rep", "component").union(dealt.select("sig", "_c.i", "_c.j", "rep", "component"))
+    dealt = inside.join(most.where("_s > 0"), "sig").withColumn("_own", here).withColumn("_c", F.explode(F.when(common, of_most).otherwise(of_rest)))
+    return rows.join(huge, "sig", "left_anti").select("sig", *zero, "large", "rep", "component").union(dealt.select("sig", "_c.i", "_c.j", "large", "rep", "component"))
 
 
-def _compared(members: DataFrame, sides: DataFrame, most: int | None, block: int) -> DataFrame:
-    """a, b, cut: what ``_across`` finds among the rows (sig, rep, component)."""
-    cells = _cells(members, block).join(sides.select("rep", "n", "sketch"), "rep").select("sig", "i", "j", "component", "rep", "n", "sketch")
+def _compared(buckets: DataFrame, place: DataFrame, sides: DataFrame, most: int | None, block: int) -> DataFrame:
+    """a, b, cut: what ``_across`` finds among the buckets' rows; by the long sketches where a bucket is large."""
+    cells = _cells(buckets, place, block).join(sides.select("rep", "n", "sketch", "short"), "rep")
+    cells = cells.select("sig", "i", "j", "component", "rep", "n", F.when(F.col("large"), F.col("sketch")).otherwise(F.col("short")).alias("sketch"))
     dealt = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return dealt.mapInArrow(_across(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
 
@@ -547,8 +603,7 @@ def similar_pairs(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
     """
     docs, _, reps, sides, _, buckets, _ = _dealt(documents)
     pairs = _hub_pairs(buckets, reps)
-    members = buckets.select("sig", "doc_id").join(reps, "doc_id").select("sig", "rep", F.col("rep").alias("component")).distinct()
-    met = _compared(members, sides, None, block).select("a", "b").union(pairs).distinct()
+    met = _compared(buckets.select("sig", "doc_id"), reps.withColumn("component", F.col("rep")), sides, None, block).select("a", "b").union(pairs).distinct()
     return _links(materialise(met, "met"), sides, docs, sketched=False), reps
 
 
@@ -567,10 +622,10 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, most_pairs: int =
     while True:
         place = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
         part = buckets.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "doc_id")
-        members = materialise(part.join(place, "doc_id").select("sig", "rep", "component").distinct(), "places")
-        across = _compared(members, sides, most, block).join(pairs, ["a", "b"], "left_anti")
+        place = materialise(place, "places")
+        across = _compared(part, place, sides, most, block).join(pairs, ["a", "b"], "left_anti")
         across = materialise(across, "across")
-        discard(members)
+        discard(place)
         _release(spark)
         if not across.isEmpty():
             links = links.union(_links(across.select("a", "b"), sides, docs, sketched=True))
