@@ -14,12 +14,12 @@ from quoteproof.llm.op2_mixing import mixed_documents
 from quoteproof.llm.op6_jaccard_join import one_of_each
 from quoteproof.llm.op7_packing import TOKENIZER, packed
 from quoteproof.llm.op9_exact_dedup import drop_copies
-from quoteproof.llm.op10_quality import graded, train
+from quoteproof.llm.op10_quality import keep_good, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier grades good."""
-    return graded(docs, train(docs, load(spark, sf_dir, "labels"))).where("keep").select(*docs.columns)
+    return keep_good(docs, train(docs, load(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

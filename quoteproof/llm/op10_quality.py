@@ -1,13 +1,18 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Grades: 0 toxic, 1 poor, 2 good (toxic words may add up without end, so they stand at the open end of the scale). One weight vector over hashed text features gives a score s, ordered
-thresholds t1 < t2 turn it into P(grade >= k) = sigmoid(s - t_k) and an expected grade; a document is kept when the
-tail probability of grade 2 reaches ``KEEP_AT``. Features are the distinct words of the whole text, their first
-letters (4 to 6) and shares of odd characters, repeats and capitals; each counts once, whatever the length.
-
-Fitted on at most ``SAMPLE_ROWS`` labelled rows (the ones whose hashed doc_id is smallest; a bound of the fit alone),
-scored on all rows. Null texts are empty and get the score of no features; repeated rows get equal scores; with no
-labels, or labels of one grade only, nothing is known against any document and all are kept. Extra columns pass.
+Grades: 0 toxic, 1 poor, 2 good (toxic words may add up without end, so they stand at the open end of the scale). One
+weight vector over hashed text features, of either sign, gives a score s, ordered thresholds t1 < t2 turn it into
+P(grade >= k) = sigmoid(s - t_k) and an expected grade; a document is kept when the tail probability of grade 2 reaches
+``KEEP_AT``. Features are the distinct words of the whole text, their first letters (4 to 6) and shares of odd
+characters, repeats and capitals; each counts once, whatever the length. The fit is the maximum of the likelihood with
+an elastic net, which sets the weights of what tells nothing to 0.
+
+Fitted on at most ``SAMPLE_ROWS`` labelled documents of at most ``SAMPLE_BYTES`` (those whose hashed doc_id is smallest;
+a bound of the fit alone), scored on all rows. Of a doc_id's repeated rows the least text is fitted, of its repeated
+labels the worst grade. Null texts are empty and get the score of no features; repeated rows get equal scores; null
+doc_ids are scored, never fitted. With no labels, or labels of one grade only, nothing is known against any document
+and all are kept. Extra columns pass; where one has the name of an added column, the added one's name gets an underscore
+at its end. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,22 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._encode import blocks
-from ._shared import load, text_or_empty
+from ._shared import free_names, load, text_or_empty
 
 SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 64 << 20
 DIMENSIONS = 1 << 18
 KEEP_AT = 0.5
-EPOCHS = 6
-#: Small samples are gone through more often.
-LEAST_STEPS = 24_000
-#: A feature must occur in so many sampled rows, else its weight stays 0.
-LEAST_ROWS = 8
-#: And the share of its rows above some grade must be so many standard errors off: what rare words happen to suggest is noise.
-LEAST_Z = 4.5
-#: And lower by such a part: only what tells against a text has a weight, since many weak hints add up with its length.
-LEAST_OFF = 0.45
-MEMO_ENTRIES = 400_000
+#: Elastic net: of the absolute weights (over the square root of the rows, as noise falls) and of the squared ones.
+L1, L2 = 0.18, 1e-4
+#: The optimum is told by its conditions, within this part of the penalty.
+TOLERANCE = 0.05
+MOST_ROUNDS, MOST_STEPS = 30, 300
+#: Features that violate the conditions most come into the fit first, so many a round.
+MOST_NEW = 400
+#: Words whose scores a worker keeps.
+MEMO_ENTRIES = 120_000
 MEMO_CHARS = 48
 SHARE_STEPS = 20
 
@@ -102,90 +106,176 @@ def features(text: str) -> np.ndarray:
     words = _WORD.findall(text.lower())
     own = set(words)
     found = [f for w in own for f in word_features(w)]
-    return np.unique(np.asarray(found + shape_features(text, words, len(own)), dtype=np.int64))
+    return np.unique(np.asarray(found + shape_features(text, words, len(own)), dtype=np.int32))
+
+
+class Likelihood:
+    """Weighted mean of the negative log likelihood of grades, for rows of features (each feature once a row)."""
+
+    def __init__(self, rows: list[np.ndarray], grades: list[int]):
+        self.grades = np.asarray(grades)
+        n = len(self.grades)
+        share = np.bincount(self.grades, minlength=3) / n
+        cost = (np.minimum(4.0, 1 / np.maximum(3 * share, 1e-9)) ** 0.5)[self.grades]  # rare grades weigh more
+        self.cost = cost / cost.mean()
+        at_least = np.clip([share[1] + share[2], share[2]], 0.01, 0.99)
+        first, second = -np.log(at_least / (1 - at_least))
+        self.start = np.array([first, np.log(max(second - first, 0.1))])
+        self.features, self.column = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int32), return_inverse=True)
+        self.column = self.column.astype(np.int32)
+        self.row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+
+    def parts(self, scores: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, derivative by each row's score, derivative by (t1, log(t2 - t1))."""
+        gap = np.exp(cuts[1])
+        p1, p2 = (1 / (1 + np.exp(-np.clip(scores - t, -40, 40))) for t in (cuts[0], cuts[0] + gap))
+        d1, d2, g, n = p1 * (1 - p1), p2 * (1 - p2), self.grades, len(self.grades)
+        like = np.maximum(np.choose(g, [1 - p1, p1 - p2, p2]), 1e-12)
+        weight = self.cost / like / n
+        by_first, by_second = weight * np.choose(g, [-d1, d1, 0 * d1]), weight * np.choose(g, [0 * d2, -d2, d2])
+        by_cut = np.array([(by_first + by_second).sum(), by_second.sum() * gap])
+        return float(-(self.cost * np.log(like)).sum() / n), -(by_first + by_second), by_cut
+
+    def gradient(self, by_score: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=by_score[self.row], minlength=len(self.features))
+
+
+def _descend(data: Likelihood, active: np.ndarray, weights: np.ndarray, cuts: np.ndarray, l1: float, l2: float):
+    """Accelerated proximal gradient over the active columns."""
+    place = np.full(len(data.features), -1, dtype=np.int32)
+    place[active] = np.arange(len(active))
+    column = place[data.column]
+    column, row, n = column[column >= 0], data.row[column >= 0], len(data.grades)
+
+    def at(w, c):
+        value, by_score, by_cut = data.parts(np.bincount(row, weights=w[column], minlength=n), c)
+        return value + l2 / 2 * (w @ w), np.bincount(column, weights=by_score[row], minlength=len(w)) + l2 * w, by_cut
+
+    w, c = weights[active], cuts
+    v, vc, speed, curve = w, c, 1.0, 1.0
+    for _ in range(MOST_STEPS):
+        value, by_w, by_c = at(v, vc)
+        while True:
+            step = v - by_w / curve
+            new, new_c = np.sign(step) * np.maximum(np.abs(step) - l1 / curve, 0), vc - by_c / curve
+            off, off_c = new - v, new_c - vc
+            if at(new, new_c)[0] <= value + by_w @ off + by_c @ off_c + curve / 2 * (off @ off + off_c @ off_c) + 1e-12:
+                break
+            curve *= 2
+        still = max(np.abs(off).max(initial=0), np.abs(off_c).max()) * curve < TOLERANCE * l1
+        if (v - new) @ (new - w) + (vc - new_c) @ (new_c - c) > 0:
+            v, vc, speed = new, new_c, 1.0
+        else:
+            faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+            v, vc, speed = new + (speed - 1) / faster * (new - w), new_c + (speed - 1) / faster * (new_c - c), faster
+        w, c, curve = new, new_c, curve * 0.9
+        if still:
+            break
+    return w, c
+
+
+def optimum(data: Likelihood, l1: float, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (of data.features) and cuts that minimise data + l1 |w| + l2 / 2 w²: columns come into the fit as they violate its conditions."""
+    weights, cuts = np.zeros(len(data.features)), data.start
+    active = np.zeros(0, dtype=np.int64)
+    for _ in range(MOST_ROUNDS):
+        scores = np.bincount(data.row, weights=weights[data.column], minlength=len(data.grades))
+        slope = np.abs(data.gradient(data.parts(scores, cuts)[1]))
+        slope[active] = 0
+        new = np.argsort(-slope, kind="stable")[:MOST_NEW]
+        new = new[slope[new] > l1 * (1 + TOLERANCE)]
+        if not len(new) and len(active):
+            break
+        active = np.sort(np.concatenate([active, new]))
+        weights[active], cuts = _descend(data, active, weights, cuts, l1, l2)
+    return weights, cuts
 
 
 def fit(texts: list[str], grades: list[int]) -> Model | None:
-    """Maximum likelihood of the cumulative-link model by AdaGrad, with soft thresholding against rare noise."""
+    """Penalised maximum likelihood of the cumulative-link model; None where there is nothing to tell apart."""
     if len(set(grades)) < 2:
         return None
-    rows = [features(t) for t in texts]
-    seen, above = np.zeros(DIMENSIONS), np.zeros((2, DIMENSIONS))
-    for r, g in zip(rows, grades, strict=True):
-        seen[r] += 1
-        above[:g, r] += 1
-    telling = np.zeros(DIMENSIONS, dtype=bool)
-    for k in (0, 1):  # rows graded above k: among those with the feature, against all
-        base = min(max(np.mean([g > k for g in grades]), 1e-9), 1 - 1e-9)
-        off = base - above[k] / np.maximum(seen, 1)
-        telling |= (off * np.sqrt(seen / (base * (1 - base))) >= LEAST_Z) & (off >= LEAST_OFF * base)
-    rows = [r[telling[r] & (seen[r] >= LEAST_ROWS)] for r in rows]
-    weights, sums = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
-    share = np.bincount(grades, minlength=3) / len(grades)
-    at_least = np.clip([share[1] + share[2], share[2]], 0.01, 0.99)
-    cut, cut_sums = -np.log(at_least / (1 - at_least)), np.full(2, 1e-6)
-    cut[1] = max(cut[1], cut[0] + 0.1)
-    cost = np.minimum(4.0, 1 / np.maximum(3 * share, 1e-9)) ** 0.5
-    order = np.random.default_rng(0)
-    for _ in range(max(EPOCHS, LEAST_STEPS // len(rows))):
-        for k in order.permutation(len(rows)):
-            r, g = rows[k], grades[k]
-            s = weights[r].sum()
-            p = 1 / (1 + np.exp(-np.clip(s - cut, -30, 30)))  # P(grade >= 1), P(grade >= 2)
-            # log likelihood of P(>=g) - P(>=g+1), by the score and by each threshold
-            upper, d_upper = (1.0, 0.0) if g == 0 else (p[g - 1], p[g - 1] * (1 - p[g - 1]))
-            lower, d_lower = (0.0, 0.0) if g == 2 else (p[g], p[g] * (1 - p[g]))
-            like = max(upper - lower, 1e-9)
-            grad = cost[g] * (d_upper - d_lower) / like
-            sums[r] += grad * grad
-            step = 0.3 / np.sqrt(sums[r])
-            w = weights[r] + step * grad
-            weights[r] = np.sign(w) * np.maximum(np.abs(w) - step * 2e-5, 0)
-            g_cut = np.zeros(2)
-            if g > 0:
-                g_cut[g - 1] -= cost[g] * d_upper / like
-            if g < 2:
-                g_cut[g] += cost[g] * d_lower / like
-            cut_sums += g_cut * g_cut
-            cut += 0.2 * g_cut / np.sqrt(cut_sums)
-            cut[1] = max(cut[1], cut[0] + 0.1)
-    return Model(weights, (float(cut[0]), float(cut[1])))
+    data = Likelihood([features(t) for t in texts], grades)
+    found, cuts = optimum(data, L1 / np.sqrt(len(grades)))
+    weights = np.zeros(DIMENSIONS)
+    weights[data.features] = found
+    return Model(weights, (float(cuts[0]), float(cuts[0] + np.exp(cuts[1]))))
 
 
 def grade(quality, toxic):
     return F.when(toxic == 1, 0).when(quality == 0, 1).otherwise(2)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """The model of a bounded sample; only doc_ids and sizes are collected before it is known to fit the bounds."""
+    spark = docs.sparkSession
     picked = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0)))).alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(picked), "doc_id").select("doc_id", "_text", "grade").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["_text"]))
-    return fit([r["_text"] for r in rows], [r["grade"] for r in rows])
+    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(picked), "doc_id")
+    sizes = rows.groupBy("doc_id", "grade").agg(F.max(F.octet_length("_text")).alias("size")).withColumn("h", F.xxhash64("doc_id")).collect()
+    total, sample = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["size"]
+        if total > sample_bytes:
+            break
+        sample.append((r["doc_id"], r["grade"]))
+    if not sample:
+        return None
+    wanted = spark.createDataFrame(sample, "_id long, grade int")
+    texts = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("_id"))
+    got = sorted(texts.groupBy("doc_id", "grade").agg(F.min("_text").alias("_text")).collect(), key=lambda r: r["doc_id"])
+    return fit([r["_text"] for r in got], [r["grade"] for r in got])
+
+
+ADDED = (("expected_grade", "double"), ("p_harmless", "double"), ("p_good", "double"), ("keep", "boolean"))
+
+
+def _tails(model: Model | None, texts) -> list[tuple[float, float]]:
+    """Text by text, so that only one is held as a string."""
+    return [(1.0, 1.0) if model is None else model.tails(model.score(t.as_py() or "")) for t in texts]
+
+
+def _with_text(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int]:
+    """``carry``, and the place of a column that holds the text: one of them, if it can."""
+    if "text" in carry and dict(docs.dtypes)["text"] == "string":
+        return docs.select(*carry), carry.index("text")
+    return docs.select(*carry, text_or_empty().alias("_text_")), len(carry)
 
 
 def graded(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its ``carry`` columns) with expected_grade, p_harmless, p_good and keep."""
     carry = docs.columns if carry is None else carry
-    added = [("expected_grade", "double"), ("p_harmless", "double"), ("p_good", "double"), ("keep", "boolean")]
     schema = T.StructType([*docs.select(*carry).schema.fields])
-    for name, kind in added:
+    for name, (_, kind) in zip(free_names(carry, [n for n, _ in ADDED]), ADDED, strict=True):
         schema = schema.add(name, kind)
+    source, at = _with_text(docs, carry)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for a, b in blocks(texts):
-                tails = [(1.0, 1.0) if model is None else model.tails(model.score(t)) for t in texts[a:b]]
+            if batch.num_rows:
+                tails = _tails(model, batch.column(at))
                 cols = [pa.array([x + y for x, y in tails], pa.float64()), pa.array([x for x, _ in tails], pa.float64()), pa.array([y for _, y in tails], pa.float64())]
                 cols.append(pa.array([y >= keep_at for _, y in tails], pa.bool_()))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carry))), *cols], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), *cols], names=[f.name for f in schema.fields])
+
+    return source.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs`` whose tail probability of grade 2 reaches ``keep_at``, as they are."""
+    schema = docs.schema
+    source, at = _with_text(docs, docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            keep = [y >= keep_at for _, y in _tails(model, batch.column(at))]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(len(schema))], names=schema.names)
 
-    return docs.select(*carry, text_or_empty().alias("_text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

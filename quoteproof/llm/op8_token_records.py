@@ -4,21 +4,24 @@ A record frames one document::
 
     length  u64 little-endian   bytes of the payload
     check   u32                 masked CRC-32 of the 8 length bytes
-    payload                     doc_id i64 (or the smallest i64 for null), then the ids as u16 or u32
+    payload                     u8 (1, or 0 for a null doc_id), doc_id i64, then the ids as u16 or u32
     check   u32                 masked CRC-32 of the payload
     end     0x0A                (put by the writer)
 
-Documents are range-partitioned by doc_id, so the data files in name order hold ascending ids. Spark's own writer and
-commit protocol put the frames on any file system (lost and repeated tasks leave no half files); the index, a separate
-table, gives file, ordinal, offset, length, n_tokens and the start within all ids of each record, so records can be
-read in any order. Readers verify both checksums and fail on a damaged record.
+Documents are range-partitioned by doc_id, so the data files in the order of their shard numbers (the number in the
+name, as a number) hold ascending ids. Spark's own writer and commit protocol put the frames on any file system (lost
+and repeated tasks leave no half files); the index, a separate table, gives file, shard, ordinal, offset, length,
+n_tokens and the start within all ids of each record, so records can be read in any order. Readers verify both
+checksums and fail on a damaged record.
 
 Null texts are empty (their record holds the end id only); repeated rows become records of their own, ordered by
-(doc_id, hash of the text); a null doc_id comes first; other columns are ignored; an empty table gives an empty index.
+(doc_id, hash of the text), equal ones by the partition they come from, so that they may fill several files; a null
+doc_id comes first; any i64 is a doc_id; other columns are ignored; an empty table gives an empty index.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -33,10 +36,11 @@ from ._shared import load, scratch, text_or_empty
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that make one data file; a file is read as a whole by one task.
-SHARD_TEXT_BYTES = 32_000_000
-NO_ID = -(2**63)
+SHARD_TEXT_BYTES = 16_000_000
+#: Bytes of a payload before the ids.
+HEAD = 9
 
-INDEX = "file string, ordinal long, doc_id long, offset long, length long, n_tokens long, in_file long"
+INDEX = "file string, shard long, ordinal long, doc_id long, offset long, length long, n_tokens long, in_file long"
 RECORD = "file string, offset long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -47,7 +51,7 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = struct.pack("<q", NO_ID if doc_id is None else doc_id) + ids
+    payload = struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
@@ -62,8 +66,13 @@ def read_frame(content: memoryview, offset: int) -> tuple[int | None, memoryview
     payload = content[start : start + n]
     if len(payload) < n or struct.unpack_from("<I", content, start + n)[0] != masked(payload):
         raise ValueError(f"damaged record at offset {offset}")
-    doc = struct.unpack_from("<q", payload)[0]
-    return None if doc == NO_ID else doc, payload[8:], start + n + 5
+    known, doc = struct.unpack_from("<Bq", payload)
+    return doc if known else None, payload[HEAD:], start + n + 5
+
+
+def shard_of(name: str) -> int:
+    """The shard number of a data file."""
+    return int(re.match(r"part-(\d+)", name)[1])
 
 
 def _width(path: str) -> str:
@@ -87,9 +96,9 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     """Data files below ``folder``/data and the index below ``folder``/index."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    order = [F.col("doc_id"), F.xxhash64("_text")]
-    dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
-    frames = dealt.mapInArrow(_frames(path, end_id), "value binary")
+    order = [F.col("doc_id"), F.xxhash64("_text"), F.col("_from")]
+    dealt = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
+    frames = dealt.drop("_from").mapInArrow(_frames(path, end_id), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/data")
     files(docs.sparkSession, folder).mapInArrow(_index(path), INDEX).write.parquet(f"{folder}/index")
 
@@ -115,13 +124,13 @@ def _index(path: str):
     def run(batches):
         width = np.dtype(_width(path)).itemsize
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             last, nth, tokens = None, 0, 0
             for name, at, after, doc, ids in _scan(batch, width):
                 if name != last:
                     last, nth, tokens = name, 0, 0
                 n = len(ids) // width
-                for col, v in zip(cols, (name, nth, doc, at, after - at, n, tokens), strict=True):
+                for col, v in zip(cols, (name, shard_of(name), nth, doc, at, after - at, n, tokens), strict=True):
                     col.append(v)
                 nth, tokens = nth + 1, tokens + n
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[x.split()[0] for x in INDEX.split(", ")])
@@ -130,10 +139,10 @@ def _index(path: str):
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The index with ``start``: the ids of all records before, in file order."""
+    """The index with ``start``: the ids of all records before, in the order of the shards."""
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # over files, not records
+    totals = index.groupBy("file", "shard").agg(F.sum("n_tokens").alias("_n"))
+    before = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)  # over files, not records
     bases = totals.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return index.join(bases, "file").withColumn("start", F.col("_base") + F.col("in_file")).drop("_base", "in_file")
 

@@ -401,6 +401,30 @@ def test_op8(spark, docs, empty, tmp_path):
     assert op8.read_index(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_op8_ids_equal_the_library():
+    """Texts of letters with and without combining marks, sigma, dotted I, odd white space, special strings and marks."""
+    rng = random.Random(21)
+    atoms = [*"aAzZiIİıſßéÉåÅΣσςÀɏĲǅŉ'.,!?;:$&%#*|()-_/\\<>0129²½日本😀\u0301\u0307\u0327\u0345\u200d\ufe0f\ufeff", *"\t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u2000\u2003\u2028\u2029\u202f\u3000\x00\x01\x7f", " ", " ", " ", "  ", "the", "The", "ing", "don't", "I'LL", "İ%", "ﬁ", "Ω", "가", "각", "e\u0301", "<|endoftext|>", "<s>", "</s>", "[UNK]"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 12))) for _ in range(100_000)]
+    for name in (op7.TOKENIZER, op8.TOKENIZER):
+        e = encoder(tokenizer_path(name))
+        for k in range(0, len(texts), 5000):
+            part = texts[k : k + 5000]
+            own, whole = e.encode(part), e._library(part)
+            wrong = [t for t, x, y in zip(part, own, whole, strict=True) if x != y]
+            assert not wrong, (name, len(wrong), wrong[:5])
+
+
+def test_op8_any_id_and_shard_numbers(spark, tmp_path):
+    path, lowest = tokenizer_path(op8.TOKENIZER), -(2**63)
+    rows = [(lowest, "a"), (None, "b"), (None, None), (None, "b"), (2**63 - 1, "c"), (0, "d"), (0, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as file", "1 as offset", "2 as _text", "3 as shard")
+    op8.write_records(frame, str(tmp_path / "r"), path, shard_bytes=1)
+    got = op8.read_index(spark, str(tmp_path / "r")).orderBy("start", "ordinal").collect()
+    assert [r.doc_id for r in got] == [None, None, None, lowest, 0, 0, 2**63 - 1]
+    assert op8.shard_of("part-100000-x.txt") > op8.shard_of("part-10001-x.txt") and all(r.shard == op8.shard_of(r.file) for r in got)
+
+
 def test_op9(spark, docs, empty):
     rng = random.Random(4)
     rows = [(r[0], r[1]) for r in ROWS] + [(100 + k, f"{'big ' * 50}{k % 40}" + " " * rng.randint(0, 3)) for k in range(300)]
