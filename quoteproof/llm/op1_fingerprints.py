@@ -5,9 +5,13 @@ and each term, hashes give r and c ~ Gamma(2, 1) and b ~ U(0, 1); with t = floor
 ln a = ln c - r (t - b + 1), and the least draw's (term, t) is the sample. Two texts agree in a sample with a
 probability equal to the generalised Jaccard similarity of their weighted terms, sum of minima over sum of maxima.
 
+A text's terms are counted within its row, so that no task holds more than one row a term at a time, and each row's
+draws are reduced as they come.
+
 Null texts are empty. A text without words has the empty fingerprint, which equals itself and no other. Equal texts
 (also ties and repeated rows) have equal fingerprints; every row is kept and rows are told apart by their place in the
-order (doc_id descending, then text), in which a null doc_id is last. An empty table gives an empty result; other columns are ignored.
+order (doc_id descending, then the text's hash descending), in which a null doc_id is last. An empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from pyspark.sql import functions as F
 from ._shared import SPACE, load, text_or_empty
 
 SAMPLES = 32
-#: Neighbouring doc_ids share a bucket; so many at most (their bounds are the only thing broadcast).
-KNOTS = 32
-BUCKETS_PER_KNOT = 16
+#: Neighbouring doc_ids share a bucket of about so many bytes of text; at most so many buckets, since their first rows'
+#: ids (and nothing else) are broadcast.
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 1 << 16
+#: Quantiles of doc_id between which the buckets are spread evenly.
+KNOTS = 64
 
 _U21, _U32 = float(1 << 21), float(1 << 32)
 
@@ -40,14 +47,52 @@ def _draw(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(((log_a + 128.0) * float(1 << 23)).cast("long"), 32).bitwiseOR(name)
 
 
+def _sorted_terms(text: Column) -> Column:
+    """The hashes of all words, sorted."""
+    words = F.filter(F.split(F.lower(text), f"[{SPACE}]+"), lambda w: w != "")
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _starts(terms: Column) -> Column:
+    """Where each distinct term of a sorted array begins, and the array's end."""
+    n = F.size(terms)
+    changes = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(terms, i) != F.get(terms, i - 1))
+    return F.when(n > 1, F.concat(F.array(F.lit(0)), changes, F.array(n))).when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>"))
+
+
+def _weighted(texts: DataFrame, versions: list[str]) -> DataFrame:
+    """``texts`` with _v, _term, _ln instead of the versions: a row for each distinct term of each version (none: nulls)."""
+    rest = [c for c in texts.columns if c not in versions]
+    sorted_ = texts.select(*rest, *(_sorted_terms(F.col(v)).alias(f"_t{k}") for k, v in enumerate(versions)))
+    cut = sorted_.select(*rest, *(c for k in range(len(versions)) for c in (F.col(f"_t{k}"), _starts(F.col(f"_t{k}")).alias(f"_a{k}"))))
+
+    def counted(k: int) -> Column:
+        terms, starts = F.col(f"_t{k}"), F.col(f"_a{k}")
+        ends = F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0)))
+        heads = F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0)))
+        return F.zip_with(heads, ends, lambda a, b: F.struct(F.lit(k).alias("v"), F.get(terms, a).alias("term"), (b - a).alias("n")))
+
+    found = cut.select(*rest, F.explode_outer(F.concat(*(counted(k) for k in range(len(versions))))).alias("_x"))
+    return found.select(*rest, F.col("_x.v").alias("_v"), F.col("_x.term").alias("_term"), F.ln(F.col("_x.n")).alias("_ln"))
+
+
+def version_fingerprints(texts: DataFrame, versions: dict[str, str], samples: int = SAMPLES) -> DataFrame:
+    """``texts`` with a fingerprint (8 hex digits a sample; empty without words) in place of each text column of ``versions``
+    (text column: fingerprint column). The other columns name a row; equal rows become one."""
+    rest = [c for c in texts.columns if c not in versions]
+    terms = _weighted(texts, list(versions))
+    draws = [_draw(F.col("_term"), F.col("_ln"), k) for k in range(samples)]
+    least = terms.groupBy(*rest).agg(*(F.min(F.when(F.col("_v") == v, d)).alias(f"_s{v}_{k}") for v in range(len(versions)) for k, d in enumerate(draws)))
+
+    def joined(v: int) -> Column:
+        return F.concat(*(F.coalesce(F.lpad(F.lower(F.hex(F.col(f"_s{v}_{k}").bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("")) for k in range(samples)))
+
+    return least.select(*rest, *(joined(v).alias(name) for v, name in enumerate(versions.values())))
+
+
 def fingerprints(texts: DataFrame, key: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """``key`` and fingerprint (8 hex digits a sample; empty without words), one row for each key with a word."""
-    words = texts.select(*key, F.explode(F.split(F.lower(F.col(text)), f"[{SPACE}]+")).alias("_word")).where("_word != ''")
-    terms = words.groupBy(*key, F.xxhash64("_word").alias("_term")).agg(F.count("*").alias("_n"))
-    terms = terms.withColumn("_ln", F.ln(F.col("_n")))
-    least = terms.groupBy(*key).agg(*(F.min(_draw(F.col("_term"), F.col("_ln"), k)).alias(f"_s{k}") for k in range(samples)))
-    hexes = [F.lpad(F.lower(F.hex(F.col(f"_s{k}").bitwiseAND(0xFFFFFFFF))), 8, "0") for k in range(samples)]
-    return least.select(*key, F.concat(*hexes).alias("fingerprint"))
+    """``key`` and fingerprint, one row for each key."""
+    return version_fingerprints(texts.select(*key, text), {text: "fingerprint"}, samples)
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -62,37 +107,48 @@ def standard_error(similarity: float, samples: int = SAMPLES) -> float:
     return (similarity * (1 - similarity) / samples) ** 0.5
 
 
-def _bucket(docs: DataFrame) -> Column:
-    """Buckets of neighbouring doc_ids, by the quantiles of the ids and evenly between two of them."""
-    knots = sorted(set(docs.approxQuantile("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 1 / (4 * KNOTS))))
-    out = F.lit(-1)
-    for k, (low, high) in enumerate(zip(knots, [*knots[1:], knots[-1] + 1] if knots else [], strict=True)):
-        low, high = int(low), max(int(high), int(low) + 1)
-        inside = F.least(F.lit(BUCKETS_PER_KNOT - 1), F.floor((F.col("doc_id") - low) * BUCKETS_PER_KNOT / (high - low)).cast("int"))
-        out = F.when(F.col("doc_id") >= low, k * BUCKETS_PER_KNOT + inside).otherwise(out)
-    return F.coalesce(out, F.lit(-2)).cast("int")
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with _h, the text's hash, and _bucket: neighbours in the order share one, later rows have lower ones.
+
+    Buckets lie evenly between quantiles of doc_id. The null doc_id, and one that several quantiles fall on, are cut up
+    by the hash, which is next in the order.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = max(1, min(MOST_BUCKETS, size // BUCKET_BYTES) // KNOTS)
+    found = [max(-(2**63), min(2**63 - 1, int(x))) for x in rows.approxQuantile("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 1 / (4 * KNOTS))]
+    knots = sorted(set(found))
+    doc, h = F.col("doc_id"), F.col("_h")
+
+    def by_hash(buckets: int) -> Column:
+        return F.floor((F.shiftright(h, 33) + (1 << 30)) / float(1 << 31) * buckets).cast("int")
+
+    out, base = by_hash(each), each  # null doc_ids are last in the order
+    for k, low in enumerate(knots):
+        hot = each * (found.count(low) - 1)
+        high = knots[k + 1] if k + 1 < len(knots) else low + 1.0
+        inside = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((doc.cast("double") - float(low)) / max(float(high) - float(low), 1.0) * each))).cast("int")
+        own = F.when(doc == low, base + by_hash(hot)).otherwise(base + hot + inside) if hot else base + inside
+        out = F.when(doc.isNotNull() if k == 0 else doc >= low, F.when(doc < low, base).otherwise(own) if k == 0 else own).otherwise(out)
+        base += hot + each
+    return rows.withColumn("_h", F.xxhash64("text")).withColumn("_bucket", out.cast("int"))
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
-    """_bucket, _nth, _guest, doc_id, text, edited: each text beside its edited text.
+    """_bucket, _nth, _guest, doc_id, text, edited: each text beside its edited text (null for guests).
 
-    A bucket's last row has its next document as a guest, so texts are dealt out once, by bucket. Only the guest's
-    ids, one for each bucket, are broadcast: at most ``KNOTS * BUCKETS_PER_KNOT`` + 2 rows.
+    A bucket's last row has its next document as a guest, so texts are dealt out once, by bucket. Only the guests'
+    ids and hashes, one for each bucket, are broadcast: at most some ``MOST_BUCKETS`` rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bucketed = rows.withColumn("_bucket", _bucket(rows))
-    firsts = bucketed.groupBy("_bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "doc_id", F.xxhash64("text").alias("h"))).alias("f"))
+    rows = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    firsts = rows.groupBy("_bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "_h")).alias("f"))
     by_id = Window.orderBy(F.col("_bucket").desc())
     hosts = firsts.withColumn("_host", F.coalesce(F.lag("_bucket").over(by_id), F.min("_bucket").over(Window.partitionBy())))
-    hosts = hosts.select(F.col("_bucket").alias("_b"), F.col("f.doc_id").alias("_first"), F.col("f.h").alias("_h"), "_host")
-    met = bucketed.join(
-        F.broadcast(hosts), (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_h")), "left"
-    )
-    places = F.when(F.col("_host").isNull(), F.array(F.struct("_bucket", F.lit(False).alias("_guest")))).otherwise(
-        F.array(F.struct("_bucket", F.lit(False).alias("_guest")), F.struct(F.col("_host").alias("_bucket"), F.lit(True).alias("_guest")))
-    )
-    placed = met.select("doc_id", "text", F.explode(places).alias("_p")).select("_p._bucket", "_p._guest", "doc_id", "text")
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
+    hosts = hosts.select(F.col("_bucket").alias("_b"), F.col("f.doc_id").alias("_first"), F.col("f._h").alias("_fh"), "_host")
+    of_host = (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_h") == F.col("_fh"))
+    guests = rows.join(F.broadcast(hosts), of_host).dropDuplicates(["_bucket"])  # of equal rows one
+    guests = guests.select(F.col("_host").alias("_bucket"), F.lit(True).alias("_guest"), "doc_id", "_h", "text")
+    placed = rows.select("_bucket", F.lit(False).alias("_guest"), "doc_id", "_h", "text").union(guests)
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_h").desc())
     dealt = placed.withColumn("_next", F.lead("text").over(order)).withColumn("_nth", F.row_number().over(order))
     n = F.char_length("text")
     swapped = F.floor(n / 3).cast("int")
@@ -102,15 +158,13 @@ def edited_documents(docs: DataFrame) -> DataFrame:
 
 def op1_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = edited_documents(load(spark, sf_dir, "documents"))
-    key = ["_bucket", "_nth"]
-    versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))
-    texts = pairs.select(*key, F.explode(versions).alias("_x")).select(*key, "_x.v", "_x.t").where("t is not null")
-    found = fingerprints(texts, [*key, "v"], "t")
-    both = found.groupBy(*key).agg(*(F.max(F.when(F.col("v") == v, F.col("fingerprint"))).alias(name) for v, name in ((0, "fingerprint"), (1, "edited_fingerprint"))))
-    about = pairs.select(*key, "_guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    joined = about.join(both, key, "left").na.fill("", ["fingerprint", "edited_fingerprint"])
+    texts = pairs.select(
+        "_bucket", "_nth", "_guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "text", F.coalesce("edited", F.lit("")).alias("edited"),
+    )
+    found = version_fingerprints(texts, {"text": "fingerprint", "edited": "edited_fingerprint"})
     after = F.lead("fingerprint").over(Window.partitionBy("_bucket").orderBy("_nth"))
-    return joined.withColumn("_next", after).where("not _guest").select(
+    return found.withColumn("_next", after).where("not _guest").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"),

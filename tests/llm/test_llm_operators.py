@@ -72,6 +72,55 @@ def test_op1(spark, docs, empty, tmp_path):
     assert abs(np.mean(off)) < 0.06  # collisions happen as often as the generalised Jaccard similarity says
 
 
+def test_op1_likeness_of_each_document(spark, tmp_path, monkeypatch):
+    """near_edited and near_next of each row against samples drawn in plain Python by the formula, over many buckets."""
+    import math
+
+    monkeypatch.setattr(op1, "BUCKET_BYTES", 200)
+    rng = random.Random(31)
+    vocabulary = ["Alpha", "beta", "GAMMA", "été", "x1", "日本", "delta", "eps"]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))) for k in range(-150, 150)] + [(7, "hot " + str(k)) for k in range(120)]
+    rows += [(None, f"null id {k % 3}") for k in range(40)] + [(5, None), (5, None), (-(2**63), "lowest"), (2**63 - 1, " \t")]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(i, t, "b", 1, 2) for i, t in rows], "doc_id long, text string, _bucket string, _h int, fingerprint int")
+    got = op1.op1_weighted_samples(spark, table(spark, frame, tmp_path / "d")).collect()
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) as h").distinct().collect()}
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
+    want, texts = [], set()
+    for k, (i, t) in enumerate(ordered):
+        after, n = ordered[(k + 1) % len(ordered)][1], len(t) // 3
+        want.append((i, t, t[: len(t) - n] + after[:n], after))
+        texts |= {t, want[-1][2]}
+    words_ = sorted({w.lower() for t in texts for w in words(t)})
+    draws = spark.createDataFrame([(w,) for w in words_], "w string").selectExpr("w", "xxhash64(w) as x")
+    draws = draws.selectExpr("w", "x", *(f"xxhash64(x, {j}) as h{j}" for j in range(2 * op1.SAMPLES))).collect()
+    seeds, mask = {r.w: r for r in draws}, (1 << 64) - 1
+
+    def samples(text):
+        counts, out = collections.Counter(w.lower() for w in words(text)), []
+        for k in range(op1.SAMPLES):
+            best = None
+            for w, c in counts.items():
+                one, two = seeds[w][f"h{2 * k}"] & mask, seeds[w][f"h{2 * k + 1}"] & mask
+                u1, u2, u3, u4 = ((one >> 43) + 0.5) / 2**21, (((one >> 22) & 0x1FFFFF) + 0.5) / 2**21, ((two >> 32) + 0.5) / 2**32, ((two & 0xFFFFFFFF) + 0.5) / 2**32
+                b, r, g = (one & 0x3FFFFF) / 2**22, -math.log(u1 * u2), -math.log(u3 * u4)
+                t = math.floor(math.log(c) / r + b)
+                a = math.log(g) - r * (t - b + 1)
+                best = min(best or (a, w, t), (a, w, t))
+            out.append(best)
+        return out
+
+    def same(a, b):
+        if not words(a) or not words(b):
+            return 1.0 if not words(a) and not words(b) else 0.0
+        return sum(x[1:] == y[1:] for x, y in zip(samples(a), samples(b), strict=True)) / op1.SAMPLES
+
+    assert len(got) == len(rows)
+    have = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 6), round(r.near_next, 6)) for r in got)
+    wanted = collections.Counter((i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(same(t, e), 6), round(same(t, x), 6)) for i, t, e, x in want)
+    assert have == wanted
+
+
 def test_op1_error_of_single_pairs(spark):
     pairs = [(k, " ".join(f"w{(131 * k + j) if j < k % 60 else j}" for j in range(100))) for k in range(180)]
     for samples in (op1.SAMPLES, 128):
