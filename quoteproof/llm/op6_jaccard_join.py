@@ -49,8 +49,8 @@ DEAL_BYTES = 4 << 20
 SHARES = [f"sigs{k}" for k in range(DEALS)]
 #: Keys of classes that a task remembers in order to send the signatures of a class once; more of them start it anew.
 SEEN_KEYS = 500_000
-#: Sketches have so many bits for each element, up to the next power of two.
-SKETCH_BITS = 4
+#: Sketches have so many bits for each element, up to the next power of two; short ones a single bit.
+SKETCH_BITS = 2
 #: Every 16th bucket is looked through for links between components first: one pair for each two of its components.
 FIRST_SHARE = 16
 #: Then all are, for so many pairs of any two components; more, in a further pass, only where these left both unlinked.
@@ -551,27 +551,41 @@ def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
     return docs, rows, reps, sides, own, buckets, tables
 
 
-def _hub_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives: each with the first of each of its buckets."""
-    pairs = buckets.where("doc_id != hub").select("hub", "doc_id").distinct()
-    pairs = pairs.join(reps.withColumnRenamed("rep", "y"), "doc_id").join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("x")), "hub")
+def _stars(buckets: DataFrame) -> DataFrame:
+    """hub, doc_id: each document with the first of each of its buckets, once."""
+    return materialise(buckets.where("doc_id != hub").select("hub", "doc_id").distinct(), "stars")
+
+
+def _hub_pairs(stars: DataFrame, reps: DataFrame) -> DataFrame:
+    """The stars as pairs (a, b) of representatives."""
+    pairs = stars.join(reps.withColumnRenamed("rep", "y"), "doc_id").join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("x")), "hub")
     return materialise(pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
 
 
-def _cells(buckets: DataFrame, place: DataFrame, block: int) -> DataFrame:
-    """sig, i, j, large, rep, component: the rows (sig, doc_id) of buckets of several components, by (doc_id, rep, component).
+def _cells(buckets: DataFrame, stars: DataFrame, place: DataFrame, block: int) -> DataFrame:
+    """sig, i, j, rep, component: the rows (sig, doc_id, hub) of buckets of several components, by (doc_id, rep, component).
 
-    A bucket of at most ``block`` rows is one cell. In a larger one the rows of its commonest component are dealt out in
-    blocks, and so are the others; a cell for each two blocks of others, and for each block of others and one of the former.
+    A bucket has several components if a document is not in its hub's, and there are far fewer such (hub, doc_id) than
+    rows. A bucket of at most ``block`` rows is one cell. In a larger one the rows of its commonest component are dealt
+    out in blocks, and so are the others; a cell for each two blocks of others, and for each block of others and one of
+    the former.
     """
-    stats = buckets.join(place, "doc_id").groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
-    mixed = materialise(stats.where("lo != hi and k > 2").select("sig", "k"), "mixed")  # of two rows, each other's first, nothing is left to compare
-    rows = likely(buckets, "sig", mixed).join(mixed, "sig").join(place, "doc_id").groupBy("sig", "k", "rep", "component").agg(F.count("*").alias("_n"))
-    rows = materialise(rows.select("sig", (F.col("k") >= BY_ARRAYS).alias("large"), "rep", "component"), "members")
-    huge = mixed.where(F.col("k") > block).select("sig")
+    own = place.groupBy("doc_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))  # one, but for repeated doc_ids where each class is its own
+    of_hub = own.select(F.col("doc_id").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"))
+    apart = stars.join(own, "doc_id").join(of_hub, "hub").where("lo != hub_lo or hi != hub_hi or lo != hi")
+    key = F.xxhash64("hub", "doc_id").alias("star")
+    apart = materialise(apart.select(key).distinct(), "apart")
+    sigs = likely(buckets.select("sig", key), "star", apart).join(apart, "star", "left_semi")
+    sigs = materialise(sigs.select("sig").distinct(), "mixed")
+    rows = likely(buckets, "sig", sigs).join(sigs, "sig", "left_semi").join(place, "doc_id").groupBy("sig", "rep", "component").agg(F.count("*").alias("_n"))
+    rows = materialise(rows.drop("_n"), "members")
+    counts = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 2")  # of two rows, each other's first, nothing is left to compare
+    counts = materialise(counts, "counts")
+    rows = rows.join(counts, "sig")
+    huge = counts.where(F.col("k") > block).select("sig")
     zero = F.lit(0).alias("i"), F.lit(0).alias("j")
     if huge.isEmpty():
-        return rows.select("sig", *zero, "large", "rep", "component")
+        return rows.select("sig", *zero, "rep", "component")
     inside = rows.join(huge, "sig", "left_semi")
     sizes = inside.groupBy("sig", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("k"))
@@ -585,14 +599,13 @@ def _cells(buckets: DataFrame, place: DataFrame, block: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda j: F.struct(F.col("_own").alias("i"), (F.col("_s") + j).alias("j"))),
     )
     dealt = inside.join(most.where("_s > 0"), "sig").withColumn("_own", here).withColumn("_c", F.explode(F.when(common, of_most).otherwise(of_rest)))
-    return rows.join(huge, "sig", "left_anti").select("sig", *zero, "large", "rep", "component").union(dealt.select("sig", "_c.i", "_c.j", "large", "rep", "component"))
+    return rows.join(huge, "sig", "left_anti").select("sig", *zero, "rep", "component").union(dealt.select("sig", "_c.i", "_c.j", "rep", "component"))
 
 
-def _compared(buckets: DataFrame, place: DataFrame, sides: DataFrame, most: int | None, block: int) -> DataFrame:
-    """a, b, cut: what ``_across`` finds among the buckets' rows; by the long sketches where a bucket is large."""
-    cells = _cells(buckets, place, block).join(sides.select("rep", "n", "sketch", "short"), "rep")
-    cells = cells.select("sig", "i", "j", "component", "rep", "n", F.when(F.col("large"), F.col("sketch")).otherwise(F.col("short")).alias("sketch"))
-    dealt = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+def _compared(cells: DataFrame, sides: DataFrame, most: int | None) -> DataFrame:
+    """a, b, cut: what ``_across`` finds among the cells' rows."""
+    known = cells.join(sides.select("rep", "n", "sketch"), "rep").select("sig", "i", "j", "component", "rep", "n", "sketch")
+    dealt = known.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return dealt.mapInArrow(_across(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
 
 
@@ -602,8 +615,10 @@ def similar_pairs(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
     Unlike ``near_duplicates``, pairs within a component are compared too, so the result can grow with the square of a group.
     """
     docs, _, reps, sides, _, buckets, _ = _dealt(documents)
-    pairs = _hub_pairs(buckets, reps)
-    met = _compared(buckets.select("sig", "doc_id"), reps.withColumn("component", F.col("rep")), sides, None, block).select("a", "b").union(pairs).distinct()
+    stars = _stars(buckets)
+    pairs = _hub_pairs(stars, reps)
+    place = reps.withColumn("component", F.col("rep"))
+    met = _compared(_cells(buckets, stars, place, block), sides, None).select("a", "b").union(pairs).distinct()
     return _links(materialise(met, "met"), sides, docs, sketched=False), reps
 
 
@@ -611,7 +626,8 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, most_pairs: int =
     """doc_id, n_shingles, component_id for every row of ``documents``."""
     spark = documents.sparkSession
     docs, rows, reps, sides, own, buckets, tables = _dealt(documents)
-    pairs = _hub_pairs(buckets, reps)
+    stars = _stars(buckets)
+    pairs = _hub_pairs(stars, reps)
     links = own.union(_links(pairs, sides, docs, sketched=False))
     labels = components(links)
     _release(spark)
@@ -621,9 +637,9 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, most_pairs: int =
     share, most = FIRST_SHARE, 1
     while True:
         place = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-        part = buckets.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "doc_id")
+        part = buckets.where(F.pmod("sig", F.lit(share)) == 0)
         place = materialise(place, "places")
-        across = _compared(part, place, sides, most, block).join(pairs, ["a", "b"], "left_anti")
+        across = _compared(_cells(part, stars, place, block), sides, most).join(pairs, ["a", "b"], "left_anti")
         across = materialise(across, "across")
         discard(place)
         _release(spark)
