@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteproof.functions.values import checked, normalized
+from quoteproof.functions import values
+from quoteproof.functions.folding import casefolded, folded_each, folded_text
 from quoteproof.schema import FIELD_KIND, HEADER_KEYS, STATUS_RANK
 
 
@@ -17,15 +18,21 @@ def kind_of(field_key: Column) -> Column:
 
 
 def verify(claims: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each claim with final value, status, reason and evidence; the first rule that applies decides."""
-    s = segments.select(F.col("document_id").alias("_d"), F.col("segment_id").alias("_s"), F.col("text").alias("_segment"), F.coalesce("ocr", F.lit(False)).alias("_ocr"))
+    """Each claim with final value, status, reason and evidence; the first rule that applies decides.
+
+    Segments are folded once each. Of a claim that needs no look at its quote nothing is folded.
+    """
+    s = segments.select(F.col("document_id").alias("_d"), F.col("segment_id").alias("_s"), folded_text(F.coalesce("text", F.lit(""))).alias("_n"), F.coalesce("ocr", F.lit(False)).alias("_ocr"))
     joined = claims.join(s, (claims["document_id"] == s["_d"]) & (claims["segment_id"] == s["_s"]), "left")
-    ready = (
-        joined.withColumn("_q", normalized(F.coalesce("quote", F.lit("")))).withColumn("_n", normalized(F.coalesce("_segment", F.lit(""))))
-        .withColumn("_c", checked(kind_of(F.col("field_key")), F.coalesce("value", F.lit("")), F.coalesce("quote", F.lit(""))))
-    )
-    value, claimed, c = F.col("value"), F.col("status"), F.col("_c")
-    found, bare = claimed == "found", F.col("segment_id").isNull() & F.col("quote").isNull()
+    value, claimed, quote, kind = F.col("value"), F.col("status"), F.coalesce("quote", F.lit("")), kind_of(F.col("field_key"))
+    looked_at = (claimed != "missing") & F.col("_s").isNotNull() & ~(value.isNull() & (claimed == "found"))
+    valued = looked_at & value.isNotNull()
+    ready = joined.withColumns({
+        "_q": folded_text(F.when(looked_at, quote)), "_v": folded_text(F.when(valued & kind.isin("text", "unit"), value)),
+        "_p": folded_each(F.when(valued & (kind == "unit"), values.unit_pieces(value, quote))), "_f": casefolded(F.when(valued & (kind == "email"), quote)),
+    })
+    ready = ready.withColumn("_c", F.when(valued, values.check(kind, value, quote, F.col("_v"), F.col("_q"), F.col("_p"), F.col("_f"))))
+    found, bare, c = claimed == "found", F.col("segment_id").isNull() & F.col("quote").isNull(), F.col("_c")
 
     def result(v, status, reason) -> Column:
         return F.struct(v.cast("string").alias("value"), (F.lit(status) if isinstance(status, str) else status).alias("status"), F.lit(reason).cast("string").alias("reason"))

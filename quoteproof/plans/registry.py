@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoteproof.functions import native
-from quoteproof.functions.values import UNITS
+from quoteproof.functions import values
+from quoteproof.functions.grammar import UNITS
 from quoteproof.operators import grounding, intake
 from quoteproof.sources.readers import html_to_text
 
@@ -38,7 +38,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def lines(docs: DataFrame) -> DataFrame:
     """Non-empty lines with their 1-based number, empty ones counted."""
     exploded = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("p", "raw"))
-    return exploded.select("doc_id", "lang", (F.col("p") + 1).cast("long").alias("line"), native.collapsed(F.col("raw")).alias("text")).where("text != ''")
+    return exploded.select("doc_id", "lang", (F.col("p") + 1).cast("long").alias("line"), values.collapsed(F.col("raw")).alias("text")).where("text != ''")
 
 
 @query(r"""SELECT doc_id, CAST(i AS BIGINT) AS line, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text
@@ -55,8 +55,8 @@ def quotes_in_documents(spark, d) -> DataFrame:
     only documents with that word are searched for the quote. Quotes of one or two words have none; those few are
     searched for in each document.
     """
-    docs = t(spark, d, "documents").select("doc_id", "lang", native.folded(F.col("text")).alias("text"))
-    items = t(spark, d, "benchmark").select("item_id", native.folded(F.col("text")).alias("quote")).where("quote != ''")
+    docs = t(spark, d, "documents").select("doc_id", "lang", values.lower_folded(F.col("text")).alias("text"))
+    items = t(spark, d, "benchmark").select("item_id", values.lower_folded(F.col("text")).alias("quote")).where("quote != ''")
     words = F.split("quote", " ")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
     items = items.withColumn("key", F.array_max(inner)["w"])
@@ -263,19 +263,19 @@ def number_roundtrip(spark, d):
     whole = F.regexp_replace(F.floor(cents / 100).cast("long").cast("string"), r"(?<=\d)(?=(\d{3})+$)", ".")
     shown = F.concat(whole, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Preis "), shown, F.lit(" EUR")).alias("s"))
-    return rows.select("l_orderkey", "l_linenumber", F.round(native.numbers_in(F.col("s"))[0] * 100).cast("long").alias("cents"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(values.numbers_in(F.col("s"))[0] * 100).cast("long").alias("cents"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS found FROM orders")
 def date_roundtrip(spark, d):
     s = F.concat(F.lit("Lieferung bis "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" erbeten."))
-    return t(spark, d, "orders").select("o_orderkey", native.dates_in(s)[0].alias("found"))
+    return t(spark, d, "orders").select("o_orderkey", values.days_in(s)[0].alias("found"))
 
 
 @query("SELECT o_orderkey, CAST(week(o_orderdate) AS INT) AS week, CAST(year(o_orderdate) AS INT) AS year FROM orders")
 def week_roundtrip(spark, d):
     s = F.concat(F.lit("Termin KW "), F.weekofyear("o_orderdate"), F.lit("/"), F.year("o_orderdate"))
-    return t(spark, d, "orders").select("o_orderkey", native.week_in(s).alias("w")).select("o_orderkey", "w.week", "w.year")
+    return t(spark, d, "orders").select("o_orderkey", values.weeks_in(s)[0].alias("w")).select("o_orderkey", "w.week", "w.year")
 
 
 _SPELLED = list(UNITS.items())
@@ -284,7 +284,7 @@ _SPELLED = list(UNITS.items())
 @query("SELECT p_partkey, (CASE p_partkey % %d %s END) AS unit FROM part".replace("%d", str(len(_SPELLED))).replace("%s", " ".join(f"WHEN {k} THEN '{u}'" for k, (_, u) in enumerate(_SPELLED))))
 def unit_canonical(spark, d):
     spelling = F.element_at(F.array(*(F.lit(s) for s, _ in _SPELLED)), (F.col("p_partkey") % len(_SPELLED) + 1).cast("int"))
-    return t(spark, d, "part").select("p_partkey", native.unit(F.concat(F.lit(" "), F.upper(spelling), F.lit(". "))).alias("unit"))
+    return t(spark, d, "part").select("p_partkey", values.unit(F.concat(F.lit(" "), F.upper(spelling), F.lit(". "))).alias("unit"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^\s@<>]+@[^\s@<>]+\.[^\s@<>]+')) AS n_mails FROM documents""")
