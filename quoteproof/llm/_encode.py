@@ -15,8 +15,8 @@ import re
 
 import numpy as np
 
-#: Bytes kept in each memo of a worker, as far as they can be told; at the bound it starts anew.
-MEMO_BYTES = 24 << 20
+#: Bytes kept in each memo of a worker, as far as they can be told; at the bound the newer half goes.
+MEMO_BYTES = 48 << 20
 #: What an entry takes besides its characters and ids: two objects and their place in the dictionary.
 ENTRY_BYTES = 190
 #: Longer words go to the library each time and are not kept.
@@ -93,11 +93,9 @@ class MemoEncoder:
         if self.style == "whole":
             return self._library(texts)
         if self.words_bytes > MEMO_BYTES:
-            self.words.clear()
-            self.words_bytes = 0
+            self.words_bytes = _halved(self.words)
         if self.parts_bytes > MEMO_BYTES:
-            self.parts.clear()
-            self.parts_bytes = 0
+            self.parts_bytes = _halved(self.parts)
         spaced, words, parts, ids_of = self.style == "spaced", self.words, self.parts, self._ids
         cut: list[list[str] | None] = []
         new: set[str] = set()
@@ -159,6 +157,13 @@ class MemoEncoder:
         return out
 
 
+def _halved(memo: dict[str, bytes]) -> int:
+    """Drop the newer half of a memo, since common words are met early; the bytes of what stays."""
+    for word in list(memo)[len(memo) // 2 :]:
+        del memo[word]
+    return sum(len(w) + len(ids) + ENTRY_BYTES for w, ids in memo.items())
+
+
 _ENCODERS: dict[str, MemoEncoder] = {}
 
 
