@@ -39,8 +39,8 @@ TOLERANCE = 0.05
 MOST_ROUNDS, MOST_STEPS = 30, 300
 #: Features that violate the conditions most come into the fit first, so many a round.
 MOST_NEW = 400
-#: Words whose scores a worker keeps.
-MEMO_ENTRIES = 120_000
+#: Words whose scores a worker keeps; beyond, the newer half goes, since common words are met early.
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 SHARE_STEPS = 20
 
@@ -95,7 +95,8 @@ class Model:
                     memo[w] = s
             total += s
         if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+            for w in list(memo)[MEMO_ENTRIES // 2 :]:
+                del memo[w]
         return total + float(self.weights[shape_features(text, words, len(own))].sum())
 
     def tails(self, score: float) -> tuple[float, float]:
