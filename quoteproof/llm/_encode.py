@@ -15,10 +15,8 @@ import re
 
 import numpy as np
 
-#: Bytes kept in each memo of a worker, as far as they can be told; at the bound the newer half goes.
-MEMO_BYTES = 48 << 20
-#: What an entry takes besides its characters and ids: two objects and their place in the dictionary.
-ENTRY_BYTES = 190
+#: Words kept in a worker's memo (some 85 MB); at the bound the newer half goes, since common words are met early.
+MEMO_ENTRIES = 400_000
 #: Longer words go to the library each time and are not kept.
 MEMO_CHARS = 64
 
@@ -61,7 +59,6 @@ class MemoEncoder:
         self.style = self._style(config)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.words_bytes = self.parts_bytes = 0
 
     @staticmethod
     def _style(config: dict) -> str:
@@ -92,10 +89,10 @@ class MemoEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":
             return self._library(texts)
-        if self.words_bytes > MEMO_BYTES:
-            self.words_bytes = _halved(self.words)
-        if self.parts_bytes > MEMO_BYTES:
-            self.parts_bytes = _halved(self.parts)
+        for memo in (self.words, self.parts):
+            if len(memo) > MEMO_ENTRIES:
+                for word in list(memo)[MEMO_ENTRIES // 2 :]:
+                    del memo[word]
         spaced, words, parts, ids_of = self.style == "spaced", self.words, self.parts, self._ids
         cut: list[list[str] | None] = []
         new: set[str] = set()
@@ -113,35 +110,42 @@ class MemoEncoder:
             new.update(own)
         new.difference_update(words)
         passing: dict[str, bytes] = {}
+
+        def part(piece: str) -> bytes:
+            got = parts.get(piece)
+            if got is None:
+                got = ids_of(piece)
+                if len(piece) <= MEMO_CHARS:
+                    parts[piece] = got
+            return got
+
         for word in new:
             lead, body, first = (" " if spaced else ""), word, ""
             if spaced and word[:1] in ("\0", "\1"):
                 lead, body, first = "", word[1:], ("\n" if word[0] == "\1" else "")
             if m := _SPLIT.fullmatch(body):
                 head, tail = m.groups()
-                pieces = [lead + head, tail] if spaced else [head.lower(), tail]
-                if not tail:
-                    pieces.pop()
+                usual = head if spaced else head.lower()
+                # in its usual place (behind a blank) a head is a word of its own
+                ids = words.get(usual) if lead or not spaced else None
+                if ids is None:
+                    ids = ids_of(lead + usual)
+                    if (lead or not spaced) and len(usual) <= MEMO_CHARS:
+                        words[usual] = ids
+                if tail:
+                    ids += part(tail)
             elif not body:
-                pieces = [] if word == "\0" else None
-            else:
-                pieces = None if body[0].isspace() or body[-1].isspace() else [lead + body]
-            if pieces is not None and first:
-                pieces.insert(0, first)
-            if pieces is None:
+                if word != "\0":
+                    continue
+                ids = b""
+            elif body[0].isspace() or body[-1].isspace():
                 continue
-            ids = b""
-            for p in pieces:
-                got = parts.get(p)
-                if got is None:
-                    got = ids_of(p)
-                    if len(p) <= MEMO_CHARS:
-                        parts[p] = got
-                        self.parts_bytes += len(p) + len(got) + ENTRY_BYTES
-                ids += got
+            else:
+                ids = ids_of(lead + body)
+            if first:
+                ids = part(first) + ids
             if len(word) <= MEMO_CHARS:
                 words[word] = ids
-                self.words_bytes += len(word) + len(ids) + ENTRY_BYTES
             else:
                 passing[word] = ids
         out: list[bytes | None] = []
@@ -157,13 +161,6 @@ class MemoEncoder:
         return out
 
 
-def _halved(memo: dict[str, bytes]) -> int:
-    """Drop the newer half of a memo, since common words are met early; the bytes of what stays."""
-    for word in list(memo)[len(memo) // 2 :]:
-        del memo[word]
-    return sum(len(w) + len(ids) + ENTRY_BYTES for w, ids in memo.items())
-
-
 _ENCODERS: dict[str, MemoEncoder] = {}
 
 
