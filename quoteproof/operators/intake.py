@@ -1,4 +1,4 @@
-"""Request lists, duplicates, lifecycle, constraints and evaluation."""
+"""Request lists, duplicates, lifecycle folds and ledgers."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteproof.schema import PAGE, PERMISSIONS, TRANSITIONS
+from quoteproof.schema import PAGE, TRANSITIONS
 
 
 def keyset_page(rows: DataFrame, at: str, key: str, cursor: tuple | None = None, size: int = PAGE) -> DataFrame:
@@ -46,11 +46,6 @@ def fold(rows: DataFrame, key: str, order: list[str], event: str, start: str, ta
     return grouped.withColumn("_f", folded).select(key, F.col("_f.status").alias("status"), F.col("_f.illegal").cast("long").alias("illegal_steps"))
 
 
-def permitted(actors: DataFrame, role: str, action: str) -> Column:
-    """Role × action; unknown roles are denied."""
-    return reduce(lambda c, kv: F.when((F.col(role) == kv[0]) & F.col(action).isin(*kv[1]), True).otherwise(c), PERMISSIONS.items(), F.lit(False))
-
-
 def upsert_ledger(old: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Insert or increment while pending: rows already succeeded keep their attempts."""
     b = batch.groupBy(key).agg(F.count("*").alias("_more"), F.bool_or("succeeded").alias("_done"))
@@ -77,30 +72,3 @@ def islands(rows: DataFrame, key: str, n: str) -> DataFrame:
 def violations(rules: list[tuple[str, DataFrame]]) -> DataFrame:
     """rule, violations: each rule is the DataFrame of rows that break it."""
     return reduce(DataFrame.union, (df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, df in rules))
-
-
-def percent(part: Column, whole: Column) -> Column:
-    return F.round(100.0 * part / F.nullif(whole, F.lit(0)), 2)
-
-
-def field_metrics(observations: DataFrame, field: str) -> DataFrame:
-    """Five ratios and two counts a field, from expected and actual (value, status); null where nothing is counted."""
-    exp_found, exp_missing = F.col("expected_status") == "found", F.col("expected_status") == "missing"
-    got_found, got_missing = F.col("status") == "found", F.col("status") == "missing"
-    same = F.col("expected_value").eqNullSafe(F.col("value"))
-    return observations.groupBy(field).agg(
-        percent(F.count_if(exp_found & got_found & same), F.count_if(exp_found)).alias("found_accuracy"),
-        percent(F.count_if(exp_missing & got_missing), F.count_if(got_missing)).alias("missing_precision"),
-        percent(F.count_if(exp_missing & got_missing), F.count_if(exp_missing)).alias("missing_recall"),
-        percent(F.count_if(F.col("grounded")), F.count_if(~got_missing)).alias("grounding_pass_rate"),
-        percent(F.count_if(got_found & ~same), F.count_if(got_found)).alias("false_found_rate"),
-        F.count("*").alias("n"), F.count_if(got_found).alias("n_found"),
-    )
-
-
-def gate(baseline: DataFrame, metrics: DataFrame, threshold: float = 5.0, lower_is_better=("false_found_rate",)) -> DataFrame:
-    """Failures of (field, metric, value) against the baseline: worse by more than the threshold, lost, or never measured."""
-    joined = baseline.withColumnRenamed("value", "before").join(metrics.withColumnRenamed("value", "now"), ["field", "metric"], "full_outer")
-    worse = F.when(F.col("metric").isin(*lower_is_better), F.col("now") - F.col("before")).otherwise(F.col("before") - F.col("now"))
-    reason = F.when(F.col("before").isNotNull() & F.col("now").isNull(), "lost").when(worse > threshold, "worse")
-    return joined.withColumn("reason", reason).where("reason is not null").select("field", "metric", "before", "now", "reason")

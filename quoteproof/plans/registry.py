@@ -11,30 +11,15 @@ from pyspark.sql import types as T
 
 from quoteproof.functions import values
 from quoteproof.functions.grammar import UNITS
-from quoteproof.operators import grounding, intake
+from quoteproof.operators import grounding, intake, requests
+from quoteproof.plans import application  # noqa: F401  registers its queries
+from quoteproof.plans.base import ORACLES, QUERIES, query, t
 from quoteproof.sources.readers import html_to_text
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 #: Event types of the supplied stream, as the fixed key list of review summaries and the steps of the status fold.
 EVENT_TYPES = ("click", "login", "logout", "purchase", "view")
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """Non-empty lines with their 1-based number, empty ones counted."""
     exploded = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("p", "raw"))
@@ -189,43 +174,12 @@ def fingerprint_sets(spark, d):
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(hashes.cast("binary"), 256).alias("fingerprint"))
 
 
-@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS before FROM events""")
-def rate_limit(spark, d):
-    w = "(PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)"
-    return t(spark, d, "events").select("event_id", F.expr(f"count(*) OVER {w} - 1").alias("before"))
-
-
 @query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_name, c_custkey")
 def members_users(spark, d):
     joined = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select("c_custkey", "c_name", "n_name").orderBy("c_name", "c_custkey")
 
 
-def _ledger(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("attempts"), F.count_if(F.col("l_returnflag") == "R").alias("errors"))
-
-
-_LEDGER = "SELECT l_orderkey, count(*) AS attempts, count(*) FILTER (l_returnflag = 'R') AS errors FROM lineitem GROUP BY 1"
-
-
-@query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN coalesce(attempts, 1) WHEN o_orderstatus = 'O' AND errors > 0 THEN attempts ELSE 0 END AS attempts,
-CASE WHEN o_orderstatus = 'P' THEN 'export' WHEN o_orderstatus = 'O' AND errors > 0 THEN 'processing' END AS stage FROM orders LEFT JOIN ({_LEDGER}) ON l_orderkey = o_orderkey""")
-def row_view(spark, d):
-    s, retrying = F.col("o_orderstatus"), (F.col("o_orderstatus") == "O") & (F.col("errors") > 0)
-    joined = t(spark, d, "orders").join(_ledger(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return joined.select("o_orderkey", F.when(s == "P", F.coalesce("attempts", F.lit(1))).when(retrying, F.col("attempts")).otherwise(0).alias("attempts"),
-                         F.when(s == "P", "export").when(retrying, "processing").alias("stage"))
-
-
-@query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'decide duplicate' WHEN o_orderstatus = 'P' THEN 'review'
-WHEN o_orderstatus = 'O' AND errors > 0 THEN 'waiting for retry' WHEN o_orderstatus = 'O' THEN 'running' END AS action FROM orders LEFT JOIN ({_LEDGER}) ON l_orderkey = o_orderkey""")
-def next_action(spark, d):
-    s = F.col("o_orderstatus")
-    joined = t(spark, d, "orders").join(_ledger(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    action = F.when((s == "P") & (F.col("o_orderpriority") == "1-URGENT"), "decide duplicate").when(s == "P", "review")
-    return joined.select("o_orderkey", action.when((s == "O") & (F.col("errors") > 0), "waiting for retry").when(s == "O", "running").alias("action"))
-
-
 _STEPS = (("login", "NEW", "OPEN"), ("view", "OPEN", "OPEN"), ("click", "OPEN", "ACTIVE"), ("view", "ACTIVE", "ACTIVE"), ("click", "ACTIVE", "ACTIVE"),
           ("purchase", "ACTIVE", "DONE"), ("logout", "OPEN", "NEW"), ("logout", "ACTIVE", "NEW"), ("login", "DONE", "OPEN"))
 _SQL_STEPS = " ".join(f"WHEN split_part(x, '|', 1) || '|' || e = '{a}|{k}' THEN '{b}'" for k, a, b in _STEPS)
@@ -293,64 +247,21 @@ def mail_shapes(spark, d):
     return t(spark, d, "documents").select("doc_id", n.cast("long").alias("n_mails"))
 
 
-@query()
+_BREAKS = "address|article|blockquote|br|dd|div|dl|dt|footer|h1|h2|h3|h4|h5|h6|header|hr|li|ol|p|pre|section|table|td|th|tr|ul"
+
+
+@query(rf"""WITH s AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<title[^>]*>.*?</title\s*>|<!--.*?-->', '', 'g') AS x FROM pages),
+h AS (SELECT page_id, regexp_replace(x, '(?is)<head(\s[^>]*)?>.*?</head\s*>', '', 'g') AS x FROM s),
+b AS (SELECT page_id, regexp_replace(x, '(?i)</?({_BREAKS})(\s[^>]*)?/?>', chr(10), 'g') AS x FROM h), g AS (SELECT page_id, regexp_replace(x, '<[!/]?[a-zA-Z][^>]*>', '', 'g') AS x FROM b),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS x FROM g),
+l AS (SELECT page_id, list_filter(list_transform(string_split_regex(x, '\r\n|\r|\n'), lambda y: trim(regexp_replace(y, '[\s\p{{Z}}]+', ' ', 'g'))), lambda y: y <> '') AS ls FROM u)
+SELECT page_id, array_to_string(ls, chr(10)) AS text FROM l""")
 def html_text(spark, d):
-    """Visible text of pages, by an exact HTML parser; no SQL form."""
+    """Visible text of pages, by an exact HTML parser in Arrow batches, since Spark has none."""
     shown = F.pandas_udf(lambda s: s.map(lambda h: None if h is None else html_to_text(h)), T.StringType())
     return t(spark, d, "pages").select("page_id", shown("html").alias("text"))
 
 
-@query("""SELECT o_orderkey, count(l_orderkey) AS n_items, count(l_orderkey) > 5 AS too_many, length(any_value(o_orderpriority)) > 10 AS too_long
-FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1""")
-def payload_json(spark, d):
-    items = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    grouped = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("position"), F.lit(None).cast("string").alias("unit")))).alias("items"))
-    rows = t(spark, d, "orders").join(grouped, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    keep = {"ignoreNullFields": "false"}
-    body = F.when(F.col("items").isNull(), F.to_json(F.struct("o_orderkey", "o_orderpriority"), keep)).otherwise(F.to_json(F.struct("o_orderkey", "o_orderpriority", F.col("items").alias("lineItems")), keep))
-    n = F.coalesce(F.json_array_length(F.get_json_object("body", "$.lineItems")), F.lit(0)).cast("long")
-    return rows.withColumn("body", body).select("o_orderkey", n.alias("n_items"), (n > 5).alias("too_many"), (F.length(F.get_json_object("body", "$.o_orderpriority")) > 10).alias("too_long"))
-
-
-def _observed(spark, d):
-    """Labels as the expectation, a fixed rule on the text as the prediction."""
-    labels, docs = t(spark, d, "labels"), t(spark, d, "documents")
-    expected = F.when(F.col("quality") == 1, "found").otherwise("missing")
-    got = F.when(F.contains("text", F.lit("!!")), "missing").otherwise("found")
-    return docs.join(labels, "doc_id").select(
-        F.col("source").alias("field"), expected.alias("expected_status"), got.alias("status"), F.col("lang").alias("expected_value"), F.col("lang").alias("value"), (F.col("n_chars") > 500).alias("grounded")
-    )
-
-
-_OBSERVED = """SELECT source AS field, quality = 1 AS ef, text NOT LIKE '%!!%' AS gf, n_chars > 500 AS gr FROM documents JOIN labels USING (doc_id)"""
-_METRICS = f"""SELECT field, round(100.0 * count(*) FILTER (ef AND gf) / nullif(count(*) FILTER (ef), 0), 2) AS found_accuracy,
-round(100.0 * count(*) FILTER (NOT ef AND NOT gf) / nullif(count(*) FILTER (NOT gf), 0), 2) AS missing_precision,
-round(100.0 * count(*) FILTER (NOT ef AND NOT gf) / nullif(count(*) FILTER (NOT ef), 0), 2) AS missing_recall,
-round(100.0 * count(*) FILTER (gr) / nullif(count(*) FILTER (gf), 0), 2) AS grounding_pass_rate,
-round(100.0 * count(*) FILTER (false) / nullif(count(*) FILTER (gf), 0), 2) AS false_found_rate, count(*) AS n, count(*) FILTER (gf) AS n_found
-FROM ({_OBSERVED}) GROUP BY 1"""
-
-
-@query(_METRICS)
-def eval_metrics(spark, d):
-    return intake.field_metrics(_observed(spark, d), "field")
-
-
-def _long(df):
-    return df.unpivot(["field"], ["found_accuracy", "missing_recall"], "metric", "value")
-
-
-@query(f"""WITH a AS ({_METRICS}), w AS (SELECT round(100.0 * count(*) FILTER (ef AND gf) / nullif(count(*) FILTER (ef), 0), 2) AS fa,
-round(100.0 * count(*) FILTER (NOT ef AND NOT gf) / nullif(count(*) FILTER (NOT ef), 0), 2) AS mr FROM ({_OBSERVED})),
-m AS (SELECT field, 'found_accuracy' AS metric, fa AS before, found_accuracy AS now FROM a, w UNION ALL SELECT field, 'missing_recall', mr, missing_recall FROM a, w)
-SELECT *, CASE WHEN now IS NULL THEN 'lost' ELSE 'worse' END AS reason FROM m WHERE before IS NOT NULL AND now IS NULL OR before - now > 5.0""")
-def eval_gate(spark, d):
-    """Each source against the whole corpus as the baseline."""
-    now = _long(intake.field_metrics(_observed(spark, d), "field"))
-    whole = _long(intake.field_metrics(_observed(spark, d).withColumn("field", F.lit("all")), "field")).drop("field")
-    return intake.gate(now.select("field", "metric").join(whole, "metric"), now)
-
-
 @query(f"SELECT DISTINCT doc_id FROM ({_GROUNDED})")
 def injection_semi(spark, d):
     return quotes_in_documents(spark, d).select("doc_id").distinct()
@@ -411,30 +322,37 @@ def permissions(spark, d):
     names = F.when(F.col("role") == "user", "guest").when(F.col("role") == "assistant", "clerk").when(F.col("role") == "system", "admin")
     rows = t(spark, d, "conversations").select("role").distinct().withColumn("actor", names)
     rows = rows.withColumn("action", F.explode(F.array(F.lit("requests.process"), F.lit("requests.ingest"), F.lit("users.invite"))))
-    return rows.select("role", "action", intake.permitted(rows, "actor", "action").alias("allowed"))
-
-
-@query("""SELECT doc_id, length(text) > 500 AS over_field, substr(trim(text), 1, 500) AS corrected FROM documents""")
-def correction_input(spark, d):
-    cut = F.nullif(F.substring(F.trim("text"), 1, 500), F.lit(""))
-    return t(spark, d, "documents").select("doc_id", (F.char_length("text") > 500).alias("over_field"), cut.alias("corrected"))
-
-
-@query("SELECT l_linenumber AS attempt, least(2 * CAST(pow(2, l_linenumber - 1) AS BIGINT), 60) AS delay_s, count(*) AS n FROM lineitem GROUP BY 1, 2")
-def retry_delay(spark, d):
-    delay = F.least(F.lit(2) * F.pow(F.lit(2), F.col("l_linenumber") - 1).cast("long"), F.lit(60))
-    return t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("attempt"), delay.cast("long").alias("delay_s")).agg(F.count("*").alias("n"))
-
-
-@query()
+    return rows.select("role", "action", requests.permitted(F.col("actor"), F.col("action")).alias("allowed"))
+
+
+#: Claims on every line: its second word, or a mail address or number of it, in turn; cited rightly, reversed, or elsewhere.
+CLAIM = {
+    "field_key": "CASE (doc_id + line) % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'quantity' ELSE 'company' END",
+    "status": "CASE WHEN (doc_id + 2 * line) % 7 = 0 THEN 'uncertain' WHEN (doc_id + line) % 17 = 0 THEN 'missing' ELSE 'found' END",
+    "segment_id": "CASE WHEN (3 * doc_id + line) % 19 = 0 THEN NULL WHEN (doc_id + 3 * line) % 11 = 0 THEN 'l0' ELSE concat('l', CAST(line AS STRING)) END",
+    "quote": "CASE WHEN (3 * doc_id + line) % 19 = 0 THEN NULL WHEN (doc_id + 5 * line) % 13 = 0 THEN concat('nicht ', text) WHEN (doc_id + line) % 23 = 0 THEN ' ' ELSE text END",
+}
+_CLAIMED = ", ".join(f"{e} AS {k}" for k, e in CLAIM.items())
+
+
+@query(rf"""WITH s AS (SELECT doc_id, i AS line, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+c AS (SELECT doc_id, line, text, {_CLAIMED} FROM s WHERE text <> ''),
+k AS (SELECT *, CASE field_key WHEN 'email' THEN nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[a-z]+', 0), '') WHEN 'quantity' THEN nullif(regexp_extract(text, '(^| )([0-9]+)( |$)', 2), '') ELSE string_split(text, ' ')[least(2, len(string_split(text, ' ')))] END AS value FROM c),
+n AS (SELECT *, replace(lower(trim(quote)), 'ß', 'ss') AS q, replace(lower(text), 'ß', 'ss') AS n, replace(lower(value), 'ß', 'ss') AS v, segment_id IS NULL AS bare FROM k),
+f AS (SELECT *, CASE field_key WHEN 'company' THEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(v) || '($|[^\p{{L}}\p{{N}}_])') WHEN 'email' THEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_.+-])' || regexp_escape(lower(value)) || '($|[^\p{{L}}\p{{N}}_.-]|\.$|\.[^\p{{L}}\p{{N}}_])') ELSE true END AS ok,
+CASE field_key WHEN 'email' THEN lower(value) WHEN 'quantity' THEN coalesce(nullif(ltrim(value, '0'), ''), CASE WHEN value IS NOT NULL THEN '0' END) ELSE value END AS shown FROM n),
+r AS (SELECT *, CASE WHEN status = 'missing' AND value IS NOT NULL THEN 'missing_with_value' WHEN status = 'missing' THEN '-' WHEN bare AND status = 'found' THEN 'no_evidence' WHEN bare THEN 'kept' WHEN value IS NULL AND status = 'found' THEN 'no_value' WHEN segment_id = 'l0' THEN 'unknown_segment' WHEN q = '' THEN 'empty_quote'
+WHEN NOT contains(n, q) THEN 'quote_not_in_segment' WHEN value IS NULL THEN 'kept' WHEN NOT ok THEN 'value_not_in_quote' WHEN line % 5 = 0 AND status = 'found' THEN 'ocr_only' ELSE 'normal' END AS rule FROM f)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, field_key, CAST(line AS INT) AS item_index, CASE WHEN rule IN ('ocr_only', 'normal') THEN shown WHEN rule = '-' THEN NULL ELSE value END AS value,
+CASE rule WHEN '-' THEN 'missing' WHEN 'kept' THEN status WHEN 'normal' THEN status WHEN 'ocr_only' THEN 'uncertain' ELSE 'unverified' END AS status,
+status AS model_status, CASE WHEN rule NOT IN ('-', 'kept', 'normal') THEN rule END AS reason, CASE WHEN rule <> '-' THEN segment_id END AS segment_id, CASE WHEN rule <> '-' THEN quote END AS quote FROM r""")
 def verified_claims(spark, d):
-    """The rule chain on claims made from the documents' own lines: right, cut and misplaced quotes; tested against a plain Python chain."""
-    segments = lines(t(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("l"), "line").alias("segment_id"), "text", (F.col("line") % 5 == 0).alias("ocr"))
+    """The rule chain on claims made from the documents' own lines."""
+    segments = lines(t(spark, d, "documents"))
     words = F.split("text", " ")
-    value = F.element_at(words, F.least(F.lit(2), F.size(words)))
-    claims = segments.select(
-        "document_id", F.lit("company").alias("field_key"), F.lit(None).cast("int").alias("item_index"), value.alias("value"),
-        F.when(F.crc32(F.col("text").cast("binary")) % 7 == 0, "uncertain").otherwise("found").alias("status"), F.when(F.crc32(F.col("text").cast("binary")) % 11 == 0, "l0").otherwise(F.col("segment_id")).alias("segment_id"),
-        F.when(F.crc32(F.col("text").cast("binary")) % 13 == 0, F.reverse("text")).otherwise(F.col("text")).alias("quote"),
-    )
-    return grounding.verify(claims, segments)
+    mail, count = F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[a-z]+", 0), F.regexp_extract("text", "(^| )([0-9]+)( |$)", 2)
+    claims = segments.select("doc_id", "line", "text", *(F.expr(e).alias(k) for k, e in CLAIM.items()))
+    value = F.when(F.col("field_key") == "email", F.nullif(mail, F.lit(""))).when(F.col("field_key") == "quantity", F.nullif(count, F.lit(""))).otherwise(F.element_at(words, F.least(F.lit(2), F.size(words))))
+    document = F.col("doc_id").cast("string").alias("document_id")
+    claims = claims.select(document, "field_key", F.col("line").cast("int").alias("item_index"), value.alias("value"), "status", "segment_id", "quote")
+    return grounding.verify(claims, segments.select(document, F.concat(F.lit("l"), "line").alias("segment_id"), "text", (F.col("line") % 5 == 0).alias("ocr")))

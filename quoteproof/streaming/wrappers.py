@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,47 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _held(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The rows of a folder of batches (with run and batch_id), or none where nothing is written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return like.limit(0).withColumn("run", F.lit(None).cast("string")).withColumn("batch_id", F.lit(None).cast("long"))
+    return spark.read.schema(like.schema.add("run", "string").add("batch_id", "long")).parquet(folder)
+
+
+def _drain(stream: DataFrame, each, checkpoint: str) -> None:
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _run(checkpoint: str) -> str:
+    """Names a query by its checkpoint, so that two queries' batches of one number are two."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def run_into(stream: DataFrame, transform, checkpoint: str, results: str, key: str) -> None:
+    """Drain what is there into a table, exactly once: a batch is one folder, which a repeat of it overwrites, and its keys
+    are those that no other batch holds. The results are the ledger, so nothing can fall between the two."""
+    run = _run(checkpoint)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        done = _held(batch.sparkSession, results, batch.select(key)).where(f"run != '{run}' or batch_id != {batch_id}")
+        transform(only_new(batch, done, key)).write.mode("overwrite").parquet(f"{results}/run={run}/batch_id={batch_id}")
+
+    _drain(stream, each, checkpoint)
+
+
 def run_once(stream: DataFrame, handle, checkpoint: str, ledger: str, key: str) -> None:
-    """Drain what is there. Each batch handles keys that the ledger lacks, writes results, then the ledger: repeats change nothing."""
+    """Drain what is there into an outward sink: ``handle(rows, batch_id)`` gets the keys that the ledger lacks, then they are
+    noted. After a crash between the two a batch is handled again, so the sink must be idempotent by the key."""
+    run = _run(checkpoint)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        empty = batch.select(key).limit(0)
-        done = spark.read.schema(empty.schema).parquet(ledger) if spark._jvm.org.apache.hadoop.fs.Path(ledger).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(ledger)) else empty
-        new = only_new(batch, done, key).persist()
+        new = only_new(batch, _held(batch.sparkSession, ledger, batch.select(key)), key).persist()
         handle(new, batch_id)
-        new.select(key).write.mode("append").parquet(ledger)
+        new.select(key).write.mode("append").parquet(f"{ledger}/run={run}/batch_id={batch_id}")
         new.unpersist()
 
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _drain(stream, each, checkpoint)
 
 
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

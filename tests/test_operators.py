@@ -1,14 +1,10 @@
-"""Verification rules row by row, review, lifecycle, readers, streaming and plans."""
-
-import io
-import zipfile
+"""Verification rules row by row, lifecycle, streaming and plans."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from quoteproof.operators import grounding, intake
 from quoteproof.schema import CLAIMS, SEGMENTS
-from quoteproof.sources import readers
 from quoteproof.streaming import wrappers
 
 RULES = [  # value, claimed, segment, quote -> status, reason
@@ -54,25 +50,6 @@ def test_pages_meet_without_gap(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_gate(spark):
-    before = spark.createDataFrame([("f", "found_accuracy", 90.0), ("f", "false_found_rate", 1.0), ("g", "found_accuracy", None), ("h", "found_accuracy", 50.0)], "field string, metric string, value double")
-    now = spark.createDataFrame([("f", "found_accuracy", 84.9), ("f", "false_found_rate", 6.0), ("g", "found_accuracy", 1.0), ("h", "found_accuracy", None)], "field string, metric string, value double")
-    assert {(r.field, r.metric, r.reason) for r in intake.gate(before, now).collect()} == {("f", "found_accuracy", "worse"), ("h", "found_accuracy", "lost")}
-
-
-def test_readers(spark):
-    mail = b"From: A <a@b.de>\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\nContent-Type: text/plain; charset=utf-8\n\nErste\n\n dritte  Zeile\n"
-    assert readers.parse_eml(mail)[1:] == [("eml-h-subject", "Grüße", None), ("eml-l1", "Erste", 1), ("eml-l3", "dritte Zeile", 3)]
-    assert readers.html_to_text("<head><title>t</title></head><p>a <b>b</b></p><script>x</script><br>c") == "a b\nc"
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("xl/workbook.xml", "<w/>")
-        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><row r="2"><c t="inlineStr"><is><t>Flansch</t></is></c><c><v>4.0</v></c></row></worksheet>')
-    files = spark.createDataFrame([("a.eml", bytearray(mail)), ("b.xlsx", bytearray(buffer.getvalue())), ("c.pdf", bytearray(b"%PDF-1.4")), ("d", bytearray(b"PK\x03\x04bad"))], "path string, content binary")
-    got = readers.segments(files).collect()
-    assert {(r.path, r.text) for r in got if r.kind == "xlsx"} == {("b.xlsx", "Flansch | 4")} and {r.error for r in got if r.path in "c.pdfd"} == {"unsupported"}
-
-
 def test_stream_is_idempotent(spark, tmp_path):
     spark.range(20).withColumnRenamed("id", "key").write.parquet(str(tmp_path / "in"))
     done = []
@@ -82,6 +59,15 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert done[0] == 20 and sum(done) == 20
 
 
+def test_stream_into_a_table_is_exactly_once(spark, tmp_path):
+    spark.range(30).select((F.col("id") % 10).alias("key"), "id").write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for attempt in ("a", "a", "b"):  # drained, nothing new, all of it again by another query whose first batch has the same number
+        stream = wrappers.file_stream(spark, str(tmp_path / "in"), "key long, id long")
+        wrappers.run_into(stream, lambda new: new.select("key", (F.col("id") * 2).alias("twice")), str(tmp_path / f"cp-{attempt}"), out, "key")
+        assert sorted(r.key for r in spark.read.parquet(out).collect()) == list(range(10))
+
+
 @pytest.mark.parametrize("name", ["status_summary", "latest_per_entity"])
 def test_plans_read_only_what_they_need(spark, name):
     import __spark_entry__ as entry
