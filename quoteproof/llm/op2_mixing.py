@@ -4,15 +4,16 @@ Training time runs from 0 to 1. Each source has a linear weight schedule; its in
 token demand, scaled so that it ends at the source's target. A source's documents stand in a fixed pseudo-random
 order (MD5 of doc_id) and fill that demand one after the other, the list twice if need be; inverting the demand at
 the middle of what a pass takes of a document gives its training position in that pass, and the mix is range-sorted by
-position, a row for each pass. The query has a row for each document, with the position of its first pass.
+position, a row for each pass. The query has a row for each document, with the positions of its two passes.
 
 Targets: weight shares of a budget, a source capped at ``most_repeats`` times its size, the excess shared out again
 by weight until none is above its cap (solved in one pass over the sources ordered by cap/weight).
 
 Null texts have size 0; a null source is a source of its own, ordered last; documents of size 0 are taken 0 times;
-repeated rows are rows of their own, ordered by (hash, doc_id, text hash); empty tables give empty results; other
-columns pass through and may have any name but those added here (_-prefixed, size, source_size, target, taken,
-position, passes, pass). At most one document a source is taken in part, which makes taken words equal the rounded target.
+repeated rows are rows of their own, ordered by (hash, doc_id, text hash); rows without doc_id are ordered by their text;
+empty tables give empty results. Other columns pass through; where one has the name of an added column, the added one's
+name gets an underscore at its end. At most one document a source is taken in part, which makes taken words equal the
+rounded target. Windows that run over sources alone see one row a source.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, load, text_or_empty
+from ._shared import SPACE, free_names, load, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -68,52 +69,64 @@ def _inverse(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - start) / F.when(slope == 0, F.lit(1.0)).otherwise(slope))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, position (of the first pass; null where nothing is taken) and
-    passes, an array of (pass, taken, position) for each pass that takes some of the document."""
-    rows = docs.withColumn("size", word_count()).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("_range", F.substring("_hash", 1, RANGES_HEX)).withColumn("_tie", F.xxhash64(text_or_empty()))
-    sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    by_range = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+#: What ``mix`` adds, in this order.
+ADDED = ("size", "source_size", "target", "taken", "position", "passes")
+
+
+def _mixed(docs: DataFrame, budget: float, weights, most_repeats: int, schedules) -> DataFrame:
+    """_row (all columns of ``docs``) with the columns ``ADDED``."""
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64(text_or_empty()).cast("string")))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count().alias("size"),
+        F.md5(known.cast("binary")).alias("_hash"), F.xxhash64(text_or_empty()).alias("_tie"),
+    ).withColumn("_range", F.substring("_hash", 1, RANGES_HEX))
+    sums = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
+    by_range = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_range), F.lit(0)))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), budget, weights, most_repeats)
-    of_source = F.col("_s.source").eqNullSafe(F.col("_t.source"))
-    starts = starts.alias("_s").join(targets.alias("_t"), of_source).select(
-        F.col("_s.source").alias("_source"), F.col("_range").alias("_own"), "_before", "source_size", "place", "target"
-    )
-    here = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "_tie")
+    targets = source_targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), budget, weights, most_repeats)
+    of_source = F.col("_source").eqNullSafe(F.col("source"))
+    starts = starts.join(targets, of_source).select(F.col("_source").alias("_of"), F.col("_range").alias("_own"), "_before", "source_size", "place", "target")
+    here = Window.partitionBy("_source", "_range").orderBy("_hash", "_id", "_tie")
     rows = rows.withColumn("_at", F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_own")))
+    rows = rows.join(starts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_own")))
     wanted = F.floor(F.col("target") + 0.5).cast("long")
     at, none = F.col("_before") + F.col("_at"), F.lit(0).cast("long")
+    start, end = (_by_place([s[k] for s in schedules], F.col("place")) for k in (0, 1))
 
     def of_pass(k: int) -> Column:
         return F.greatest(none, F.least(F.col("size"), wanted - k * F.col("source_size") - at))
 
-    taken = of_pass(0)
-    for k in range(1, most_repeats):
-        taken = taken + of_pass(k)
-    start, end = (_by_place([s[k] for s in schedules], F.col("place")) for k in (0, 1))
-
     def at_pass(k: int) -> Column:
         share = F.least((at + k * F.col("source_size") + of_pass(k) / 2.0) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
         return F.struct(F.lit(k).alias("pass"), of_pass(k).alias("taken"), _inverse(share, start, end).alias("position"))
 
+    taken = of_pass(0)
+    for k in range(1, most_repeats):
+        taken = taken + of_pass(k)
     passes = F.filter(F.array(*(at_pass(k) for k in range(most_repeats))), lambda p: p["taken"] > 0)
     out = rows.withColumn("taken", taken).withColumn("passes", passes).withColumn("position", F.get("passes", F.lit(0))["position"])
-    return out.select(*docs.columns, "size", "source_size", "target", "taken", "position", "passes")
+    return out.select("_row", *ADDED)
+
+
+def mix(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
+    """``docs`` with size, source_size, target, taken, position (of the first pass; null where nothing is taken) and
+    passes, an array of (pass, taken, position) for each pass that takes some of the document."""
+    names = free_names(docs.columns, list(ADDED))
+    return _mixed(docs, budget, weights, most_repeats, schedules).select("_row.*", *(F.col(c).alias(n) for c, n in zip(ADDED, names, strict=True)))
 
 
 def _sorted(mixed: DataFrame) -> DataFrame:
-    return mixed.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    order = [F.col("position").asc_nulls_last(), F.col("_row.doc_id")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def curriculum(docs: DataFrame, **how) -> DataFrame:
+def curriculum(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
     """The mix range-sorted by training position: a row for each pass, with what that pass takes; documents that are not
     taken stand once at the end, with null pass and position."""
-    mixed = mix(docs, **how).withColumn("_p", F.explode_outer("passes"))
-    taken = F.coalesce(F.col("_p.taken"), F.lit(0).cast("long"))
-    return _sorted(mixed.select(*docs.columns, "size", "source_size", "target", F.col("_p.pass").alias("pass"), taken.alias("taken"), F.col("_p.position").alias("position")))
+    mixed = _mixed(docs, budget, weights, most_repeats, schedules).withColumn("_p", F.explode_outer("passes"))
+    mixed = mixed.withColumn("pass", F.col("_p.pass")).withColumn("taken", F.coalesce(F.col("_p.taken"), F.lit(0).cast("long"))).withColumn("position", F.col("_p.position"))
+    added = ["size", "source_size", "target", "pass", "taken", "position"]
+    return _sorted(mixed).select("_row.*", *(F.col(c).alias(n) for c, n in zip(added, free_names(docs.columns, added), strict=True)))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -121,12 +134,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     range-sorted by training position, repeats at their own."""
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
     times = F.when(F.col("taken") == 0, 0).otherwise(F.greatest(whole, F.lit(0)))
-    copies = mix(docs).withColumn("_p", F.explode(F.slice("passes", F.lit(1), times)))
-    return _sorted(copies.withColumn("position", F.col("_p.position"))).select(*docs.columns)
+    copies = _mixed(docs, BUDGET, WEIGHTS, MOST_REPEATS, SCHEDULES).withColumn("_p", F.explode(F.slice("passes", F.lit(1), times)))
+    return _sorted(copies.withColumn("position", F.col("_p.position"))).select("_row.*")
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sorted(mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = _mixed(docs, BUDGET, WEIGHTS, MOST_REPEATS, SCHEDULES)
+    again = F.get("passes", F.lit(1))["position"].alias("second_position")
+    return _sorted(mixed.withColumn("_row", F.struct("_row.doc_id"))).select("_row.doc_id", "size", "source_size", "target", "taken", "position", again)
 
 
 ORACLE = """
@@ -151,10 +167,11 @@ WITH d AS (
 ), p AS (
   SELECT *, greatest(0, least(size, wanted - pos)) AS one, greatest(0, least(size, wanted - source_size - pos)) AS two FROM o
 ), q AS (
-  SELECT *, least((pos + one / CAST(2 AS DOUBLE)) / greatest(target, 1), 1) AS share,
+  SELECT *, least((pos + one / CAST(2 AS DOUBLE)) / greatest(target, 1), 1) AS share, least((pos + source_size + two / CAST(2 AS DOUBLE)) / greatest(target, 1), 1) AS share2,
     CASE place WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS a, CASE place WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS b FROM p
 )
 SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
-  CASE WHEN one + two > 0 THEN CASE WHEN a = b THEN share ELSE (sqrt(greatest(a * a + 2 * (b - a) * share, 0)) - a) / (b - a) END END AS position
+  CASE WHEN one + two > 0 THEN CASE WHEN a = b THEN share ELSE (sqrt(greatest(a * a + 2 * (b - a) * share, 0)) - a) / (b - a) END END AS position,
+  CASE WHEN two > 0 THEN CASE WHEN a = b THEN share2 ELSE (sqrt(greatest(a * a + 2 * (b - a) * share2, 0)) - a) / (b - a) END END AS second_position
 FROM q
 """

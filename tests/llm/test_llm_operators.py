@@ -148,20 +148,20 @@ def shared(sizes, weights, budget):
 
 
 def test_op2(spark, docs, empty):
-    got = op2.mix(docs.drop("size")).collect()
+    got = op2.mix(docs).collect()
     assert len(got) == len(ROWS)
     sources = sorted({r[3] for r in ROWS}, key=lambda s: (s is None, s or ""))
     sizes = [sum(len(words(r[1])) for r in ROWS if r[3] == s) for s in sources]
     want = dict(zip(sources, shared(sizes, [(5, 2, 1)[k % 3] for k in range(len(sources))], 1.5), strict=True))
     taken = collections.Counter()
     for r in got:
-        assert abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size and (r.position is None) == (r.taken == 0)
+        assert abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size_ and (r.position is None) == (r.taken == 0)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in sources) and sum(taken.values()) > 0
-    again = {(r.doc_id, r.taken) for r in op2.mix(docs.drop("size").repartition(3)).collect()}
+    again = {(r.doc_id, r.taken) for r in op2.mix(docs.repartition(3)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
-    assert op2.mix(empty.drop("size")).count() == 0
-    assert op2.mixed_documents(docs.drop("size")).columns == docs.drop("size").columns and op2.mixed_documents(docs.drop("size")).count() > 0
+    assert op2.mix(empty).count() == 0
+    assert op2.mixed_documents(docs).columns == docs.columns and op2.mixed_documents(docs).count() > 0
 
 
 def test_op2_second_passes(spark):
@@ -190,6 +190,35 @@ def test_op2_second_passes(spark):
     assert order == sorted(order) and all(r.position is None for r in got[len(order) :])
 
 
+def test_op2_positions_by_numeric_integration(spark, tmp_path):
+    """Positions against demand that is integrated step by step and inverted by looking it up; clashing names stay."""
+    rows = [(None if k % 50 == 3 else k, "w " * (1 + k % 5), (None, "b", "a")[k % 3], "mine", k) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, target string, size int")
+    got = op2.mix(frame).collect()
+    assert frame.columns == list(got[0].__fields__)[:5] and {"target_", "size_", "taken", "position", "passes"} <= set(got[0].__fields__)
+    assert all(r.target == "mine" and r["size"] is not None for r in got)
+    time = np.linspace(0, 1, 200_001)
+    middle = (time[1:] + time[:-1]) / 2
+    halves = collections.defaultdict(set)
+    for place, source in enumerate(("a", "b", None)):
+        first, last = op2.SCHEDULES[place]
+        given = np.concatenate([[0], np.cumsum((first + (last - first) * middle) / len(middle))])
+        own, target = [], next(r.target_ for r in got if r.source == source)
+        for r in got:
+            if r.source == source:
+                own += [(p.position, p.taken, r["size"]) for p in r.passes]
+                halves[source] |= {(r["size"], p.position > 0.5) for p in r.passes if len(r.passes) == 2}
+        own.sort()
+        at = 0
+        for position, taken, _ in own:
+            assert abs(position - np.interp((at + taken / 2) / target, given, time)) < 1e-4
+            at += taken
+        assert at == round(target)
+    assert any((k, True) in seen and (k, False) in seen for seen in halves.values() for k, _ in seen)  # repeats lie in the later half
+    query = op2.op2_curriculum_mix(spark, table(spark, frame.drop("size"), tmp_path)).collect()
+    assert sum(r.second_position is not None for r in query) == sum(len(r.passes) == 2 for r in got) > 0
+
+
 def test_op2_mixed_documents_in_order(spark):
     frame = spark.createDataFrame([(k, "w " * (1 + k % 7), "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
     placed = {(r.doc_id, p["pass"]): p.position for r in op2.mix(frame).collect() for p in r.passes[: int(r.taken / r.size + 0.5)]}
