@@ -24,7 +24,7 @@ from ._shared import SPACE, load, text_or_empty
 SAMPLES = 32
 #: Neighbouring doc_ids share a bucket of about so many bytes of text; at most so many buckets, since their first rows'
 #: ids (and nothing else) are broadcast.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 1 << 20
 MOST_BUCKETS = 1 << 16
 #: Quantiles of doc_id between which the buckets are spread evenly.
 KNOTS = 64
@@ -81,13 +81,13 @@ def version_fingerprints(texts: DataFrame, versions: dict[str, str], samples: in
     (text column: fingerprint column). The other columns name a row; equal rows become one."""
     rest = [c for c in texts.columns if c not in versions]
     terms = _weighted(texts, list(versions))
-    draws = [_draw(F.col("_term"), F.col("_ln"), k) for k in range(samples)]
-    least = terms.groupBy(*rest).agg(*(F.min(F.when(F.col("_v") == v, d)).alias(f"_s{v}_{k}") for v in range(len(versions)) for k, d in enumerate(draws)))
+    least = terms.groupBy(*rest, "_v").agg(*(F.min(_draw(F.col("_term"), F.col("_ln"), k)).alias(f"_s{k}") for k in range(samples)))
+    rows = least.groupBy(*rest).agg(*(F.max(F.when(F.col("_v") == v, F.col(f"_s{k}"))).alias(f"_s{v}_{k}") for v in range(len(versions)) for k in range(samples)))
 
     def joined(v: int) -> Column:
         return F.concat(*(F.coalesce(F.lpad(F.lower(F.hex(F.col(f"_s{v}_{k}").bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("")) for k in range(samples)))
 
-    return least.select(*rest, *(joined(v).alias(name) for v, name in enumerate(versions.values())))
+    return rows.select(*rest, *(joined(v).alias(name) for v, name in enumerate(versions.values())))
 
 
 def fingerprints(texts: DataFrame, key: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -159,13 +159,13 @@ def edited_documents(docs: DataFrame) -> DataFrame:
 def op1_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = edited_documents(load(spark, sf_dir, "documents"))
     texts = pairs.select(
-        "_bucket", "_nth", "_guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "_bucket", "_nth", "_guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("_sha"),
         "text", F.coalesce("edited", F.lit("")).alias("edited"),
     )
     found = version_fingerprints(texts, {"text": "fingerprint", "edited": "edited_fingerprint"})
     after = F.lead("fingerprint").over(Window.partitionBy("_bucket").orderBy("_nth"))
     return found.withColumn("_next", after).where("not _guest").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"),
     )
