@@ -32,7 +32,7 @@ PATTERNS = {
 PRIOR = 2.0
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
-#: Prefix sums go block by block, so that appending stays linear for texts with very many matches.
+#: Prefix sums go block by block: appending copies a block's numbers and, of the blocks before, the references.
 BLOCK = 256
 #: So many of the words that are too frequent to disclose anything are set aside before words are dealt out.
 FREQUENT = 1 << 15
@@ -46,17 +46,17 @@ _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 def _ends(lengths: Column) -> Column:
     """Running sums of an array of long."""
-    empty = F.array().cast("array<bigint>")
 
     def one(acc: Column, n: Column) -> Column:
         return F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all"))
 
     def block(acc: Column, k: Column) -> Column:
-        own = F.aggregate(F.slice(lengths, k, BLOCK), F.struct(acc["at"].alias("at"), empty.alias("all")), one)
-        return F.struct(own["at"].alias("at"), F.concat(acc["all"], own["all"]).alias("all"))
+        own = F.aggregate(F.slice(lengths, k, BLOCK), F.struct(acc["at"].alias("at"), F.array().cast("array<bigint>").alias("all")), one)
+        return F.struct(own["at"].alias("at"), F.concat(acc["all"], F.array(own["all"])).alias("all"))
 
     firsts = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(BLOCK))
-    return F.aggregate(firsts, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("all")), block, lambda acc: acc["all"])
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("all"))
+    return F.aggregate(firsts, start, block, lambda acc: F.flatten(acc["all"]))
 
 
 def spans(text: Column, kind: str, pattern: str) -> Column:

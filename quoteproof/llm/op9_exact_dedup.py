@@ -2,9 +2,10 @@
 
 Each scan task first folds the copies it meets itself (an open-addressing table of bounded size, which compares
 whole contents), so a group of copies sends one record for each task however large it is. The records are dealt by
-hash; each receiving task splits its share into spill files, by further hash bits, again and again until a file
-fits an open-addressing table, and compares complete contents there. Small class rows then meet the rows'
-(id, hash) pairs in a plain equi-join.
+hash; each receiving task folds its share into such a table, and where the distinct contents outgrow it splits them
+into spill files, by further bits of their SHA-256, again and again until each file's contents fit. Small class rows
+then meet the rows' (id, SHA-256) pairs in a plain equi-join, whose large partitions Spark may split. Spill files lie
+in the task's own folder: a lost task is run anew and makes them anew.
 
 Contents are equal when identical after deleting ``[\\x20\\x09-\\x0D]``; null counts as empty, so null, empty and
 blank texts form one class. Of a class the row with the most code points stays, then the smallest doc_id (null
@@ -17,6 +18,7 @@ import hashlib
 import os
 import pickle
 import tempfile
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,8 +31,8 @@ from ._shared import SPACE, SPACE_BYTES, load, text_or_empty
 TABLE_BYTES = 48_000_000
 #: Buckets that a spill makes of one file.
 FAN_OUT = 16
-#: Buckets are not split deeper than the hash has bits for; contents whose hashes agree wholly share a table.
-MOST_DEPTH = 12
+#: Four bits of the SHA-256 tell a bucket; contents that agree in all of them are compared in one table.
+MOST_DEPTH = 64
 
 RECORD = "h long, sha binary, content binary, n long, best_chars long, best_id long"
 CLASS = "sha binary, keep_id long, group_size long"
@@ -99,33 +101,36 @@ def _sent(table: ContentTable):
         yield _records(rows[start:end])
 
 
-def _bucket(h: int, depth: int) -> int:
-    """Other bits of the hash at each depth."""
-    return ((h & 0xFFFFFFFFFFFFFFFF) * 0x9E3779B97F4A7C15 >> (4 * depth + 8)) % FAN_OUT
+def _bucket(sha: bytes, depth: int) -> int:
+    """Other bits at each depth, and other ones than those by which rows are dealt out."""
+    byte = sha[31 - depth // 2]
+    return byte >> 4 if depth % 2 else byte & 15
 
 
-def _grace(rows, total: int, folder: str, depth: int, table_bytes: int):
-    """Classes of the rows: in one table if they fit, else bucket by bucket from spill files."""
-    if total <= table_bytes or depth >= MOST_DEPTH:
-        table = ContentTable()
-        for row in rows:
-            table.add(*row)
+def _grace(rows, folder: str, depth: int, table_bytes: int):
+    """Classes of the rows: in one table if their distinct contents fit, else bucket by bucket from spill files."""
+    rows, table = iter(rows), ContentTable()
+    for row in rows:
+        table.add(*row)
+        if table.bytes > table_bytes and table.used > 1 and depth < MOST_DEPTH:
+            break
+    else:
         yield from table.rows()
         return
     names = [os.path.join(folder, f"{depth}-{k}-{os.urandom(4).hex()}") for k in range(FAN_OUT)]
-    sizes = [0] * FAN_OUT
-    files = [open(n, "wb") for n in names]  # noqa: SIM115
+    files, filled = [open(n, "wb") for n in names], set()  # noqa: SIM115
     try:
-        for row in rows:
-            k = _bucket(row[0], depth)
+        for row in chain(table.rows(), rows):
+            table = None  # its rows are all that is still held
+            k = _bucket(row[1], depth)
             pickle.dump(tuple(row), files[k], protocol=5)
-            sizes[k] += len(row[2]) + 200
+            filled.add(k)
     finally:
         for f in files:
             f.close()
-    for name, size in zip(names, sizes, strict=True):
-        if size:
-            yield from _grace(_spilled(name), size, folder, depth + 1, table_bytes)
+    for k, name in enumerate(names):
+        if k in filled:
+            yield from _grace(_spilled(name), folder, depth + 1, table_bytes)
         os.unlink(name)
 
 
@@ -141,24 +146,9 @@ def _spilled(name: str):
 def _classes(table_bytes: int):
     def run(batches):
         with tempfile.TemporaryDirectory(prefix="grace-") as folder:  # this task's own; a lost task is run anew
-            held, size, spilling = [], 0, None
-
-            def stream():
-                yield from held
-                for b in spilling:
-                    yield from _rows(b)
-
-            batches = iter(batches)
-            for batch in batches:
-                for row in _rows(batch):
-                    held.append(row)
-                    size += len(row[2]) + 200
-                if size > table_bytes:
-                    spilling = batches
-                    break
-            source = stream() if spilling is not None else held
+            source = (row for batch in batches for row in _rows(batch))
             out: list[list] = []
-            for row in _grace(source, size if spilling is None else table_bytes + 1, folder, 0, table_bytes):
+            for row in _grace(source, folder, 0, table_bytes):
                 out.append(row)
                 if len(out) == 10_000:
                     yield _class_batch(out)

@@ -545,6 +545,135 @@ def test_op10(spark, docs, empty):
     assert op10.train(frame, known.limit(0)) is None and op10.graded(docs, None).where("not keep").count() == 0
 
 
+def graded_texts(rng, n):
+    """(text, grade): toxic ones hold one of two words, poor ones shout; good ones share some words of their own."""
+    syllables = ["an", "er", "on", "the", "is", "re", "ta", "li"]
+    for k in range(n):
+        text = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(20, 120))]
+        if k % 3 == 0:
+            text.insert(3, rng.choice(["idiot", "moron"]))
+        elif k % 3 == 1:
+            text = [w.upper() + "!!" for w in text]
+        elif rng.random() < 0.8:
+            text.insert(5, "therefore")
+        yield " ".join(text), k % 3
+
+
+def test_op10_maximum_of_the_likelihood():
+    """The fit against the cumulative-link likelihood in plain Python: its optimality conditions hold for every feature."""
+    import math
+
+    rng = random.Random(41)
+    texts, grades = zip(*graded_texts(rng, 240), strict=True)
+    rows = [sorted({int(f) for f in op10.features(t) if f % 97 == 0 or f in op10.word_features("idiot") or f in op10.word_features("therefore")}) for t in texts]
+    data = op10.Likelihood([np.array(r, dtype=np.int32) for r in rows], list(grades))
+    l1 = op10.L1 / math.sqrt(len(texts))
+    found, cuts = op10.optimum(data, l1)
+    weights = dict(zip(data.features.tolist(), found.tolist(), strict=True))
+    share = [grades.count(g) / len(grades) for g in range(3)]
+    cost = [min(4.0, 1 / (3 * x)) ** 0.5 for x in share]
+    mean = sum(cost[g] for g in grades) / len(grades)
+
+    def objective(w, t1, gap):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            s = sum(w[f] for f in r)
+            tail = [1.0, 1 / (1 + math.exp(t1 - s)), 1 / (1 + math.exp(t1 + math.exp(gap) - s)), 0.0]
+            total -= cost[g] / mean * math.log(tail[g] - tail[g + 1])
+        return total / len(rows) + op10.L2 / 2 * sum(x * x for x in w.values())
+
+    eps = 1e-5
+    for f, x in weights.items():
+        slope = (objective(weights | {f: x + eps}, *cuts) - objective(weights | {f: x - eps}, *cuts)) / (2 * eps)
+        assert abs(slope + math.copysign(l1, x)) < 0.15 * l1 if x else abs(slope) < 1.1 * l1, (f, x, slope)
+    for k in (0, 1):
+        up, down = list(cuts), list(cuts)
+        up[k] += eps
+        down[k] -= eps
+        assert abs(objective(weights, *up) - objective(weights, *down)) / (2 * eps) < 0.15 * l1
+    assert min(weights.values()) < 0 < max(weights.values())  # weights of both signs
+
+
+def test_op10_names_and_bounds(spark):
+    rng = random.Random(42)
+    rows = [(k, t, "mine", k) for k, (t, _) in enumerate(graded_texts(rng, 300))]
+    frame = spark.createDataFrame([*rows, *rows[:50], (None, None, "mine", 0)], "doc_id long, text string, keep string, p_good int")
+    known = spark.createDataFrame([(k, int(k % 3 != 1), int(k % 3 == 0)) for k in range(200)] + [(0, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = op10.train(frame, known)
+    got = op10.graded(frame, model)
+    assert got.columns == [*frame.columns, "expected_grade", "p_harmless", "p_good_", "keep_"] and got.where("keep != 'mine'").count() == 0
+    kept = op10.keep_good(frame, model)
+    assert kept.columns == frame.columns and sorted(map(str, kept.collect())) == sorted(map(str, got.where("keep_").select(*frame.columns).collect())) and 0 < kept.count() < frame.count()
+    collected = []
+    op10_fit, op10.fit = op10.fit, lambda texts, grades: collected.append(texts)
+    try:
+        op10.train(frame, known, sample_rows=5)
+        op10.train(frame, known, sample_bytes=3000)
+        op10.train(frame, known, sample_bytes=0)
+    finally:
+        op10.fit = op10_fit
+    assert len(collected) == 2 and len(collected[0]) == 5 and 0 < sum(len(t.encode()) for t in collected[1]) <= 3000
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Every stage on what the one before kept, against plain Python (the trained weights are the operator's own)."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(43), []
+    for k, (t, _) in enumerate(graded_texts(rng, 330)):
+        rows.append((k, t if k % 3 < 2 else t * (1 + k % 2), "en", ("a", "b", None)[k % 3 if k % 5 else 0], len(t)))
+    good = [r for r in rows if r[0] % 3 == 2]
+    rows += [(1000 + r[0], f" {r[1]}\n", *r[2:]) for r in good[:30]] + [(2000 + r[0], r[1] + " Extra", *r[2:]) for r in good[20:60]] + [(None, "no id at all", "en", "b", 1), (900, None, None, None, None), (901, "", "en", "a", 0)]
+    rng.shuffle(rows)
+    folder = table(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), tmp_path)
+    table(spark, spark.createDataFrame([(k, int(k % 3 != 1), int(k % 3 == 0)) for k in range(0, 330, 2)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    docs, outs = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        docs.write.parquet(str(tmp_path / f"s-{name}"))
+        docs = spark.read.parquet(str(tmp_path / f"s-{name}"))
+        outs[name] = [tuple(r) for r in docs.collect()]
+    model = op10.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    kept = [r for r in rows if model.tails(model.score(r[1] or ""))[1] >= op10.KEEP_AT]
+    assert sorted(map(str, outs["quality"])) == sorted(map(str, kept)) and 0 < len(kept) < len(rows)
+    groups = collections.defaultdict(list)
+    for r in kept:
+        groups[re.sub("[\x20\x09-\x0d]", "", r[1] or "")].append(r)
+    one = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert sorted(map(str, outs["exact_dedup"])) == sorted(map(str, one)) and len(one) < len(kept)
+    comp = plain_components(plain_sets([r[:2] for r in one if r[0] is not None]))
+    left = [r for r in one if r[0] is None or comp[r[0]] == r[0]]
+    assert sorted(map(str, outs["near_dedup"])) == sorted(map(str, left)) and len(left) < len(one)
+    size = {str(r): len(words(r[1])) for r in left}
+    sources = sorted({r[3] for r in left}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size[str(r)] for r in left if r[3] == s) for s in sources]
+    mixed = collections.Counter(map(str, outs["mixing"]))
+    assert set(mixed) <= set(size) and max(mixed.values()) == 2
+    for s, want in zip(sources, shared(sizes, [(5, 2, 1)[k % 3] for k in range(len(sources))], 1.5), strict=True):
+        have = sum(mixed[str(r)] * size[str(r)] for r in left if r[3] == s)
+        assert abs(have - want) <= max(size.values())  # one document is taken in part, and so wholly or not
+    enc, pieces = encoder(tokenizer_path(op7.TOKENIZER)).library, [r.asDict() for r in docs.collect()]
+    want = collections.Counter()
+    for r in outs["mixing"]:
+        ids = [*enc.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        for k, stop in enumerate(range(first, len(ids) + 1, 2048)):
+            start = 0 if k == 0 else stop - 2048
+            want[r[0], k, start, stop - start, zlib.crc32(np.asarray(ids[start:stop], "<u4").tobytes())] += 1
+    assert collections.Counter((p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in pieces) == want
+    bins = collections.defaultdict(list)
+    for p in pieces:
+        bins[p["sequence_id"]].append((p["offset"], p["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-sum(p["length"] for p in pieces) // 2048) + 1
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
