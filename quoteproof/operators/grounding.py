@@ -113,3 +113,32 @@ def review_summary(reviewed: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin("uncertain", "unverified") & ~F.col("corrected")).alias("attention"),
         (F.lit(len(HEADER_KEYS)) - with_value).alias("missing"),
     )
+
+
+#: Quotes without an inner word are compared directly, if there are at most so many; more of them need a key of their own.
+MOST_KEYLESS = 10_000
+
+
+def quoted_in(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
+    """``docs`` (with a folded ``text``) beside each item whose folded ``quote`` stands in it, once.
+
+    A quote's inner words are whole words of any text that holds it, so the longest of them is an equi-join key: words
+    are kept only if some quote has them (a semi-join before anything else is shuffled), and only the pairs that meet
+    get their texts back. Quotes of one or two words have no inner word. These few are counted, refused above
+    ``MOST_KEYLESS`` (so that what is broadcast has a bound), and looked for in each text as it is scanned.
+    """
+    words = F.split("quote", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    keyed = items.withColumn("_key", F.array_max(inner)["w"])
+    keyless = keyed.where("_key is null").select(item_key, "quote")
+    n = keyless.limit(MOST_KEYLESS + 1).count()
+    if n > MOST_KEYLESS:
+        raise ValueError(f"more than {MOST_KEYLESS} quotes of one or two words")
+    wanted = keyed.where("_key is not null").select(item_key, "quote", "_key")
+    own = docs.select(doc_key, F.explode(F.array_distinct(F.split("text", " "))).alias("_key"))
+    met = own.join(wanted.select("_key").distinct(), "_key", "left_semi").join(wanted.select(item_key, "_key"), "_key").select(doc_key, item_key)
+    found = met.join(docs, doc_key).join(wanted.select(item_key, "quote"), item_key).where(F.contains("text", "quote")).drop("text", "quote")
+    if n:
+        short = docs.join(F.broadcast(keyless), F.contains("text", "quote")).drop("text", "quote")
+        found = found.unionByName(short)
+    return found.dropDuplicates([doc_key, item_key])

@@ -24,11 +24,17 @@ def filtered(rows: DataFrame, **wanted) -> DataFrame:
 
 
 def first_earlier(rows: DataFrame, id_col: str, order: list[str], keys: list[Column]) -> DataFrame:
-    """For each row the earliest earlier row that shares one of the keys: a union of key spaces, not a join with OR."""
+    """For each row the earliest earlier row that shares one of the keys: a union of key spaces, not a join with OR.
+
+    The earliest row of a key is that of all its rows but itself, so a key needs only its least row, which is found before
+    the shuffle; the join that follows may be split where one key holds many rows.
+    """
     spaces = [rows.select(F.col(id_col).alias("_id"), F.struct(*order).alias("_o"), F.lit(k).alias("_space"), key.cast("string").alias("_key")) for k, key in enumerate(keys)]
-    every = reduce(DataFrame.union, spaces).where("_key is not null")
-    before = Window.partitionBy("_space", "_key").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    seen = every.withColumn("_first", F.min(F.struct("_o", "_id")).over(before)).groupBy("_id").agg(F.min("_first").alias("_first"))
+    every = reduce(DataFrame.union, spaces)
+    least = every.where("_key is not null").groupBy("_space", "_key").agg(F.min(F.struct("_o", "_id")).alias("_first"))
+    met = every.join(least, ["_space", "_key"], "left")
+    earlier = F.when((F.col("_first._o") < F.col("_o")) | ((F.col("_first._o") == F.col("_o")) & (F.col("_first._id") < F.col("_id"))), F.col("_first"))
+    seen = met.groupBy("_id").agg(F.min(earlier).alias("_first"))
     return seen.select(F.col("_id").alias(id_col), F.col("_first._id").alias("duplicate_of"))
 
 

@@ -34,22 +34,10 @@ def line_segments(spark, d):
 
 
 def quotes_in_documents(spark, d) -> DataFrame:
-    """Which benchmark quotes stand in which document.
-
-    A quote's inner words are whole words of any text that holds it, so the longest of them is an equi-join key, and
-    only documents with that word are searched for the quote. Quotes of one or two words have none; those few are
-    searched for in each document.
-    """
+    """Which benchmark quotes stand in which document; see ``grounding.quoted_in``."""
     docs = t(spark, d, "documents").select("doc_id", "lang", values.lower_folded(F.col("text")).alias("text"))
     items = t(spark, d, "benchmark").select("item_id", values.lower_folded(F.col("text")).alias("quote")).where("quote != ''")
-    words = F.split("quote", " ")
-    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
-    items = items.withColumn("key", F.array_max(inner)["w"])
-    own = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
-    met = own.join(items.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id")
-    met = met.join(docs, "doc_id").join(items.select("item_id", "quote"), "item_id").where(F.contains("text", "quote"))
-    short = docs.join(items.where("key is null"), F.contains("text", "quote"))
-    return met.select("doc_id", "lang", "item_id").union(short.select("doc_id", "lang", "item_id")).distinct()
+    return grounding.quoted_in(docs, items, "doc_id", "item_id").select("doc_id", "lang", "item_id")
 
 
 _FOLDED = r"replace(lower(trim(regexp_replace({0}, '\s+', ' ', 'g'))), 'ß', 'ss')"
