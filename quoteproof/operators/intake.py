@@ -78,3 +78,8 @@ def islands(rows: DataFrame, key: str, n: str) -> DataFrame:
 def violations(rules: list[tuple[str, DataFrame]]) -> DataFrame:
     """rule, violations: each rule is the DataFrame of rows that break it."""
     return reduce(DataFrame.union, (df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, df in rules))
+
+
+def set_fingerprint(hashes: str) -> Column:
+    """An aggregate: the SHA-256 of a group's distinct hashes, sorted, a line each."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_set(hashes)), "\n").cast("binary"), 256)

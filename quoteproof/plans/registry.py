@@ -16,9 +16,6 @@ from quoteproof.plans import application  # noqa: F401  registers its queries
 from quoteproof.plans.base import ORACLES, QUERIES, query, t
 from quoteproof.sources.readers import html_to_text
 
-#: Event types of the supplied stream, as the fixed key list of review summaries and the steps of the status fold.
-EVENT_TYPES = ("click", "login", "logout", "purchase", "view")
-
 
 def lines(docs: DataFrame) -> DataFrame:
     """Non-empty lines with their 1-based number, empty ones counted."""
@@ -110,28 +107,6 @@ def latest_with_items(spark, d):
     return joined.groupBy("o_custkey", "o_orderkey").agg(F.count("l_orderkey").alias("n_items"), F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("quantity"))
 
 
-@query("""WITH b AS (SELECT user_id, event_type, arg_min(value, event_id) AS base, min(event_id) AS first_id FROM events GROUP BY 1, 2),
-c AS (SELECT user_id, event_type, arg_max(value, event_id) AS corr, max(event_id) AS last_id FROM events GROUP BY 1, 2)
-SELECT user_id, event_type, CASE WHEN last_id > first_id THEN corr ELSE base END AS reviewed_value, last_id > first_id AS corrected FROM b JOIN c USING (user_id, event_type)""")
-def corrections_overlay(spark, d):
-    ev = t(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("field_key"), F.lit(None).cast("int").alias("item_index"), "event_id", "value")
-    first = ev.groupBy("request_id", "field_key").agg(F.min(F.struct("event_id", "value")).alias("f"))
-    fields = first.select("request_id", "field_key", F.lit(None).cast("int").alias("item_index"), F.col("f.value").alias("value"), F.col("f.event_id").alias("run_created_at"))
-    later = ev.join(first.select("request_id", "field_key", F.col("f.event_id").alias("_f")), ["request_id", "field_key"]).where("event_id > _f")
-    corrections = later.select("request_id", "field_key", "item_index", F.col("value").alias("new_value"), F.col("event_id").alias("created_at"), F.col("event_id").alias("id"))
-    return grounding.overlay(fields, corrections).select(F.col("request_id").alias("user_id"), F.col("field_key").alias("event_type"), "reviewed_value", "corrected")
-
-
-@query(f"""SELECT user_id, {len(EVENT_TYPES)} - count(DISTINCT event_type) FILTER (event_type IN {EVENT_TYPES}) AS missing,
-count(*) FILTER (event_type = 'purchase') AS attention, max(CASE WHEN event_type = 'login' THEN ts END) AS last_login FROM events GROUP BY 1""")
-def review_summary(spark, d):
-    e = F.col("event_type")
-    return t(spark, d, "events").groupBy("user_id").agg(
-        (F.lit(len(EVENT_TYPES)).cast("long") - F.countDistinct(F.when(e.isin(*EVENT_TYPES), e))).alias("missing"),
-        F.count_if(e == "purchase").alias("attention"), F.max(F.when(e == "login", F.col("ts"))).alias("last_login"),
-    )
-
-
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey
 ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 WHEN 'P' THEN 1 ELSE 0 END DESC, o_orderkey) = 1""")
 def rank_merge(spark, d):
@@ -156,12 +131,6 @@ def duplicate_flags(spark, d):
     return intake.first_earlier(docs, "doc_id", ["doc_id"], keys)
 
 
-@query("""SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT DISTINCT conv_id, sha256(text) AS h FROM conversations) GROUP BY 1""")
-def fingerprint_sets(spark, d):
-    hashes = F.array_join(F.array_sort(F.collect_set(F.sha2(F.col("text").cast("binary"), 256))), "\n")
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(hashes.cast("binary"), 256).alias("fingerprint"))
-
-
 @query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_name, c_custkey")
 def members_users(spark, d):
     joined = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -296,13 +265,6 @@ def audit_last(spark, d):
     return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
 
 
-@query("""SELECT conv_id, string_agg('[' || turn || '] ' || regexp_replace(text, '(?i)<\\s*/?\\s*document\\b[^>]*>', '[delimiter removed]', 'g'), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1""")
-def rendered_prompt(spark, d):
-    safe = F.regexp_replace("text", r"(?i)<\s*/?\s*document\b[^>]*>", "[delimiter removed]")
-    turns = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.col("turn"), F.lit("] "), safe).alias("s"))))
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["s"]), "\n").alias("prompt"))
-
-
 @query("""SELECT role, action, CASE WHEN role = 'user' THEN action = 'requests.process' WHEN role = 'assistant' THEN action IN ('requests.process', 'requests.ingest')
 WHEN role = 'system' THEN true ELSE false END AS allowed FROM (SELECT DISTINCT role FROM conversations), (VALUES ('requests.process'), ('requests.ingest'), ('users.invite')) v(action)""")
 def permissions(spark, d):
