@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import blocks
-from ._shared import SPACE_BYTES, discard, likely, load, materialise, text_or_empty
+from ._shared import SPACE_BYTES, discard, free_names, likely, load, materialise, text_or_empty
 
 N = 5
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -665,8 +665,9 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, most_pairs: int =
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose component has a smaller doc_id; rows without doc_id stay."""
-    dropped = near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone,) = free_names(docs.columns, ["_gone"])
+    dropped = near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ from ._shared import load, materialise, text_or_empty
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 2048
 END_ID = 0
-#: Prefix sums of ranks go over so many hash ranges of the pieces of one length.
-RANGES = 256
+#: Prefix sums of ranks go over hash ranges of the pieces of one length: about one for so many pieces, within bounds.
+RANGE_PIECES, RANGES = 200_000, (256, 1 << 16)
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -123,7 +123,8 @@ def pack(cut: DataFrame, most: int = SEQUENCE) -> DataFrame:
         runs = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*table, strict=True)], names=["_l", "_from", "_to", "_base", "offset"]))
     else:
         runs = spark.createDataFrame([], schema)
-    ranged = cut.withColumn("_range", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANGES)))
+    ranges = min(max(RANGES[0], sum(histogram.values()) // RANGE_PIECES), RANGES[1])
+    ranged = cut.withColumn("_range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)))
     sums = ranged.groupBy("length", "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("length").alias("_length"), F.col("_range").alias("_own"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

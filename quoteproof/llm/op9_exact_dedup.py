@@ -198,16 +198,12 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose content another row keeps."""
+    """``docs`` without the rows whose content another row keeps; whatever their other columns are called."""
     found = classes(docs).select(F.col("sha").alias("_class"), F.col("keep_id").alias("_keep"))
-    one = Window.partitionBy("_sha", "doc_id").orderBy(F.char_length(text_or_empty()).desc())
-    return (
-        docs.withColumn("_sha", normal_sha())
-        .join(found, (F.col("_sha") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
-        .withColumn("_nth", F.row_number().over(one))
-        .where("_nth = 1")
-        .select(*docs.columns)
-    )
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.char_length(text_or_empty()).alias("_chars"), normal_sha().alias("_sha"))
+    one = Window.partitionBy("_sha", "_id").orderBy(F.col("_chars").desc())
+    met = rows.join(found, (F.col("_sha") == F.col("_class")) & F.col("_id").eqNullSafe(F.col("_keep")))
+    return met.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -545,6 +545,32 @@ def test_op10(spark, docs, empty):
     assert op10.train(frame, known.limit(0)) is None and op10.graded(docs, None).where("not keep").count() == 0
 
 
+MESSY = "doc_id long, text string, _row string, base string, terms int, length string, piece string, start string, sha string, kept string, _sha string, _gone int, sig int, `key` string, `a.b` int"
+
+
+def test_messy_tables(spark, tmp_path):
+    """Null ids, repeated rows, null and empty texts, and columns with the operators' own names: every row counts, none crashes."""
+    texts = ["mail a@b.org or 10.0.0.1 now", "mail a@b.org  or 10.0.0.1 now", None, "", "one two three four five six", "one two three four five six"]
+    rows = [(i, t, "r", "b", 1, "l", "p", "s", "h", "k", "x", 1, 2, "y", 3) for i, t in zip([None, 1, None, 2, None, 3], texts, strict=True)]
+    rows += [rows[4], rows[5]]
+    frame = spark.createDataFrame(rows, MESSY)
+    folder = table(spark, frame, tmp_path / "d")
+    for query in (op1.op1_weighted_samples, op3.op3_disclosure_spans, op4.op4_prefix_token_counts, op6.op6_partenum_join, op8.op8_framed_records, op9.op9_exact_dedup):
+        assert collections.Counter(r.doc_id for r in query(spark, folder).collect()) == collections.Counter(r[0] for r in rows), query
+    spans = {(r.doc_id, r.spans) for r in op3.op3_disclosure_spans(spark, folder).collect()}
+    assert {(None, "email:5:12,ip:16:24"), (1, "email:5:12,ip:17:25")} <= {(i, ",".join(x for x in s.split(",") if not x.startswith("term"))) for i, s in spans}
+    packed = op7.packed(frame, tokenizer_path(op7.TOKENIZER), most=8).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows) and all(r.length <= 8 for r in packed)
+    groups = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in op9.exact_groups(frame).collect()}
+    assert groups == {(None, 1, 2, False), (1, 1, 2, True), (None, 2, 2, False), (2, 2, 2, True), (None, 3, 4, False), (3, 3, 4, True), (3, 3, 4, False)}
+    left = op9.drop_copies(frame)
+    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3] and {r["_sha"] for r in left.collect()} == {"x"}
+    one = op6.one_of_each(frame)
+    assert one.columns == frame.columns and one.count() == len(rows)  # equal rows have one id
+    clean = op3.sanitise(frame)
+    assert clean.where("text like '%[EMAIL]%[IP]%'").count() == 2 and clean.count() == len(rows)
+
+
 def graded_texts(rng, n):
     """(text, grade): toxic ones hold one of two words, poor ones shout; good ones share some words of their own."""
     syllables = ["an", "er", "on", "the", "is", "re", "ta", "li"]
