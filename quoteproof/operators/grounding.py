@@ -79,10 +79,11 @@ def status_rank(status: Column) -> Column:
     return out
 
 
-def rank_merge(rows: DataFrame, keys: list[str], rank: Column, position: list[Column]) -> DataFrame:
-    """The best-ranked row of each key; the first document wins ties."""
+def rank_merge(rows: DataFrame, keys: list[str], rank: Column, position: list[Column], source: str | None = None) -> DataFrame:
+    """The best-ranked row of each key; the first document wins ties. Where all are of rank 0 no document is the source."""
     order = Window.partitionBy(*keys).orderBy(rank.desc(), *position)
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    best = rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return best if source is None else best.withColumn(source, F.when(rank > 0, F.col(source)))
 
 
 def renumber(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

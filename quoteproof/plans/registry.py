@@ -107,12 +107,14 @@ def latest_with_items(spark, d):
     return joined.groupBy("o_custkey", "o_orderkey").agg(F.count("l_orderkey").alias("n_items"), F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("quantity"))
 
 
-@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey
-ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 WHEN 'P' THEN 1 ELSE 0 END DESC, o_orderkey) = 1""")
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'missing' WHEN o_orderstatus = 'F' THEN 'found' WHEN o_orderstatus = 'O' THEN 'uncertain' ELSE 'unverified' END AS status FROM orders)
+SELECT o_custkey, CASE WHEN status <> 'missing' THEN o_orderkey END AS o_orderkey, status FROM f
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE status WHEN 'found' THEN 3 WHEN 'uncertain' THEN 2 WHEN 'unverified' THEN 1 ELSE 0 END DESC, o_orderkey) = 1""")
 def rank_merge(spark, d):
     s = F.col("o_orderstatus")
-    rank = F.when(s == "F", 3).when(s == "O", 2).when(s == "P", 1).otherwise(0)
-    return grounding.rank_merge(t(spark, d, "orders"), ["o_custkey"], rank, [F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
+    status = F.when(F.col("o_custkey") % 4 == 0, "missing").when(s == "F", "found").when(s == "O", "uncertain").otherwise("unverified")
+    rows = t(spark, d, "orders").select("o_custkey", "o_orderkey", status.alias("status"))
+    return grounding.rank_merge(rows, ["o_custkey"], grounding.status_rank(F.col("status")), [F.col("o_orderkey")], "o_orderkey")
 
 
 @query("""WITH i AS (SELECT DISTINCT o_custkey, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
