@@ -8,7 +8,7 @@ the bound, so that the agreeing subset may be taken to be non-empty; sets with t
 which keeps the join exact.
 
 Equal sets are one class, which its smallest doc_id stands for. A signature's documents (its bucket) are not paired
-off. Each is compared with the first of its bucket (one row a document), links make components, and only buckets that
+off; documents that meet within a block of a task are linked to the first of them, which alone is sent on. Each is compared with the first of its bucket (one row a document), links make components, and only buckets that
 still hold several components compare documents of different ones, of any two components the nearest first. Before
 the exact comparison, parity sketches (bits that every difference flips) discard pairs whose sketches already differ
 too much, which is again exact. Where a bucket is large, its members of the commonest component and the others are
@@ -44,7 +44,7 @@ BAND = 125
 SIG_BYTES = 7
 #: They are dealt out in so many shares, one after the other, so that only one share's shuffle is on disk at a time.
 DEALS = 4
-#: So many bytes of them are sorted at a time, so that documents that meet within a task send a signature once.
+#: So many bytes of them are made into rows at a time.
 DEAL_BYTES = 4 << 20
 SHARES = [f"sigs{k}" for k in range(DEALS)]
 #: Keys of classes that a task remembers in order to send the signatures of a class once; more of them start it anew.
@@ -280,27 +280,54 @@ def _texts(batches):
             yield ids[a:b], block_shingles(texts[a:b])
 
 
+def _met_within(ids: list[int], signed: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Of a block's documents: the signatures that each is the first to have, and its (signature, first document) pairs for
+    those that several have. What a document does not send itself is thus linked to the one that sends it."""
+    sigs = np.concatenate([*signed, np.zeros(0, np.uint64)])
+    sizes = [len(x) for x in signed]
+    docs = np.repeat(np.array(ids, dtype=np.int64), sizes)
+    order = np.argsort(sigs, kind="stable")
+    starts = np.ones(len(sigs), dtype=bool)
+    starts[1:] = sigs[order][1:] != sigs[order][:-1]
+    first, hub, several = np.zeros(len(sigs), dtype=bool), np.zeros(len(sigs), dtype=np.int64), np.zeros(len(sigs), dtype=bool)
+    if len(sigs):
+        at, group = np.flatnonzero(starts), np.cumsum(starts) - 1
+        first[order] = starts
+        hub[order] = docs[order][at][group]
+        several[order] = (np.diff(np.append(at, len(sigs))) > 1)[group]
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
+    own, met = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        shared = several[a:b]
+        own.append(sigs[a:b][first[a:b]])
+        met.append(np.stack([sigs[a:b][shared].view(np.int64), hub[a:b][shared]], axis=1).tobytes())
+    return own, met
+
+
 def _profiles(batches):
     """A row for each document. Of a class's documents in a task only the first has signatures; those without doc_id have none."""
     seen: set[bytes] = set()
     for ids, sets in _texts(batches):
-        keys, sender = [_key(s) for s in sets], []
-        for doc, s, key in zip(ids, sets, keys, strict=True):
-            sender.append(doc is not None and len(s) > 0 and key not in seen)
-            if sender[-1]:
+        keys, senders = [_key(s) for s in sets], []
+        for k, (doc, s, key) in enumerate(zip(ids, sets, keys, strict=True)):
+            if doc is not None and len(s) and key not in seen:
+                senders.append(k)
                 seen.add(key)
-        signed = iter(block_signatures([s for s, mine in zip(sets, sender, strict=True) if mine]))
-        sigs = [next(signed) if mine else None for mine in sender]
-        shares = [[None if x is None else packed_signatures(x[x % _U64(DEALS) == _U64(k)]) for x in sigs] for k in range(DEALS)]
+        own, met = _met_within([ids[k] for k in senders], block_signatures([sets[k] for k in senders]))
+        columns: list[list[bytes | None]] = [[None] * len(ids) for _ in range(DEALS + 1)]
+        for k, sigs, pairs in zip(senders, own, met, strict=True):
+            columns[0][k] = pairs
+            for share in range(DEALS):
+                columns[1 + share][k] = packed_signatures(sigs[sigs % _U64(DEALS) == _U64(share)])
         if len(seen) > SEEN_KEYS:
             seen.clear()
         sketches = block_sketches(sets)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()),
-                pa.array([short(len(s), x) for s, x in zip(sets, sketches, strict=True)], pa.binary()), *(pa.array(x, pa.binary()) for x in shares),
+                pa.array([short(len(s), x) for s, x in zip(sets, sketches, strict=True)], pa.binary()), *(pa.array(x, pa.binary()) for x in columns),
             ],
-            names=["doc_id", "n", "key", "sketch", "short", *SHARES],
+            names=["doc_id", "n", "key", "sketch", "short", "met", *SHARES],
         )
 
 
@@ -310,46 +337,32 @@ def _key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _runs(batches):
-    """(signatures, documents, is first of its signature), in sorted runs of bounded size, from rows (doc_id, packed signatures...)."""
-
-    def run(ids, raws):
-        sigs = unpacked_signatures(b"".join(raws))
-        docs = np.repeat(np.array(ids, dtype=np.int64), [len(r) // SIG_BYTES for r in raws])
-        order = np.argsort(sigs)
-        sigs, docs = sigs[order], docs[order]
-        first = np.ones(len(sigs), dtype=bool)
-        first[1:] = sigs[1:] != sigs[:-1]
-        return sigs, docs, first
-
+def _packed(batches, width: int):
+    """(documents, numbers of packed bytes each, the bytes) in runs of bounded size, from rows (doc_id, packed)."""
     for batch in batches:
         ids, raws, size = [], [], 0
-        for doc, *own in zip(*batch.columns, strict=True):
-            for raw in own:
-                ids.append(doc.as_py())
-                raws.append(raw.as_py())
-                size += len(raws[-1])
+        for doc, raw in zip(*batch.columns, strict=True):
+            ids.append(doc.as_py())
+            raws.append(raw.as_py())
+            size += len(raws[-1])
             if size >= DEAL_BYTES:
-                yield run(ids, raws)
+                yield np.repeat(np.array(ids, dtype=np.int64), [len(r) // width for r in raws]), b"".join(raws)
                 ids, raws, size = [], [], 0
         if ids:
-            yield run(ids, raws)
+            yield np.repeat(np.array(ids, dtype=np.int64), [len(r) // width for r in raws]), b"".join(raws)
 
 
 def _firsts(batches):
-    """sig, doc_id: one document of each signature, by runs."""
-    for sigs, docs, first in _runs(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(sigs[first]), pa.array(docs[first])], names=["sig", "doc_id"])
+    """sig, doc_id: a block's first document of each signature."""
+    for docs, raw in _packed(batches, SIG_BYTES):
+        yield pa.RecordBatch.from_arrays([pa.array(unpacked_signatures(raw)), pa.array(docs)], names=["sig", "doc_id"])
 
 
 def _met(batches):
-    """sig, doc_id, hub: the documents that met another one within their run, beside the one that ``_firsts`` sends."""
-    for sigs, docs, first in _runs(batches):
-        if not len(sigs):
-            continue
-        at, group = np.flatnonzero(first), np.cumsum(first) - 1
-        several = (np.diff(np.append(at, len(sigs))) > 1)[group]
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sigs, docs, docs[at][group])], names=["sig", "doc_id", "hub"])
+    """sig, doc_id, hub: the documents that met another one within their block, beside the first of them."""
+    for docs, raw in _packed(batches, 16):
+        pairs = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(docs), pa.array(pairs[:, 1].copy())], names=["sig", "doc_id", "hub"])
 
 
 def _contents(batches):
@@ -527,7 +540,7 @@ def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
     several classes; and the buckets of several documents."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    wide = materialise(docs.mapInArrow(_profiles, ", ".join(["doc_id long, n long, key binary, sketch binary, short binary", *(f"{x} binary" for x in SHARES)])), "signed")
+    wide = materialise(docs.mapInArrow(_profiles, ", ".join(["doc_id long, n long, key binary, sketch binary, short binary, met binary", *(f"{x} binary" for x in SHARES)])), "signed")
     rows = materialise(wide.select("doc_id", "n", "key"), "profiles")
     named = rows.where("doc_id is not null and n > 0").select("doc_id", "key")
     classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a class's rows may be split in the joins
@@ -538,7 +551,7 @@ def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
     own = materialise(reps.join(several, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "own")
 
     signed = wide.where("sigs0 is not null")
-    buckets = materialise(signed.select("doc_id", *SHARES).mapInArrow(_met, "sig long, doc_id long, hub long"), "buckets")
+    buckets = materialise(signed.select("doc_id", "met").mapInArrow(_met, "sig long, doc_id long, hub long"), "buckets")
     tables, of_sig = [buckets], Window.partitionBy("sig")
     for share in SHARES:
         firsts = signed.select("doc_id", share).mapInArrow(_firsts, "sig long, doc_id long")

@@ -382,6 +382,32 @@ def test_op6_blocks_and_rounds(spark):
         assert {r.doc_id: r.component_id for r in op6.near_duplicates(frame, **how).collect()} == want
 
 
+def test_op6_buckets_stay_whole(spark, monkeypatch):
+    """However the documents lie in blocks and tasks, a signature's documents are all reached from one another."""
+    monkeypatch.setattr(op6, "DEAL_BYTES", 500)
+    rows = list(enumerate(loose_groups(random.Random(13), 2, 30, 40)))
+    sets = {i: op6.shingles(t) for i, t in rows}
+    want = collections.defaultdict(set)
+    for i, s in sets.items():
+        for sig in op6.signatures(s).view(np.int64).tolist():
+            want[sig].add(i)
+    for blocks in ([30, 60], [1, 2, 3, 10, 25, 40, 59, 60], [60]):
+        up, members, heads = {}, collections.defaultdict(set), collections.defaultdict(set)
+        for a, b in zip([0, *blocks], blocks, strict=False):
+            ids = list(range(a, b))
+            own, met = op6._met_within(ids, op6.block_signatures([sets[i] for i in ids]))
+            for i, first, raw in zip(ids, own, met, strict=True):
+                for sig in first.view(np.int64).tolist():
+                    heads[sig].add(i)
+                for sig, hub in np.frombuffer(raw, np.int64).reshape(-1, 2).tolist():
+                    members[sig].add(i)
+                    up[sig, i] = hub
+        for sig, docs in want.items():
+            assert members[sig] | heads[sig] == docs and all(up.get((sig, i), i) in heads[sig] for i in docs)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.component_id for r in op6.near_duplicates(frame).collect()} == plain_components(plain_sets(rows))
+
+
 def test_op6_one_id_with_several_texts(spark):
     rng = random.Random(12)
     texts = [" ".join(f"t{t}w{j}" for j in range(60)) for t in range(6)]
