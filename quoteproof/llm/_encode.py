@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -45,6 +46,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Odd(Exception):
+    """A word that the memo cannot prove to be independent of its neighbours."""
+
+
+class _Memo(dict):
+    """Ids by word; a missing word is made by ``make`` as it is met, and kept if it is short."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
+        return ids
+
+    def bound(self) -> None:
+        if len(self) > MEMO_ENTRIES:
+            for word in list(self)[MEMO_ENTRIES // 2 :]:
+                del self[word]
+
+
 class MemoEncoder:
     """Little-endian uint32 ids of texts, as the tokenizers library gives them."""
 
@@ -57,8 +81,7 @@ class MemoEncoder:
             config = json.load(f)
         self.special = [t["content"] for t in config.get("added_tokens", [])]
         self.style = self._style(config)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = _Memo(self._spaced_word if self.style == "spaced" else self._bare_word), _Memo(self._ids)
 
     @staticmethod
     def _style(config: dict) -> str:
@@ -79,82 +102,62 @@ class MemoEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _ids(self, part: str) -> bytes:
-        """Ids of one part that the library would not cut further: its model alone, without the objects around it."""
-        if _PLAIN.fullmatch(part):
+    def _model(self, part: str) -> bytes:
+        """Ids of a part that is one piece for the library: its model alone, without the objects around it."""
+        if part.isascii():
+            mapped = "\u0120" + part[1:] if part[0] == " " else part
+        else:
             mapped = part.encode().decode("latin-1").translate(_VISIBLE)
-            return np.asarray([t.id for t in self.library.model.tokenize(mapped)], dtype="<u4").tobytes()
-        return self._library([part])[0]
+        return array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+
+    def _ids(self, part: str) -> bytes:
+        return self._model(part) if _PLAIN.fullmatch(part) else self._library([part])[0]
+
+    def _spaced_word(self, word: str) -> bytes:
+        """Ids of a word behind a blank; one that starts the text begins with \\0, one that starts a line with \\1."""
+        lead, body, first = " ", word, b""
+        if word[:1] in ("\0", "\1"):
+            lead, body, first = "", word[1:], self.parts["\n"] if word[0] == "\1" else b""
+        if m := _SPLIT.fullmatch(body):
+            head, tail = m.groups()
+            # in its usual place a head is a word of its own
+            ids = (self.words[head] if tail else self._model(" " + head)) if lead else self._model(head)
+            return first + ids + (self.parts[tail] if tail else b"")
+        if not body and word == "\0":
+            return b""
+        if not body or body[0].isspace() or body[-1].isspace():
+            raise _Odd
+        return first + self._ids(lead + body)
+
+    def _bare_word(self, word: str) -> bytes:
+        if m := _SPLIT.fullmatch(word):
+            head, tail = m.group(1).lower(), m.group(2)
+            ids = self._model(head) if head == word else self.words[head]
+            return ids + (self.parts[tail] if tail else b"")
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Odd
+        return self._ids(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":
             return self._library(texts)
-        for memo in (self.words, self.parts):
-            if len(memo) > MEMO_ENTRIES:
-                for word in list(memo)[MEMO_ENTRIES // 2 :]:
-                    del memo[word]
-        spaced, words, parts, ids_of = self.style == "spaced", self.words, self.parts, self._ids
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
+        self.words.bound()
+        self.parts.bound()
+        spaced, of_word, odd = self.style == "spaced", self.words.__getitem__, (_NUL if self.style == "spaced" else _ODD).search
+        out: list[bytes | None] = []
         for text in texts:
-            if any(s in text for s in self.special) or (_NUL if spaced else _ODD).search(text):
-                cut.append(None)
+            if any(s in text for s in self.special) or odd(text):
+                out.append(None)
                 continue
             if spaced:
-                # a word's first character tells what was before it: nothing \0, a line end \1, else a blank
                 own = text.replace("\n", " \1").split(" ")
                 own[0] = "\0" + own[0]
             else:
                 own = text.split()
-            cut.append(own)
-            new.update(own)
-        new.difference_update(words)
-        passing: dict[str, bytes] = {}
-
-        def part(piece: str) -> bytes:
-            got = parts.get(piece)
-            if got is None:
-                got = ids_of(piece)
-                if len(piece) <= MEMO_CHARS:
-                    parts[piece] = got
-            return got
-
-        for word in new:
-            lead, body, first = (" " if spaced else ""), word, ""
-            if spaced and word[:1] in ("\0", "\1"):
-                lead, body, first = "", word[1:], ("\n" if word[0] == "\1" else "")
-            if m := _SPLIT.fullmatch(body):
-                head, tail = m.groups()
-                usual = head if spaced else head.lower()
-                # in its usual place (behind a blank) a head is a word of its own
-                ids = words.get(usual) if lead or not spaced else None
-                if ids is None:
-                    ids = ids_of(lead + usual)
-                    if (lead or not spaced) and len(usual) <= MEMO_CHARS:
-                        words[usual] = ids
-                if tail:
-                    ids += part(tail)
-            elif not body:
-                if word != "\0":
-                    continue
-                ids = b""
-            elif body[0].isspace() or body[-1].isspace():
-                continue
-            else:
-                ids = ids_of(lead + body)
-            if first:
-                ids = part(first) + ids
-            if len(word) <= MEMO_CHARS:
-                words[word] = ids
-            else:
-                passing[word] = ids
-        out: list[bytes | None] = []
-        for own in cut:
             try:
-                out.append(None if own is None else b"".join(map(words.__getitem__, own)))
-            except KeyError:
-                found = [words.get(w, passing.get(w)) for w in own]
-                out.append(None if None in found else b"".join(found))
+                out.append(b"".join(map(of_word, own)))
+            except _Odd:
+                out.append(None)
         whole = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
             out[k] = ids
