@@ -16,8 +16,8 @@ from array import array
 
 import numpy as np
 
-#: Words kept in a worker's memo (some 85 MB); at the bound the newer half goes, since common words are met early.
-MEMO_ENTRIES = 400_000
+#: Words kept in a worker's memo (some 55 MB); at the bound the newer half goes, since common words are met early.
+MEMO_ENTRIES = 250_000
 #: Longer words go to the library each time and are not kept.
 MEMO_CHARS = 64
 
@@ -176,11 +176,24 @@ def encoder(path: str) -> MemoEncoder:
 
 def blocks(texts, most_chars: int = 1_000_000):
     """Cut a list into runs of bounded size, so that a batch of long texts stays within memory."""
+    yield from _runs(map(len, texts), most_chars)
+
+
+def text_blocks(column, most_bytes: int = 1_000_000):
+    """(first, end, texts) of runs of bounded size of an Arrow column without nulls; only one run is made into strings."""
+    import pyarrow.compute as pc
+
+    for a, b in _runs(pc.binary_length(column).to_pylist(), most_bytes):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
+def _runs(sizes, most: int):
     start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most_chars:
+    k = -1
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= most:
             yield start, k + 1
             start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start <= k:
+        yield start, k + 1

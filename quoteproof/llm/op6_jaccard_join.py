@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._encode import blocks
+from ._encode import text_blocks
 from ._shared import SPACE_BYTES, discard, free_names, likely, load, materialise, text_or_empty
 
 N = 5
@@ -275,9 +275,9 @@ def similar(r: np.ndarray, s: np.ndarray) -> bool:
 
 def _texts(batches):
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()
-        for a, b in blocks(texts):
-            yield ids[a:b], block_shingles(texts[a:b])
+        ids = batch.column("doc_id").to_pylist()
+        for a, b, texts in text_blocks(batch.column("_text")):
+            yield ids[a:b], block_shingles(texts)
 
 
 def _met_within(ids: list[int], signed: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:

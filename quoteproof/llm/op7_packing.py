@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._encode import blocks, encoder, tokenizer_path
+from ._encode import encoder, text_blocks, tokenizer_path
 from ._shared import load, materialise, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,10 +38,10 @@ def _pieces(path: str, most: int, end_id: int):
         encode = encoder(path).encode
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()
-            for a, b in blocks(texts):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_blocks(batch.column("_text")):
                 cols: list[list] = [[], [], [], [], []]
-                for doc, raw in zip(ids[a:b], encode(texts[a:b]), strict=True):
+                for doc, raw in zip(ids[a:b], encode(texts), strict=True):
                     raw += end
                     n = len(raw) // 4
                     first = n % most or most

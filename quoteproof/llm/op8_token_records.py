@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._encode import blocks, encoder, tokenizer_path
+from ._encode import encoder, text_blocks, tokenizer_path
 from ._shared import load, scratch, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,9 +84,9 @@ def _frames(path: str, end_id: int):
         encode, width = encoder(path).encode, _width(path)
         end = np.asarray([end_id], dtype=width).tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()
-            for a, b in blocks(texts):
-                rows = [frame(doc, np.frombuffer(raw, "<u4").astype(width).tobytes() + end) for doc, raw in zip(ids[a:b], encode(texts[a:b]), strict=True)]
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_blocks(batch.column("_text")):
+                rows = [frame(doc, np.frombuffer(raw, "<u4").astype(width).tobytes() + end) for doc, raw in zip(ids[a:b], encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     return run
