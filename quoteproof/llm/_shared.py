@@ -86,3 +86,25 @@ def free_names(taken: list[str], wanted: list[str]) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+def frugal(run):
+    """An Arrow iterator function that gives its memory back when a task ends: Python workers are used again, also by other
+    stages, and what one has freed stays with it otherwise."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped

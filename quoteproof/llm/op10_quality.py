@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_names, load, text_or_empty
+from ._shared import free_names, frugal, load, text_or_empty
 
 SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 64 << 20
@@ -262,7 +262,7 @@ def graded(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, carry
                 cols.append(pa.array([y >= keep_at for _, y in tails], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), *cols], names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
@@ -276,7 +276,7 @@ def keep_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) ->
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(len(schema))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

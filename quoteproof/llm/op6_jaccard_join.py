@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import text_blocks
-from ._shared import SPACE_BYTES, discard, free_names, likely, load, materialise, text_or_empty
+from ._shared import SPACE_BYTES, discard, free_names, frugal, likely, load, materialise, text_or_empty
 
 N = 5
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -492,14 +492,14 @@ def _links(pairs: DataFrame, sides: DataFrame, docs: DataFrame, sketched: bool)
     if not sketched:
         met = pairs.join(sides.select(F.col("rep").alias("a"), F.col("n").alias("nr"), F.col("short").alias("sr")), "a")
         met = met.join(sides.select(F.col("rep").alias("b"), F.col("n").alias("ns"), F.col("short").alias("ss")), "b")
-        pairs = candidates = materialise(met.select("a", "b", "nr", "sr", "ns", "ss").mapInArrow(_unsketched, "a long, b long").distinct(), "candidates")
+        pairs = candidates = materialise(met.select("a", "b", "nr", "sr", "ns", "ss").mapInArrow(frugal(_unsketched), "a long, b long").distinct(), "candidates")
     wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     texts = likely(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-    contents = texts.mapInArrow(_contents, "doc_id long, key binary, content binary").groupBy("doc_id", "key").agg(F.first("content").alias("content"))  # repeated rows
+    contents = texts.mapInArrow(frugal(_contents), "doc_id long, key binary, content binary").groupBy("doc_id", "key").agg(F.first("content").alias("content"))  # repeated rows
     contents = materialise(contents.drop("key"), "contents")
     met = pairs.join(contents.withColumnRenamed("doc_id", "b").withColumnRenamed("content", "s"), "b")
     met = met.join(contents.withColumnRenamed("doc_id", "a").withColumnRenamed("content", "r"), "a")
-    links = materialise(met.select("a", "b", "r", "s").mapInArrow(_verified, "a long, b long"), "links")
+    links = materialise(met.select("a", "b", "r", "s").mapInArrow(frugal(_verified), "a long, b long"), "links")
     discard(contents, wanted, candidates)
     _release(docs.sparkSession)
     return links
@@ -540,7 +540,7 @@ def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
     several classes; and the buckets of several documents."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    wide = materialise(docs.mapInArrow(_profiles, ", ".join(["doc_id long, n long, key binary, sketch binary, short binary, met binary", *(f"{x} binary" for x in SHARES)])), "signed")
+    wide = materialise(docs.mapInArrow(frugal(_profiles), ", ".join(["doc_id long, n long, key binary, sketch binary, short binary, met binary", *(f"{x} binary" for x in SHARES)])), "signed")
     rows = materialise(wide.select("doc_id", "n", "key"), "profiles")
     named = rows.where("doc_id is not null and n > 0").select("doc_id", "key")
     classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a class's rows may be split in the joins
@@ -551,10 +551,10 @@ def _dealt(documents: DataFrame) -> tuple[DataFrame, ...]:
     own = materialise(reps.join(several, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "own")
 
     signed = wide.where("sigs0 is not null")
-    buckets = materialise(signed.select("doc_id", "met").mapInArrow(_met, "sig long, doc_id long, hub long"), "buckets")
+    buckets = materialise(signed.select("doc_id", "met").mapInArrow(frugal(_met), "sig long, doc_id long, hub long"), "buckets")
     tables, of_sig = [buckets], Window.partitionBy("sig")
     for share in SHARES:
-        firsts = signed.select("doc_id", share).mapInArrow(_firsts, "sig long, doc_id long")
+        firsts = signed.select("doc_id", share).mapInArrow(frugal(_firsts), "sig long, doc_id long")
         shared = firsts.withColumn("hub", F.min("doc_id").over(of_sig)).withColumn("top", F.max("doc_id").over(of_sig)).where("hub != top").drop("top")
         tables.append(found := materialise(shared, "buckets"))
         buckets = buckets.union(found)
@@ -619,7 +619,7 @@ def _compared(cells: DataFrame, sides: DataFrame, most: int | None) -> DataFrame
     """a, b, cut: what ``_across`` finds among the cells' rows."""
     known = cells.join(sides.select("rep", "n", "sketch"), "rep").select("sig", "i", "j", "component", "rep", "n", "sketch")
     dealt = known.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(_across(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+    return dealt.mapInArrow(frugal(_across(most)), "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
 
 
 def similar_pairs(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import encoder, text_blocks, tokenizer_path
-from ._shared import load, materialise, text_or_empty
+from ._shared import frugal, load, materialise, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 2048
@@ -56,7 +56,7 @@ def _pieces(path: str, most: int, end_id: int):
 
 
 def pieces(docs: DataFrame, path: str, most: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(_pieces(path, most, end_id), PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(frugal(_pieces(path, most, end_id)), PIECE)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

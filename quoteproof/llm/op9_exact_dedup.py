@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._encode import blocks
-from ._shared import SPACE, SPACE_BYTES, load, text_or_empty
+from ._shared import SPACE, SPACE_BYTES, frugal, load, text_or_empty
 
 #: Bytes of content that a table holds at once, before it is sent on or its bucket is split.
-TABLE_BYTES = 48_000_000
+TABLE_BYTES = 16_000_000
 #: Buckets that a spill makes of one file.
 FAN_OUT = 16
 #: Four bits of the SHA-256 tell a bucket; contents that agree in all of them are compared in one table.
@@ -176,8 +176,8 @@ def normal_sha(text: str = "text"):
 
 def classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """sha, keep_id, group_size: one row for each distinct content."""
-    folded = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text")).mapInArrow(_fold, RECORD)
-    return folded.repartition("h").mapInArrow(_classes(table_bytes), CLASS)
+    folded = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text")).mapInArrow(frugal(_fold), RECORD)
+    return folded.repartition("h").mapInArrow(frugal(_classes(table_bytes)), CLASS)
 
 
 def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
