@@ -70,16 +70,20 @@ class _Memo(dict):
 
 
 class MemoEncoder:
-    """Little-endian uint32 ids of texts, as the tokenizers library gives them."""
+    """Little-endian uint32 ids of texts, as the tokenizers library gives them.
 
-    def __init__(self, path: str):
+    ``plain``: the strings of special tokens inside texts are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        self.special = [t["content"] for t in config.get("added_tokens", [])]
+        self.library.encode_special_tokens = plain
+        self.special = [] if plain else [t["content"] for t in config.get("added_tokens", [])]
         self.style = self._style(config)
         self.words, self.parts = _Memo(self._spaced_word if self.style == "spaced" else self._bare_word), _Memo(self._ids)
 
@@ -164,14 +168,50 @@ class MemoEncoder:
         return out
 
 
-_ENCODERS: dict[str, MemoEncoder] = {}
+class PieceEncoder:
+    """Little-endian uint32 ids of texts, as sentencepiece gives them, with a memo of words.
+
+    A model in which no piece has a blank behind another character never merges over the start of a word.
+    """
 
+    BLANK = "\u2581"
+
+    def __init__(self, path: str):
+        import sentencepiece
 
-def encoder(path: str) -> MemoEncoder:
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        self.by_word = all(self.BLANK not in p.lstrip(self.BLANK) for p in self.pieces)
+        self.words = _Memo(self._ids)
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.library.encode(text)).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.words.bound()
+        of_word, out = self.words.__getitem__, []
+        for text in texts:
+            words = text.split(" ")
+            alone = not self.by_word or "" in words or self.BLANK in text
+            out.append(self._ids(text) if alone else b"".join(map(of_word, words)))
+        return out
+
+
+_ENCODERS: dict[tuple[str, bool], MemoEncoder] = {}
+_PIECES: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str, plain: bool = False) -> MemoEncoder:
     """One encoder for each file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = MemoEncoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = MemoEncoder(path, plain)
+    return _ENCODERS[path, plain]
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    if path not in _PIECES:
+        _PIECES[path] = PieceEncoder(path)
+    return _PIECES[path]
 
 
 def blocks(texts, most_chars: int = 1_000_000):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op10_quality import op10_ordinal_quality
+from .op11_alignment import op11_common_cut_alignment
 from .op12_vector_codes import op12_yinyang_codes
 from .op1_fingerprints import op1_weighted_samples
 from .op2_mixing import ORACLE as OP2
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_framed_records": op8_framed_records,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_common_cut_alignment": op11_common_cut_alignment,
     "op12_yinyang_codes": op12_yinyang_codes,
 }
 ORACLES = {"op2_curriculum_mix": OP2, "op5_chat_round_trip": OP5, "op9_exact_dedup": OP9}
