@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op10_quality import op10_ordinal_quality
 from .op11_alignment import op11_common_cut_alignment
 from .op12_vector_codes import op12_yinyang_codes
+from .op13_pages import op13_url_differencing
 from .op1_fingerprints import op1_weighted_samples
 from .op2_mixing import ORACLE as OP2
 from .op2_mixing import op2_curriculum_mix
@@ -31,5 +32,6 @@ QUERIES = {
     "op10_ordinal_quality": op10_ordinal_quality,
     "op11_common_cut_alignment": op11_common_cut_alignment,
     "op12_yinyang_codes": op12_yinyang_codes,
+    "op13_url_differencing": op13_url_differencing,
 }
 ORACLES = {"op2_curriculum_mix": OP2, "op5_chat_round_trip": OP5, "op9_exact_dedup": OP9}
