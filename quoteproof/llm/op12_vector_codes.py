@@ -33,7 +33,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Groups of entries, each with one lower bound a part.
 GROUPS = 16
 #: Largest component, so that squared distances and sums stay within 64 bits.
-MOST = 1 << 24
+MOST = 1 << 26
 #: Vectors compared at once.
 BLOCK = 4096
 #: So many labels are sent to all tasks; of more, only the frequent ones are.
