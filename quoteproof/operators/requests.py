@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quoteproof.functions.runs import last_key, run_starts
 from quoteproof.schema import PERMISSIONS
 
 UUID = r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
@@ -125,11 +129,63 @@ def sample_for_visitors(rows: DataFrame, at: str = "created_at") -> DataFrame:
     return rows.where((F.col("source") == "sample") & place.isNotNull()).orderBy(place, F.col(at).desc(), F.col(REQUEST_ID).desc()).limit(1)
 
 
-def within_cap(events: DataFrame, person: str, at: str, key: str, cap: int, hours: int = 1) -> DataFrame:
-    """``events`` with ``before`` (the person's events of the trailing time, this one left out) and ``refused`` from the cap on."""
-    trailing = f"count(*) OVER (PARTITION BY `{person}` ORDER BY `{at}` RANGE BETWEEN INTERVAL '{hours}' HOUR PRECEDING AND CURRENT ROW) - 1"
-    counted = events.withColumn("before", F.expr(trailing))
-    return counted.withColumn("refused", F.col("before") >= cap)
+def _admitted(keys: list[str], cap: int, span: int, names: list[str]):
+    """Runs over rows sorted by key and time, and keeps the last ``cap`` accepted times of the current key."""
+
+    def run(batches):
+        before, kept = None, np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k) for k in keys]
+            starts = np.flatnonzero(run_starts(columns, before))
+            before = last_key(columns)
+            times = batch.column("_t").to_numpy()
+            counts, accepted = np.zeros(len(times), dtype=np.int64), np.zeros(len(times), dtype=bool)
+            edges = np.unique(np.concatenate([[0], starts, [len(times)]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a or (len(starts) and starts[0] == 0):
+                    kept = np.zeros(0, dtype=np.int64)
+                t, taken = times[a:b], kept.tolist()
+                at = 0
+                while cap > 0 and at < len(t):
+                    if len(taken) >= cap:
+                        # the next one is the first that has left the hour behind the cap-th last accepted
+                        at = max(at, int(np.searchsorted(t, taken[-cap] + span, side="right")))
+                        if at == len(t):
+                            break
+                    taken.append(int(t[at]))
+                    accepted[a + at] = True
+                    at += 1
+                own = np.asarray(taken, dtype=np.int64)
+                mine = accepted[a:b]
+                counts[a:b] = len(kept) + np.cumsum(mine) - mine - np.searchsorted(own, t - span)
+                kept = own[-cap:] if cap > 0 else own
+            extra = {"before": pa.array(counts, pa.int64()), "refused": pa.array(~accepted)}
+            yield pa.RecordBatch.from_arrays([extra[n] if n in extra else batch.column(n) for n in names], names=names)
+
+    return run
+
+
+def within_cap(events: DataFrame, keys: list[str], at: str, order: str, cap: int, hours: int = 1) -> DataFrame:
+    """``events`` with ``before``, the accepted events of the same key (tenant, person) in the trailing hours, and ``refused``
+    from the cap on. A refused event is never stored, so it does not count against later ones.
+
+    Events further apart than the trailing time do not see each other, so a key is cut into visits at such gaps (found
+    on its hours, which are few), and visits are dealt out and run through as sorted streams with the last ``cap`` accepted
+    times as their state. Events without a key or time are never counted.
+    """
+    span = hours * 3_600_000_000
+    out = T.StructType([*events.schema.fields, T.StructField("before", T.LongType()), T.StructField("refused", T.BooleanType())])
+    sound = reduce(lambda c, k: c & F.col(k).isNotNull(), keys, F.col(at).isNotNull())
+    timed = events.where(sound).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_hour", F.floor(F.col("_t") / span))
+    spans = timed.groupBy(*keys, "_hour").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    by_hour = Window.partitionBy(*keys).orderBy("_hour")
+    apart = F.coalesce(F.col("_first") - F.lag("_last").over(by_hour) > span, F.lit(False))
+    visits = spans.withColumn("_apart", apart.cast("int")).withColumn("_visit", F.sum("_apart").over(by_hour)).select(*keys, "_hour", "_visit")
+    dealt = timed.join(visits, [*keys, "_hour"]).repartition(*keys, "_visit").sortWithinPartitions(*keys, "_visit", "_t", order)
+    counted = dealt.mapInArrow(_admitted([*keys, "_visit"], cap, span, [f.name for f in out.fields]), out)
+    return counted.unionByName(events.where(~sound).withColumns({"before": F.lit(0).cast("long"), "refused": F.lit(cap <= 0)}))
 
 
 def admin_remains(members: DataFrame, changes: DataFrame, company: str = "company_id", user: str = "user_id") -> DataFrame:

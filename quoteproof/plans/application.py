@@ -85,10 +85,14 @@ def start_counts(spark, d):
     return requests.start_counts(_requests(spark, d))
 
 
-@query("""SELECT event_id, count(*) OVER w - 1 AS before, count(*) OVER w - 1 >= 3 AS refused FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, event_type, n, 0::BIGINT AS before, false AS refused, [ts] AS accepted FROM e WHERE n = 1
+UNION ALL SELECT event_id, user_id, event_type, n, len(recent)::BIGINT, len(recent) >= 2, CASE WHEN len(recent) >= 2 THEN recent ELSE list_append(recent, ts) END
+FROM (SELECT e.*, list_filter(r.accepted, lambda x: x >= e.ts - INTERVAL 48 HOUR) AS recent FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1))
+SELECT event_id, before, refused FROM r""")
 def rate_limit(spark, d):
-    return requests.within_cap(t(spark, d, "events"), "user_id", "ts", "event_id", 3).select("event_id", "before", "refused")
+    """Two uploads a person and tenant (the type of the event) in two days; refused ones are not stored and do not count."""
+    return requests.within_cap(t(spark, d, "events"), ["event_type", "user_id"], "ts", "event_id", 2, 48).select("event_id", "before", "refused")
 
 
 @query("SELECT c_custkey FROM customer WHERE lower(trim(c_mktsegment)) = 'building'")
