@@ -81,3 +81,27 @@ def test_a_key_of_many_events_lies_in_many_tasks(spark):
         for c in codes:
             n, now = n + illegal[c, now], to[c, now]
         assert ends[0, state] == now and bad[0, state] == n
+
+
+def test_stream_gives_the_batch_fold(spark, tmp_path):
+    """Two drains with a restart between them; some events of the first hour's end come with the second drain."""
+    from quoteproof.streaming import status
+
+    spark.conf.set(*status.STORE)
+    rng = random.Random(9)
+    events = [e for e, _, _ in TRANSITIONS] + ["unknown", None]
+    rows = [(f"k{rng.randint(0, 5)}", START + dt.timedelta(minutes=rng.randint(0, 600)), k, rng.choice(events)) for k in range(400)]
+    cut = START + dt.timedelta(minutes=300)
+    early = [r for r in rows if r[1] < cut and not (r[1] > cut - dt.timedelta(minutes=40) and r[2] % 2)]
+    late = [r for r in rows if r not in early]
+    schema, folder, seen = "id string, at timestamp, n long, event string", str(tmp_path / "in"), []
+    closing = [("end", START + dt.timedelta(days=3), 0, None)]
+    for part in (early, late, closing):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(schema).parquet(folder)
+        machine = status.folded_stream(source, "id", "at", "n", "event", "NEW")
+        writer = machine.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect()))
+        writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    last = {r.key: (r.status, r.illegal_steps) for r in seen}
+    assert last == plain_fold(rows, "NEW", TRANSITIONS)
+    assert len(seen) > len(last)  # the first drain has already answered what its watermark had passed
