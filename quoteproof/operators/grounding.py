@@ -116,33 +116,65 @@ def review_summary(reviewed: DataFrame) -> DataFrame:
     )
 
 
-#: Quotes without an inner word are compared directly, if there are at most so many; more of them need a key of their own.
-MOST_KEYLESS = 10_000
+def _rarest(asked: DataFrame, item_key: str, places: DataFrame, token: str) -> DataFrame:
+    """Of the tokens asked for by each item the one with the fewest places, as ``token``; none for an item with a token that
+    has no place."""
+    counts = places.join(asked.select(token).distinct(), token, "left_semi").groupBy(token).agg(F.count("*").alias("_n"))
+    best = asked.join(counts, token, "left").groupBy(item_key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col(token).alias("t"))).alias("_best"))
+    return best.where("_best.n > 0").select(item_key, F.col("_best.t").alias(token))
+
+
+def _grams(rows: DataFrame, word: str, sizes: tuple[int, ...]) -> DataFrame:
+    """``rows`` with each distinct run of so many characters of a word as ``_gram``."""
+    chars = F.col("_chars")  # a column of its own, so that it is made once a row
+
+    def runs(n: int) -> Column:
+        at = lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))
+        return F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), at)).otherwise(F.array().cast("array<string>"))
+
+    cut = rows.withColumn("_chars", F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)))
+    return cut.withColumn("_gram", F.explode(F.array_distinct(F.concat(*map(runs, sizes))))).drop("_chars")
+
+
+def _words_with(words: DataFrame, parts: DataFrame, item_key: str) -> DataFrame:
+    """(item_key, _word): the words that hold an item's ``_part``, at the side (``_side``) that it asks for.
+
+    An index of character runs: a part is looked up by its rarest run of three characters (all of a shorter part).
+    """
+    own = parts.select(item_key, "_part")
+    asked = _grams(own.where(F.char_length("_part") > 2), "_part", (3,)).unionByName(own.where(F.char_length("_part") < 3).withColumn("_gram", F.col("_part"))).drop("_part")
+    index = _grams(words.select("_word"), "_word", (1, 2, 3))
+    keyed = _rarest(asked, item_key, index, "_gram").join(parts.select(item_key, "_part", "_side"), item_key)
+    side, held = F.col("_side"), F.contains("_word", "_part")
+    fits = F.when(side == "end", F.endswith("_word", "_part")).when(side == "start", F.startswith("_word", "_part")).otherwise(held)
+    return index.join(keyed, "_gram").where(fits).select(item_key, "_word").distinct()
 
 
 def quoted_in(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
-    """``docs`` (with a folded ``text``) beside each item whose folded ``quote`` stands in it, once.
+    """``docs`` (with a folded ``text``) beside each item whose folded ``quote`` stands in it, once. An empty quote stands nowhere.
 
-    A quote's inner words are whole words of any text that holds it, so the longest of them is an equi-join key: words
-    are kept only if some quote has them (a semi-join before anything else is shuffled), and only the pairs that meet
-    get their texts back. Quotes of one or two words have no inner word. These few are counted, refused above
-    ``MOST_KEYLESS`` (so that what is broadcast has a bound), and looked for in each text as it is scanned.
+    All steps are equi-joins. A quote's inner words are whole words of any text that holds it: quotes of three words
+    and more are looked up by the inner word that the fewest documents have. A quote of one word stands in a text if some
+    word of the text holds it, one of two words only if some word ends with its first or begins with its second; such words are
+    found among the distinct words of all documents, by an index of character runs. Pairs that meet get their texts
+    back and are compared, but for quotes of one word, for which the word is the proof.
     """
-    words = F.split("quote", " ")
-    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
-    keyed = items.withColumn("_key", F.array_max(inner)["w"])
-    keyless = keyed.where("_key is null").select(item_key, "quote")
-    n = keyless.limit(MOST_KEYLESS + 1).count()
-    if n > MOST_KEYLESS:
-        raise ValueError(f"more than {MOST_KEYLESS} quotes of one or two words")
-    wanted = keyed.where("_key is not null").select(item_key, "quote", "_key")
-    own = docs.select(doc_key, F.explode(F.array_distinct(F.split("text", " "))).alias("_key"))
-    met = own.join(wanted.select("_key").distinct(), "_key", "left_semi").join(wanted.select(item_key, "_key"), "_key").select(doc_key, item_key)
-    found = met.join(docs, doc_key).join(wanted.select(item_key, "quote"), item_key).where(F.contains("text", "quote")).drop("text", "quote")
-    if n:
-        short = docs.join(F.broadcast(keyless), F.contains("text", "quote")).drop("text", "quote")
-        found = found.unionByName(short)
-    return found.dropDuplicates([doc_key, item_key])
+    docs = docs.where("text is not null")
+    asked = items.where("quote != ''").select(item_key, "quote").withColumn("_w", F.split("quote", " "))
+    own = docs.select(doc_key, F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
+    long, short = asked.where(F.size("_w") > 2), asked.where(F.size("_w") <= 2)
+    inner = long.select(item_key, F.explode(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_word"))
+    met = own.join(_rarest(inner, item_key, own, "_word"), "_word").select(doc_key, item_key)
+    one, two = F.get("_w", F.lit(0)), F.get("_w", F.lit(1))
+    first = F.char_length(one) >= F.char_length(F.coalesce(two, F.lit("")))
+    parts = short.select(item_key, F.when(first, one).otherwise(two).alias("_part"), F.when(two.isNull(), "any").when(first, "end").otherwise("start").alias("_side"))
+    vocabulary = own.select("_word").distinct()
+    beside = own.join(_words_with(vocabulary, parts.where("_part != ''"), item_key), "_word").join(short.select(item_key, (F.size("_w") == 1).alias("_sure")), item_key)
+    pairs = met.withColumn("_sure", F.lit(False)).unionByName(beside.select(doc_key, item_key, "_sure")).dropDuplicates([doc_key, item_key])
+    rest = docs.drop("text")
+    sure = pairs.where("_sure").join(rest, doc_key).drop("_sure")
+    compared = pairs.where("not _sure").drop("_sure").join(docs, doc_key).join(asked.select(item_key, "quote"), item_key).where(F.contains("text", "quote")).drop("text", "quote")
+    return sure.unionByName(compared.select(*sure.columns))
 
 
 # What a rendered document is put between, and what replaces text that looks like it.
