@@ -1,45 +1,50 @@
-"""Unicode folding, for which Spark has no function: compatibility forms and case folding, by Arrow-batched UDFs.
+"""Unicode folding in the JVM: compatibility forms and case folding by the Unicode library that Spark itself brings (ICU),
+called through Spark's ``reflect`` function, the rest by patterns. No Python worker is started.
 
-Fold a segment or quote once and keep the column. Nulls are passed over, so a caller names the rows it needs with
-``F.when``.
+Spark takes ``reflect`` for non-deterministic, so these columns belong in a projection, not in a join's condition. Fold a
+segment or quote once and keep the column. Nulls stay null, so a caller names the rows it needs with ``F.when``.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quoteproof.functions.grammar import FOLDED
+from quoteproof.functions import grammar as g
+
+_SHY = "­"
+_SINGLE = {a: b for a, b in g.FOLDED.items() if b is not None}
+_BROKEN_WORD = rf"([{g.WORD}])-[{g.BLANK}&&[^\n]]*\n[{g.BLANK}]*([{g.WORD}])"
+#: Stands between strings that are folded as one; no folding makes or takes it.
+_BETWEEN = "\x01"
+
 
-_SINGLE = str.maketrans(FOLDED)
-_BROKEN_WORD = re.compile(r"\w-[^\S\n]*\r?\n\s*\w")
+def _called(cls: str, method: str, text: Column) -> Column:
+    """A static method of (string, boolean), which knows no nulls."""
+    called = F.reflect(F.lit(f"com.ibm.icu.{cls}"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.isNotNull(), called)
 
 
-def fold_text(text: str) -> str:
-    """The form in which quotes are compared: a word broken at a line end is one word, dashes and quotes are plain, white
-    space is one blank, letters are case-folded."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).replace("­", "")
-    if "\n" in text:
-        text = _BROKEN_WORD.sub(lambda m: m[0][0] + m[0][-1], text)
-    return " ".join(text.translate(_SINGLE).split()).casefold()
+def compatible(text: Column) -> Column:
+    """NFKC."""
+    return _called("text.Normalizer", "compose", text)
 
 
-def _each(change, kind):
-    """A UDF that applies ``change`` to every string that is not null."""
+def casefolded(text: Column) -> Column:
+    """Full case folding."""
+    return _called("lang.UCharacter", "foldCase", text)
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else change(t) for t in texts], dtype=object)
 
-    return run
+def folded_text(text: Column) -> Column:
+    """The form in which quotes are compared: compatibility forms and soft hyphens are gone, a word broken at a line end is
+    one word, dashes and quotes are plain, white space is one blank, letters are case-folded."""
+    plain = F.replace(compatible(text), F.lit(_SHY), F.lit(""))
+    whole = F.translate(F.regexp_replace(plain, _BROKEN_WORD, "$1$2"), "".join(_SINGLE), "".join(_SINGLE.values()))
+    return casefolded(F.regexp_replace(F.regexp_replace(whole, f"[{g.BLANK}]+", " "), r"^ | \z", ""))
 
 
-folded_text = _each(fold_text, T.StringType())
-casefolded = _each(str.casefold, T.StringType())
-#: An array's strings, each folded.
-folded_each = _each(lambda items: [None if x is None else fold_text(x) for x in items], T.ArrayType(T.StringType()))
+def folded_each(texts: Column) -> Column:
+    """An array's strings, each folded (nulls are left out): joined, folded as one text and cut again."""
+    safe = F.transform(texts, lambda x: F.replace(x, F.lit(_BETWEEN), F.lit("�")))
+    cut = F.split(F.regexp_replace(folded_text(F.array_join(safe, _BETWEEN)), f" ?{_BETWEEN} ?", _BETWEEN), _BETWEEN)
+    return F.when(F.size(texts) > 0, cut).when(texts.isNotNull(), F.array().cast("array<string>"))
