@@ -7,21 +7,13 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteproof.operators.intake import only_new
+from quoteproof.sources.ledger import Ledger
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _held(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
-    """The rows of a folder of batches (with run and batch_id), or none where nothing is written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-        return like.limit(0).withColumn("run", F.lit(None).cast("string")).withColumn("batch_id", F.lit(None).cast("long"))
-    return spark.read.schema(like.schema.add("run", "string").add("batch_id", "long")).parquet(folder)
-
-
 def _drain(stream: DataFrame, each, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -33,12 +25,12 @@ def _run(checkpoint: str) -> str:
 
 def run_into(stream: DataFrame, transform, checkpoint: str, results: str, key: str) -> None:
     """Drain what is there into a table, exactly once: a batch is one folder, which a repeat of it overwrites, and its keys
-    are those that no other batch holds. The results are the ledger, so nothing can fall between the two."""
+    are those that the table's ledger (hidden in the results' folder) does not have yet."""
     run = _run(checkpoint)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = _held(batch.sparkSession, results, batch.select(key)).where(f"run != '{run}' or batch_id != {batch_id}")
-        transform(only_new(batch, done, key)).write.mode("overwrite").parquet(f"{results}/run={run}/batch_id={batch_id}")
+        folder = f"{results}/run={run}/batch_id={batch_id}"
+        keys(batch, f"{results}/_ledger", key).append_batch(batch, run, batch_id, lambda new: transform(new).write.mode("overwrite").parquet(folder))
 
     _drain(stream, each, checkpoint)
 
@@ -49,14 +41,16 @@ def run_once(stream: DataFrame, handle, checkpoint: str, ledger: str, key: str)
     run = _run(checkpoint)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = only_new(batch, _held(batch.sparkSession, ledger, batch.select(key)), key).persist()
-        handle(new, batch_id)
-        new.select(key).write.mode("append").parquet(f"{ledger}/run={run}/batch_id={batch_id}")
-        new.unpersist()
+        keys(batch, ledger, key).append_batch(batch, run, batch_id, lambda new: handle(new, batch_id))
 
     _drain(stream, each, checkpoint)
 
 
+def keys(batch: DataFrame, folder: str, key: str) -> Ledger:
+    """The ledger of the keys done; a batch reads only the buckets that its keys fall into."""
+    return Ledger(batch.sparkSession, folder, batch.select(key).schema, key)
+
+
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by key and window; state older than the watermark is dropped."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count("*").alias("events"))
