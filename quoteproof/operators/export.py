@@ -90,3 +90,36 @@ def receiver(store: DataFrame, calls: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("key").orderBy("nth"))
     status = F.when(F.col("body_hash") != first, 409).when(rank == 1, 201).otherwise(200)
     return every.withColumn("status", status).where("nth >= 0").select("key", "nth", "status")
+
+
+def nth_smallest(rows: DataFrame, order: str, n: int, ranges: int = 4096) -> int | None:
+    """The n-th smallest (from 1) of a column of unique whole numbers, or None of fewer: counted by ranges of one width, then
+    within the range in which the n-th lies, until a range is one number. No task sorts or sees all rows."""
+    low, high, total = rows.agg(F.min(order), F.max(order), F.count("*")).head()
+    if n > total:
+        return None
+    while True:
+        step = (high - low) // ranges + 1
+        own = rows.where(F.col(order).between(low, high)).groupBy(F.expr(f"(`{order}` - {low}L) div {step}L").alias("range")).agg(F.count("*").alias("rows"))
+        for r in sorted(own.collect()):  # one row a range
+            if r["rows"] >= n:
+                low, high = low + r["range"] * step, min(high, low + (r["range"] + 1) * step - 1)
+                break
+            n -= r["rows"]
+        if step == 1:
+            return low
+
+
+def bounded_receiver(store: DataFrame, calls: DataFrame, most: int) -> DataFrame:
+    """``receiver`` with a store of at most ``most`` keys, which keeps what it has: 503 for a call of a new key once it is full.
+
+    ``nth`` orders all calls. The store never shrinks, so the keys that find room are the new ones that come first, and a
+    key that has found none finds none later.
+    """
+    new = calls.join(store.select("key").distinct(), "key", "left_anti")
+    firsts = new.groupBy("key").agg(F.min("nth").alias("nth"))
+    room = most - store.select("key").distinct().count()
+    last = nth_smallest(firsts, "nth", room) if room > 0 else -(2**63)
+    late = firsts.where(F.col("nth") > F.lit(last)).select("key") if last is not None else firsts.limit(0).select("key")
+    refused = calls.join(late, "key", "left_semi").select("key", "nth", F.lit(503).alias("status"))
+    return receiver(store, calls.join(late, "key", "left_anti")).unionByName(refused)

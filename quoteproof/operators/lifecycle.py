@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,26 @@ def catalogue(tables: dict[str, DataFrame], column: str = "company_id") -> list[
     return [(name, len(table.columns), column in table.columns) for name, table in sorted(tables.items())]
 
 
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, column, nullable of every column, from the tables' schemas."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(name, f.name, f.nullable) for name, table in sorted(tables.items()) for f in table.schema.fields], "table string, column string, nullable boolean")
+
+
+def table_policies(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """table, columns, tenant_column, has_tenant, n_rows, n_without: a table is protected if it has its tenant column and no row lacks
+    a tenant, since a read within a tenant never shows such a row; a table without the column has no row that a tenant may see."""
+    columns = columns_of({name: table for name, (table, _) in tables.items()})
+    rows = reduce(DataFrame.union, (
+        table.agg(F.count("*").alias("n_rows"), F.count_if(F.col(column).isNull() if column in table.columns else F.lit(True)).alias("n_without")).select(F.lit(name).alias("table"), F.lit(column).alias("tenant_column"), "n_rows", "n_without")
+        for name, (table, column) in tables.items()
+    ))
+    counts = columns.groupBy("table").agg(F.count("*").alias("columns"))
+    held = columns.select(F.col("table"), F.col("column").alias("tenant_column"), F.lit(True).alias("_has"))
+    met = rows.join(counts, "table").join(held, ["table", "tenant_column"], "left")
+    return met.select("table", "columns", "tenant_column", F.coalesce("_has", F.lit(False)).alias("has_tenant"), "n_rows", "n_without")
+
+
 def rejected_answers(answers: DataFrame, fields: DataFrame, segments: DataFrame) -> DataFrame:
     """document_id, reason of answers that are refused whole: another document's id, a segment id twice, found without
     evidence, evidence of a segment that was not returned."""

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from quoteproof.functions import values
 from quoteproof.functions.grammar import UNITS
-from quoteproof.operators import grounding, intake, requests
+from quoteproof.operators import grounding, intake, lifecycle, requests
 from quoteproof.plans import application  # noqa: F401  registers its queries
 from quoteproof.plans.base import ORACLES, QUERIES, query, t
+from quoteproof.session import shared_folder
+from quoteproof.sources.clustered import ClusteredList
 from quoteproof.sources.readers import html_to_text
 
 
@@ -83,6 +85,26 @@ def keyset_page_next(spark, d):
     return intake.keyset_page(rows, "o_orderdate", "o_orderkey", (last["o_orderdate"], last["o_orderkey"])) if last else rows.limit(0)
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7),
+p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM o) SELECT CAST((n - 1) // 50 AS INT) AS page, o_orderkey, o_orderdate FROM p WHERE n <= 150""")
+def clustered_pages(spark, d):
+    """The first three pages of a nation's orders, walked by cursors over a clustered copy of all orders."""
+    customers = t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    orders = t(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey", "o_orderdate")
+    table = ClusteredList(spark, shared_folder(spark, "clustered"), "c_nationkey", "o_orderdate", "o_orderkey")
+    table.write(orders, 32)
+    pages, cursor = None, None
+    for n in range(3):
+        page = table.page(7, cursor)
+        rows = page.limit(50).select(F.lit(n).alias("page"), "o_orderkey", "o_orderdate")
+        pages = rows if pages is None else pages.union(rows)
+        seen = page.collect()  # one page
+        if len(seen) <= 50:
+            break
+        cursor = (seen[49]["o_orderdate"], seen[49]["o_orderkey"])
+    return pages
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def filtered_list(spark, d):
     return intake.filtered(t(spark, d, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT", o_custkey=None).select("o_orderkey")
@@ -255,6 +277,19 @@ def tenant_scope(spark, d):
     return rows.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
 
 
+_TENANT = {"customer": "c_nationkey", "supplier": "s_nationkey", "nation": "n_nationkey", "orders": "o_nationkey", "lineitem": "l_nationkey", "events": "nationkey"}
+_HELD = {"customer", "supplier", "nation"}
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", (SELECT count(*) FROM information_schema.columns WHERE table_name = '{name}') AS columns, '{column}' AS tenant_column,
+    EXISTS (SELECT 1 FROM information_schema.columns WHERE table_name = '{name}' AND column_name = '{column}') AS has_tenant, (SELECT count(*) FROM {name}) AS n_rows,
+    {f"(SELECT count(*) FROM {name} WHERE {column} IS NULL)" if name in _HELD else f"(SELECT count(*) FROM {name})"} AS n_without FROM (SELECT 1)""" for name, column in _TENANT.items()))
+def table_policies(spark, d):
+    """Which tables carry their tenant, and how many of their rows no tenant would see; nations stand for tenants."""
+    return lifecycle.table_policies({name: (t(spark, d, name), column) for name, column in _TENANT.items()})
+
+
 @query("""WITH g AS (SELECT o_custkey, k, k - row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS g FROM (SELECT DISTINCT o_custkey, o_orderkey // 1000 AS k FROM orders))
 SELECT o_custkey, min(k) AS first, max(k) AS last, count(*) AS length FROM g GROUP BY o_custkey, g""")
 def page_runs(spark, d):
