@@ -7,16 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quoteproof.functions import values
 from quoteproof.functions.grammar import UNITS
+from quoteproof.functions.html import visible_text
 from quoteproof.operators import grounding, intake, lifecycle, requests
 from quoteproof.plans import application  # noqa: F401  registers its queries
 from quoteproof.plans.base import ORACLES, QUERIES, query, t
 from quoteproof.session import shared_folder
 from quoteproof.sources.clustered import ClusteredList
-from quoteproof.sources.readers import html_to_text
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -238,9 +237,7 @@ u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(re
 l AS (SELECT page_id, list_filter(list_transform(string_split_regex(x, '\r\n|\r|\n'), lambda y: trim(regexp_replace(y, '[\s\p{{Z}}]+', ' ', 'g'))), lambda y: y <> '') AS ls FROM u)
 SELECT page_id, array_to_string(ls, chr(10)) AS text FROM l""")
 def html_text(spark, d):
-    """Visible text of pages, by an exact HTML parser in Arrow batches, since Spark has none."""
-    shown = F.pandas_udf(lambda s: s.map(lambda h: None if h is None else html_to_text(h)), T.StringType())
-    return t(spark, d, "pages").select("page_id", shown("html").alias("text"))
+    return t(spark, d, "pages").select("page_id", visible_text(F.col("html")).alias("text"))
 
 
 @query(f"SELECT DISTINCT doc_id FROM ({_GROUNDED})")

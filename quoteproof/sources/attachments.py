@@ -7,7 +7,7 @@ expands row by row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from quoteproof.sources.readers import MOST_SEGMENTS, Segment, Unreadable, parse
 
@@ -53,42 +53,59 @@ class Report:
         return "failed" if self.error else "parsed"
 
 
-def _refusal(a: Attachment, depth: int, budget: Budget) -> str | None:
-    """Why an attachment is not even opened; takes it from the budget where it is."""
-    if a.index >= MOST_ATTACHMENTS:
-        return "too_many_attachments"
-    if depth > MOST_DEPTH:
-        return "nesting_too_deep"
-    if not a.by_value:
-        return "not_attached_by_value"
-    if budget.attachments <= 0:
-        return "budget_exceeded"
-    budget.attachments -= 1
-    return "document_unparseable" if a.message is None and a.data is None else None
-
-
-def expand(message: Message, budget: Budget | None = None, depth: int = 0) -> tuple[list[Segment], list[Report]]:
+class _Expansion:
+    """One top-level document: segments and reports lie in flat lists by their paths, and an attachment that fails is cut
+    off at the place where it began."""
+
+    def __init__(self, budget: Budget):
+        self.budget = budget
+        self.found: list[tuple[tuple[int, ...], Segment]] = []
+        self.reports: list[Report] = []
+        self.names: dict[tuple[int, ...], str | None] = {}
+
+    def message(self, m: Message, path: tuple[int, ...]) -> None:
+        start = len(self.found)
+        self.found += [(path, s) for s in m.segments]
+        for a in m.attachments:
+            self.attachment(a, (*path, a.index), start)
+
+    def attachment(self, a: Attachment, path: tuple[int, ...], outer: int) -> None:
+        self.names[path] = a.name
+        place, at = len(self.found), len(self.reports)
+        self.reports.append(Report(path, a.name, None, None, 0))
+        try:
+            kind = self.opened(a, path)
+            if len(self.found) - outer > MOST_SEGMENTS:
+                raise Unreadable("document_too_long")
+            self.reports[at] = Report(path, a.name, kind, None, len(self.found) - place)
+        except Unreadable as e:
+            del self.found[place:], self.reports[at:]
+            self.reports.append(Report(path, a.name, None, e.code, 0))
+
+    def opened(self, a: Attachment, path: tuple[int, ...]) -> str:
+        for code, holds in (("too_many_attachments", a.index >= MOST_ATTACHMENTS), ("nesting_too_deep", len(path) > MOST_DEPTH), ("not_attached_by_value", not a.by_value), ("budget_exceeded", self.budget.attachments < 1)):
+            if holds:
+                raise Unreadable(code)
+        self.budget.attachments -= 1
+        if a.message is not None:
+            self.message(a.message, path)
+            return "msg"
+        if a.data is None:
+            raise Unreadable("document_unparseable")
+        kind, inner = parse(a.data, a.mime, self.budget.unzipped)
+        self.found += [(path, s) for s in inner]
+        return kind
+
+    def placed(self, path: tuple[int, ...], s: Segment) -> Segment:
+        """A segment with the ids and places of the attachments around it."""
+        locator = s.locator
+        for n in range(len(path), 0, -1):
+            locator = {"kind": "msg", "part": "attachment", "attachment": {"index": path[n - 1], "name": self.names[path[:n]]}, "inner": locator}
+        return Segment("".join(f"msg-a{i}-" for i in path) + s.id, s.text, locator)
+
+
+def expand(message: Message, budget: Budget | None = None) -> tuple[list[Segment], list[Report]]:
     """The message's segments with those of its attachments behind them (ids and places say which), and the reports."""
-    budget = budget or Budget()
-    out, reports = list(message.segments), []
-    for a in message.attachments:
-        kind, inner, nested = "msg", [], []
-        error = _refusal(a, depth + 1, budget)
-        if error is None:
-            try:
-                if a.message is not None:
-                    inner, nested = expand(a.message, budget, depth + 1)
-                else:
-                    kind, inner = parse(a.data, a.mime, budget.unzipped)
-            except Unreadable as e:
-                error = e.code
-        if error is None and len(out) + len(inner) > MOST_SEGMENTS:
-            error, nested = "document_too_long", []
-        if error is not None:
-            reports.append(Report((a.index,), a.name, None, error, 0))
-            continue
-        place = {"index": a.index, "name": a.name}
-        out += [Segment(f"msg-a{a.index}-{s.id}", s.text, {"kind": "msg", "part": "attachment", "attachment": place, "inner": s.locator}) for s in inner]
-        reports.append(Report((a.index,), a.name, kind, None, len(inner)))
-        reports += [replace(r, path=(a.index, *r.path)) for r in nested]
-    return out, reports
+    run = _Expansion(budget or Budget())
+    run.message(message, ())
+    return [run.placed(path, s) for path, s in run.found], run.reports
