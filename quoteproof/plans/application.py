@@ -202,18 +202,18 @@ def retry_delay(spark, d):
 
 
 ITEM = {
-    "request_id": "l_orderkey", "item_index": "l_linenumber", "description": "CASE WHEN l_partkey % 50 = 0 THEN repeat('x', 501) ELSE concat('Teil ', CAST(l_partkey AS STRING)) END", "quantity": "CAST(CAST(l_quantity AS BIGINT) AS STRING)",
+    "request_id": "l_orderkey", "item_index": "n", "description": "CASE WHEN l_partkey % 50 = 0 THEN repeat('x', 501) ELSE concat('Teil ', CAST(l_partkey AS STRING)) END", "quantity": "CAST(CAST(l_quantity AS BIGINT) AS STRING)",
     "unit": "CASE WHEN l_suppkey % 2 = 0 THEN 'pcs' END", "material": "CAST(NULL AS STRING)", "dimensions": "CASE WHEN l_suppkey % 30 = 1 THEN repeat('y', 600) ELSE l_returnflag END",
 }
+_NTH = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS BIGINT) AS n"
 
 
 def _items(spark, d) -> DataFrame:
-    """One row a position: of repeated line numbers the least part."""
-    lines = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")).alias("l"))
-    return _derived(lines.select("l_orderkey", "l_linenumber", "l.*"), ITEM)
+    """One row a line; repeated line numbers are told apart by what they hold."""
+    return _derived(t(spark, d, "lineitem").select("*", F.expr(_NTH)), ITEM)
 
 
-_ITEMS = _sql(ITEM, "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) = 1)")
+_ITEMS = _sql(ITEM, f"(SELECT *, {_NTH} FROM lineitem)")
 
 
 @query(f"SELECT request_id, item_index, CAST(row_number() OVER (PARTITION BY request_id ORDER BY item_index) AS BIGINT) AS position FROM {_ITEMS}")
@@ -346,33 +346,32 @@ def _folded(c):
 
 
 EXPECTED = {
-    "case_id": "o_custkey", "item_index": "CAST(NULL AS INT)", "field": "concat('f', CAST(o_orderkey % 5 AS STRING))", "expected_value": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END",
+    "case_id": "o_custkey", "field": "concat('f', CAST(o_orderkey % 5 AS STRING))", "expected_value": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END",
     "expected_status": "CASE WHEN o_orderkey % 4 = 0 THEN 'missing' WHEN o_orderkey % 9 = 1 THEN 'uncertain' ELSE 'found' END", "nth": "o_orderkey",
 }
 RETURNED = {
-    "case_id": "o_custkey", "item_index": "CAST(NULL AS INT)", "field": "concat('f', CAST(o_orderkey % 5 AS STRING))", "value": "CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'other' ELSE concat(' ', upper(o_orderpriority)) END",
+    "case_id": "o_custkey", "field": "concat('f', CAST(o_orderkey % 5 AS STRING))", "value": "CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'other' ELSE concat(' ', upper(o_orderpriority)) END",
     "status": "CASE WHEN o_orderkey % 6 = 0 THEN 'missing' WHEN o_orderkey % 13 = 0 THEN 'unverified' WHEN o_orderkey % 9 = 1 THEN 'uncertain' ELSE 'found' END",
     "model_status": "CASE WHEN o_orderkey % 6 = 0 THEN 'missing' WHEN o_orderkey % 9 = 1 THEN 'uncertain' ELSE 'found' END", "has_evidence": "o_orderkey % 8 > 0", "nth": "o_orderkey",
 }
-_FIRST = "(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')"
-_OBSERVED = f"""(WITH e AS {_sql(EXPECTED, "orders WHERE o_orderstatus <> 'P'")}, r AS {_sql(RETURNED, "orders WHERE o_orderstatus <> 'O'")},
-e1 AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY case_id, field ORDER BY nth) = 1), r1 AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id, field ORDER BY nth) = 1)
-SELECT coalesce(e1.case_id, r1.case_id) AS case_id, coalesce(e1.field, r1.field) AS field, expected_value, coalesce(expected_status, 'missing') AS expected_status, value, coalesce(status, 'missing') AS status, coalesce(model_status, 'missing') AS model_status,
-coalesce(has_evidence, false) AS has_evidence, coalesce(lower(trim(value)) = lower(expected_value), false) AS value_matches FROM e1 FULL JOIN r1 ON e1.case_id = r1.case_id AND e1.field = r1.field)"""
+_PLACE = "row_number() OVER (PARTITION BY case_id, field ORDER BY nth)"
+_OBSERVED = f"""(WITH e AS (SELECT *, {_PLACE} AS n FROM {_sql(EXPECTED, "orders WHERE o_orderstatus <> 'P'")}), r AS (SELECT *, {_PLACE} AS n FROM {_sql(RETURNED, "orders WHERE o_orderstatus <> 'O'")})
+SELECT coalesce(e.case_id, r.case_id) AS case_id, coalesce(e.field, r.field) AS field, CAST(nullif(coalesce(e.n, r.n), 1) - 2 AS INT) AS item_index, expected_value, coalesce(expected_status, 'missing') AS expected_status, value, coalesce(status, 'missing') AS status, coalesce(model_status, 'missing') AS model_status,
+coalesce(has_evidence, false) AS has_evidence, coalesce(lower(trim(value)) = lower(expected_value), false) AS value_matches FROM e FULL JOIN r ON e.case_id = r.case_id AND e.field = r.field AND e.n = r.n)"""
 _CORRECT = "CASE WHEN expected_value IS NULL THEN status = 'missing' ELSE status = expected_status AND value_matches END"
 
 
 def _observed(spark, d) -> DataFrame:
-    """Expected and returned fields of cases; each side lacks some, and some are wrong."""
+    """Expected and returned fields of cases, the first of a field for its header, the others for items; each side lacks some,
+    and some are wrong."""
     o = t(spark, d, "orders")
-    first = lambda rows: rows.groupBy("case_id", "field", "item_index").agg(*(F.min_by(c, "nth").alias(c) for c in rows.columns if c not in ("case_id", "field", "item_index", "nth")))
-    expected, returned = first(_derived(o.where("o_orderstatus != 'P'"), EXPECTED)), first(_derived(o.where("o_orderstatus != 'O'"), RETURNED))
-    return evaluation.observe(expected, returned, _folded)
+    placed = lambda rows: rows.withColumn("item_index", F.expr(f"CAST(nullif({_PLACE}, 1) - 2 AS INT)")).drop("nth")
+    return evaluation.observe(placed(_derived(o.where("o_orderstatus != 'P'"), EXPECTED)), placed(_derived(o.where("o_orderstatus != 'O'"), RETURNED)), _folded)
 
 
-@query(f"SELECT case_id, field, expected_status, status, value_matches, {_CORRECT} AS correct, status = 'found' AND NOT value_matches AS false_found FROM {_OBSERVED}")
+@query(f"SELECT case_id, field, item_index, expected_status, status, value_matches, {_CORRECT} AS correct, status = 'found' AND NOT value_matches AS false_found FROM {_OBSERVED}")
 def observations(spark, d):
-    return _observed(spark, d).select("case_id", "field", "expected_status", "status", "value_matches", "correct", "false_found")
+    return _observed(spark, d).select("case_id", "field", "item_index", "expected_status", "status", "value_matches", "correct", "false_found")
 
 
 def _metrics(source: str, field: str = "field") -> str:
@@ -394,27 +393,68 @@ def eval_metrics(spark, d):
 _GROUPED = f"(SELECT *, case_id % 40 AS g FROM {_OBSERVED})"
 
 
-@query(f"""WITH a AS ({_metrics(_GROUPED, "concat('g', CAST(g AS VARCHAR))")}), w AS ({_metrics(_OBSERVED, "'all'")}),
+_GATED = f"""WITH a AS ({_metrics(_GROUPED, "concat('g', CAST(g AS VARCHAR))")}), w AS ({_metrics(_OBSERVED, "'all'")}),
 u AS (SELECT field, 'found_accuracy' AS metric, found_accuracy AS now, (SELECT found_accuracy FROM w) AS before FROM a UNION ALL SELECT field, 'false_found_rate', false_found_rate, (SELECT false_found_rate FROM w) FROM a
-UNION ALL SELECT field, 'missing_recall', missing_recall, CASE WHEN field = 'g1' THEN NULL ELSE (SELECT missing_recall FROM w) END FROM a)
-SELECT field, metric, CASE WHEN field = 'g2' THEN NULL ELSE before END AS before, now, CASE WHEN field = 'g2' THEN 'not_in_baseline' ELSE 'worse' END AS reason
-FROM u WHERE field = 'g2' OR CASE WHEN metric = 'false_found_rate' THEN now - before ELSE before - now END > 2.0""")
-def eval_gate(spark, d):
-    """Each group of cases against all of them as the baseline; one group is not in it, one has nothing to measure."""
+UNION ALL SELECT field, 'missing_recall', CASE WHEN field <> 'g4' THEN missing_recall END, CASE WHEN field <> 'g1' THEN (SELECT missing_recall FROM w) END FROM a)
+SELECT field, metric, CASE WHEN field NOT IN ('g2', 'g5') THEN before END AS before, now, CASE WHEN field = 'g2' THEN 'not_in_baseline' WHEN field = 'g5' THEN 'not_finite' WHEN now IS NULL THEN 'lost' ELSE 'worse' END AS reason
+FROM u WHERE field IN ('g2', 'g5') OR before IS NOT NULL AND now IS NULL OR CASE WHEN metric = 'false_found_rate' THEN now - before ELSE before - now END > 2.0"""
+
+
+def _gated(spark, d) -> DataFrame:
+    """Each group of cases against all of them as the baseline. One group is not in it, of one it is no number, one has
+    nothing to measure in it, and of one a metric is lost."""
     seen = _observed(spark, d)
     names = ("found_accuracy", "false_found_rate", "missing_recall")
     own = evaluation.long_form(evaluation.field_metrics(seen.withColumn("field", F.concat(F.lit("g"), (F.col("case_id") % 40).cast("string")))), names)
+    recall = lambda group: (F.col("field") == group) & (F.col("metric") == "missing_recall")
+    own = own.withColumn("value", F.when(~recall("g4"), F.col("value")))
     whole = evaluation.long_form(evaluation.field_metrics(seen.withColumn("field", F.lit("all"))), names).select("metric", "value")
     base = own.select("field", "metric").join(whole, "metric").where("field != 'g2'")
-    base = base.withColumn("value", F.when((F.col("field") == "g1") & (F.col("metric") == "missing_recall"), None).otherwise(F.col("value")))
-    return evaluation.gate(base, own, 2.0)
+    base = base.withColumn("value", F.when(F.col("field") == "g5", float("nan")).when(~recall("g1"), F.col("value")))
+    failed = evaluation.gate(base, own, 2.0)
+    return failed.withColumn("before", F.when(F.col("reason") != "not_finite", F.col("before")))
+
+
+@query(_GATED)
+def eval_gate(spark, d):
+    return _gated(spark, d)
+
+
+_INJECTED = f"(SELECT case_id, field FROM {_OBSERVED} WHERE status IN ('found', 'uncertain') AND lower(trim(value)) IN ('5-low', 'other') AND case_id % 3 = 0)"
+_BROKEN = "(SELECT DISTINCT o_custkey AS case_id FROM orders WHERE o_custkey % 10 = 3)"
 
 
-@query(f"SELECT case_id, field FROM {_OBSERVED} WHERE status IN ('found', 'uncertain') AND lower(trim(value)) IN ('5-low', 'other') AND case_id % 3 = 0")
+def _results(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations, errors of the broken cases, and what was injected."""
+    seen = _observed(spark, d)
+    broken = t(spark, d, "orders").where("o_custkey % 10 = 3").select(F.col("o_custkey").alias("case_id"), F.lit("model_output_invalid").alias("error")).distinct()
+    forbidden = seen.where("case_id % 3 = 0").select("case_id", "field").distinct().select("case_id", "field", F.explode(F.array(F.lit(" OTHER"), F.lit("5-Low"))).alias("value"))
+    return seen, broken, evaluation.injection_violations(seen, forbidden, _folded)
+
+
+@query(f"""WITH f AS ({_GATED}) SELECT 'metric' AS kind, field || '.' || metric || '.' || reason AS what FROM f UNION ALL SELECT 'error', case_id || ': model_output_invalid' FROM {_BROKEN}
+UNION ALL SELECT 'injection', case_id || '.' || field FROM {_INJECTED}""")
+def gate_failures(spark, d):
+    """Everything that fails the gate at once; the cases are those of the baseline."""
+    seen, errors, violations = _results(spark, d)
+    same = seen.select("case_id").distinct()
+    return evaluation.gate_failures(_gated(spark, d), errors, violations, evaluation.case_changes(same, same))
+
+
+@query(f"""WITH o AS (SELECT case_id, count(*) FILTER ({_CORRECT}) AS correct, count(*) AS observations FROM {_OBSERVED} WHERE case_id % 10 <> 3 GROUP BY 1), i AS (SELECT case_id, count(*) AS n FROM {_INJECTED} GROUP BY 1)
+SELECT coalesce(o.case_id, b.case_id) AS case_id, coalesce(correct, 0) AS correct, coalesce(observations, 0) AS observations, CASE WHEN b.case_id IS NOT NULL THEN 'model_output_invalid' END AS error, coalesce(i.n, 0) AS injection_violations
+FROM o FULL JOIN {_BROKEN} b ON o.case_id = b.case_id LEFT JOIN i ON i.case_id = coalesce(o.case_id, b.case_id)""")
+def case_results(spark, d):
+    """A broken case has its error and no observations."""
+    seen, errors, violations = _results(spark, d)
+    return evaluation.case_results(seen.where("case_id % 10 != 3"), errors, violations)
+
+
+@query(f"SELECT case_id, field, item_index FROM {_OBSERVED} WHERE status IN ('found', 'uncertain') AND lower(trim(value)) IN ('5-low', 'other') AND case_id % 3 = 0")
 def injection_violations(spark, d):
     seen = _observed(spark, d)
     forbidden = seen.where("case_id % 3 = 0").select("case_id", "field").distinct().select("case_id", "field", F.explode(F.array(F.lit(" OTHER"), F.lit("5-Low"))).alias("value"))
-    return evaluation.injection_violations(seen, forbidden, _folded).select("case_id", "field")
+    return evaluation.injection_violations(seen, forbidden, _folded).select("case_id", "field", "item_index")
 
 
 @query("""SELECT o_custkey AS case_id, 'added' AS reason FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
@@ -460,30 +500,30 @@ def rejected_answers(spark, d):
 # --- documents and fields
 
 
-_MAIL = "concat('From: ', source, '@x.de\n', 'Subject: Anfrage ', CAST(doc_id AS STRING), '\nMessage-ID: <', CAST(doc_id AS STRING), '@x>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n', text)"
+_MAIL = "concat('From: ', coalesce(source, 'x'), '@x.de\n', 'Subject: Anfrage ', CAST(doc_id AS STRING), '\nMessage-ID: <', CAST(doc_id AS STRING), '@x>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n', coalesce(text, ''))"
 
 
 @query("""WITH l AS (SELECT doc_id, trim(x) AS text, i FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS x, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) AS i FROM documents) WHERE trim(x) <> '')
-SELECT doc_id, 'eml-l' || i AS segment_id, text, CAST(i AS INT) AS line FROM l UNION ALL SELECT doc_id, 'eml-h-from', 'From: ' || source || '@x.de', 1 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL
-UNION ALL SELECT doc_id, 'eml-h-subject', 'Subject: Anfrage ' || doc_id, 2 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+SELECT doc_id, 'eml-l' || i AS segment_id, text, CAST(i AS INT) AS line FROM l UNION ALL SELECT doc_id, 'eml-h-from', 'From: ' || coalesce(source, 'x') || '@x.de', 1 FROM documents
+UNION ALL SELECT doc_id, 'eml-h-subject', 'Subject: Anfrage ' || doc_id, 2 FROM documents""")
 def mail_segments(spark, d):
     """Every document as a mail, read back by the mail reader."""
-    files = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(_MAIL).cast("binary").alias("content")).where("content is not null")
+    files = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(_MAIL).cast("binary").alias("content"))
     return readers.segments(files).select(F.col("path").cast("long").alias("doc_id"), "segment_id", "text", "line")
 
 
-@query("SELECT doc_id, '<' || doc_id || '@x>' AS message_id, 'Anfrage ' || doc_id AS subject FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, '<' || doc_id || '@x>' AS message_id, 'Anfrage ' || doc_id AS subject FROM documents")
 def mail_headers(spark, d):
-    files = t(spark, d, "documents").select("doc_id", F.expr(_MAIL).cast("binary").alias("content")).where("content is not null")
+    files = t(spark, d, "documents").select("doc_id", F.expr(_MAIL).cast("binary").alias("content"))
     return files.select("doc_id", uploads.headers_of("content").alias("h")).select("doc_id", "h.*")
 
 
-@query("""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'eml' WHEN 1 THEN 'pdf' WHEN 2 THEN 'exe' ELSE 'docx' END AS x, strlen(concat('From: ', source, '@x.de\n', 'Subject: Anfrage ', CAST(doc_id AS STRING), '\nMessage-ID: <', CAST(doc_id AS STRING), '@x>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n', text)) AS n
-FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+@query("""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'eml' WHEN 1 THEN 'pdf' WHEN 2 THEN 'exe' ELSE 'docx' END AS x, strlen(concat('From: ', coalesce(source, 'x'), '@x.de\n', 'Subject: Anfrage ', CAST(doc_id AS STRING), '\nMessage-ID: <', CAST(doc_id AS STRING), '@x>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n', coalesce(text, ''))) AS n
+FROM documents)
 SELECT doc_id, 'd' || doc_id || '.' || upper(x) AS filename, CASE WHEN x = 'eml' AND n <= 3000 THEN 'eml' END AS kind, CASE WHEN x = 'exe' THEN 'type' WHEN n > 3000 THEN 'too_large' WHEN x <> 'eml' THEN 'content' END AS reject_reason FROM f""")
 def upload_checks(spark, d):
     name = F.concat(F.lit("C:\\fakepath\\d"), F.col("doc_id").cast("string"), F.lit("."), F.expr("CASE doc_id % 4 WHEN 0 THEN 'EML' WHEN 1 THEN 'PDF' WHEN 2 THEN 'EXE' ELSE 'DOCX' END"))
-    files = t(spark, d, "documents").select("doc_id", name.alias("name"), F.expr(_MAIL).cast("binary").alias("content")).where("content is not null")
+    files = t(spark, d, "documents").select("doc_id", name.alias("name"), F.expr(_MAIL).cast("binary").alias("content"))
     return uploads.classified(files, 3000).select("doc_id", "filename", "kind", "reject_reason")
 
 
@@ -548,3 +588,33 @@ def corrections_overlay(spark, d):
     later = ev.join(first.select("request_id", "field_key", F.col("f.event_id").alias("_f")), ["request_id", "field_key"]).where("event_id > _f")
     corrections = later.select(*key, F.col("value").alias("new_value"), F.col("event_id").alias("created_at"), F.col("event_id").alias("id"))
     return grounding.overlay(fields, corrections).select(F.col("request_id").alias("user_id"), F.col("field_key").alias("event_type"), "reviewed_value", "corrected")
+
+
+TYPED = {
+    "document_id": "CAST(o_orderkey AS STRING)", "key": "CAST(o_orderkey % 6 AS INT)",
+    "field_key": "CASE o_orderkey % 6 WHEN 3 THEN 'unit' WHEN 4 THEN 'phone' WHEN 5 THEN 'quantity' ELSE 'requested_delivery_date' END", "status": "CASE WHEN o_custkey % 5 = 0 THEN 'uncertain' ELSE 'found' END",
+}
+_DAY, _LATER = ("{0}(o_orderdate, '{1}')", "{0}(o_orderdate + INTERVAL '7' DAY, '{1}')")
+_SPARK_DAY, _DUCK_DAY = ("date_format", "dd.MM.yyyy"), ("strftime", "%d.%m.%Y")
+
+
+def _typed(how: tuple[str, str], week: str, year: str) -> dict[str, str]:
+    """Texts with a date, a calendar week, two dates, a unit, a phone number or a grouped number, and what is claimed of them."""
+    day, later = _DAY.format(*how), _LATER.format(*how)
+    kw = f"concat('KW ', CAST({week} AS STRING), '/', CAST({year} AS STRING))"
+    tail = "lpad(CAST(o_custkey % 1000 AS STRING), 3, '0')"
+    return TYPED | {
+        "text": f"CASE o_orderkey % 6 WHEN 0 THEN concat('Termin ', {day}) WHEN 1 THEN concat('Termin ', {kw}) WHEN 2 THEN concat('bis ', {day}, ' oder ', {later}) WHEN 3 THEN '20 Stk. aus Lager' WHEN 4 THEN concat('Tel. +49 30 1234', {tail}) ELSE concat('Menge 1.', {tail}, ' Stk.') END",
+        "value": f"CASE o_orderkey % 6 WHEN 1 THEN {kw} WHEN 3 THEN CASE WHEN o_custkey % 3 = 0 THEN 'kg' ELSE 'St\u00fcck' END WHEN 4 THEN CASE WHEN o_custkey % 7 = 0 THEN '+49 30 999999' ELSE concat('+49 (30) 1234-', {tail}) END WHEN 5 THEN concat('1', {tail}) ELSE {day} END",
+        "shown": f"CASE o_orderkey % 6 WHEN 1 THEN {kw} WHEN 3 THEN 'pcs' WHEN 4 THEN concat('+49 (30) 1234-', {tail}) WHEN 5 THEN concat('1', {tail}) ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
+        "wrong": "o_orderkey % 6 = 3 AND o_custkey % 3 = 0 OR o_orderkey % 6 = 4 AND o_custkey % 7 = 0", "ocr": "o_custkey % 4 = 0",
+    }
+
+
+@query(f"""WITH c AS {_sql(_typed(_DUCK_DAY, 'week(o_orderdate)', 'year(o_orderdate)'), 'orders')}, r AS (SELECT *, CASE WHEN wrong THEN 'value_not_in_quote' WHEN key = 1 THEN 'calendar_week_only' WHEN key = 2 AND status = 'found' THEN 'ambiguous_quote' WHEN ocr AND status = 'found' THEN 'ocr_only' END AS reason FROM c)
+SELECT document_id, field_key, CASE WHEN wrong THEN value ELSE shown END AS value, CASE WHEN wrong THEN 'unverified' WHEN reason IS NOT NULL THEN 'uncertain' ELSE status END AS status, reason FROM r""")
+def typed_claims(spark, d):
+    """Claims of dates, weeks, units, phone numbers and numbers under the rule chain."""
+    made = _derived(t(spark, d, "orders"), _typed(_SPARK_DAY, "weekofyear(o_orderdate)", "year(o_orderdate)"))
+    claims = made.select("document_id", "field_key", F.lit(None).cast("int").alias("item_index"), "value", "status", F.lit("s1").alias("segment_id"), F.col("text").alias("quote"))
+    return grounding.verify(claims, made.select("document_id", F.lit("s1").alias("segment_id"), "text", "ocr")).select("document_id", "field_key", "value", "status", "reason")
