@@ -2,11 +2,11 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns, minus those that fail their rule. The values
 they hold are the protected entities. A word of a document that holds an entity discloses it as far as it lets a reader
-infer it: PMI(entity; word) / IC(entity), with document frequencies over the whole texts of the whole corpus; 1 means
-the word never occurs without the entity, however rare both are. For words that also occur without it, P(entity | word)
-is smoothed by ``PRIOR`` documents at the entity's own rate (Laplace's rule). Every occurrence, in every document and
-outside base spans, of a word whose disclosure of some entity reaches ``GENERALISE_AT`` is a span of kind ``term``:
-generalised to a class, or removed from ``REMOVE_AT`` on.
+infer it: PMI(entity; word) / IC(entity), with document frequencies over the whole texts of the whole corpus; 1 would
+be certainty. P(entity | word), b of w documents, is discounted to b/w * b/(b + ``DISCOUNT``), as pointwise information is for
+small counts, so nine of ten tell more than one of one. Every occurrence, in every document and outside base spans, of a word whose disclosure of
+some entity reaches ``GENERALISE_AT`` is a span of kind ``term``: generalised to a class, or removed from ``REMOVE_AT`` on. What
+has been seen with an entity in one document alone is generalised at most (``LONE``).
 
 The patterns are the contract's, written so that Java neither recurses nor starts anew within a run of characters:
 possessive groups, and a start only where a run starts or the last match ended; both leave the matches the same.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, load, materialise, text_or_empty
+from ._shared import SPACE, discard, load, materialise, text_or_empty
 
 LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -29,9 +29,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-PRIOR = 2.0
+DISCOUNT = 1.0
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
+#: The most that a word discloses of an entity that it has been seen with in one document.
+LONE = 0.9
 #: Prefix sums go block by block: appending copies a block's numbers and, of the blocks before, the references.
 BLOCK = 256
 #: So many of the words that are too frequent to disclose anything are set aside before words are dealt out.
@@ -120,15 +122,16 @@ def disclosure(both: Column, with_word: Column, with_entity: Column, n_docs: int
     """PMI / IC of an entity and a word that are together in ``both`` documents."""
     n = F.lit(float(max(n_docs, 2)))
     rate = F.least(with_entity, n - 1) / n
-    given = F.when(both >= with_word, F.lit(1.0)).otherwise((both + PRIOR * rate) / (with_word + PRIOR))
-    return F.least(F.ln(given / rate) / -F.ln(rate), F.lit(1.0))
+    given = both / with_word * both / (both + DISCOUNT)
+    told = F.ln(given / rate) / -F.ln(rate)
+    return F.when(both > 1, told).otherwise(F.least(told, F.lit(LONE)))
 
 
 def _most(with_entity: Column, n_docs: int) -> Column:
     """No word of more documents than this discloses an entity of ``with_entity`` documents (``disclosure`` solved for with_word)."""
     n = F.lit(float(max(n_docs, 2)))
     rate = F.least(with_entity, n - 1) / n
-    return F.greatest(with_entity, (with_entity + PRIOR * rate) / F.pow(rate, 1 - GENERALISE_AT) - PRIOR) + 1e-3
+    return with_entity * with_entity / (with_entity + DISCOUNT) / F.pow(rate, 1 - GENERALISE_AT) * (1 + 1e-9)
 
 
 def disclosing(kept: DataFrame, rows: DataFrame) -> DataFrame:
@@ -145,10 +148,16 @@ def disclosing(kept: DataFrame, rows: DataFrame) -> DataFrame:
     own = own.select("_row", "times", F.explode("_words").alias("word")).join(F.broadcast(frequent), "word", "left_anti")
     rare = own.join(every.where(F.col("with_word") <= most), "word")
     holders = held.distinct().join(entities, "entity")
-    pairs = rare.join(holders, "_row").where(F.col("with_word") <= F.col("_most"))
+    # a word of one document tells of each entity there what its count alone says, so it meets the most telling one only
+    score = disclosure(F.lit(1), F.lit(1), F.col("with_entity"), n_docs)
+    best = holders.where(F.col("_most") >= 1).groupBy("_row").agg(F.max(score).alias("disclosure"))
+    single = rare.where("with_word = 1").join(best, "_row").select("word", "disclosure")
+    pairs = rare.where("with_word > 1").join(holders, "_row").where(F.col("with_word") <= F.col("_most"))
     pairs = pairs.groupBy("entity", "word", "with_word", "with_entity").agg(F.sum("times").alias("both"))
-    told = pairs.withColumn("disclosure", disclosure(F.col("both"), F.col("with_word"), F.col("with_entity"), n_docs)).where(F.col("disclosure") >= GENERALISE_AT)
-    return materialise(told.groupBy("word").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    told = pairs.select("word", disclosure(F.col("both"), F.col("with_word"), F.col("with_entity"), n_docs).alias("disclosure")).unionByName(single)
+    out = materialise(told.where(F.col("disclosure") >= GENERALISE_AT).groupBy("word").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    discard(entities, every)
+    return out
 
 
 def _places(rows: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -171,9 +180,14 @@ def _places(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     return found.join(flagged, "word").select("_row", "start", "end", "disclosure")
 
 
+def _row() -> Column:
+    """What tells rows of another id or text apart: two hashes, since one of 64 bits repeats among 10^10 rows."""
+    return F.struct(F.xxhash64("doc_id", "_text").alias("a"), F.xxhash64(F.lit("row"), "_text", "doc_id").alias("b"))
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, _row (hash of id and text), base and terms: arrays of spans; terms with their disclosure."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
+    """doc_id, _row (hashes of id and text), base and terms: arrays of spans; terms with their disclosure."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).withColumn("_row", _row())
     based = rows.withColumn("base", base_spans(F.col("_text")))
     kept = materialise(based.select("doc_id", "_row", "base", F.when(F.size("base") > 0, _words(F.col("_text"))).alias("_words")), "pii")
     found = _places(rows, disclosing(kept, rows))
@@ -185,7 +199,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id and the text with base spans named by their kind, and disclosing terms generalised or removed."""
     found = find_personal_data(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).withColumn("_row", _row())
     marks = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to"))),
         F.coalesce(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE_AT, "").otherwise("[TERM]").alias("to"))), F.array().cast("array<struct<start:bigint,end:bigint,to:string>>")),

@@ -278,6 +278,56 @@ def test_op3_whole_texts(spark, tmp_path):
     assert got == {**{k: ["Quibble", "quibble"] for k in range(4)}, 5: ["QUIBBLE", "quibble"], **{10 + k: [] for k in range(300)}}
 
 
+def plain_terms(rows):
+    """word to disclosure by plain loops: every word of a document with every entity of it."""
+    import math
+
+    n, with_word, with_entity, both = max(2, len(rows)), collections.Counter(), collections.Counter(), collections.Counter()
+    for _, text in rows:
+        own = {w.lower() for w in words(text)}
+        held = set()
+        for kind, start, end in (x.split(":") for x in plain_base(text or "").split(",") if x):
+            value = text[int(start) : int(end)]
+            held.add((kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()))
+        with_word.update(own)
+        with_entity.update(held)
+        both.update((e, w) for e in held for w in own)
+    out = {}
+    for (e, w), b in both.items():
+        rate = min(with_entity[e], n - 1) / n
+        told = math.log(b / with_word[w] * b / (b + op3.DISCOUNT) / rate) / -math.log(rate)
+        out[w] = max(out.get(w, -9), told if b > 1 else min(told, op3.LONE))
+    return {w: d for w, d in out.items() if d >= op3.GENERALISE_AT}
+
+
+def test_op3_every_term_span(spark, tmp_path):
+    """All term spans and their disclosures of a corpus, recomputed for every pair of a word and an entity."""
+    rng = random.Random(33)
+    common, rare = [f"w{k}" for k in range(60)], [f"Rare{k}" for k in range(400)]
+    entities = [f"user{k}@mail.org" for k in range(12)] + ["10.0.0.1", "+49 30 1234567", "4111 1111 1111 1111"]
+    rows = []
+    for k in range(300):
+        text = rng.choices(common, k=rng.randint(3, 30)) + rng.choices(rare, k=rng.randint(0, 4))
+        if k % 3 == 0:
+            e = rng.randrange(len(entities))
+            text += [entities[e], f"near{e}", *([f"often{e}"] if rng.random() < 0.8 else [])]
+        if k % 40 == 1:
+            text += [f"often{rng.randrange(15)}"]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text)))
+    rows += [(0, rows[0][1]), (500, " ".join(f"m{j}@x.org word{j}" for j in range(120))), (501, None), (502, "")]
+    flagged = plain_terms(rows)
+    assert 20 < len(flagged) and any(d > op3.LONE for d in flagged.values()) and any(d <= op3.LONE for d in flagged.values())
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in op3.find_personal_data(frame).select("doc_id", "terms").collect():
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        base = [tuple(map(int, x.split(":")[1:])) for x in plain_base(text).split(",") if x]
+        want = {(m.start(), m.end()): flagged[m[0].lower()] for m in re.finditer("[^\x20\x09-\x0d]+", text) if m[0].lower() in flagged}
+        want = {p: d for p, d in want.items() if not any(a < p[1] and p[0] < b for a, b in base)}
+        assert {(t.start, t.end): pytest.approx(t.disclosure) for t in r.terms or []} == want
+    assert not any(d >= op3.REMOVE_AT for w, d in flagged.items() if sum(w in (t or "").lower().split() for _, t in rows) == 1)
+
+
 def test_op4(spark, docs, empty):
     import sentencepiece
 
