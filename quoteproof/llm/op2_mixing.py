@@ -28,8 +28,9 @@ BUDGET = 1.5
 MOST_REPEATS = 2
 #: Weight at training time 0 and 1, by the source's place in WEIGHTS; the mean of each is 1.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-#: A source's documents are summed in 4096 hash ranges first, so that no task sees a source whole.
-RANGES_HEX = 3
+#: A source's documents are summed by ranges of their hashes first, so that no task sees a source whole: as many hexadecimal
+#: digits, within bounds, as leave about so many documents in a range even if one source has all of them.
+RANGE_DOCS, RANGES_HEX = 20_000, (3, 6)
 
 
 def word_count(text: str = "text") -> Column:
@@ -73,22 +74,29 @@ def _inverse(share: Column, start: Column, end: Column) -> Column:
 ADDED = ("size", "source_size", "target", "taken", "position", "passes")
 
 
+def range_digits(n_docs: int) -> int:
+    least, most = RANGES_HEX
+    return next((k for k in range(least, most) if n_docs <= RANGE_DOCS * 16**k), most)
+
+
 def _mixed(docs: DataFrame, budget: float, weights, most_repeats: int, schedules) -> DataFrame:
     """_row (all columns of ``docs``) with the columns ``ADDED``."""
     known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64(text_or_empty()).cast("string")))
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count().alias("size"),
         F.md5(known.cast("binary")).alias("_hash"), F.xxhash64(text_or_empty()).alias("_tie"),
-    ).withColumn("_range", F.substring("_hash", 1, RANGES_HEX))
-    sums = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
+    ).withColumn("_range", F.substring("_hash", 1, range_digits(docs.count())))
+    # a key without nulls, so that the window below leaves rows where the join wants them
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("n")))
+    sums = rows.groupBy("_source", "_key", "_range").agg(F.sum("size").alias("_sum"))
     by_range = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_range), F.lit(0)))
     targets = source_targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), budget, weights, most_repeats)
     of_source = F.col("_source").eqNullSafe(F.col("source"))
-    starts = starts.join(targets, of_source).select(F.col("_source").alias("_of"), F.col("_range").alias("_own"), "_before", "source_size", "place", "target")
-    here = Window.partitionBy("_source", "_range").orderBy("_hash", "_id", "_tie")
+    starts = starts.join(targets, of_source).select("_key", "_range", "_before", "source_size", "place", "target")
+    here = Window.partitionBy("_key", "_range").orderBy("_hash", "_id", "_tie")
     rows = rows.withColumn("_at", F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    rows = rows.join(starts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_own")))
+    rows = rows.join(starts, ["_key", "_range"])
     wanted = F.floor(F.col("target") + 0.5).cast("long")
     at, none = F.col("_before") + F.col("_at"), F.lit(0).cast("long")
     start, end = (_by_place([s[k] for s in schedules], F.col("place")) for k in (0, 1))
@@ -116,8 +124,13 @@ def mix(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats:
 
 
 def _sorted(mixed: DataFrame) -> DataFrame:
+    """Range-sorted by position. Positions are shares of training time and each source fills its time evenly by its schedule, so
+    ranges of equal width hold about equal work, and no sampling runs the plan twice. What has no position comes last,
+    spread by its id."""
     order = [F.col("position").asc_nulls_last(), F.col("_row.doc_id")]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.least(F.floor(F.col("position") * n), F.lit(n - 1))
+    return mixed.repartitionById(2 * n, F.coalesce(own, n + F.pmod(F.xxhash64("_row.doc_id"), F.lit(n))).cast("int")).sortWithinPartitions(*order)
 
 
 def curriculum(docs: DataFrame, budget: float = BUDGET, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
