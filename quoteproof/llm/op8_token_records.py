@@ -37,6 +37,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that make one data file; a file is read as a whole by one task.
 SHARD_TEXT_BYTES = 16_000_000
+#: Most ranges that documents are dealt to; of a larger corpus a range is written as several files.
+MOST_RANGES = 100_000
 #: Bytes of a payload before the ids.
 HEAD = 9
 
@@ -71,8 +73,9 @@ def read_frame(content: memoryview, offset: int) -> tuple[int | None, memoryview
 
 
 def shard_of(name: str) -> int:
-    """The shard number of a data file."""
-    return int(re.match(r"part-(\d+)", name)[1])
+    """The shard number of a data file: its range and its place among the files of the range."""
+    part, nth = re.match(r"part-(\d+)(?:.*-c(\d+)\.txt)?", name).groups()
+    return int(part) << 24 | int(nth or 0)
 
 
 def _width(path: str) -> str:
@@ -95,11 +98,14 @@ def _frames(path: str, end_id: int):
 def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Data files below ``folder``/data and the index below ``folder``/index."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    size, n_docs = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-size // shard_bytes))
+    ranges = min(shards, MOST_RANGES)
+    records = -(-n_docs // shards) if shards > ranges else 0  # of a file; 0: all of a range
     order = [F.col("doc_id"), F.xxhash64("_text"), F.col("_from")]
-    dealt = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
+    dealt = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     frames = dealt.drop("_from").mapInArrow(_frames(path, end_id), "value binary")
-    frames.select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/data")
+    frames.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records).text(f"{folder}/data")
     files(docs.sparkSession, folder).mapInArrow(_index(path), INDEX).write.parquet(f"{folder}/index")
 
 
@@ -141,9 +147,12 @@ def _index(path: str):
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index with ``start``: the ids of all records before, in the order of the shards."""
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
-    totals = index.groupBy("file", "shard").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)  # over files, not records
-    bases = totals.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    totals = index.groupBy("file", "shard").agg(F.sum("n_tokens").alias("_n")).withColumn("_range", F.shiftright("shard", 24))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # over the ranges, of which there are at most MOST_RANGES, and over the files of one range
+    ranges = totals.groupBy("_range").agg(F.sum("_n").alias("_n")).select("_range", earlier(Window.orderBy("_range")).alias("_start"))
+    own = totals.withColumn("_within", earlier(Window.partitionBy("_range").orderBy("shard", "file")))
+    bases = own.join(ranges, "_range").select("file", (F.col("_start") + F.col("_within")).alias("_base"))
     return index.join(bases, "file").withColumn("start", F.col("_base") + F.col("in_file")).drop("_base", "in_file")
 
 

@@ -226,6 +226,22 @@ def test_op2_mixed_documents_in_order(spark):
     assert got == [k for k, _ in sorted(placed, key=lambda x: (placed[x], x[0]))] and len(set(got)) < len(got)
 
 
+def test_op2_ranges_grow_with_the_corpus(spark, tmp_path, monkeypatch):
+    """More, smaller ranges give the same mix; the plan runs once."""
+    rng = random.Random(22)
+    rows = [(k, "w " * rng.randint(0, 9), rng.choice(["hot", "hot", "cold", None]), 1) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int")
+    folder = table(spark, frame, tmp_path / "d")
+    one = sorted(map(tuple, op2.op2_curriculum_mix(spark, folder).collect()))
+    monkeypatch.setattr(op2, "RANGE_DOCS", 0.01)
+    assert op2.range_digits(3000) == 5 and op2.range_digits(10**9) == 6
+    mixed = op2.op2_curriculum_mix(spark, folder)
+    assert sorted(map(tuple, mixed.collect())) == one
+    assert "rangepartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+    got = [r.position for r in mixed.collect()]
+    assert [p for p in got if p is not None] == sorted(p for p in got if p is not None) and None not in got[: len([p for p in got if p is not None])]
+
+
 def plain_base(text):
     out = []
     for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
@@ -624,6 +640,20 @@ def test_op10(spark, docs, empty):
 MESSY = "doc_id long, text string, _row string, base string, terms int, length string, piece string, start string, sha string, kept string, _sha string, _gone int, sig int, `key` string, `a.b` int"
 
 
+def test_op8_ranges_of_several_files(spark, tmp_path, monkeypatch):
+    path, rows = tokenizer_path(op8.TOKENIZER), [(k, f"some words {k} " * 20) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(op8, "MOST_RANGES", 3)
+    op8.write_records(frame, str(tmp_path / "r"), path, shard_bytes=5000)
+    index = op8.read_index(spark, str(tmp_path / "r")).orderBy("start").collect()
+    assert [r.doc_id for r in index] == list(range(300)) and len({r.shard >> 24 for r in index}) <= 3 and len({r.file for r in index}) > 10
+    n = 0
+    for r in index:
+        assert r.start == n and r.shard == op8.shard_of(r.file)
+        n += r.n_tokens
+    assert {r.doc_id for r in op8.read_records(spark, str(tmp_path / "r"), path).collect()} == set(range(300))
+
+
 def test_messy_tables(spark, tmp_path):
     """Null ids, repeated rows, null and empty texts, and columns with the operators' own names: every row counts, none crashes."""
     texts = ["mail a@b.org or 10.0.0.1 now", "mail a@b.org  or 10.0.0.1 now", None, "", "one two three four five six", "one two three four five six"]
