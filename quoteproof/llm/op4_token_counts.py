@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._encode import blocks, tokenizer_path
-from ._shared import load, text_or_empty
+from ._encode import text_blocks, tokenizer_path
+from ._shared import frugal, load, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -170,9 +170,8 @@ def prefix_profiles(
     def run(batches):
         c = counter(model_file)
         for batch in batches:
-            for start, end in blocks_of(batch):
+            for start, end, texts in text_blocks(batch.column("_text")):
                 part = batch.slice(start, end - start)
-                texts = part.column("_text").to_pylist()
                 c.trim()
                 found = [c.profile(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -186,11 +185,7 @@ def prefix_profiles(
                     names=names,
                 )
 
-    def blocks_of(batch):
-        sizes = batch.column("_text").to_pylist()
-        return list(blocks(sizes))
-
-    return docs.select(*carry, text_or_empty().alias("_text")).mapInArrow(run, out)
+    return docs.select(*carry, text_or_empty().alias("_text")).mapInArrow(frugal(run), out)
 
 
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
