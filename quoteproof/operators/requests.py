@@ -53,6 +53,11 @@ def newest_first(rows: DataFrame, at: str, key: str) -> DataFrame:
     return rows.orderBy(F.col(at).desc_nulls_first(), F.col(key).desc())
 
 
+def all_documents(*lists: DataFrame) -> DataFrame:
+    """The documents of several lists as one bag: one listed twice stays twice; columns are matched by name."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists)
+
+
 # --- one row's state
 
 

@@ -111,6 +111,20 @@ def source_view(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     return lines.select("evidence_id", "kind", "heading", "ocr", "position", "segment_id", label(F.col("place")).alias("label"), is_cited.alias("cited"), parts.alias("parts"))
 
 
+def marked_contexts(evidence: DataFrame, segments: DataFrame) -> DataFrame:
+    """Every line of a context that some evidence cites, once, with ``marks``: (evidence_id, parts) of each evidence that cites the
+    line. The same lines as ``source_view`` gives for each evidence, but as many rows as lines, however many cite a context."""
+    known = placed(segments)
+    cited = evidence.join(known.select("document_id", "segment_id", "context", "text"), ["document_id", "segment_id"])
+    marks = cited.groupBy("document_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", mark_quote(F.col("text"), F.col("quote")).alias("parts")))).alias("marks"))
+    shown = known.join(cited.select("document_id", "context").distinct(), ["document_id", "context"], "left_semi")
+    kind = F.when(F.col("place.kind").isin("pdf", "xlsx", "docx"), F.col("place.kind")).otherwise("email")
+    return shown.join(marks, ["document_id", "segment_id"], "left").select(
+        "document_id", "context", kind.alias("kind"), heading(F.col("place"), F.col("names")).alias("heading"), F.coalesce("place.ocr", F.lit(False)).alias("ocr"), "position",
+        "segment_id", "text", label(F.col("place")).alias("label"), "marks",
+    )
+
+
 # --- corrections
 
 

@@ -618,3 +618,62 @@ def typed_claims(spark, d):
     made = _derived(t(spark, d, "orders"), _typed(_SPARK_DAY, "weekofyear(o_orderdate)", "year(o_orderdate)"))
     claims = made.select("document_id", "field_key", F.lit(None).cast("int").alias("item_index"), "value", "status", F.lit("s1").alias("segment_id"), F.col("text").alias("quote"))
     return grounding.verify(claims, made.select("document_id", F.lit("s1").alias("segment_id"), "text", "ocr")).select("document_id", "field_key", "value", "status", "reason")
+
+
+_ID = "concat(substring(md5(CAST(o_orderkey AS STRING)), 1, 8), '-', substring(md5(CAST(o_orderkey AS STRING)), 9, 4), '-', substring(md5(CAST(o_orderkey AS STRING)), 13, 4), '-', substring(md5(CAST(o_orderkey AS STRING)), 17, 4), '-', substring(md5(CAST(o_orderkey AS STRING)), 21, 12))"
+
+
+@query(f"""WITH o AS (SELECT {_ID} AS id, o_orderdate, o_orderkey FROM orders WHERE o_custkey % 20 = 3), n AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, id DESC) AS n FROM o)
+SELECT 'own' AS cursor, o_orderkey FROM n WHERE n BETWEEN 51 AND 101 UNION ALL SELECT c, o_orderkey FROM n, (VALUES ('foreign'), ('unknown'), ('malformed'), ('none')) v(c) WHERE n <= 51""")
+def anchored_pages(spark, d):
+    """A page behind each kind of cursor: an own row's id gives the next page; one of another tenant, of no row, or that is no id, the first."""
+    every = t(spark, d, "orders").select(F.expr(_ID).alias("id"), "o_orderdate", "o_orderkey", (F.col("o_custkey") % 20).alias("company"))
+    own = every.where("company = 3")
+    seen = intake.keyset_page(own, "o_orderdate", "id").select("id").collect()  # one page
+    foreign = every.where("company = 4").select("id").head()
+    cursors = {"own": seen[49]["id"].upper() if len(seen) > 50 else None, "foreign": foreign["id"] if foreign else None, "unknown": "00000000-0000-0000-0000-000000000000", "malformed": "1 or 1=1", "none": None}
+    pages = [intake.keyset_page(own, "o_orderdate", "id", requests.anchor(own, c, "o_orderdate")).select(F.lit(name).alias("cursor"), "o_orderkey") for name, c in cursors.items()]
+    return requests.all_documents(*pages)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 500 > 0 THEN o_orderdate END AS created FROM orders ORDER BY created DESC NULLS FIRST, o_orderkey DESC LIMIT 100")
+def nulls_first_list(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 500 > 0 THEN o_orderdate END").alias("created"))
+    return requests.newest_first(rows, "created", "o_orderkey").limit(100)
+
+
+@query(f"SELECT CASE WHEN item_index IS NULL THEN 'header' ELSE 'items' END AS part, field_key, count(*) AS n FROM {_FIELDS} GROUP BY 1, 2")
+def header_item_split(spark, d):
+    header, items = review.header_and_items(_fields(spark, d))
+    parts = requests.all_documents(header.withColumn("part", F.lit("header")), items.withColumn("part", F.lit("items")))
+    return parts.groupBy("part", "field_key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1")
+def listed_documents(spark, d):
+    docs = t(spark, d, "documents")
+    lists = docs.where("lang = 'en'").select("doc_id"), docs.where("n_chars > 1000").select("doc_id", "lang"), t(spark, d, "labels").where("quality = 1").select("doc_id")
+    return requests.all_documents(*lists).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS document_id, l_partkey % 4 AS k, l_linenumber AS n FROM lineitem),
+c AS (SELECT *, CASE k WHEN 0 THEN 'mail' WHEN 2 THEN 'pdf:' || n % 2 ELSE 'docx' END AS context FROM s), e AS (SELECT DISTINCT document_id, context FROM c WHERE n % 2 = 1)
+SELECT document_id, 's' || k || '-' || n AS segment_id, CASE k WHEN 0 THEN 'email' WHEN 2 THEN 'pdf' ELSE 'docx' END AS kind, CASE k WHEN 0 THEN 'E-Mail' WHEN 2 THEN 'Seite ' || n % 2 || CASE WHEN n % 2 = 1 THEN ' (Texterkennung)' ELSE '' END ELSE 'Word-Dokument' END AS heading,
+CASE k WHEN 0 THEN 'Zeile ' || n WHEN 1 THEN 'Absatz ' || n WHEN 2 THEN 'Seite ' || n % 2 ELSE 'Tabelle 1, Zeile ' || n || ', Zelle 2' END AS label, CASE WHEN n % 2 = 1 THEN CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_marks,
+CASE WHEN n % 2 = 1 THEN 'Posten ' || n || ' [Wert] ' || n END AS shown FROM c WHERE (document_id, context) IN (SELECT document_id, context FROM e)""")
+def source_contexts(spark, d):
+    """Lines of mails, Word files and pages, each once, with what is cited of them; some are cited twice."""
+    s = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_partkey") % 4).alias("k"), F.col("l_linenumber").alias("n")).distinct()
+    place = F.when(F.col("k") == 0, F.to_json(F.struct(F.lit("email").alias("kind"), F.lit("body").alias("part"), F.col("n").alias("line")))).when(
+        F.col("k") == 1, F.to_json(F.struct(F.lit("docx").alias("kind"), F.lit("paragraph").alias("part"), F.col("n").alias("paragraph")))
+    ).when(F.col("k") == 2, F.to_json(F.struct(F.lit("pdf").alias("kind"), (F.col("n") % 2).alias("page"), (F.col("n") % 2 == 1).alias("ocr")))).otherwise(
+        F.to_json(F.struct(F.lit("docx").alias("kind"), F.lit("table_cell").alias("part"), F.lit(1).alias("table"), F.col("n").alias("row"), F.lit(2).alias("cell")))
+    )
+    name = F.concat(F.lit("s"), F.col("k").cast("string"), F.lit("-"), F.col("n").cast("string"))
+    text = F.concat(F.lit("Posten "), F.col("n").cast("string"), F.lit(" Wert "), F.col("n").cast("string"))
+    segments = s.select("document_id", name.alias("segment_id"), F.col("n").alias("position"), text.alias("text"), place.alias("locator"))
+    times = F.when(F.col("position") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    evidence = segments.where("position % 2 = 1").select("document_id", "segment_id", F.lit("Wert").alias("quote"), F.explode(times).alias("evidence_id"))
+    lines = review.marked_contexts(evidence, segments)
+    written = F.array_join(F.transform(F.get("marks", F.lit(0))["parts"], lambda p: F.when(p["mark"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
+    return lines.select("document_id", "segment_id", "kind", "heading", "label", F.coalesce(F.size("marks"), F.lit(0)).alias("n_marks"), written.alias("shown"))
