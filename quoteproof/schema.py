@@ -33,7 +33,7 @@ UNIT_SPELLINGS = {
     "pcs": ("pcs", "pc", "piece", "pieces", "stk", "stck", "st", "stück", "stueck"),
 }
 
-# Shapes of the application's tables.
+# Shapes of the application's tables.
 REQUESTS = (
     "id string, company_id string, status string, created_at timestamp, source string, created_by string, subject string, message_id string, "
     "fingerprint string, possible_duplicate boolean, duplicate_of_id string, duplicate_decision string, error_stage string, error_message string, "
