@@ -13,6 +13,9 @@ labels the worst grade. Null texts are empty and get the score of no features; r
 doc_ids are scored, never fitted. With no labels, or labels of one grade only, nothing is known against any document
 and all are kept. Extra columns pass; where one has the name of an added column, the added one's name gets an underscore
 at its end. Empty tables give empty results.
+
+A word tells only if labels of both kinds have been seen with it: with some 50 toxic labels most toxic words never are, and
+two in five toxic documents pass; with some 500 none of the held-out ones did. Use a thousand labels or more.
 """
 
 from __future__ import annotations

@@ -640,6 +640,28 @@ def test_op10(spark, docs, empty):
 MESSY = "doc_id long, text string, _row string, base string, terms int, length string, piece string, start string, sha string, kept string, _sha string, _gone int, sig int, `key` string, `a.b` int"
 
 
+def test_op7_fullest_against_enumeration():
+    """The subset-sum dynamic program against every combination that the counts allow."""
+    import itertools
+
+    rng = random.Random(71)
+    for _ in range(400):
+        room = rng.randint(1, 40)
+        counts = {rng.randint(1, 25): rng.randint(1, 4) for _ in range(rng.randint(0, 5))}
+        fits = [sum(k * n for k, n in zip(counts, times)) for times in itertools.product(*(range(n + 1) for n in counts.values()))]
+        found = op7.fullest(counts, room)
+        assert sum(found) == max(x for x in fits if x <= room)
+        assert all(n <= counts[k] for k, n in collections.Counter(found).items())
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    folder = table(spark, empty, tmp_path / "e")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_op8_ranges_of_several_files(spark, tmp_path, monkeypatch):
     path, rows = tokenizer_path(op8.TOKENIZER), [(k, f"some words {k} " * 20) for k in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
