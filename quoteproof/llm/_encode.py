@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from ._shared import KEPT
+
 #: Words kept in a worker's memo (some 55 MB); at the bound the newer half goes, since common words are met early.
 MEMO_ENTRIES = 250_000
 #: Longer words go to the library each time and are not kept.
@@ -197,8 +199,8 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], MemoEncoder] = {}
-_PIECES: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], MemoEncoder] = KEPT.setdefault("encoders", {})
+_PIECES: dict[str, PieceEncoder] = KEPT.setdefault("pieces", {})
 
 
 def encoder(path: str, plain: bool = False) -> MemoEncoder:

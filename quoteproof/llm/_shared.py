@@ -88,11 +88,21 @@ def free_names(taken: list[str], wanted: list[str]) -> list[str]:
     return out
 
 
-def frugal(run):
+#: What workers keep from task to task (encoders with their memos), by name.
+KEPT: dict[str, dict] = {}
+
+
+def frugal(run, *uses: str):
     """An Arrow iterator function that gives its memory back when a task ends: Python workers are used again, also by other
-    stages, and what one has freed stays with it otherwise."""
+    stages, and what one has freed stays with it otherwise. What earlier stages left in ``KEPT`` goes when a task begins, but for
+    what this one ``uses``."""
 
     def wrapped(batches):
+        from quoteproof.llm._shared import KEPT as kept  # the worker's own, not a copy sent with this function
+
+        for name, held in kept.items():
+            if name not in uses:
+                held.clear()
         try:
             yield from run(batches)
         finally:

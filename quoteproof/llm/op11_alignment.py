@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._encode import _VISIBLE, encoder, piece_encoder, text_blocks, tokenizer_path
-from ._shared import frugal, load, materialise, text_or_empty
+from ._shared import KEPT, frugal, load, materialise, text_or_empty
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a text that are aligned at once.
@@ -149,7 +149,7 @@ class Aligner:
         return (*sums.tolist(), digest.hexdigest(), keys, np.bincount(at, weights=np.concatenate(times)).astype(np.int64))
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+_ALIGNERS: dict[tuple[str, str], Aligner] = KEPT.setdefault("aligners", {})
 
 
 def aligner(byte_level: str, pieces: str) -> Aligner:
@@ -229,7 +229,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """A row per document: tokens of both, groups, links, links that are their B id's most frequent, their counts' sum, the groups' digest."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    state = materialise(texts.mapInArrow(frugal(_first_pass(byte_level, pieces)), STATE), "aligned")
+    state = materialise(texts.mapInArrow(frugal(_first_pass(byte_level, pieces), "aligners", "encoders", "pieces"), STATE), "aligned")
     table = pair_counts(state).toArrow()  # at most ``most_pairs`` rows, a bound of the vocabularies
     keys, n = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("pair", "n"))
     order = np.argsort(keys)

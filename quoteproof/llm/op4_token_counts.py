@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._encode import text_blocks, tokenizer_path
-from ._shared import frugal, load, text_or_empty
+from ._shared import KEPT, frugal, load, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -135,7 +135,7 @@ class PrefixCounter:
                 memo.clear()
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
+_COUNTERS: dict[str, PrefixCounter] = KEPT.setdefault("counters", {})
 
 
 def counter(model_file: str) -> PrefixCounter:
@@ -185,7 +185,7 @@ def prefix_profiles(
                     names=names,
                 )
 
-    return docs.select(*carry, text_or_empty().alias("_text")).mapInArrow(frugal(run), out)
+    return docs.select(*carry, text_or_empty().alias("_text")).mapInArrow(frugal(run, "counters"), out)
 
 
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

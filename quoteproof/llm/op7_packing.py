@@ -56,7 +56,7 @@ def _pieces(path: str, most: int, end_id: int):
 
 
 def pieces(docs: DataFrame, path: str, most: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(frugal(_pieces(path, most, end_id)), PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(frugal(_pieces(path, most, end_id), "encoders"), PIECE)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

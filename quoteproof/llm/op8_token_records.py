@@ -104,7 +104,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     records = -(-n_docs // shards) if shards > ranges else 0  # of a file; 0: all of a range
     order = [F.col("doc_id"), F.xxhash64("_text"), F.col("_from")]
     dealt = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    frames = dealt.drop("_from").mapInArrow(frugal(_frames(path, end_id)), "value binary")
+    frames = dealt.drop("_from").mapInArrow(frugal(_frames(path, end_id), "encoders"), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records).text(f"{folder}/data")
     files(docs.sparkSession, folder).mapInArrow(_index(path), INDEX).write.parquet(f"{folder}/index")
 
