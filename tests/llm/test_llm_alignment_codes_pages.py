@@ -278,3 +278,28 @@ def test_op13(spark, tmp_path, monkeypatch):
     assert texts[None] == "" and texts[990] == "no url" and texts[992] == "" and texts[993] == ""
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert op13.op13_url_differencing(spark, table(empty, tmp_path / "e", "pages")).count() == 0
+
+
+def test_workers_drop_what_other_stages_kept(spark):
+    """Workers are used again; a task finds only what it says it uses."""
+    import pyarrow as pa
+    from quoteproof.llm import _encode, _shared
+
+    assert _shared.KEPT["encoders"] is _encode._ENCODERS
+
+    def fill(batches):
+        from quoteproof.llm import _encode as own
+
+        own._ENCODERS["test"] = 1
+        yield from batches
+
+    def see(batches):
+        from quoteproof.llm import _encode as own
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["test" in own._ENCODERS] * batch.num_rows)], names=["held"])
+
+    rows = spark.range(0, 64, 1, 16)
+    rows.mapInArrow(_shared.frugal(fill, "encoders"), "id long").count()
+    held = lambda *uses: sum(r.held for r in rows.mapInArrow(_shared.frugal(see, *uses), "held boolean").collect())
+    assert held("encoders") > 0 and held() == 0
