@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quoteproof.functions import values
 from quoteproof.functions.grammar import UNITS
 from quoteproof.functions.html import visible_text
-from quoteproof.operators import grounding, intake, lifecycle, requests
+from quoteproof.operators import extraction, grounding, intake, lifecycle, requests
 from quoteproof.plans import application  # noqa: F401  registers its queries
 from quoteproof.plans.base import ORACLES, QUERIES, query, t
 from quoteproof.session import shared_folder
@@ -340,3 +340,23 @@ def verified_claims(spark, d):
     document = F.col("doc_id").cast("string").alias("document_id")
     claims = claims.select(document, "field_key", F.col("line").cast("int").alias("item_index"), value.alias("value"), "status", "segment_id", "quote")
     return grounding.verify(claims, segments.select(document, F.concat(F.lit("l"), "line").alias("segment_id"), "text", (F.col("line") % 5 == 0).alias("ocr")))
+
+
+@query(r"""WITH l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> '' GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_segments, n IS NOT NULL AS model_called, concat_ws(',', CASE WHEN n IS NULL THEN 'no_text' END, CASE WHEN d.doc_id % 7 = 0 THEN 'attachment_failed' END, CASE WHEN d.doc_id % 11 = 0 THEN 'ocr_pages_skipped' END) AS warnings,
+CAST(CASE WHEN n IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_found, CAST(CASE WHEN n IS NULL THEN 6 ELSE 5 END AS BIGINT) AS n_missing FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id""")
+def extraction_runs(spark, d):
+    """Whole runs: a company is claimed of each document, cited from its first line; documents without text claim nothing."""
+    docs = t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), "text", "lang")
+    segments = lines(docs).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("l"), "line").alias("segment_id"), "text", F.lit(False).alias("ocr"), "line")
+    first = segments.groupBy("document_id").agg(F.min_by("text", "line").alias("quote"), F.min("line").alias("line"))
+    claims = docs.select("document_id").join(first, "document_id", "left").select(
+        "document_id", F.lit("company").alias("field_key"), F.lit(None).cast("int").alias("item_index"), F.coalesce("quote", F.lit("nothing")).alias("value"), F.lit("found").alias("status"),
+        F.concat(F.lit("l"), F.col("line").cast("string")).alias("segment_id"), "quote",
+    )
+    number = F.col("doc_id")
+    reports = docs.select("document_id", F.when(number % 7 == 0, "failed").otherwise("parsed").alias("status"))
+    skipped = docs.select("document_id", F.when(number % 11 == 0, 3).otherwise(0).alias("pages"))
+    found = extraction.fields(docs, segments, claims).groupBy("document_id").agg(F.count_if(F.col("status") == "found").alias("n_found"), F.count_if(F.col("status") == "missing").alias("n_missing"))
+    done = extraction.runs(docs, segments, reports, skipped).join(found, "document_id")
+    return done.select(F.col("document_id").cast("long").alias("doc_id"), "n_segments", "model_called", F.concat_ws(",", "warnings").alias("warnings"), "n_found", "n_missing")
