@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quoteproof.functions import values
 from quoteproof.operators import evaluation, export, grounding, intake, lifecycle, requests, review
 from quoteproof.plans.base import query, t
-from quoteproof.sources import readers, sinks, uploads
+from quoteproof.sources import attachments, readers, sinks, uploads
 
 
 def _derived(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -677,3 +677,22 @@ def source_contexts(spark, d):
     lines = review.marked_contexts(evidence, segments)
     written = F.array_join(F.transform(F.get("marks", F.lit(0))["parts"], lambda p: F.when(p["mark"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
     return lines.select("document_id", "segment_id", "kind", "heading", "label", F.coalesce(F.size("marks"), F.lit(0)).alias("n_marks"), written.alias("shown"))
+
+
+_ATTACHED = {
+    "document_id": "l_orderkey", "a": "CASE WHEN n > 1 AND l_partkey % 3 = 0 THEN 1 ELSE n END", "b": "CASE WHEN n > 1 AND l_partkey % 3 = 0 THEN n END", "name": "concat('f', CAST(n AS STRING))",
+    "by_value": "l_suppkey % 9 > 0", "unzipped": "CASE WHEN l_partkey % 2 = 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END", "error": "CASE WHEN l_suppkey % 7 = 0 THEN 'document_unparseable' END",
+}
+
+
+@query(f"""WITH x AS {_sql(_ATTACHED, f"(SELECT *, {_NTH} FROM lineitem)")}, o AS (SELECT *, CASE WHEN NOT by_value THEN 'not_attached_by_value' END AS own FROM x),
+s AS (SELECT o.* FROM o LEFT JOIN (SELECT document_id, own AS above FROM o WHERE a = 1 AND b IS NULL) p ON p.document_id = o.document_id AND b IS NOT NULL WHERE above IS NULL),
+c AS (SELECT *, CASE WHEN own IS NULL AND sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY a, b NULLS FIRST ROWS UNBOUNDED PRECEDING) > 4 THEN 'budget_exceeded' ELSE own END AS cut FROM s),
+k AS (SELECT document_id, list_reduce(list(struct_pack(rest := CAST(60 AS BIGINT), n := unzipped, out := [name]) ORDER BY a, b NULLS FIRST), lambda acc, y: CASE WHEN y.n <= acc.rest THEN struct_pack(rest := acc.rest - y.n, n := acc.n, out := acc.out) ELSE struct_pack(rest := acc.rest, n := acc.n, out := list_append(acc.out, y.out[1])) END,
+  struct_pack(rest := CAST(60 AS BIGINT), n := CAST(0 AS BIGINT), out := CAST([] AS VARCHAR[]))) AS r FROM c WHERE cut IS NULL AND unzipped > 0 GROUP BY 1)
+SELECT c.document_id, name, coalesce(cut, CASE WHEN list_contains(r.out, name) THEN 'budget_exceeded' END, error) AS error FROM c LEFT JOIN k ON c.document_id = k.document_id""")
+def attachment_reports(spark, d):
+    """Lines as attachments of their order, some inside the first; four of them and 60 bytes a document."""
+    made = _derived(t(spark, d, "lineitem").select("*", F.expr(_NTH)), _ATTACHED)
+    path = F.array_compact(F.array(F.col("a").cast("int"), F.col("b").cast("int")))
+    return attachments.reports(made.withColumn("path", path).drop("a", "b"), 4, 60).select("document_id", "name", "error")

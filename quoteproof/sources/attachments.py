@@ -1,14 +1,17 @@
 """Messages with attachments, expanded under one shared budget: a failing attachment is a report row, never an error.
 
 A message is what a reader of an outer format gives: its own segments and its attachments, each with bytes, or another
-message, or neither (attached by reference). Recursion stays inside one top-level document, so a DataFrame of messages
-expands row by row.
+message, or neither (attached by reference). ``expand`` reads one document; ``reports`` applies the same limits to a table of all
+documents' attachments.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
 from quoteproof.sources.readers import MOST_SEGMENTS, Segment, Unreadable, parse
 
 # The limits of one message and the budget of one top-level document.
@@ -109,3 +112,40 @@ def expand(message: Message, budget: Budget | None = None) -> tuple[list[Segment
     run = _Expansion(budget or Budget())
     run.message(message, ())
     return [run.placed(path, s) for path, s in run.found], run.reports
+
+
+# --- the same limits over a table of attachments
+
+
+def _under(nodes: DataFrame, failed: Column) -> DataFrame:
+    """``nodes`` without those that lie, at any depth, in one for which ``failed`` holds."""
+    around = nodes.where(F.size("path") > 1).select("document_id", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("_k"))
+    around = around.select("document_id", F.col("path").alias("_path"), F.slice("path", F.lit(1), F.col("_k")).alias("path"))
+    lost = around.join(nodes.where(failed).select("document_id", "path"), ["document_id", "path"]).select("document_id", F.col("_path").alias("path")).distinct()
+    return nodes.join(lost, ["document_id", "path"], "left_anti")
+
+
+def reports(attachments: DataFrame, most: int = TOTAL_ATTACHMENTS, unzipped: int = TOTAL_UNZIPPED) -> DataFrame:
+    """document_id, path, name, status, error of every attachment that is looked at, as ``expand`` reports them.
+
+    ``attachments``: document_id, path (array of indexes from the document down), name, by_value, unzipped (bytes that it unpacks
+    to, 0 of what is no package) and error (what its reader says; null where it is read). What lies in a refused attachment is not
+    looked at. Attachments are counted in the order of their paths; a package that does not fit into what is left of the bytes is
+    refused and takes nothing, so later ones may fit: these are folded in turn, at most ``most`` of a document.
+    """
+    index, depth = F.element_at("path", -1), F.size("path")
+    own = F.when(index >= MOST_ATTACHMENTS, "too_many_attachments").when(depth > MOST_DEPTH, "nesting_too_deep").when(~F.col("by_value"), "not_attached_by_value")
+    seen = _under(attachments.withColumn("_own", own), F.col("_own").isNotNull())
+    turn = F.sum(F.col("_own").isNull().cast("int")).over(Window.partitionBy("document_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = seen.withColumn("_own", F.when(F.col("_own").isNull() & (turn > most), "budget_exceeded").otherwise(F.col("_own")))
+    counted = _under(counted, F.col("_own") == "budget_exceeded")
+    packages = counted.where("_own is null and unzipped > 0").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("path", "unzipped"))).alias("_p"))
+
+    def turned(acc: Column, x: Column) -> Column:
+        fits = x["unzipped"] <= acc["left"]
+        return F.struct(F.when(fits, acc["left"] - x["unzipped"]).otherwise(acc["left"]).alias("left"), F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(x["path"]))).alias("out"))
+
+    nothing = F.struct(F.lit(unzipped).cast("long").alias("left"), F.array().cast(attachments.select(F.array("path")).schema[0].dataType).alias("out"))
+    over = packages.select("document_id", F.explode(F.aggregate("_p", nothing, turned, lambda acc: acc["out"])).alias("path"), F.lit("budget_exceeded").alias("_over"))
+    error = F.coalesce("_own", "_over", "error")
+    return counted.join(over, ["document_id", "path"], "left").select("document_id", "path", "name", F.when(error.isNull(), "parsed").otherwise("failed").alias("status"), error.alias("error"))

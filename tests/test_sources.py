@@ -117,6 +117,42 @@ def test_attachments():
     assert at.expand(at.Message([], [at.Attachment(0, "x", workbook(""))]), at.Budget(unzipped=[10]))[1][0].error == "budget_exceeded"
 
 
+def test_attachment_tables_follow_the_same_limits(spark):
+    """Random trees of attachments: the table's reports are those of the reader of one document."""
+    import random
+
+    rng = random.Random(12)
+
+    def message(depth: int, path: tuple, rows: list) -> at.Message:
+        own = []
+        for k in range(rng.randint(0, 4)):
+            i, kind = (rng.choice([k, 60]) if rng.random() < 0.1 else k), rng.choice(["mail", "book", "bad", "none", "ref", "msg", "msg"])
+            here, rows_at = (*path, i), len(rows)
+            rows.append(None)
+            inner = message(depth + 1, here, rows) if kind == "msg" and depth < 5 else None
+            data = {"mail": MAIL, "book": BOOK, "bad": b"%PDF-"}.get(kind)
+            rows[rows_at] = (list(here), kind, kind != "ref", BOOK_BYTES if kind == "book" else 0, {"bad": "unsupported_media_type"}.get(kind, None if data or inner else "document_unparseable"))
+            own.append(at.Attachment(i, kind, data, message=inner, by_value=kind != "ref"))
+        return at.Message([], own)
+
+    book = workbook("")
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        size = sum(x.file_size for x in z.infolist())
+    BOOK, BOOK_BYTES = book, size
+    want, rows = {}, []
+    for d in range(40):
+        mine: list = []
+        tree = message(1, (), mine)
+        if len({tuple(r[0]) for r in mine}) < len(mine):
+            continue
+        _, told = at.expand(tree, at.Budget(6, [2 * size + 1]))
+        want |= {(d, r.path): (r.status, r.error) for r in told}
+        rows += [(d, *r) for r in mine]
+    frame = spark.createDataFrame(rows, "document_id int, path array<int>, name string, by_value boolean, unzipped long, error string")
+    got = {(r.document_id, tuple(r.path)): (r.status, r.error) for r in at.reports(frame, 6, 2 * size + 1).collect()}
+    assert got == want and len({e for _, e in got.values()}) >= 6
+
+
 def test_uploads(spark):
     good = package(**{"[Content_Types].xml": "", "xl/workbook.xml": ""})
     cases = [
