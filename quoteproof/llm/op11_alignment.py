@@ -176,10 +176,10 @@ def _first_pass(byte_level: str, pieces: str):
         for batch in batches:
             ids = batch.column("doc_id")
             for start, stop, texts in text_blocks(batch.column("_text"), RUN_CHARS):
-                if len(texts) == 1 and len(texts[0]) > RUN_CHARS:
-                    found = [tool.document(runs_of(texts[0]))]
-                else:
-                    found = tool.align(texts)
+                found = tool.align([t if len(t) <= RUN_CHARS else "" for t in texts])
+                for k, text in enumerate(texts):
+                    if len(text) > RUN_CHARS:
+                        found[k] = tool.document(runs_of(text, RUN_CHARS))
                 rows = []
                 for got in found:
                     row, pair = one(got)
