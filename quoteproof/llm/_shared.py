@@ -92,6 +92,20 @@ def free_names(taken: list[str], wanted: list[str]) -> list[str]:
 KEPT: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def frugal(run, *uses: str):
     """An Arrow iterator function that gives its memory back when a task ends: Python workers are used again, also by other
     stages, and what one has freed stays with it otherwise. What earlier stages left in ``KEPT`` goes when a task begins, but for
@@ -99,6 +113,7 @@ def frugal(run, *uses: str):
 
     def wrapped(batches):
         from quoteproof.llm._shared import KEPT as kept  # the worker's own, not a copy sent with this function
+        from quoteproof.llm._shared import give_back
 
         for name, held in kept.items():
             if name not in uses:
@@ -106,15 +121,6 @@ def frugal(run, *uses: str):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

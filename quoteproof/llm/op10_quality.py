@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_names, frugal, load, text_or_empty
+from ._shared import free_names, frugal, give_back, load, text_or_empty
 
 SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 64 << 20
@@ -46,6 +46,8 @@ MOST_NEW = 400
 MEMO_ENTRIES = 120_000
 MEMO_CHARS = 48
 SHARE_STEPS = 20
+#: Entries that are summed at once.
+BLOCK = 1 << 19
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -113,6 +115,14 @@ def features(text: str) -> np.ndarray:
     return np.unique(np.asarray(found + shape_features(text, words, len(own)), dtype=np.int32))
 
 
+def summed(into: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values[of]`` by ``into``, block by block: whole, the wide copies would be many times what is held."""
+    out = np.zeros(n)
+    for a in range(0, len(into), BLOCK):
+        out += np.bincount(into[a : a + BLOCK], weights=values[of[a : a + BLOCK]], minlength=n)
+    return out
+
+
 class Likelihood:
     """Weighted mean of the negative log likelihood of grades, for rows of features (each feature once a row)."""
 
@@ -125,8 +135,11 @@ class Likelihood:
         at_least = np.clip([share[1] + share[2], share[2]], 0.01, 0.99)
         first, second = -np.log(at_least / (1 - at_least))
         self.start = np.array([first, np.log(max(second - first, 0.1))])
-        self.features, self.column = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int32), return_inverse=True)
-        self.column = self.column.astype(np.int32)
+        found = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        present = np.zeros(DIMENSIONS, dtype=bool)
+        present[found] = True
+        self.features, place = np.flatnonzero(present), np.cumsum(present, dtype=np.int32) - 1
+        self.column = place[found].astype(np.int32)
         self.row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
 
     def parts(self, scores: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -141,7 +154,7 @@ class Likelihood:
         return float(-(self.cost * np.log(like)).sum() / n), -(by_first + by_second), by_cut
 
     def gradient(self, by_score: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, weights=by_score[self.row], minlength=len(self.features))
+        return summed(self.column, by_score, self.row, len(self.features))
 
 
 def _descend(data: Likelihood, active: np.ndarray, weights: np.ndarray, cuts: np.ndarray, l1: float, l2: float):
@@ -149,11 +162,12 @@ def _descend(data: Likelihood, active: np.ndarray, weights: np.ndarray, cuts: np
     place = np.full(len(data.features), -1, dtype=np.int32)
     place[active] = np.arange(len(active))
     column = place[data.column]
-    column, row, n = column[column >= 0], data.row[column >= 0], len(data.grades)
+    active_ones = column >= 0
+    column, row, n = column[active_ones], data.row[active_ones], len(data.grades)
 
     def at(w, c):
-        value, by_score, by_cut = data.parts(np.bincount(row, weights=w[column], minlength=n), c)
-        return value + l2 / 2 * (w @ w), np.bincount(column, weights=by_score[row], minlength=len(w)) + l2 * w, by_cut
+        value, by_score, by_cut = data.parts(summed(row, w, column, n), c)
+        return value + l2 / 2 * (w @ w), summed(column, by_score, row, len(w)) + l2 * w, by_cut
 
     w, c = weights[active], cuts
     v, vc, speed, curve = w, c, 1.0, 1.0
@@ -183,7 +197,7 @@ def optimum(data: Likelihood, l1: float, l2: float = L2) -> tuple[np.ndarray, np
     weights, cuts = np.zeros(len(data.features)), data.start
     active = np.zeros(0, dtype=np.int64)
     for _ in range(MOST_ROUNDS):
-        scores = np.bincount(data.row, weights=weights[data.column], minlength=len(data.grades))
+        scores = summed(data.row, weights, data.column, len(data.grades))
         slope = np.abs(data.gradient(data.parts(scores, cuts)[1]))
         slope[active] = 0
         new = np.argsort(-slope, kind="stable")[:MOST_NEW]
@@ -231,7 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     wanted = spark.createDataFrame(sample, "_id long, grade int")
     texts = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("_id"))
     got = sorted(texts.groupBy("doc_id", "grade").agg(F.min("_text").alias("_text")).collect(), key=lambda r: r["doc_id"])
-    return fit([r["_text"] for r in got], [r["grade"] for r in got])
+    model = fit([r["_text"] for r in got], [r["grade"] for r in got])
+    del got
+    give_back()
+    return model
 
 
 ADDED = (("expected_grade", "double"), ("p_harmless", "double"), ("p_good", "double"), ("keep", "boolean"))
