@@ -79,11 +79,11 @@ def range_digits(n_docs: int) -> int:
     return next((k for k in range(least, most) if n_docs <= RANGE_DOCS * 16**k), most)
 
 
-def _mixed(docs: DataFrame, budget: float, weights, most_repeats: int, schedules) -> DataFrame:
-    """_row (all columns of ``docs``) with the columns ``ADDED``."""
+def _mixed(docs: DataFrame, budget: float, weights, most_repeats: int, schedules, keep: list[str] | None = None) -> DataFrame:
+    """_row (all columns of ``docs``, or those to ``keep``) with the columns ``ADDED``."""
     known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64(text_or_empty()).cast("string")))
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count().alias("size"),
+        F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count().alias("size"),
         F.md5(known.cast("binary")).alias("_hash"), F.xxhash64(text_or_empty()).alias("_tie"),
     ).withColumn("_range", F.substring("_hash", 1, range_digits(docs.count())))
     # a key without nulls, so that the window below leaves rows where the join wants them
@@ -153,9 +153,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = _mixed(docs, BUDGET, WEIGHTS, MOST_REPEATS, SCHEDULES)
+    mixed = _mixed(docs, BUDGET, WEIGHTS, MOST_REPEATS, SCHEDULES, ["doc_id"])
     again = F.get("passes", F.lit(1))["position"].alias("second_position")
-    return _sorted(mixed.withColumn("_row", F.struct("_row.doc_id"))).select("_row.doc_id", "size", "source_size", "target", "taken", "position", again)
+    return _sorted(mixed).select("_row.doc_id", "size", "source_size", "target", "taken", "position", again)
 
 
 ORACLE = """
