@@ -24,12 +24,13 @@ def verify(claims: DataFrame, segments: DataFrame) -> DataFrame:
     """
     s = segments.select(F.col("document_id").alias("_d"), F.col("segment_id").alias("_s"), folded_text(F.coalesce("text", F.lit(""))).alias("_n"), F.coalesce("ocr", F.lit(False)).alias("_ocr"))
     joined = claims.join(s, (claims["document_id"] == s["_d"]) & (claims["segment_id"] == s["_s"]), "left")
-    value, claimed, quote, kind = F.col("value"), F.col("status"), F.coalesce("quote", F.lit("")), kind_of(F.col("field_key"))
+    value, claimed, quote, kind = F.col("value"), F.col("status"), F.coalesce("quote", F.lit("")), F.col("_kind")
     looked_at = (claimed != "missing") & F.col("_s").isNotNull() & ~(value.isNull() & (claimed == "found"))
     valued = looked_at & value.isNotNull()
+    joined = joined.withColumn("_kind", kind_of(F.col("field_key"))).withColumn("_pieces", F.when(valued & (kind == "unit"), values.unit_pieces(value, quote)))
     ready = joined.withColumns({
         "_q": folded_text(F.when(looked_at, quote)), "_v": folded_text(F.when(valued & kind.isin("text", "unit"), value)),
-        "_p": folded_each(F.when(valued & (kind == "unit"), values.unit_pieces(value, quote))), "_f": casefolded(F.when(valued & (kind == "email"), quote)),
+        "_p": folded_each(F.col("_pieces")), "_f": casefolded(F.when(valued & (kind == "email"), quote)),
     })
     ready = ready.withColumn("_c", F.when(valued, values.check(kind, value, quote, F.col("_v"), F.col("_q"), F.col("_p"), F.col("_f"))))
     found, bare, c = claimed == "found", F.col("segment_id").isNull() & F.col("quote").isNull(), F.col("_c")

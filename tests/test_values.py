@@ -112,3 +112,19 @@ def test_checks(spark):
 def test_quoted_matches_itself(spark, text):
     frame = spark.createDataFrame([(text,)], "t string")
     assert frame.select(F.regexp_like("t", F.concat(F.lit("^"), v.quoted(F.col("t")), F.lit("$")))).first()[0]
+
+
+def test_each_part_of_a_check_is_evaluated_once(spark):
+    """A check's tree grows with its rules, not with how often a rule names what it looks at."""
+    row = spark.createDataFrame([("date", "x")], "kind string, value string")
+    tree = row.select(v.check(F.col("kind"), *[F.col("value")] * 4, F.array("value"), F.col("value")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert tree.count("regexp_") <= 40, tree.count("regexp_")
+
+
+def test_usual_texts_fold_as_the_library_folds_them(spark):
+    texts = ["Straße ÄÖÜ àÿ", " Zwei  Blanks ", "AB-\nCD", "a\tb", "\x01 A \x01", "ĳ ﬁ İ", "\x7f\x1f X", "", "ÞÐ × ÷ µ ª", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    # a character at the end that no folding changes sends every text the long way
+    got = frame.select("k", folded_text(F.col("t")).alias("f"), folded_text(F.concat("t", F.lit("。"))).alias("long"), casefolded(F.col("t")).alias("c"), casefolded(F.concat("t", F.lit("。"))).alias("long_c")).orderBy("k").collect()
+    assert [r.f for r in got] == [None if r.long is None else r.long[:-1].rstrip(" ") for r in got]
+    assert [r.c for r in got] == [None if r.long_c is None else r.long_c[:-1] for r in got]
