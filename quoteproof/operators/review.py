@@ -43,17 +43,32 @@ MOST_LEVELS = 4
 
 
 def unwrapped(locator: Column) -> Column:
-    """struct(inner, names, path): a locator's innermost place, and the attachments' names and positions, outermost first."""
-    inner, names, path = locator, F.array().cast("array<string>"), F.array().cast("array<string>")
-    for _ in range(MOST_LEVELS):
-        wrapped = (F.get_json_object(inner, "$.kind") == "msg") & (F.get_json_object(inner, "$.part") == "attachment") & F.get_json_object(inner, "$.inner").isNotNull()
-        index, name = F.get_json_object(inner, "$.attachment.index"), F.nullif(F.get_json_object(inner, "$.attachment.name"), F.lit(""))
-        shown = F.coalesce(name, F.concat(F.lit("Anhang "), (F.coalesce(index.try_cast("int"), F.lit(0)) + 1).cast("string")))
-        wrapped = F.coalesce(wrapped, F.lit(False))
-        names = F.when(wrapped, F.concat(names, F.array(shown))).otherwise(names)
-        path = F.when(wrapped, F.concat(path, F.array(F.coalesce(index, F.lit("?"))))).otherwise(path)
-        inner = F.when(wrapped, F.get_json_object(inner, "$.inner")).otherwise(inner)
-    return F.struct(inner.alias("inner"), names.alias("names"), F.array_join(path, "/").alias("path"))
+    """struct(inner, names, path): a locator's innermost place, and the attachments' names and positions, outermost first.
+
+    The levels are folded in turn, so that each is read once; as one expression of all levels it would be read again for each
+    place that names it.
+    """
+    said = F.get_json_object
+
+    def opened(acc: Column, inner: Column) -> Column:
+        def around(index: Column) -> Column:
+            name = F.nullif(said(acc["inner"], "$.attachment.name"), F.lit(""))
+            shown = F.coalesce(name, F.concat(F.lit("Anhang "), (F.coalesce(index.try_cast("int"), F.lit(0)) + 1).cast("string")))
+            names, path = F.concat(acc["names"], F.array(shown)), F.concat(acc["path"], F.array(F.coalesce(index, F.lit("?"))))
+            return F.struct(inner.alias("inner"), names.alias("names"), path.alias("path"))
+
+        return F.when(inner.isNotNull(), values.let(said(acc["inner"], "$.attachment.index"), around)).otherwise(acc)
+
+    def level(acc: Column, _: Column) -> Column:
+        text = acc["inner"]
+        may = F.contains(text, F.lit("msg")) | F.contains(text, F.lit("\\"))  # or written with escapes
+        wrapped = may & (said(text, "$.kind") == "msg") & (said(text, "$.part") == "attachment")
+        return values.let(F.when(wrapped, said(text, "$.inner")), lambda inner: opened(acc, inner))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(locator.alias("inner"), none.alias("names"), none.alias("path"))
+    done = lambda acc: F.struct(acc["inner"].alias("inner"), acc["names"].alias("names"), F.array_join(acc["path"], "/").alias("path"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), start, level, done)
 
 
 def _is_mail(place: Column) -> Column:
@@ -99,7 +114,7 @@ def source_view(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     """For each (evidence_id, document_id, segment_id, quote) the lines around its segment: position, segment_id, label,
     cited, parts, and the view's kind, heading and ocr. An equi-join on the context; unknown segments give no line."""
     known = placed(segments)
-    cited = evidence.join(known.select("document_id", "segment_id", "place", "names", "context"), ["document_id", "segment_id"])
+    cited = placed(evidence.join(segments.select("document_id", "segment_id", "locator"), ["document_id", "segment_id"]))
     kind = F.when(F.col("place.kind").isin("pdf", "xlsx", "docx"), F.col("place.kind")).otherwise("email")
     views = cited.select(
         "evidence_id", "document_id", F.col("segment_id").alias("_cited"), "quote", "context", kind.alias("kind"),
@@ -115,9 +130,10 @@ def marked_contexts(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     """Every line of a context that some evidence cites, once, with ``marks``: (evidence_id, parts) of each evidence that cites the
     line. The same lines as ``source_view`` gives for each evidence, but as many rows as lines, however many cite a context."""
     known = placed(segments)
-    cited = evidence.join(known.select("document_id", "segment_id", "context", "text"), ["document_id", "segment_id"])
+    cited = evidence.join(segments.select("document_id", "segment_id", "locator", "text"), ["document_id", "segment_id"])
+    contexts = placed(cited.select("document_id", "segment_id", "locator")).select("document_id", "context").distinct()
     marks = cited.groupBy("document_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", mark_quote(F.col("text"), F.col("quote")).alias("parts")))).alias("marks"))
-    shown = known.join(cited.select("document_id", "context").distinct(), ["document_id", "context"], "left_semi")
+    shown = known.join(contexts, ["document_id", "context"], "left_semi")
     kind = F.when(F.col("place.kind").isin("pdf", "xlsx", "docx"), F.col("place.kind")).otherwise("email")
     return shown.join(marks, ["document_id", "segment_id"], "left").select(
         "document_id", "context", kind.alias("kind"), heading(F.col("place"), F.col("names")).alias("heading"), F.coalesce("place.ocr", F.lit(False)).alias("ocr"), "position",

@@ -119,3 +119,14 @@ def test_cursor_and_budget(spark):
     with pytest.raises(ValueError, match="expiry"):
         lifecycle.assert_budget(330, 10)
     assert lifecycle.without_tenant({"a": rows, "b": rows.withColumn("company_id", F.lit(1))}) == ["a"] and lifecycle.catalogue({"b": rows}) == [("b", 2, False)]
+
+
+def test_levels_of_a_locator_are_read_once_each(spark):
+    """What reads a locator grows with its columns, not with the levels times what each names."""
+    inner = '{"kind":"pdf","page":2}'
+    wrap = lambda x, at: '{"kind":"msg","part":"attachment","attachment":' + at + ',"inner":' + x + "}"
+    told = [None, "no json", inner, wrap(inner, '{"index":1,"name":"a.msg"}'), wrap(wrap(inner, '{"index":3,"name":""}'), "{}"), '{"kind":"msg","part":"body","inner":"x"}', wrap(inner, "{}").replace("msg", "\\u006dsg")]
+    frame = spark.createDataFrame(list(enumerate(told)), "k int, l string").select("k", review.unwrapped(F.col("l")).alias("u"))
+    got = [(r.u.inner, r.u.names, r.u.path) for r in frame.orderBy("k").collect()]
+    assert got == [(None, [], ""), ("no json", [], ""), (inner, [], ""), (inner, ["a.msg"], "1"), (inner, ["Anhang 1", "Anhang 4"], "?/3"), (told[5], [], ""), (inner, ["Anhang 1"], "?")]
+    assert frame._jdf.queryExecution().analyzed().toString().count("get_json_object(") <= 5
