@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quoteproof.functions import values
 from quoteproof.functions.folding import casefolded, folded_each, folded_text
 from quoteproof.schema import FIELD_KIND, HEADER_KEYS, STATUS_RANK
+from quoteproof.session import shared_folder
 
 
 def kind_of(field_key: Column) -> Column:
@@ -117,10 +118,15 @@ def review_summary(reviewed: DataFrame) -> DataFrame:
     )
 
 
+def _asked_for(places: DataFrame, asked: DataFrame, token: str) -> DataFrame:
+    """``places`` of the tokens that some item asks for: all others are left where they lie, before anything is shuffled."""
+    return places.join(asked.select(token).distinct(), token, "left_semi")
+
+
 def _rarest(asked: DataFrame, item_key: str, places: DataFrame, token: str) -> DataFrame:
-    """Of the tokens asked for by each item the one with the fewest places, as ``token``; none for an item with a token that
-    has no place."""
-    counts = places.join(asked.select(token).distinct(), token, "left_semi").groupBy(token).agg(F.count("*").alias("_n"))
+    """Of the tokens asked for by each item the one with the fewest of ``places`` (of ``_asked_for``), as ``token``; none for an
+    item with a token that has no place."""
+    counts = places.groupBy(token).agg(F.count("*").alias("_n"))
     best = asked.join(counts, token, "left").groupBy(item_key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col(token).alias("t"))).alias("_best"))
     return best.where("_best.n > 0").select(item_key, F.col("_best.t").alias(token))
 
@@ -144,7 +150,7 @@ def _words_with(words: DataFrame, parts: DataFrame, item_key: str) -> DataFrame:
     """
     own = parts.select(item_key, "_part")
     asked = _grams(own.where(F.char_length("_part") > 2), "_part", (3,)).unionByName(own.where(F.char_length("_part") < 3).withColumn("_gram", F.col("_part"))).drop("_part")
-    index = _grams(words.select("_word"), "_word", (1, 2, 3))
+    index = _asked_for(_grams(words.select("_word"), "_word", (1, 2, 3)), asked, "_gram")
     keyed = _rarest(asked, item_key, index, "_gram").join(parts.select(item_key, "_part", "_side"), item_key)
     side, held = F.col("_side"), F.contains("_word", "_part")
     fits = F.when(side == "end", F.endswith("_word", "_part")).when(side == "start", F.startswith("_word", "_part")).otherwise(held)
@@ -165,13 +171,20 @@ def quoted_in(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) ->
     own = docs.select(doc_key, F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
     long, short = asked.where(F.size("_w") > 2), asked.where(F.size("_w") <= 2)
     inner = long.select(item_key, F.explode(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_word"))
-    met = own.join(_rarest(inner, item_key, own, "_word"), "_word").select(doc_key, item_key)
+    held = _asked_for(own, inner, "_word")
+    met = held.join(_rarest(inner, item_key, held, "_word"), "_word").select(doc_key, item_key)
     one, two = F.get("_w", F.lit(0)), F.get("_w", F.lit(1))
+    pairs = met.withColumn("_sure", F.lit(False))
     first = F.char_length(one) >= F.char_length(F.coalesce(two, F.lit("")))
     parts = short.select(item_key, F.when(first, one).otherwise(two).alias("_part"), F.when(two.isNull(), "any").when(first, "end").otherwise("start").alias("_side"))
-    vocabulary = own.select("_word").distinct()
-    beside = own.join(_words_with(vocabulary, parts.where("_part != ''"), item_key), "_word").join(short.select(item_key, (F.size("_w") == 1).alias("_sure")), item_key)
-    pairs = met.withColumn("_sure", F.lit(False)).unionByName(beside.select(doc_key, item_key, "_sure")).dropDuplicates([doc_key, item_key])
+    if not short.isEmpty():  # else no word of all documents need be looked at
+        vocabulary = own.select("_word").distinct()
+        beside = own.join(_words_with(vocabulary, parts.where("_part != ''"), item_key), "_word").join(short.select(item_key, (F.size("_w") == 1).alias("_sure")), item_key)
+        pairs = pairs.unionByName(beside.select(doc_key, item_key, "_sure"))
+    # written, so that their size is known and a few pairs go to the texts, not all texts to the pairs
+    folder, pairs = shared_folder(docs.sparkSession, "pairs"), pairs.dropDuplicates([doc_key, item_key])
+    pairs.write.parquet(folder)
+    pairs = docs.sparkSession.read.schema(pairs.schema).parquet(folder)
     rest = docs.drop("text")
     sure = pairs.where("_sure").join(rest, doc_key).drop("_sure")
     compared = pairs.where("not _sure").drop("_sure").join(docs, doc_key).join(asked.select(item_key, "quote"), item_key).where(F.contains("text", "quote")).drop("text", "quote")
