@@ -6,6 +6,7 @@ import json
 import threading
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,20 @@ def test_blobs_and_log(spark, tmp_path):
         store.put("../x", b"")
     row = spark.createDataFrame([("r", "s")], "requestId string, secret string")
     assert sinks.json_names(row.select(sinks.log_line("info", "e", row).alias("l")).first().l) == {"level", "requestId", "msg"} and F is not None
+
+
+def test_reader_hands_rows_on_in_bounded_batches(spark, monkeypatch):
+    """However many files a batch has, a task holds only so many rows, and all of them come out once and in order."""
+    from quoteproof.sources import readers
+
+    seen = []
+    class Files:  # noqa: E301  takes the function that Spark would run
+        columns, select = ("path", "content"), lambda self, *_: self
+        mapInArrow = lambda self, run, _: seen.append(run)
+    mail = lambda k: b"From: a\n\n" + b"\n".join(b"line %d %d" % (k, n) for n in range(2000))
+    files = pa.RecordBatch.from_arrays([pa.array(["1", "2", "3"]), pa.array([mail(1), b"\0", mail(3)], pa.binary()), pa.array([None] * 3, pa.string())], names=["path", "content", "declared"])
+    monkeypatch.setattr(readers, "MOST_HELD", 100_000)
+    readers.segments(Files())
+    out = list(seen[0]([files]))
+    rows = [(r["path"], r["position"], r["error"]) for b in out for r in b.to_pylist()]
+    assert max(b.num_rows for b in out) <= 201 and rows == [*(("1", k, None) for k in range(2001)), ("2", 0, "unsupported_media_type"), *(("3", k, None) for k in range(2001))]
