@@ -39,3 +39,13 @@ def test_very_many_short_quotes(spark):
     got = {(r.doc_id, r.item_id) for r in grounding.quoted_in(docs, quotes, "doc_id", "item_id").collect()}
     want = {(d, int(str(d * 700)[:n])) for d in range(300) for n in range(1, len(str(d * 700)) + 1) if int(str(d * 700)[:n]) < 200_000}
     assert got == want
+
+
+def test_long_quotes_alone_need_no_index_of_all_words(spark):
+    """No character runs are looked at, and each text is cut into words for what quotes ask for only."""
+    docs = spark.createDataFrame([(1, "eins zwei drei vier"), (2, "eins zwei"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "s zwei dr"), (8, "zwei fehlt vier")], "item_id long, quote string")
+    found = grounding.quoted_in(docs, items, "doc_id", "item_id")
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "_gram" not in plan and "explode" not in plan
