@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteproof.functions import values
 from quoteproof.functions.folding import casefolded, folded_each, folded_text
+from quoteproof.operators import lifecycle
 from quoteproof.schema import FIELD_KIND, HEADER_KEYS, STATUS_RANK
 from quoteproof.session import shared_folder
 
@@ -67,11 +68,9 @@ def verify(claims: DataFrame, segments: DataFrame) -> DataFrame:
 
 def rejected_documents(fields: DataFrame, segments: DataFrame) -> DataFrame:
     """Documents whose whole answer is refused: evidence of a segment not returned, found without evidence, or segment ids twice."""
-    known = segments.select("document_id", "segment_id").distinct()
-    strange = fields.where(F.col("segment_id").isNotNull()).join(known, ["document_id", "segment_id"], "left_anti").select("document_id")
-    bare = fields.where((F.col("status") == "found") & (F.col("segment_id").isNull() | F.col("quote").isNull())).select("document_id")
-    twice = segments.groupBy("document_id", "segment_id").count().where("count > 1").select("document_id")
-    return strange.union(bare).union(twice).distinct()
+    nowhere = F.col("document_id").isNull() & F.col("segment_id").isNotNull()
+    bare = fields.where(nowhere | (F.col("status") == "found") & (F.col("segment_id").isNull() | F.col("quote").isNull())).select("document_id")
+    return bare.union(lifecycle.segment_faults(fields, segments).select("document_id")).distinct()
 
 
 def status_rank(status: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteproof.functions.dealing import parts_for
+
 # Queue settings (seconds), the expiry of a job and its margin, statuses that end one document only.
 QUEUES = {
     "process": {"retry_limit": 5, "retry_delay": 30, "retry_delay_max": 1800}, "export": {"retry_limit": 8, "retry_delay": 30, "retry_delay_max": 1800},
@@ -151,7 +153,17 @@ def rejected_answers(answers: DataFrame, fields: DataFrame, segments: DataFrame)
     """document_id, reason of answers that are refused whole: another document's id, a segment id twice, found without
     evidence, evidence of a segment that was not returned."""
     other = answers.where(~F.col("answered_id").eqNullSafe(F.col("document_id"))).select("document_id", F.lit("document_id").alias("reason"))
-    twice = repeated(segments, "document_id", "segment_id").select("document_id", F.lit("segment_twice"))
     bare = implied(fields, F.col("status") == "found", F.col("segment_id").isNotNull() & F.col("quote").isNotNull()).select("document_id", F.lit("found_without_evidence"))
-    strange = orphans(fields, segments, {"document_id": "document_id", "segment_id": "segment_id"}).select("document_id", F.lit("unknown_segment"))
-    return other.union(twice).union(bare).union(strange).distinct()
+    return other.union(bare).union(segment_faults(fields, segments)).distinct()
+
+
+def segment_faults(fields: DataFrame, segments: DataFrame) -> DataFrame:
+    """document_id, reason of segment ids returned twice (nulls are equal to each other) and of evidence of a segment that was not
+    returned: both tables meet in one grouping, whose tasks hold a bounded number of segments."""
+    key = "document_id", "segment_id"
+    cited = fields.select(*key, F.lit(0).alias("_n")).where("segment_id is not null")
+    met = cited.union(segments.select(*key, F.lit(1).alias("_n")))
+    groups = met.repartition(parts_for(fields, segments), *key).groupBy(*key).agg(F.sum("_n").alias("_returned"), F.min("_n").alias("_least"))
+    strange = (F.col("_least") == 0) & (F.col("_returned") == 0) & F.col("document_id").isNotNull()
+    reason = F.when(F.col("_returned") > 1, "segment_twice").when(strange, "unknown_segment")
+    return groups.select("document_id", reason.alias("reason")).where("reason is not null")

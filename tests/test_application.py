@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteproof.functions.folding import folded_text
 from quoteproof.operators import evaluation as ev
-from quoteproof.operators import export, lifecycle, requests, review
+from quoteproof.operators import export, grounding, lifecycle, requests, review
 from quoteproof.schema import HEADER_KEYS, ITEM_KEYS
 
 
@@ -130,3 +130,17 @@ def test_levels_of_a_locator_are_read_once_each(spark):
     got = [(r.u.inner, r.u.names, r.u.path) for r in frame.orderBy("k").collect()]
     assert got == [(None, [], ""), ("no json", [], ""), (inner, [], ""), (inner, ["a.msg"], "1"), (inner, ["Anhang 1", "Anhang 4"], "?/3"), (told[5], [], ""), (inner, ["Anhang 1"], "?")]
     assert frame._jdf.queryExecution().analyzed().toString().count("get_json_object(") <= 5
+
+
+def test_answers_are_refused_by_tasks_of_bounded_size(spark, monkeypatch):
+    """Segments of many small rows are not merged into one task again; nulls as before."""
+    monkeypatch.setattr("quoteproof.functions.dealing.MOST_ROWS", 10)
+    fields = [("a", "found", "s1", "q"), ("a", "found", "s9", "q"), ("b", "found", None, "q"), ("c", "missing", None, None), (None, "found", "s1", "q"), ("d", "found", "s1", None)]
+    held = [("a", "s1"), ("d", "s1"), ("d", "s1"), ("e", None), ("e", None), *(("f", f"s{k}") for k in range(100))]
+    answers = spark.createDataFrame([("a", "a"), ("g", "h"), ("i", None)], "document_id string, answered_id string")
+    frame = spark.createDataFrame(fields, "document_id string, status string, segment_id string, quote string"), spark.createDataFrame(held, "document_id string, segment_id string")
+    got = lifecycle.rejected_answers(answers, *frame)
+    want = {("a", "unknown_segment"), ("b", "found_without_evidence"), ("d", "segment_twice"), ("d", "found_without_evidence"), ("e", "segment_twice"), ("g", "document_id"), ("i", "document_id")}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "hashpartitioning(document_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    assert {r.document_id for r in grounding.rejected_documents(*frame).collect()} == {"a", "b", "d", "e", None}
