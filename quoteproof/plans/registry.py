@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoteproof.functions import values
+from quoteproof.functions.dealing import parts_for
 from quoteproof.functions.grammar import UNITS
 from quoteproof.functions.html import visible_text
 from quoteproof.operators import extraction, grounding, intake, lifecycle, requests
@@ -141,7 +142,10 @@ def rank_merge(spark, d):
 @query("""WITH i AS (SELECT DISTINCT o_custkey, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT o_custkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) - 1 AS item_index FROM i""")
 def renumber_items(spark, d):
-    items = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber").distinct()
+    lines = t(spark, d, "lineitem")
+    parts = parts_for(lines)
+    met = lines.repartition(parts, "l_orderkey").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = met.select("o_custkey", "l_orderkey", "l_linenumber").distinct().repartition(parts, "o_custkey")
     return grounding.renumber(items, ["o_custkey"], [F.col("l_orderkey"), F.col("l_linenumber")]).withColumn("item_index", F.col("item_index").cast("long"))
 
 
