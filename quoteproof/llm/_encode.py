@@ -18,7 +18,8 @@ import numpy as np
 
 from ._shared import KEPT
 
-#: Words kept in a worker's memo (some 55 MB); at the bound the newer half goes, since common words are met early.
+#: Words kept in a worker's memo (some 55 MB; where case is dropped as many lower-case words again, without marks); at the bound
+#: the newer half goes, since common words are met early.
 MEMO_ENTRIES = 250_000
 #: Longer words go to the library each time and are not kept.
 MEMO_CHARS = 64
@@ -88,6 +89,7 @@ class MemoEncoder:
         self.special = [] if plain else [t["content"] for t in config.get("added_tokens", [])]
         self.style = self._style(config)
         self.words, self.parts = _Memo(self._spaced_word if self.style == "spaced" else self._bare_word), _Memo(self._ids)
+        self.heads, self.tokenize = _Memo(self._model), self.library.model.tokenize
 
     @staticmethod
     def _style(config: dict) -> str:
@@ -114,7 +116,7 @@ class MemoEncoder:
             mapped = "\u0120" + part[1:] if part[0] == " " else part
         else:
             mapped = part.encode().decode("latin-1").translate(_VISIBLE)
-        return array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _ids(self, part: str) -> bytes:
         return self._model(part) if _PLAIN.fullmatch(part) else self._library([part])[0]
@@ -137,9 +139,10 @@ class MemoEncoder:
 
     def _bare_word(self, word: str) -> bytes:
         if m := _SPLIT.fullmatch(word):
-            head, tail = m.group(1).lower(), m.group(2)
-            ids = self._model(head) if head == word else self.words[head]
-            return ids + (self.parts[tail] if tail else b"")
+            head, tail = m.groups()
+            low = head.lower()
+            ids = self.heads[head if low == head else low]  # one string for both memos
+            return ids + self.parts[tail] if tail else ids
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Odd
         return self._ids(word)
@@ -149,6 +152,7 @@ class MemoEncoder:
             return self._library(texts)
         self.words.bound()
         self.parts.bound()
+        self.heads.bound()
         spaced, of_word, odd = self.style == "spaced", self.words.__getitem__, (_NUL if self.style == "spaced" else _ODD).search
         out: list[bytes | None] = []
         for text in texts:
