@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quoteproof.sources.readers import MOST_SEGMENTS, Segment, Unreadable, parse
@@ -117,12 +117,15 @@ def expand(message: Message, budget: Budget | None = None) -> tuple[list[Segment
 # --- the same limits over a table of attachments
 
 
-def _under(nodes: DataFrame, failed: Column) -> DataFrame:
-    """``nodes`` without those that lie, at any depth, in one for which ``failed`` holds."""
-    around = nodes.where(F.size("path") > 1).select("document_id", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("_k"))
-    around = around.select("document_id", F.col("path").alias("_path"), F.slice("path", F.lit(1), F.col("_k")).alias("path"))
-    lost = around.join(nodes.where(failed).select("document_id", "path"), ["document_id", "path"]).select("document_id", F.col("_path").alias("path")).distinct()
-    return nodes.join(lost, ["document_id", "path"], "left_anti")
+def _outside(nodes: DataFrame, failed: Column, order: WindowSpec, end: Column) -> DataFrame:
+    """``nodes`` without those that lie, at any depth, in one for which ``failed`` holds.
+
+    In the order of their paths, what lies in an attachment comes right behind it and ends before ``end``; such stretches are nested
+    or apart, so a node lies in a failed one if the greatest end of those so far is behind its own.
+    """
+    reached = F.max(F.when(failed, end)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = F.coalesce((reached > end) & F.col("document_id").isNotNull(), F.lit(False))
+    return nodes.withColumn("_inside", inside).where("not _inside").drop("_inside")
 
 
 def reports(attachments: DataFrame, most: int = TOTAL_ATTACHMENTS, unzipped: int = TOTAL_UNZIPPED) -> DataFrame:
@@ -131,21 +134,28 @@ def reports(attachments: DataFrame, most: int = TOTAL_ATTACHMENTS, unzipped: int
     ``attachments``: document_id, path (array of indexes from the document down), name, by_value, unzipped (bytes that it unpacks
     to, 0 of what is no package) and error (what its reader says; null where it is read). What lies in a refused attachment is not
     looked at. Attachments are counted in the order of their paths; a package that does not fit into what is left of the bytes is
-    refused and takes nothing, so later ones may fit: these are folded in turn, at most ``most`` of a document.
+    refused and takes nothing, so later ones may fit: these are folded in turn, at most ``most`` of a document, and only where
+    they do not fit together. All is one pass over the attachments in order.
     """
     index, depth = F.element_at("path", -1), F.size("path")
+    order = Window.partitionBy("document_id").orderBy("path")
     own = F.when(index >= MOST_ATTACHMENTS, "too_many_attachments").when(depth > MOST_DEPTH, "nesting_too_deep").when(~F.col("by_value"), "not_attached_by_value")
-    seen = _under(attachments.withColumn("_own", own), F.col("_own").isNotNull())
-    turn = F.sum(F.col("_own").isNull().cast("int")).over(Window.partitionBy("document_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.concat(F.slice(F.col("path").cast("array<long>"), F.lit(1), depth - 1), F.array(index.cast("long") + 1))
+    told = attachments.withColumn("_own", own).withColumn("_end", end)
+    seen = _outside(told, F.col("_own").isNotNull(), order, F.col("_end"))
+    turn = F.sum(F.col("_own").isNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counted = seen.withColumn("_own", F.when(F.col("_own").isNull() & (turn > most), "budget_exceeded").otherwise(F.col("_own")))
-    counted = _under(counted, F.col("_own") == "budget_exceeded")
-    packages = counted.where("_own is null and unzipped > 0").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("path", "unzipped"))).alias("_p"))
+    counted = _outside(counted, F.col("_own") == "budget_exceeded", order, F.col("_end"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    package = F.col("_own").isNull() & (F.col("unzipped") > 0) & F.col("document_id").isNotNull()
 
     def turned(acc: Column, x: Column) -> Column:
         fits = x["unzipped"] <= acc["left"]
         return F.struct(F.when(fits, acc["left"] - x["unzipped"]).otherwise(acc["left"]).alias("left"), F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(x["path"]))).alias("out"))
 
     nothing = F.struct(F.lit(unzipped).cast("long").alias("left"), F.array().cast(attachments.select(F.array("path")).schema[0].dataType).alias("out"))
-    over = packages.select("document_id", F.explode(F.aggregate("_p", nothing, turned, lambda acc: acc["out"])).alias("path"), F.lit("budget_exceeded").alias("_over"))
-    error = F.coalesce("_own", "_over", "error")
-    return counted.join(over, ["document_id", "path"], "left").select("document_id", "path", "name", F.when(error.isNull(), "parsed").otherwise("failed").alias("status"), error.alias("error"))
+    packed = counted.withColumn("_package", package).withColumn("_sum", F.sum(F.when(F.col("_package"), F.col("unzipped").cast("decimal(38,0)"))).over(whole))
+    packed = packed.withColumn("_p", F.collect_list(F.when(F.col("_package") & (F.col("_sum") > unzipped), F.struct("path", "unzipped"))).over(whole))
+    refused = F.when(F.col("_package") & (F.size("_p") > 0), F.array_contains(F.aggregate(F.array_sort("_p"), nothing, turned, lambda acc: acc["out"]), F.col("path")))
+    error = F.coalesce("_own", F.when(refused, "budget_exceeded"), "error")
+    return packed.select("document_id", "path", "name", error.alias("error")).select("document_id", "path", "name", F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("status"), "error")

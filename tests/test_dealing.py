@@ -24,3 +24,10 @@ def test_partitions_are_given(spark, tables, name, rows, column):
     assert got.count() == rows
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert any(f"hashpartitioning({column}#" in x and ", 20), REPARTITION_BY_NUM" in x for x in plan.splitlines()), plan
+
+
+def test_attachments_are_dealt_once(spark, tables):
+    got = QUERIES["attachment_reports"](spark, tables)
+    assert {r.error for r in got.collect()} >= {None, "not_attached_by_value", "document_unparseable"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
